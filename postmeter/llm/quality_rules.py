@@ -11,7 +11,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postmeter.llm.common import SPACE, WORD, let
+from postmeter.llm.common import SPACE, WORD, let, set_aside
 
 #: The commonest function words of each supported language.
 COMMON_WORDS = {
@@ -45,6 +45,7 @@ MIN_CHARACTERS = 200
 MAX_CHARACTER_DISTANCE = 0.19
 MAX_WORD_DISTANCE = 0.45
 OTHER = "other"
+ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "character_distance", "word_distance", "kept")
 
 
 def _word_list(text: Column) -> Column:
@@ -146,8 +147,7 @@ def measure(docs: DataFrame, min_words: int = MIN_WORDS, min_characters: int = M
     the other such documents by character classes only. Below the minimum lengths a distance is null and decides nothing.
     Repeated rows are measured alike. Columns of docs by the names added here are replaced.
     """
-    added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "character_distance", "word_distance", "kept"]
-    docs = docs.drop(*added)
+    docs = docs.drop(*ADDED)
     references = language_references(docs.select("text", "lang"))
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
@@ -165,10 +165,10 @@ def measure(docs: DataFrame, min_words: int = MIN_WORDS, min_characters: int = M
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     odd = (F.coalesce("character_distance", F.lit(0.0)) > max_character_distance) | (F.coalesce("word_distance", F.lit(0.0)) > max_word_distance)
     out = out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~odd)
-    return out.select(*docs.columns, *added)
+    return out.select(*docs.columns, *ADDED)
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs, with docs' columns, that the rules keep."""
-    flagged = measure(docs.withColumn("_row", F.struct(*docs.columns)))
-    return flagged.filter("kept").select("_row.*")
+    docs, own = set_aside(docs, ADDED)
+    return measure(docs).filter("kept").select(*own)

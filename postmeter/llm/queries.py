@@ -4,14 +4,47 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postmeter.llm import quality_rules
+from postmeter.llm import classifier, decontaminate, licenses, lm, mixing, quality_rules, simhash, substring, tokens
 from postmeter.llm.common import table
 
+CARRIED = ("text", "lang", "source", "n_chars")
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop(*CARRIED, "detections")
+
+
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop(*CARRIED)
+
+
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return quality_rules.measure(docs).drop("text", "lang", "source", "n_chars")
+    return quality_rules.measure(table(spark, sf_dir, "documents")).drop(*CARRIED)
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.deduplicate(table(spark, sf_dir, "documents"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op7_quality_rules": op7_quality_rules}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_simhash, op3_decontaminate, op5_lm_scores, op6_mix_sources, op7_quality_rules, op8_substring_dedup, op9_token_counts, op10_quality_classifier)}
 ORACLE_SQL: dict[str, str] = {}
