@@ -144,7 +144,7 @@ def _filter_of(repeated: DataFrame, bits: int) -> np.ndarray:
     def packed(key, table):
         page = np.zeros(PAGE, np.uint8)
         page[table.column("bit").to_numpy()] = 1
-        return pa.Table.from_pydict({"page": [key[0].as_py()], "packed": [np.packbits(page, bitorder="little").tobytes()]})
+        return pa.Table.from_pydict({"page": pa.array([key[0].as_py()], pa.int32()), "packed": [np.packbits(page, bitorder="little").tobytes()]})
 
     out = np.zeros(bits // 8, np.uint8)
     for page, data in distinct.groupBy("page").applyInArrow(packed, "page int, packed binary").collect():

@@ -13,6 +13,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Fixed value: the pattern by which byte-level BPE of this family cuts a text into pre-tokens.
@@ -125,7 +126,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 1024) ->
                 cache.update(own)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums, pa.int64())], names=[*batch.schema.names, "n_tokens"])
 
-    schema = docs.schema.add("n_tokens", "long")
+    schema = T.StructType([*docs.schema.fields, T.StructField("n_tokens", T.LongType())])
     out = docs.mapInArrow(count, schema)
     n_bytes = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
     return out.select(*docs.columns, n_bytes.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
