@@ -13,8 +13,6 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postmeter.llm.common import let
-
 #: Label, SPDX identifiers, patterns of the name over words joined by blanks, first words of these names.
 FAMILIES = [
     ("mit", ["MIT", "MIT-0"], ["mit license", "mit licence", "expat license"], ["mit", "expat"]),
@@ -108,52 +106,47 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(text, DELIMITER), "")
 
 
-def _detection(first: Column, window: Column, at: Column) -> Column:
-    """The best detection that starts at a word: (start, end, priority, label, score), or null."""
-    groups: dict[tuple[str, ...], list[Column]] = {}
-    for order, (priority, score, label, pattern, firsts) in enumerate(rules()):
-        whole = f"^{pattern}(?= |$)"
-        size = F.size(F.split(F.regexp_extract(window, whole, 0), " "))
-        found = F.struct(F.lit(priority).alias("priority"), (-size).alias("shorter"), F.lit(order).alias("order"), (at + size).alias("end"), F.lit(label).alias("label"), F.lit(score).alias("score"))
-        groups.setdefault(tuple(firsts), []).append(F.when(window.rlike(whole), found))
-    found = [F.when(first.isin(*firsts), F.array_min(F.array(*options))) for firsts, options in groups.items()]
-    best = F.array_min(F.array(*found))
-    return let(best, lambda d: F.when(d.isNotNull(), F.struct(at.alias("start"), d["end"].alias("end"), d["priority"].alias("priority"), d["label"].alias("label"), d["score"].alias("score"))))
-
-
-def _detections(words: Column) -> Column:
-    """Detections that no better one contains. One starts at a word at most, and each is shorter than WIDTH words, so those
-    that could contain it stand within WIDTH places of it in the list."""
-    anchors = sorted({w for *_, firsts in rules() for w in firsts})
-    starts = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda a: a["w"].isin(*anchors))
-    found = F.transform(starts, lambda a: let(F.array_join(F.slice(words, a["i"] + 1, WIDTH), " "), lambda window: _detection(a["w"], window, a["i"])))
+def _detection(first: str, window: str, at: str) -> str:
+    """SQL for the best detection that starts at a word: (start, end, priority, label, score), or null.
 
-    def resolve(all_: Column) -> Column:
-        def beaten(d: Column, k: Column) -> Column:
-            near = F.slice(all_, F.greatest(k + 1 - WIDTH, F.lit(1)), 2 * WIDTH + 1)
-            wider = lambda e: e["end"] - e["start"] > d["end"] - d["start"]
-            return F.exists(near, lambda e: (e["start"] <= d["start"]) & (e["end"] >= d["end"]) & ((e["priority"] < d["priority"]) | ((e["priority"] == d["priority"]) & wider(e))))
-
-        return F.filter(all_, lambda d, k: ~beaten(d, k))
-
-    return let(F.filter(found, lambda d: d.isNotNull()), resolve)
+    Options are structs that sort by priority, then by length, then by the rules' order."""
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for order, (priority, score, label, pattern, firsts) in enumerate(rules()):
+        whole = f"'^{pattern}(?= |$)'"
+        size = f"size(split(regexp_extract({window}, {whole}, 0), ' '))"
+        found = f"named_struct('priority', {priority}, 'shorter', -{size}, 'order', {order}, 'end', {at} + {size}, 'label', '{label}', 'score', {score}D)"
+        groups.setdefault(tuple(firsts), []).append(f"if({window} rlike {whole}, {found}, null)")
+    named = lambda words: ", ".join(f"'{w}'" for w in words)
+    found = ", ".join(f"if({first} in ({named(firsts)}), array_min(array({', '.join(options)})), null)" for firsts, options in groups.items())
+    taken = "named_struct('start', {at}, 'end', d.end, 'priority', d.priority, 'label', d.label, 'score', d.score)".format(at=at)
+    return f"transform(array(array_min(array({found}))), d -> if(d is null, null, {taken}))[0]"
+
+
+def _detections(words: str) -> str:
+    """SQL for the detections in an array of words that no better one contains.
+
+    One starts at a word at most, and each is shorter than WIDTH words, so those that could contain it stand within WIDTH
+    places of it in the list."""
+    anchors = ", ".join(f"'{w}'" for w in sorted({w for *_, firsts in rules() for w in firsts}))
+    starts = f"filter(transform({words}, (w, i) -> named_struct('w', w, 'i', i)), a -> a.w in ({anchors}))"
+    window = f"array_join(slice({words}, a.i + 1, {WIDTH}), ' ')"
+    found = f"transform({starts}, a -> transform(array({window}), window -> {_detection('a.w', 'window', 'a.i')})[0])"
+    near = f"slice(every, greatest(k + 1 - {WIDTH}, 1), {2 * WIDTH + 1})"
+    better = "e.priority < d.priority or (e.priority = d.priority and e.end - e.start > d.end - d.start)"
+    kept = f"filter(every, (d, k) -> not exists({near}, e -> e.start <= d.start and e.end >= d.end and ({better})))"
+    return f"transform(array(filter({found}, d -> d is not null)), every -> {kept})[0]"
 
 
 def _base_places(words: Column) -> Column:
     """(start, label) of every place where a base phrase stands."""
-    places = []
-    for phrase, label in BASE:
-        back = len(phrase) - 1
-        here = lambda i: [F.get(words, i - back + k) == w for k, w in enumerate(phrase[:-1])]  # noqa: E731, B023
-        places.append((back, label, here))
-
-    def at(i: Column) -> Column:
+    def at(end: Column) -> Column:
         out = F.lit(None).cast("struct<start: bigint, label: string>")
-        for back, label, here in places:
+        for phrase, label in BASE:
+            start = end - (len(phrase) - 1)
             match = F.lit(True)
-            for c in here(i):
-                match = match & c
-            out = F.when(match, F.struct((i - back).cast("long").alias("start"), F.lit(label).alias("label"))).otherwise(out)
+            for k, w in enumerate(phrase[:-1]):
+                match = match & (F.get(words, start + k) == w)
+            out = F.when(match, F.struct(start.cast("long").alias("start"), F.lit(label).alias("label"))).otherwise(out)
         return out
 
     ends = F.filter(F.transform(words, lambda w, i: F.when(w == BASE[0][0][-1], i)), lambda i: i.isNotNull())
@@ -166,11 +159,11 @@ def scan(docs: DataFrame) -> DataFrame:
     Null and empty texts have no words; a text without detections has empty labels, null first and last words and score 0. Repeated rows
     are scanned alike. Columns of docs by the added names are replaced. score is the best kept rule's, 0.6 at least where a base phrase stands.
     """
-    docs = docs.drop("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections", "_scan")
+    docs = docs.drop("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections", "_scan", "_words")
     text = F.coalesce(F.col("text"), F.lit(""))
     lower = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
-    found = let(_words(lower), lambda w: F.struct(_base_places(w).alias("base"), _detections(w).alias("detections")))
-    out = docs.withColumn("_scan", F.when(text.rlike(GATE), found))
+    docs_words = docs.withColumn("_words", F.when(text.rlike(GATE), _words(lower)))
+    out = docs_words.withColumn("_scan", F.struct(_base_places(F.col("_words")).alias("base"), F.expr(_detections("_words")).alias("detections")))
     none = F.expr("cast(array() as array<struct<start: bigint, label: string>>)")
     base, detections = F.coalesce("_scan.base", none), F.col("_scan.detections")
     starts, base_labels = F.transform(base, lambda p: p["start"]), F.array_distinct(F.transform(base, lambda p: p["label"]))

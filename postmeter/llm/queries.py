@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postmeter.llm import classifier, decontaminate, licenses, lm, mixing, quality_rules, simhash, substring, tokens
+from postmeter.llm import classifier, decontaminate, licenses, lm, mixing, pii, quality_rules, simhash, substring, tokens
 from postmeter.llm.common import table
 
 CARRIED = ("text", "lang", "source", "n_chars")
@@ -22,6 +22,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop(*CARRIED)
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents")).drop(*CARRIED, "found")
+
+
 def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
@@ -46,5 +50,5 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_simhash, op3_decontaminate, op5_lm_scores, op6_mix_sources, op7_quality_rules, op8_substring_dedup, op9_token_counts, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_simhash, op3_decontaminate, op4_pii, op5_lm_scores, op6_mix_sources, op7_quality_rules, op8_substring_dedup, op9_token_counts, op10_quality_classifier)}
 ORACLE_SQL: dict[str, str] = {}
