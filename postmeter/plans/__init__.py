@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("trends",)
+MODULES = ("trends", "items", "comparison")
 
 
 def all_queries():
