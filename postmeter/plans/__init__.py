@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("trends", "items", "comparison")
+MODULES = ("trends", "items", "comparison", "forecasting", "similarities")
 
 
 def all_queries():
