@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("trends", "items", "comparison", "forecasting", "similarities")
+MODULES = ("trends", "items", "comparison", "forecasting", "similarities", "texts")
 
 
 def all_queries():
