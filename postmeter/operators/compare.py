@@ -299,3 +299,17 @@ def panel_robustness(postings: DataFrame, items: DataFrame, min_postings: int =
     return out.withColumns({"share_delta": delta, "channel_sensitive": F.coalesce(F.abs(delta) > 0.10, F.lit(False))})
 
 
+def feasibility_screen(postings: DataFrame, min_postings: int = 250, min_months: int = 10) -> DataFrame:
+    """Which entities have enough postings over enough months to be compared, and why the others have not."""
+    g = postings.groupBy("entity").agg(F.count("*").alias("postings"), F.countDistinct(F.trunc("day", "MM")).alias("months"), F.countDistinct("publisher").alias("publishers"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
+    few, short = F.col("postings") < min_postings, F.col("months") < min_months
+    reasons = F.concat_ws("; ", F.when(few, F.format_string("%d postings (need %d)", "postings", F.lit(min_postings))), F.when(short, F.format_string("%d months (need %d)", "months", F.lit(min_months))))
+    return g.withColumns({"verdict": F.when(few | short, "excluded").otherwise("included"), "reason": reasons})
+
+
+def half_without(postings: DataFrame, starts: DataFrame) -> DataFrame:
+    """Panel shares of both halves with and without given months (start), and whether the change keeps its sign."""
+    every = relative_share(postings).select("entity", F.col("log_share_change").alias("with_all"))
+    kept = postings.withColumn("start", start_of(F.col("day"), "month")).join(F.broadcast(starts), "start", "left_anti").drop("start")
+    less = relative_share(kept).select("entity", F.col("log_share_change").alias("without"))
+    return every.join(less, "entity").withColumn("sign_unchanged", F.signum("with_all") == F.signum("without"))

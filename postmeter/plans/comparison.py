@@ -345,3 +345,27 @@ def robustness(spark, d):
     return compare.panel_robustness(p, i)
 
 
+@query(
+    "compare_feasibility_screen",
+    f"""WITH {POSTINGS}, g AS (SELECT entity, count(*) AS postings, count(DISTINCT date_trunc('month', day)) AS months, count(DISTINCT publisher) AS publishers, min(day) AS first_day, max(day) AS last_day FROM postings GROUP BY 1)
+SELECT *, CASE WHEN postings < 440 OR months < 10 THEN 'excluded' ELSE 'included' END AS verdict, concat_ws('; ', CASE WHEN postings < 440 THEN postings || ' postings (need 440)' END, CASE WHEN months < 10 THEN months || ' months (need 10)' END) AS reason FROM g""",
+)
+def feasibility(spark, d):
+    return compare.feasibility_screen(_year(spark, d), min_postings=440)
+
+
+_LESS = RELATIVE.replace("common AS", "common2 AS").replace("hv AS", "hv2 AS").replace("dn0 AS", "dn02 AS").replace("dn1 AS", "dn12 AS").replace("dn2 AS", "dn22 AS").replace("relative AS", "relative2 AS")
+for _a, _b in (("FROM postings", "FROM kept"), ("SEMI JOIN common ", "SEMI JOIN common2 "), ("JOIN hv ", "JOIN hv2 "), ("FROM dn0", "FROM dn02"), ("FROM dn1", "FROM dn12"), ("FROM dn2", "FROM dn22")):
+    _LESS = _LESS.replace(_a, _b)
+
+
+@query(
+    "compare_half_without_month",
+    f"WITH {POSTINGS}, {RELATIVE}, kept AS (SELECT * FROM postings WHERE month(day) <> 2), {_LESS} SELECT r.entity, r.log_share_change AS with_all, s.log_share_change AS without, sign(r.log_share_change) = sign(s.log_share_change) AS sign_unchanged FROM relative r JOIN relative2 s USING (entity)",
+)
+def half_without(spark, d):
+    from pyspark.sql import functions as F
+
+    p = _year(spark, d)
+    february = p.select(F.trunc("day", "MM").alias("start")).distinct().filter(F.month("start") == 2)
+    return compare.half_without(p, february)
