@@ -166,6 +166,8 @@ def candidate_windows(docs: DataFrame, known) -> DataFrame:
 
         def resolve():
             h, doc, own, at = (np.concatenate(x) for x in zip(*held))
+            if not len(h):
+                return
             order = np.argsort(h, kind="stable")
             s = h[order]
             same = np.append(False, s[1:] == s[:-1])
