@@ -15,11 +15,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from postmeter.llm.common import batches_of
+
 TOKENIZER = "byte_bpe_50k.json"
 #: Fixed value: the pattern by which byte-level BPE of this family cuts a text into pre-tokens.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bounds of the frequent table, of what one task names for it, and of each worker's cache and counter.
-FREQUENT, PER_TASK, CACHE, COUNTED = 50_000, 20_000, 300_000, 300_000
+FREQUENT, PER_TASK, CACHE, COUNTED = 50_000, 20_000, 200_000, 200_000
+#: Characters that are counted together, and pieces that go to the library at once: they bound a worker's memory.
+PIECE_CHARACTERS, ENCODED = 2_000_000, 2_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -98,32 +102,33 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 1024) ->
         special = _special_pattern(_specials(tokenizer))
         find, first, cache = regex.compile(PRE_TOKEN).findall, lengths.value, {}
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            sums, pending = [], []  # pending: (row, piece) of pieces that neither tier knows
-            for row, text in enumerate(texts):
-                if not text:
-                    sums.append(0)
-                    continue
-                if DOUBTFUL.search(text):
-                    sums.append(len(tokenizer.encode(text, add_special_tokens=False).ids))
-                    continue
-                parts, total = _pieces(text, special)
-                for part in parts:
-                    for piece in find(part):
-                        n = first.get(piece) or cache.get(piece)
-                        if n:
-                            total += n
-                        else:
-                            pending.append((row, piece))
-                sums.append(total)
-            missed = list({p for _, p in pending})
-            if len(cache) + len(missed) > CACHE:
-                cache.clear()
-            own = dict(zip(missed, (len(e.ids) for e in tokenizer.encode_batch_fast(missed, add_special_tokens=False))))
-            for row, piece in pending:
-                sums[row] += own[piece]
-            if len(missed) <= CACHE:
-                cache.update(own)
+            texts, sums = batch.column("text").to_pylist(), []
+            for lo, hi in batches_of(texts, PIECE_CHARACTERS):
+                counts, pending = [], {}  # pending: rows of pieces that neither tier knows
+                for row, text in enumerate(texts[lo:hi]):
+                    total = 0
+                    if text and DOUBTFUL.search(text):
+                        total = len(tokenizer.encode(text, add_special_tokens=False).ids)
+                    elif text:
+                        parts, total = _pieces(text, special)
+                        for part in parts:
+                            for piece in find(part):
+                                n = first.get(piece) or cache.get(piece)
+                                if n:
+                                    total += n
+                                else:
+                                    pending.setdefault(piece, []).append(row)
+                    counts.append(total)
+                missed = list(pending)
+                if len(cache) + len(missed) > CACHE:
+                    cache.clear()
+                for k in range(0, len(missed), ENCODED):
+                    some = missed[k : k + ENCODED]
+                    for piece, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                        n = cache[piece] = len(e.ids)
+                        for row in pending[piece]:
+                            counts[row] += n
+                sums += counts
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums, pa.int64())], names=[*batch.schema.names, "n_tokens"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("n_tokens", T.LongType())])
