@@ -5,7 +5,7 @@ Every run of 35 words that stands at two places or more is found in three steps.
 1. Each window of 35 words names one fingerprint of its own: the least hash among its sub-windows of 20 words. Equal
    windows name equal fingerprints, and neighbouring windows mostly share one, so about one in nine words gives an entry.
    Entries go batch by batch into the index: each batch is merge-joined with the sorted immutable runs of earlier batches,
-   then becomes a run itself; runs are compacted when there are many.
+   then becomes a run itself; where many runs wait, they are compacted before the next batch.
 2. Windows whose fingerprint the index has seen twice are candidates. They are verified by their full hash.
 3. Words covered by verified windows are removed.
 """
@@ -115,13 +115,13 @@ class FingerprintIndex:
 
     def add(self, batch: DataFrame) -> DataFrame:
         """Merges (fp, n) of a new batch against every run, keeps it as a run and returns (fp) now known to be repeated."""
+        if len(self.runs) > self.fan_in:
+            self.compact()
         new = durable(_summed(batch).sortWithinPartitions("fp"))
         repeated = new.filter("n > 1").select("fp")
         for run in self.runs:
             repeated = repeated.union(new.select("fp").join(run.select("fp"), "fp", "left_semi"))
         self.runs.append(new)
-        if len(self.runs) > self.fan_in:
-            self.compact()
         return repeated
 
     def compact(self) -> None:
