@@ -16,6 +16,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -91,10 +92,13 @@ def _windows(hasher: Hasher, tokens: np.ndarray, left: np.ndarray):
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(fp, n): the fingerprints that docs' windows name and the places they stand at, summed within each piece of a task."""
+    """(fp, n, batch): the fingerprints that docs' windows name and the places they stand at, summed within each piece of a task.
+
+    batch: the index batch of the piece, dealt in turn. It is written with the entries, so that each stays in one batch however they are read.
+    """
 
     def name(batches):
-        ids, hasher = token_hashes(), Hasher()
+        ids, hasher, batch = token_hashes(), Hasher(), TaskContext.get().partitionId()
         for b in batches:
             texts = byte_column(b.column(0))
             for lo, hi in batches_of(texts):
@@ -102,9 +106,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 _, _, named, at = _windows(hasher, tokens, left)
                 _, first = np.unique(at, return_index=True)
                 fp, n = np.unique(named[first], return_counts=True)
-                yield pa.RecordBatch.from_pydict({"fp": fp.view(np.int64), "n": np.minimum(n, 2).astype(np.int8)})
+                yield pa.RecordBatch.from_pydict({"fp": fp.view(np.int64), "n": np.minimum(n, 2).astype(np.int8), "batch": np.full(len(fp), batch % BATCHES, np.int8)})
+                batch += 1
 
-    return docs.select("text").mapInArrow(name, "fp long, n tinyint")
+    return docs.select("text").mapInArrow(name, "fp long, n tinyint, batch tinyint")
 
 
 class FingerprintIndex:
@@ -245,7 +250,7 @@ def deduplicate(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     entries = durable(fingerprints(docs.select("text")))
     index, repeated = FingerprintIndex(), None
     for k in range(BATCHES):
-        seen = index.add(entries.filter(F.pmod(F.spark_partition_id(), F.lit(BATCHES)) == k))
+        seen = index.add(entries.filter(F.col("batch") == k).select("fp", "n"))
         repeated = seen if repeated is None else repeated.union(seen)
     known = sc.broadcast(_filter_of(repeated, FILTER_BITS))
     rows = durable(candidate_windows(docs, known))

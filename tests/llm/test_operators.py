@@ -256,6 +256,26 @@ def test_index_runs_and_compaction(spark):
     assert found == [[2], [2], [1], [4]] and len(index.runs) == 2
 
 
+def test_substring_when_entries_are_planned_anew(docs, monkeypatch):
+    """Batches read under other file splits, as after an executor is lost or joins, still hold every entry once."""
+    want = collected(substring.deduplicate(docs))
+    add = substring.FingerprintIndex.add
+
+    def moved(index, batch):
+        conf = batch.sparkSession.conf
+        before = conf.get("spark.sql.files.maxPartitionBytes")
+        conf.set("spark.sql.files.maxPartitionBytes", ("100", "100000000", "350")[len(index.runs) % 3])
+        conf.set("spark.sql.files.openCostInBytes", "1")
+        try:
+            return add(index, batch)
+        finally:
+            conf.set("spark.sql.files.maxPartitionBytes", before)
+            conf.unset("spark.sql.files.openCostInBytes")
+
+    monkeypatch.setattr(substring.FingerprintIndex, "add", moved)
+    assert collected(substring.deduplicate(docs)) == want
+
+
 def test_token_counts(docs, rows, none):
     from tokenizers import Tokenizer
 
