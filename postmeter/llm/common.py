@@ -38,7 +38,14 @@ def durable(df: DataFrame) -> DataFrame:
     at = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     df.write.parquet(at)
     atexit.register(_remove, spark, at)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out._durable_at = at
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Removes the table of a DataFrame that durable() returned, before the application ends."""
+    _remove(df.sparkSession, df._durable_at)
 
 
 def _remove(spark: SparkSession, at: str) -> None:

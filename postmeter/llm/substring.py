@@ -5,7 +5,7 @@ Every run of 35 words that stands at two places or more is found in three steps.
 1. Each window of 35 words names one fingerprint of its own: the least hash among its sub-windows of 20 words. Equal
    windows name equal fingerprints, and neighbouring windows mostly share one, so about one in nine words gives an entry.
    Entries go batch by batch into the index: each batch is merge-joined with the sorted immutable runs of earlier batches,
-   then becomes a run itself; where many runs wait, they are compacted before the next batch.
+   then becomes a run itself; where more than FAN_IN runs wait, they are compacted before the next batch, and the replaced runs go.
 2. Windows whose fingerprint the index has seen twice are candidates. They are verified by their full hash.
 3. Words covered by verified windows are removed.
 """
@@ -20,11 +20,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmeter.llm.common import batches_of, byte_column, durable, mix64, token_hashes, words_of
+from postmeter.llm.common import batches_of, byte_column, discard, durable, mix64, token_hashes, words_of
 
 WINDOW, SUB = 35, 20
 #: Batches of the index, runs that may wait before they are compacted, bits of the candidate filter, windows a task resolves at once.
-BATCHES, FAN_IN, FILTER_BITS, HELD = 3, 2, 1 << 27, 1_000_000
+BATCHES, FAN_IN, FILTER_BITS, HELD = 3, 1, 1 << 27, 1_000_000
 #: Bits of the candidate filter that are packed together.
 PAGE = 1 << 17
 _MULTIPLIER = 0x9E3779B97F4A7C15
@@ -119,7 +119,10 @@ class FingerprintIndex:
         self.fan_in, self.runs = fan_in, []
 
     def add(self, batch: DataFrame) -> DataFrame:
-        """Merges (fp, n) of a new batch against every run, keeps it as a run and returns (fp) now known to be repeated."""
+        """Merges (fp, n) of a new batch against every run, keeps it as a run and returns (fp) now known to be repeated.
+
+        What it returns has to be read before the next call, which may compact the runs that it reads.
+        """
         if len(self.runs) > self.fan_in:
             self.compact()
         new = durable(_summed(batch).sortWithinPartitions("fp"))
@@ -130,11 +133,13 @@ class FingerprintIndex:
         return repeated
 
     def compact(self) -> None:
-        """Replaces all runs by one."""
-        merged = self.runs[0]
-        for run in self.runs[1:]:
+        """Replaces all runs by one and removes them."""
+        replaced, merged = self.runs, self.runs[0]
+        for run in replaced[1:]:
             merged = merged.union(run)
         self.runs = [durable(_summed(merged).sortWithinPartitions("fp"))]
+        for run in replaced:
+            discard(run)
 
 
 def _summed(entries: DataFrame) -> DataFrame:
@@ -248,11 +253,10 @@ def deduplicate(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("own"))
     sc = docs.sparkSession.sparkContext
     entries = durable(fingerprints(docs.select("text")))
-    index, repeated = FingerprintIndex(), None
+    index, bits = FingerprintIndex(), np.zeros(FILTER_BITS // 8, np.uint8)
     for k in range(BATCHES):
-        seen = index.add(entries.filter(F.col("batch") == k).select("fp", "n"))
-        repeated = seen if repeated is None else repeated.union(seen)
-    known = sc.broadcast(_filter_of(repeated, FILTER_BITS))
+        bits |= _filter_of(index.add(entries.filter(F.col("batch") == k).select("fp", "n")), FILTER_BITS)
+    known = sc.broadcast(bits)
     rows = durable(candidate_windows(docs, known))
     matched = rows.filter("state = 1").select("doc_id", "own", "at").union(_repeated_elsewhere(rows.filter("state <> 1").select("h", "doc_id", "own", "at", "state")))
     covered = matched.groupBy("doc_id", "own").agg(F.sort_array(F.collect_set("at")).alias("starts"))

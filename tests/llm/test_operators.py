@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -256,6 +257,22 @@ def test_index_runs_and_compaction(spark):
     assert found == [[2], [2], [1], [4]] and len(index.runs) == 2
 
 
+def test_substring_compacts_and_removes_replaced_runs(docs, monkeypatch):
+    """The query itself compacts, not only an index of its own; the replaced runs leave the disk."""
+    before, compact = [], substring.FingerprintIndex.compact
+
+    def watched(index):
+        replaced = list(index.runs)
+        compact(index)
+        before.append((len(replaced), len(index.runs)))
+        assert not any(os.path.exists(r._durable_at.removeprefix("file:")) for r in replaced)
+        assert os.path.exists(index.runs[0]._durable_at.removeprefix("file:"))
+
+    monkeypatch.setattr(substring.FingerprintIndex, "compact", watched)
+    substring.deduplicate(docs).count()
+    assert before == [(2, 1)]
+
+
 def test_substring_when_entries_are_planned_anew(docs, monkeypatch):
     """Batches read under other file splits, as after an executor is lost or joins, still hold every entry once."""
     want = collected(substring.deduplicate(docs))
