@@ -19,12 +19,12 @@ FAMILIES = [
     ("apache-2.0", ["Apache-2.0"], ["apache (?:software )?license(?: version)? 2 0", "apache 2 0 license"], ["apache"]),
     ("apache-1.1", ["Apache-1.1"], ["apache (?:software )?license(?: version)? 1 1"], ["apache"]),
     ("apache", [], ["apache (?:software )?licen[sc]e"], ["apache"]),
-    ("agpl-3.0", ["AGPL-3.0-only", "AGPL-3.0-or-later"], ["(?:gnu )?affero general public licen[sc]e(?: version)?(?: v)? ?3?", "agpl ?v?3"], ["gnu", "affero", "agpl", "agplv3"]),
-    ("lgpl-3.0", ["LGPL-3.0-only", "LGPL-3.0-or-later"], ["(?:gnu )?lesser general public licen[sc]e(?: version)?(?: v)? ?3", "lgpl ?v?3"], ["gnu", "lesser", "lgpl", "lgplv3"]),
-    ("lgpl-2.1", ["LGPL-2.1-only", "LGPL-2.1-or-later"], ["(?:gnu )?lesser general public licen[sc]e(?: version)?(?: v)? ?2 1", "lgpl ?v?2 1"], ["gnu", "lesser", "lgpl", "lgplv2"]),
+    ("agpl-3.0", ["AGPL-3.0-only", "AGPL-3.0-or-later"], ["(?:gnu )?affero general public licen[sc]e(?: version)?(?: v)? ?3?", "agpl ?v?3"], ["gnu", "affero", "agpl", "agplv3", "agpl3"]),
+    ("lgpl-3.0", ["LGPL-3.0-only", "LGPL-3.0-or-later"], ["(?:gnu )?lesser general public licen[sc]e(?: version)?(?: v)? ?3", "lgpl ?v?3"], ["gnu", "lesser", "lgpl", "lgplv3", "lgpl3"]),
+    ("lgpl-2.1", ["LGPL-2.1-only", "LGPL-2.1-or-later"], ["(?:gnu )?lesser general public licen[sc]e(?: version)?(?: v)? ?2 1", "lgpl ?v?2 1"], ["gnu", "lesser", "lgpl", "lgplv2", "lgpl2"]),
     ("lgpl", [], ["(?:gnu )?(?:lesser|library) general public licen[sc]e"], ["gnu", "lesser", "library"]),
-    ("gpl-3.0", ["GPL-3.0-only", "GPL-3.0-or-later"], ["(?:gnu )?general public licen[sc]e(?: as published by the free software foundation)?(?: either)?(?: version)?(?: v)? ?3", "gpl ?v?3"], ["gnu", "general", "gpl", "gplv3"]),
-    ("gpl-2.0", ["GPL-2.0-only", "GPL-2.0-or-later"], ["(?:gnu )?general public licen[sc]e(?: as published by the free software foundation)?(?: either)?(?: version)?(?: v)? ?2", "gpl ?v?2"], ["gnu", "general", "gpl", "gplv2"]),
+    ("gpl-3.0", ["GPL-3.0-only", "GPL-3.0-or-later"], ["(?:gnu )?general public licen[sc]e(?: as published by the free software foundation)?(?: either)?(?: version)?(?: v)? ?3", "gpl ?v?3"], ["gnu", "general", "gpl", "gplv3", "gpl3"]),
+    ("gpl-2.0", ["GPL-2.0-only", "GPL-2.0-or-later"], ["(?:gnu )?general public licen[sc]e(?: as published by the free software foundation)?(?: either)?(?: version)?(?: v)? ?2", "gpl ?v?2"], ["gnu", "general", "gpl", "gplv2", "gpl2"]),
     ("gpl", [], ["(?:gnu )?general public licen[sc]e", "gnu gpl"], ["gnu", "general"]),
     ("bsd-3-clause", ["BSD-3-Clause"], ["(?:new|modified|revised) bsd licen[sc]e", "bsd 3 clause(?: licen[sc]e)?", "3 clause bsd licen[sc]e"], ["new", "modified", "revised", "bsd", "3"]),
     ("bsd-2-clause", ["BSD-2-Clause"], ["(?:simplified|freebsd) bsd licen[sc]e", "bsd 2 clause(?: licen[sc]e)?", "2 clause bsd licen[sc]e"], ["simplified", "freebsd", "bsd", "2"]),
@@ -75,8 +75,6 @@ FAMILIES = [
 #: Phrases whose places are counted, as words, and their labels.
 BASE = [(("mit", "license"), "mit"), (("apache", "license"), "apache"), (("general", "public", "license"), "gpl")]
 NOTICE_WORDS = ["licensed", "licenced", "released", "distributed", "available", "provided", "published", "covered"]
-#: What a text must hold for the scan to look at it, in any case of letters.
-GATE = "(?i)licen[sc]e|spdx|public domain|creative commons|copyright|all rights reserved|wtfpl|gpl|cc0|cc by|cc-by"
 #: Words that a rule may cover; the words it sees.
 WIDTH = 16
 BASE_SCORE = 0.6
@@ -102,6 +100,23 @@ _DELIMITERS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 DELIMITER = "[" + "".join(f"\\x{ord(c):02X}" for c in _DELIMITERS) + "]+"
 
 
+def _needed(name: str) -> str:
+    """A stretch of words that whatever matches the pattern of a name must hold: its longest part outside groups and optional characters."""
+    parts = [p.strip() for p in re.split(r"\(\?:[^()]*\)\??|.\?", name)]
+    return next((LICENSE for p in parts if "licen" in p), max(parts, key=len))
+
+
+#: What every rule needs but those of a bare name or a notice with one.
+LICENSE = "licen[sc]e"
+
+
+def gate() -> str:
+    """What a text must hold for the scan to look at it, in any case of letters: a keyword for every rule, as words however they are parted."""
+    needed = {LICENSE, "spdx"} | {_needed(n) for _, _, names, _ in FAMILIES for n in names}
+    least = sorted(n for n in needed if not any(m != n and m in n for m in needed))
+    return "(?i)" + "|".join(n.replace(" ", DELIMITER) for n in least)
+
+
 def _words(text: Column) -> Column:
     return F.array_remove(F.split(text, DELIMITER), "")
 
@@ -162,7 +177,7 @@ def scan(docs: DataFrame) -> DataFrame:
     docs = docs.drop("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections", "_scan", "_words")
     text = F.coalesce(F.col("text"), F.lit(""))
     lower = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
-    docs_words = docs.withColumn("_words", F.when(text.rlike(GATE), _words(lower)))
+    docs_words = docs.withColumn("_words", F.when(text.rlike(gate()), _words(lower)))
     out = docs_words.withColumn("_scan", F.struct(_base_places(F.col("_words")).alias("base"), F.expr(_detections("_words")).alias("detections")))
     none = F.expr("cast(array() as array<struct<start: bigint, label: string>>)")
     base, detections = F.coalesce("_scan.base", none), F.col("_scan.detections")

@@ -46,6 +46,47 @@ def test_license_rules(spark, none):
     assert len(licenses.rules()) > 200 and licenses.scan(none).count() == 0
 
 
+def expansions(pattern):
+    """All strings of a rule's pattern: groups, alternatives, sets and optional parts."""
+    from re import _parser
+
+    def strings(parsed):
+        out = [""]
+        for op, arg in parsed:
+            kind = str(op)
+            if kind == "LITERAL":
+                tails = [chr(arg)]
+            elif kind == "IN":
+                tails = [chr(c) for _, c in arg]
+            elif kind == "BRANCH":
+                tails = [x for b in arg[1] for x in strings(b)]
+            elif kind == "SUBPATTERN":
+                tails = strings(arg[-1])
+            else:
+                assert kind == "MAX_REPEAT" and arg[:2] == (0, 1)
+                tails = ["", *strings(arg[2])]
+            out = [a + b for a in out for b in tails]
+        return out
+
+    return strings(_parser.parse(pattern))
+
+
+def test_every_rule_passes_its_gates():
+    gate = re.compile(licenses.gate())
+    for _, _, label, pattern, firsts in licenses.rules():
+        if not pattern.startswith(f"(?:{licenses.NOTICE_WORDS[0]}|"):  # a notice ends with a name, which has a rule of its own
+            for example in expansions(pattern):
+                assert example.split()[0] in firsts, (label, example)
+                for parted in (example.upper(), example.replace(" ", "\n"), example.replace(" ", "-  ")):
+                    assert gate.search(parted), (label, parted)
+
+
+def test_names_without_the_word_license(spark):
+    cases = {"Distributed under BSD 3-Clause": "bsd-3-clause", "MPL 2.0": "mpl-2.0", "under bsd 2-clause.": "bsd-2-clause", "in the public\ndomain": "public-domain", "Creative  Commons\nZero": "cc0-1.0", "All  rights\nreserved": "proprietary", "lgpl3": "lgpl-3.0", "bsd": ""}
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    assert {r.text: r.labels for r in licenses.scan(df).collect()} == cases
+
+
 def print_of(t):
     w = (t or "").translate(LOWER)
     w = words(w)
