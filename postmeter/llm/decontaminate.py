@@ -8,6 +8,7 @@ are compared token by token on the hit's diagonal.
 from __future__ import annotations
 
 import re
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,15 @@ ADDED = ("contaminated", "n_items", "item_ids", "best_overlap")
 _TOKEN = re.compile(r"\w+")
 
 
+def block_masks(n: int) -> list[str]:
+    """Masks of n tokens of which one at least keeps clear of as many unequal tokens as a stretch of n may have.
+
+    n is cut into two pieces more than these, so two pieces are untouched: one mask counts the tokens of each two."""
+    errors = max(k for k in range(n) if n - k >= MIN_EQUAL * n)
+    pieces = np.array_split(np.arange(n), errors + 2)
+    return ["".join("01"[k in a or k in b] for k in range(n)) for a, b in combinations(pieces, 2)]
+
+
 def tokens_of(text: str | None) -> list[str]:
     return _TOKEN.findall(text.lower()) if text else []
 
@@ -55,27 +65,30 @@ class Block:
         self.sizes = np.array([len(t) for _, t in items], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.tokens = np.concatenate([t for _, t in items]) if items else np.zeros(0, np.uint64)
-        self.tables = []
-        for mask in MASKS:
-            found = [(_seeds(t, mask), i) for i, (_, t) in enumerate(items)]
-            h = np.concatenate([s for s, _ in found]) if found else np.zeros(0, np.uint64)
-            item = np.concatenate([np.full(len(s), i) for s, i in found]) if found else np.zeros(0, np.int64)
-            at = np.concatenate([np.arange(len(s)) for s, _ in found]) if found else np.zeros(0, np.int64)
-            order = np.argsort(h, kind="stable")
-            self.tables.append((h[order], item[order], at[order]))
-        short = {}
-        for i, (_, t) in enumerate(items):
-            if 0 < len(t) < len(MASKS[0]):
-                short.setdefault(len(t), []).append((_seeds(t, "1" * len(t))[0], i))
-        self.short = {n: (np.array([h for h, _ in sorted(v)], np.uint64), np.array([i for _, i in sorted(v)])) for n, v in short.items()}
+        every = np.arange(len(items))
+        self.tables = [self._table(items, mask, every) for mask in (*MASKS, *block_masks(MIN_TOKENS))]
+        # Items of fewer tokens than a stretch have to be found whole.
+        for n in range(1, MIN_TOKENS):
+            own = np.flatnonzero(self.sizes == n)
+            if len(own):
+                self.tables += [self._table(items, mask, own) for mask in (block_masks(n) if n >= len(MASKS[0]) else ["1" * n])]
+
+    @staticmethod
+    def _table(items: list[tuple[int, np.ndarray]], mask: str, own: np.ndarray) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+        """The mask, its sorted hashes over the items numbered own, and the item and place of each."""
+        found = [(_seeds(items[i][1], mask), i) for i in own]
+        h = np.concatenate([s for s, _ in found]) if found else np.zeros(0, np.uint64)
+        item = np.concatenate([np.full(len(s), i) for s, i in found]) if found else np.zeros(0, np.int64)
+        at = np.concatenate([np.arange(len(s)) for s, _ in found]) if found else np.zeros(0, np.int64)
+        order = np.argsort(h, kind="stable")
+        return mask, h[order], item[order], at[order]
 
     def hits(self, tokens: np.ndarray):
         """(item, diagonal) of every seed that tokens shares with an item; diagonal: place in tokens less place in the item."""
-        tables = [(m, *t) for m, t in zip(MASKS, self.tables)] + [("1" * n, h, i, np.zeros(len(i), np.int64)) for n, (h, i) in self.short.items()]
         items, diagonals = [], []
-        for mask, h, item, at in tables:
-            s = _seeds(tokens, mask)
-            if not len(s) or not len(h):
+        for mask, h, item, at in self.tables:
+            s = _seeds(tokens, mask) if len(h) else h
+            if not len(s):
                 continue
             lo = np.searchsorted(h, s)
             place = np.flatnonzero(h[np.minimum(lo, len(h) - 1)] == s)
@@ -91,7 +104,10 @@ class Block:
         return np.unique(np.stack([np.concatenate(items), np.concatenate(diagonals)], axis=1), axis=0).tolist()
 
     def overlap(self, tokens: np.ndarray, item: int, diagonal: int) -> tuple[int, int, int] | None:
-        """The longest stretch (start, aligned, equal) on a diagonal with the wanted share of equal tokens, or None."""
+        """The longest stretch (start, aligned, equal) on a diagonal with the wanted share of equal tokens, or None.
+
+        A stretch of more tokens than needed begins and ends with equal ones: without its unequal ends it would have a better share.
+        """
         own = self.tokens[self.starts[item] : self.starts[item] + self.sizes[item]]
         lo, hi = max(0, diagonal), min(len(tokens), diagonal + len(own))
         same = tokens[lo:hi] == own[lo - diagonal : hi - diagonal]
@@ -100,8 +116,8 @@ class Block:
             return None
         edges = np.flatnonzero(same)
         total = np.append(0, np.cumsum(same))
-        for size in range(edges[-1] - edges[0] + 1, need - 1, -1):
-            starts = np.arange(edges[0], edges[-1] - size + 2)
+        for size in range(max(edges[-1] - edges[0] + 1, need), need - 1, -1):
+            starts = np.arange(edges[0], edges[-1] - size + 2) if size > need else np.arange(hi - lo - need + 1)
             equal = total[starts + size] - total[starts]
             best = int(equal.argmax())
             if equal[best] >= MIN_EQUAL * size:

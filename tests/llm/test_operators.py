@@ -159,6 +159,28 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.contamination(none, bench).count() == 0
 
 
+def test_decontamination_finds_substitutions_at_every_place(spark):
+    from itertools import combinations
+
+    rows, want = [], {}
+    names = lambda n, k: [f"w{n}x{j}" for j in range(k)]
+    bench = [(n, " ".join(names(n, n))) for n in range(6, 15)]
+    for n in range(6, 15):
+        for k in (1, 2):
+            for gone in combinations(range(n), k):
+                w = ["other" if j in gone else x for j, x in enumerate(names(n, n))]
+                widths = range(min(n, 12), n + 1)
+                hit = any(sum(a <= j < a + s for j in gone) <= s - 0.8 * s for s in widths for a in range(n - s + 1))
+                rows.append((len(rows), "before " + " ".join(w) + " after"))
+                want[rows[-1][0]] = str(n) if hit else ""
+    both = "z " + " ".join(["other", *names(99, 30)[1:11], "other"]) + " z"
+    rows.append((-1, both))
+    want[-1] = "99"
+    bench.append((99, " ".join(names(99, 30))))
+    got = decontaminate.contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"))
+    assert {r.doc_id: r.item_ids for r in got.collect()} == want
+
+
 def luhn(d):
     s = 0
     for k, c in enumerate(reversed(d)):
