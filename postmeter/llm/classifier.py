@@ -168,7 +168,7 @@ def fold_of(doc_id: Column, folds: int = 5) -> Column:
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of docs.
+    """doc_id, held_out, score, predicted for every row of docs; its other columns are not read.
 
     Word vectors come from all texts. The network learns labels.quality from documents outside fold 0 only, at most
     max_labelled of them. Null and empty texts pool to zeros and get that point's score. Rows with a null doc_id are scored and are
@@ -176,7 +176,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LA
     """
     x = durable(pooled(docs, word_vectors(docs)))
     usable = labels.select("doc_id", "quality").filter("quality is not null").filter(fold_of(F.col("doc_id")) != 0)
-    # A cut on a hash of doc_id leaves little more than max_labelled rows over all tasks before the exact limit is taken.
+    usable = durable(usable.join(x.select("doc_id"), "doc_id", "left_semi"))
+    # A cut on a hash of doc_id leaves little more than max_labelled of the labels that have a document before the exact limit is taken.
     share = min(1.0, 1.2 * max_labelled / max(usable.count(), 1))
     ticket = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32))
     known = x.join(usable.filter(ticket < F.lit(int(share * (1 << 32)))), "doc_id").orderBy(ticket, "doc_id", "quality", "x").limit(max_labelled)

@@ -22,10 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the cluster's spark.checkpoint.dir; sets a folder of its own only where none is configured."""
+    """Uses the cluster's spark.checkpoint.dir. Where none is configured, only a local master gets a folder of its own:
+    executors of a cluster would not see the driver's."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="spark-"))
 
 
 def durable(df: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postmeter.llm.common import byte_column, durable
@@ -13,6 +13,8 @@ from postmeter.llm.common import byte_column, durable
 SHINGLE, SEED, BUDGET = 3, 42, 3
 #: A fingerprint has BLOCKS blocks of BITS bits. Two of them within BUDGET (< BLOCKS) differing bits share a block.
 BLOCKS, BITS = 4, 16
+#: A bucket of more keys than SPLIT is dealt again by SUB_PARTS parts of SUB_BITS bits of the bits behind its block.
+SPLIT, SUB_PARTS, SUB_BITS = 50_000, 4, 12
 #: Node pairs expanded at once, and the most leaf pairs that one node pair may stand for before it is compared directly.
 CHUNK, DIRECT = 200_000, 64
 _BIT_TABLE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
@@ -33,15 +35,17 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(rows)).tobytes(), "big", signed=True)
 
 
-def with_fingerprints(docs: DataFrame, column: str = "_fp") -> DataFrame:
-    """docs plus the fingerprint of each row's whole text as a long."""
+def with_fingerprints(docs: DataFrame) -> DataFrame:
+    """docs without text, plus `fp`: the fingerprint of each row's whole text as a long. Texts go to Python, but don't come back."""
+    schema = docs.drop("text", "fp").schema.add("fp", "long")
 
     def add(batches):
         for b in batches:
             fps = [fingerprint(t) for t in byte_column(b.column("text"))]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps, pa.int64())], names=[*b.schema.names, column])
+            own = [b.column(n) for n in schema.names[:-1]]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(fps, pa.int64())], names=schema.names)
 
-    return docs.mapInArrow(add, docs.drop(column).schema.add(column, "long"))
+    return docs.mapInArrow(add, schema)
 
 
 def _roots(parent: np.ndarray) -> np.ndarray:
@@ -113,52 +117,84 @@ def trie_components(keys: np.ndarray, bounds: np.ndarray, depth: int, budget: in
     return parent
 
 
-def links(fingerprints: DataFrame) -> DataFrame:
+def _turned(fp: Column, r: int) -> Column:
+    """fp with block r rotated to the front."""
+    return F.shiftleft(fp, r * BITS).bitwiseOR(F.shiftrightunsigned(fp, 64 - r * BITS)) if r else fp
+
+
+def _subturned(key: Column, q: int) -> Column:
+    """A turned key whose last 48 bits are rotated so that their part q stands behind the block."""
+    if not q:
+        return key
+    rest, wide = 64 - BITS, q * SUB_BITS
+    tail = key.bitwiseAND(F.lit((1 << rest) - 1))
+    moved = F.shiftleft(tail, wide).bitwiseOR(F.shiftrightunsigned(tail, rest - wide)).bitwiseAND(F.lit((1 << rest) - 1))
+    return key.bitwiseAND(F.lit(-(1 << rest))).bitwiseOR(moved)
+
+
+def links(fingerprints: DataFrame, split: int = SPLIT) -> DataFrame:
     """fingerprints: column fp (long, distinct). Returns edges (u, v) that connect just what links within the budget connect.
 
-    Every fingerprint goes to one bucket for each of its blocks, rotated to the front. A task walks the tries of its buckets
-    and returns a spanning star of each component found there, so n linked fingerprints give fewer than n edges a block.
+    Every fingerprint goes to one bucket for each of its blocks, rotated to the front. A bucket of more than `split` keys is dealt
+    again: its keys' other 48 bits have four parts, of which two keys within the budget share one, so each key goes to
+    four finer buckets instead. A task walks the tries of its buckets and returns a spanning star of each component found there,
+    so n linked fingerprints give fewer than n edges a bucketing.
     """
-    rotate = lambda k: F.expr(f"shiftleft(fp, {k}) | shiftrightunsigned(fp, {64 - k})") if k else F.col("fp")
-    turns = F.array(*(F.struct(F.lit(r).alias("r"), rotate(r * BITS).alias("key")) for r in range(BLOCKS)))
-    dealt = fingerprints.select("fp", F.explode(turns).alias("t")).select(F.col("t.r").alias("r"), F.col("t.key").alias("key"))
-    dealt = dealt.withColumn("bucket", F.shiftrightunsigned("key", 64 - BITS).cast("int"))
-    dealt = dealt.repartition("r", "bucket").sortWithinPartitions("r", "bucket", F.col("key").bitwiseXOR(F.lit(-(2**63))))
+    bucket = lambda key: F.shiftrightunsigned(key, 64 - BITS).cast("int")
+    blocks = F.array(*(F.struct(F.lit(r).alias("r"), _turned(F.col("fp"), r).alias("key")) for r in range(BLOCKS)))
+    dealt = fingerprints.select("fp", F.explode(blocks).alias("t")).select("fp", "t.r", "t.key").withColumn("bucket", bucket(F.col("key")))
+    # At most BLOCKS * 2 ** BITS rows, whatever the input, so this may be broadcast.
+    hot = durable(dealt.groupBy("r", "bucket").count().filter(F.col("count") > split).select("r", "bucket", F.lit(True).alias("hot")))
+    dealt = dealt.join(F.broadcast(hot), ["r", "bucket"], "left")
+    once = F.array(F.struct(F.lit(-1).alias("q"), F.col("key").alias("key"), F.col("bucket").cast("long").alias("bucket")))
+    finer = []
+    for q in range(SUB_PARTS):
+        key = _subturned(F.col("key"), q)
+        finer.append(F.struct(F.lit(q).alias("q"), key.alias("key"), F.shiftrightunsigned(key, 64 - BITS - SUB_BITS).alias("bucket")))
+    dealt = dealt.select("fp", "r", F.explode(F.when(F.col("hot"), F.array(*finer)).otherwise(once)).alias("t")).select("fp", "r", "t.*")
+    unsigned = F.col("key").bitwiseXOR(F.lit(-(2**63)))
+    dealt = dealt.repartition("r", "q", "bucket").sortWithinPartitions("r", "q", "bucket", unsigned)
 
     def join(batches):
-        held_r, held_k = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-
-        def solve(r, k):
-            head = (r << 16) | (k >> np.uint64(64 - BITS)).astype(np.int64)
-            starts = np.flatnonzero(np.append(True, head[1:] != head[:-1]))
-            # Keys of different r may interleave in value: each r is a sorted run of its own.
-            for turn in np.unique(r):
-                lo, hi = np.searchsorted(r, [turn, turn + 1])
-                keys = k[lo:hi]
-                root = trie_components(keys, starts[(starts >= lo) & (starts < hi)] - lo, BITS)
-                linked = np.bincount(root, minlength=len(keys))[root] > 1
+        held = []
+
+        def solve(parts):
+            turn, head, key, fp = (np.concatenate(x) for x in zip(*parts))
+            starts = np.flatnonzero(np.append(True, (head[1:] != head[:-1]) | (turn[1:] != turn[:-1])))
+            # Keys of different turns may interleave in value: each turn is a sorted run of its own.
+            first = np.flatnonzero(np.append(True, turn[1:] != turn[:-1]))
+            for lo, hi in zip(first, np.append(first[1:], len(turn))):
+                depth = BITS if turn[lo] % (SUB_PARTS + 1) == 0 else BITS + SUB_BITS
+                root = trie_components(key[lo:hi], starts[(starts >= lo) & (starts < hi)] - lo, depth)
+                linked = np.bincount(root, minlength=hi - lo)[root] > 1
                 if not linked.any():
                     continue
-                s = np.uint64(turn * BITS)
-                back = (keys >> s) | (keys << (np.uint64(64) - s)) if turn else keys
-                fp, root = back[linked].astype(np.uint64).view(np.int64), root[linked]
-                least = np.full(len(keys), np.iinfo(np.int64).max)
-                np.minimum.at(least, root, fp)
-                out = fp != least[root]
-                yield pa.RecordBatch.from_pydict({"u": fp[out], "v": least[root][out]})
+                own, root = fp[lo:hi][linked], root[linked]
+                least = np.full(hi - lo, np.iinfo(np.int64).max)
+                np.minimum.at(least, root, own)
+                out = own != least[root]
+                yield pa.RecordBatch.from_pydict({"u": own[out], "v": least[root][out]})
 
         for b in batches:
-            r = np.concatenate([held_r, b.column(0).to_numpy().astype(np.int64)])
-            k = np.concatenate([held_k, b.column(1).to_numpy().view(np.uint64)])
-            head = (r << 16) | (k >> np.uint64(64 - BITS)).astype(np.int64)
-            cut = np.searchsorted(head, head[-1]) if len(head) else 0  # the last bucket may go on in the next batch
-            if cut:
-                yield from solve(r[:cut], k[:cut])
-            held_r, held_k = r[cut:], k[cut:]
-        if len(held_r):
-            yield from solve(held_r, held_k)
-
-    return dealt.select("r", "key").mapInArrow(join, "u long, v long")
+            turn = b.column("r").to_numpy().astype(np.int64) * (SUB_PARTS + 1) + b.column("q").to_numpy() + 1
+            part = (turn, b.column("bucket").to_numpy(), b.column("key").to_numpy().view(np.uint64), b.column("fp").to_numpy())
+            if not len(turn):
+                continue
+            # The last bucket may go on in the next batch; it is joined with what came before once it has ended.
+            same = (part[0] == part[0][-1]) & (part[1] == part[1][-1])
+            at = int(np.argmax(same))
+            if held and (held[-1][0][-1], held[-1][1][-1]) == (part[0][0], part[1][0]) and at == 0:
+                held.append(part)
+                continue
+            if at:
+                yield from solve([*held, tuple(x[:at] for x in part)])
+            elif held:
+                yield from solve(held)
+            held = [tuple(x[at:] for x in part)]
+        if held:
+            yield from solve(held)
+
+    return dealt.select("r", "q", "bucket", "key", "fp").mapInArrow(join, "u long, v long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -197,7 +233,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Null and empty texts have fingerprint zero and link like any other. Rows with a null doc_id take part; a component of
     such rows only has a null component_id. Repeated rows come back as often as they stand. No documents: no rows.
     """
-    prints = durable(with_fingerprints(docs.select("doc_id", "text"), "fp").select("doc_id", "fp"))
+    prints = durable(with_fingerprints(docs.select("doc_id", "text")))
     out = prints.join(durable(clusters(prints)), "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -210,7 +246,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     own = F.xxhash64("text")
     rank = F.coalesce("doc_id", F.shiftrightunsigned(own, 1).bitwiseOR(F.lit(1 << 62)))
-    ranked = durable(with_fingerprints(docs.select("text", rank.alias("doc_id")), "fp").select("doc_id", "fp", own.alias("_own")))
+    ranked = durable(with_fingerprints(docs.select("text", rank.alias("doc_id"), own.alias("_own"))))
     kept = ranked.join(durable(clusters(ranked)), "fp").filter("doc_id = component_id")
     kept = kept.groupBy(F.col("doc_id").alias("_rank")).agg(F.min("_own").alias("_own"))
     picked = docs.withColumns({"_rank": rank, "_own": own}).join(kept, ["_rank", "_own"], "left_semi")
