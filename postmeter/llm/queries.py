@@ -51,4 +51,4 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_simhash, op3_decontaminate, op4_pii, op5_lm_scores, op6_mix_sources, op7_quality_rules, op8_substring_dedup, op9_token_counts, op10_quality_classifier)}
-ORACLE_SQL: dict[str, str] = {"op6_mix_sources": mixing.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_mix_sources": mixing.ORACLE_SQL, "op8_substring_dedup": substring.ORACLE_SQL}

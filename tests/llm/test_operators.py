@@ -374,12 +374,37 @@ def test_substring(docs, rows, none):
 
 
 def test_index_runs_and_compaction(spark):
-    index = substring.FingerprintIndex(fan_in=1)
+    index = substring.FingerprintIndex(spark, fan_in=1)
     batch = lambda *x: spark.createDataFrame([(i, 1) for i in x], "fp long, n tinyint")
     found = [sorted({r[0] for r in index.add(batch(*b)).collect()}) for b in ([1, 2, 2], [2, 3], [1, 4], [4, 5])]
     assert found == [[2], [2], [1], [4]] and len(index.runs) == 2
 
 
+def test_saved_index_goes_on(spark, tmp_path):
+    """An index opened again on its path knows what earlier batches held; compacted runs replace their files."""
+    at, batch = str(tmp_path / "index"), lambda *x: spark.createDataFrame([(i, 1) for i in x], "fp long, n tinyint")
+    found = [sorted({r[0] for r in substring.FingerprintIndex(spark, at).add(batch(*b)).collect()}) for b in ([1, 2, 2], [2, 3], [1, 4], [4, 5])]
+    assert found == [[2], [2], [1], [4]] and len(os.listdir(at)) == 2
+
+
+def test_two_incremental_calls_equal_one(spark, docs, rows, tmp_path):
+    numbered = spark.createDataFrame([(k, r[1]) for k, r in enumerate(rows)], "doc_id long, text string")
+    first, second = numbered.filter("doc_id % 2 = 0"), numbered.filter("doc_id % 2 = 1")
+    at = str(tmp_path / "index")
+    substring.deduplicate(first, index=substring.FingerprintIndex(spark, at)).count()
+    got = collected(substring.deduplicate(second, index=substring.FingerprintIndex(spark, at), history=first))
+    assert got == collected(substring.deduplicate(numbered).filter("doc_id % 2 = 1"))
+
+
+def test_substring_matches_its_sql(spark, small):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{small}/documents.parquet'")
+    got = collected(substring.deduplicate(spark.read.parquet(f"{small}/documents.parquet")))
+    assert got == Counter(con.execute(f"select doc_id, n_words, n_removed, kept_sha256 from ({substring.ORACLE_SQL})").fetchall())
+
+
 def test_substring_compacts_and_removes_replaced_runs(docs, monkeypatch):
     """The query itself compacts, not only an index of its own; the replaced runs leave the disk."""
     before, compact = [], substring.FingerprintIndex.compact
@@ -388,8 +413,8 @@ def test_substring_compacts_and_removes_replaced_runs(docs, monkeypatch):
         replaced = list(index.runs)
         compact(index)
         before.append((len(replaced), len(index.runs)))
-        assert not any(os.path.exists(r._durable_at.removeprefix("file:")) for r in replaced)
-        assert os.path.exists(index.runs[0]._durable_at.removeprefix("file:"))
+        assert not any(os.path.exists(r._durable_at.removeprefix("file:")) for r, _ in replaced)
+        assert os.path.exists(index.runs[0][0]._durable_at.removeprefix("file:"))
 
     monkeypatch.setattr(substring.FingerprintIndex, "compact", watched)
     substring.deduplicate(docs).count()
