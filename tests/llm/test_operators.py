@@ -81,6 +81,37 @@ def test_every_rule_passes_its_gates():
                     assert gate.search(parted), (label, parted)
 
 
+def plain_labels(text):
+    """Labels by trying every rule at every word, without gates or a bound on what a rule sees."""
+    w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (text or "").translate(LOWER))
+    compiled = [(p, label, k, re.compile(f"{pattern}(?= |$)")) for k, (p, _, label, pattern, _) in enumerate(licenses.rules())]
+    found = []
+    for at in range(len(w)):
+        rest = " ".join(w[at : at + 80])
+        best = min(((p, -len(m.group().split(" ")), k, label) for p, label, k, r in compiled if (m := r.match(rest))), default=None)
+        if best:
+            found.append((at, at - best[1], best[0], best[3]))
+    inside = lambda d, e: e[0] <= d[0] and e[1] >= d[1] and (e[2] < d[2] or (e[2] == d[2] and e[1] - e[0] > d[1] - d[0]))
+    kept = {d[3] for d in found if not any(inside(d, e) for e in found)}
+    base = {label for phrase, label in licenses.BASE for k in range(len(w)) if tuple(w[k : k + len(phrase)]) == phrase}
+    return ",".join(sorted(kept | base))
+
+
+def test_labels_against_a_plain_rule_engine(spark, small, docs, rows):
+    examples = [min(expansions(pattern), key=len) for _, _, _, pattern, _ in licenses.rules()]
+    examples += ["distributed under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"]
+    texts = [r[1] for r in rows] + examples + [f"a {x}, b {y}." for x, y in zip(examples, examples[7:])]
+    own = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for d in (own, spark.read.parquet(f"{small}/documents.parquet")):
+        wrong = [(r.text[:200], r.labels) for r in licenses.scan(d).select("text", "labels").collect() if r.labels != plain_labels(r.text)]
+        assert not wrong
+
+
+def test_signatures_are_distinct():
+    patterns = [x[-1] for x in licenses.SIGNATURES]
+    assert len(patterns) > 150 and len(set(patterns)) == len(patterns) and licenses.width() < 40
+
+
 def test_names_without_the_word_license(spark):
     cases = {"Distributed under BSD 3-Clause": "bsd-3-clause", "MPL 2.0": "mpl-2.0", "under bsd 2-clause.": "bsd-2-clause", "in the public\ndomain": "public-domain", "Creative  Commons\nZero": "cc0-1.0", "All  rights\nreserved": "proprietary", "lgpl3": "lgpl-3.0", "bsd": ""}
     df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
