@@ -23,7 +23,7 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.find(table(spark, sf_dir, "documents")).drop(*CARRIED, "found")
+    return pii.find(table(spark, sf_dir, "documents"), kept=["doc_id"]).drop("found")
 
 
 def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -269,6 +269,63 @@ def test_pii(docs, rows, none):
     assert pii.find(none).count() == 0
 
 
+def secrets(rng, n):
+    """(text, true or not): true secrets and hashes of other things, with the words that stand before such."""
+    out = []
+    for k in range(n):
+        true = k % 2 == 0
+        hexes = "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice([32, 40, 64])))
+        mixed = "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnpqrstuvwxyz23456789") for _ in range(36))
+        body = (hexes if rng.random() < 0.5 else mixed) if true else hexes
+        word = rng.choice(["token", "api_key", "secret", "password"] if true else ["commit", "sha1", "checksum", "revision"])
+        if rng.random() < 0.15:
+            word = "bearer" if true else "build"  # a word that no labeler knows
+        out.append((f"some words {word}: {body} more words", true))
+    return out
+
+
+def test_span_classifier_decides(spark):
+    """Added kinds on labelled traps: hashes that aren't secrets, account numbers and ids that fail their check sums."""
+    import random
+
+    rng = random.Random(9)
+    labelled = secrets(rng, 400)
+    numbers = [(f"order {rng.randrange(10**15, 10**16)} shipped, release 4.{k}.300.{900 + k}", False) for k in range(60)]
+    ibans = [("account GB82 WEST 1234 5698 7654 32 please", True), ("account DE89 3704 0044 0532 0130 00 please", True), ("order XX11 ABCD 1234 5678 9012 34 please", False), ("order QQ12 ABCD 1234 5678 9012 35 please", False)] * 15
+    texts = labelled + numbers + ibans
+    d = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.find(d).collect()}
+    for kind, least in (("secret", 0.85), ("iban", 0.95)):
+        own = [(true, f"{kind}:" in got[k].spans) for k, (t, true) in enumerate(texts) if (k < 400) == (kind == "secret") and (k < 400 or k >= 460)]
+        hit = sum(a and b for a, b in own)
+        precision, recall = hit / max(sum(b for _, b in own), 1), hit / sum(a for a, _ in own)
+        assert precision >= least and recall >= least, (kind, precision, recall)
+
+
+def test_reliabilities_settle():
+    """EM recovers the rates of labelers from their votes alone, and stops by itself."""
+    rng = np.random.default_rng(2)
+    counts = Counter()
+    for _ in range(20_000):
+        true = rng.random() < 0.7
+        v = [0] * len(pii.LABELERS)
+        for k, (right, votes) in enumerate([(0.95, 0.9), (0.8, 0.9), (0.7, 0.8), (0.9, 0.5)]):
+            if rng.random() < votes:
+                v[k] = 1 if (rng.random() < right) == true else -1
+        counts[tuple(v)] += 1
+    got = pii.Reliabilities([(0, v, float(n)) for v, n in sorted(counts.items())])
+    assert got.rounds < pii.ROUNDS and abs(got.prior[0] - 0.7) < 0.03
+    assert abs(got.rates[0][0][True][2] - 0.95 * 0.9) < 0.03 and abs(got.rates[0][1][False][0] - 0.8 * 0.9) < 0.03
+
+
+def test_long_secrets_and_addresses_are_whole(spark):
+    long = "a1B2" * 400
+    mail = "x" * 90 + " at " + "y" * 80 + " dot " + "z" * 30
+    d = spark.createDataFrame([(1, f"token: {long}."), (2, f"mail {mail}.")], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.find(d).collect()}
+    assert f"secret:7:{7 + len(long)}" in got[1].split(",") and f"spelled_email:5:{5 + len(mail)}" in got[2].split(",")
+
+
 def test_redaction(docs, rows):
     clean = pii.redact(docs)
     assert clean.columns == docs.columns
