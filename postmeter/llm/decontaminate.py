@@ -1,8 +1,8 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 Fixed masks pick some of the tokens in a stretch of a text and ignore the rest, so a passage keeps most of its hashes when
-words are replaced. Hashes of the benchmark are joined with those of the documents; around every hit the two texts
-are compared token by token on the hit's diagonal.
+words are replaced. Hashes of the benchmark are a table; a broadcast filter of bounded size lets through the few hashes of documents
+that may be in it, and these are joined with the table. Along each diagonal that a hit names, the two texts are compared token by token.
 """
 
 from __future__ import annotations
@@ -16,14 +16,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmeter.llm.common import Memo, batches_of, mix64, set_aside
+from postmeter.llm.common import Memo, batches_of, durable, mix64, set_aside
 
 #: The masks; 1 is a token that counts, 0 one that is ignored.
 MASKS = ("111111", "1101011", "110010111", "1011000111")
 #: A verified overlap has at least so many aligned tokens (the whole item if it is shorter), this share of them equal.
 MIN_TOKENS, MIN_EQUAL = 12, 0.8
-#: Tokens of the benchmark that one pass over the documents holds in memory; a larger benchmark takes more passes.
-BLOCK_TOKENS = 4_000_000
+#: The filter has BITS_EACH bits for each hash of the benchmark, rounded up to a power of two between these bounds; the upper one bounds what is
+#: broadcast (64 MB). A filter that is fuller than meant lets more hashes through to the join, which is exact.
+BITS_EACH, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 29
+#: Bits of the filter that are packed together.
+PAGE = 1 << 17
 ADDED = ("contaminated", "n_items", "item_ids", "best_overlap")
 _TOKEN = re.compile(r"\w+")
 
@@ -57,141 +60,188 @@ def _seeds(tokens: np.ndarray, mask: str) -> np.ndarray:
     return mix64(out)
 
 
-class Block:
-    """Some benchmark items: their token hashes end to end and the sorted hashes of every mask."""
-
-    def __init__(self, items: list[tuple[int, np.ndarray]]):
-        self.ids = np.array([i for i, _ in items], np.int64)
-        self.sizes = np.array([len(t) for _, t in items], np.int64)
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        self.tokens = np.concatenate([t for _, t in items]) if items else np.zeros(0, np.uint64)
-        every = np.arange(len(items))
-        self.tables = [self._table(items, mask, every) for mask in (*MASKS, *block_masks(MIN_TOKENS))]
-        # Items of fewer tokens than a stretch have to be found whole.
-        for n in range(1, MIN_TOKENS):
-            own = np.flatnonzero(self.sizes == n)
-            if len(own):
-                self.tables += [self._table(items, mask, own) for mask in (block_masks(n) if n >= len(MASKS[0]) else ["1" * n])]
-
-    @staticmethod
-    def _table(items: list[tuple[int, np.ndarray]], mask: str, own: np.ndarray) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
-        """The mask, its sorted hashes over the items numbered own, and the item and place of each."""
-        found = [(_seeds(items[i][1], mask), i) for i in own]
-        h = np.concatenate([s for s, _ in found]) if found else np.zeros(0, np.uint64)
-        item = np.concatenate([np.full(len(s), i) for s, i in found]) if found else np.zeros(0, np.int64)
-        at = np.concatenate([np.arange(len(s)) for s, _ in found]) if found else np.zeros(0, np.int64)
-        order = np.argsort(h, kind="stable")
-        return mask, h[order], item[order], at[order]
-
-    def hits(self, tokens: np.ndarray):
-        """(item, diagonal) of every seed that tokens shares with an item; diagonal: place in tokens less place in the item."""
-        items, diagonals = [], []
-        for mask, h, item, at in self.tables:
-            s = _seeds(tokens, mask) if len(h) else h
-            if not len(s):
-                continue
-            lo = np.searchsorted(h, s)
-            place = np.flatnonzero(h[np.minimum(lo, len(h) - 1)] == s)
-            if not len(place):
-                continue
-            lo, hi = lo[place], np.searchsorted(h, s[place], side="right")
-            n = hi - lo
-            k = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            items.append(item[k])
-            diagonals.append(np.repeat(place, n) - at[k])
-        if not items:
-            return []
-        return np.unique(np.stack([np.concatenate(items), np.concatenate(diagonals)], axis=1), axis=0).tolist()
-
-    def overlap(self, tokens: np.ndarray, item: int, diagonal: int) -> tuple[int, int, int] | None:
-        """The longest stretch (start, aligned, equal) on a diagonal with the wanted share of equal tokens, or None.
-
-        A stretch of more tokens than needed begins and ends with equal ones: without its unequal ends it would have a better share.
-        """
-        own = self.tokens[self.starts[item] : self.starts[item] + self.sizes[item]]
-        lo, hi = max(0, diagonal), min(len(tokens), diagonal + len(own))
-        same = tokens[lo:hi] == own[lo - diagonal : hi - diagonal]
-        need = min(MIN_TOKENS, len(own))
-        if hi - lo < need or same.sum() < MIN_EQUAL * need:
-            return None
-        edges = np.flatnonzero(same)
-        total = np.append(0, np.cumsum(same))
-        for size in range(max(edges[-1] - edges[0] + 1, need), need - 1, -1):
-            starts = np.arange(edges[0], edges[-1] - size + 2) if size > need else np.arange(hi - lo - need + 1)
-            equal = total[starts + size] - total[starts]
-            best = int(equal.argmax())
-            if equal[best] >= MIN_EQUAL * size:
-                return lo + int(starts[best]), size, int(equal[best])
-        return None
+def masks_for(sizes: list[int]) -> dict[int, list[str]]:
+    """Masks by the size of item that they are for; 0: every item. Items of fewer tokens than a stretch have to be found whole."""
+    out = {0: [*MASKS, *block_masks(MIN_TOKENS)]}
+    for n in sizes:
+        if n < MIN_TOKENS:
+            out[n] = block_masks(n) if n >= len(MASKS[0]) else ["1" * n]
+    return out
+
+
+def _coded(texts: list, ids: Memo) -> tuple[np.ndarray, np.ndarray]:
+    """Token hashes of several texts end to end, and the number of tokens in each."""
+    words = [tokens_of(t) for t in texts]
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    get = ids.__getitem__
+    return np.fromiter((get(w) for ws in words for w in ws), np.uint64, int(sizes.sum())), sizes
+
+
+def items_of(benchmark: DataFrame) -> DataFrame:
+    """(item, ids, n, tokens): each distinct text of the benchmark that has tokens, the ids it has there, and its token hashes."""
+    texts = benchmark.filter("item_id is not null and text is not null").groupBy("text").agg(F.collect_set("item_id").alias("ids"))
+    texts = texts.select(F.xxhash64("text").alias("item"), "ids", "text")
+    kind = texts.schema["ids"].dataType.simpleString()
+    names = ["item", "ids", "n", "tokens"]
+
+    def code(batches):
+        ids = Memo(_hash)
+        for b in batches:
+            tokens = [_coded([t], ids)[0].view(np.int64) for t in b.column("text").to_pylist()]
+            sizes = pa.array([len(t) for t in tokens], pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column("item"), b.column("ids"), sizes, pa.array(tokens, pa.list_(pa.int64()))], names=names)
+
+    return texts.mapInArrow(code, f"item bigint, ids {kind}, n int, tokens array<bigint>").filter("n > 0")
+
 
+def seeds_of(items: DataFrame, masks: dict[int, list[str]]) -> DataFrame:
+    """(h, item, at): every mask's hash at every place of every item."""
 
-def benchmark_blocks(benchmark: DataFrame, block_tokens: int = BLOCK_TOKENS):
-    """Blocks of at most block_tokens tokens (or one item), read from the benchmark partition by partition."""
-    items, size = [], 0
-    for item_id, text in benchmark.select("item_id", "text").toLocalIterator():
-        tokens = np.fromiter(map(_hash, tokens_of(text)), np.uint64)
-        if len(tokens) and item_id is not None:
-            if size + len(tokens) > block_tokens and items:
-                yield Block(items)
-                items, size = [], 0
-            items.append((item_id, tokens))
-            size += len(tokens)
-    yield Block(items)
+    def seed(batches):
+        for b in batches:
+            for item, tokens in zip(b.column("item").to_pylist(), b.column("tokens")):
+                t = tokens.values.to_numpy().view(np.uint64)
+                found = [_seeds(t, m) for n, ms in masks.items() if n in (0, len(t)) for m in ms]
+                h = np.concatenate(found)
+                at = np.concatenate([np.arange(len(f)) for f in found])
+                yield pa.RecordBatch.from_pydict({"h": h.view(np.int64), "item": np.full(len(h), item, np.int64), "at": at.astype(np.int32)})
+
+    return items.select("item", "tokens").mapInArrow(seed, "h long, item long, at int")
+
+
+def filter_of(seeds: DataFrame) -> np.ndarray:
+    """A bit for each hash of the benchmark. Pages of it are packed by tasks; its size is bounded by MOST_BITS."""
+    bits, wanted = LEAST_BITS, BITS_EACH * seeds.count()
+    while bits < min(wanted, MOST_BITS):
+        bits *= 2
+    place = F.pmod("h", F.lit(bits))
+    distinct = seeds.select(F.floor(place / PAGE).cast("int").alias("page"), (place % PAGE).cast("int").alias("bit")).distinct()
+
+    def packed(key, table):
+        page = np.zeros(PAGE, np.uint8)
+        page[table.column("bit").to_numpy()] = 1
+        return pa.Table.from_pydict({"page": pa.array([key[0].as_py()], pa.int32()), "packed": [np.packbits(page, bitorder="little").tobytes()]})
 
+    out = np.zeros(bits // 8, np.uint8)
+    for page, data in distinct.groupBy("page").applyInArrow(packed, "page int, packed binary").toLocalIterator():
+        out[page * PAGE // 8 : (page + 1) * PAGE // 8] = np.frombuffer(bytes(data), np.uint8)
+    return out
 
-def contamination(docs: DataFrame, benchmark: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+
+def hits_of(docs: DataFrame, masks: dict[int, list[str]], shared) -> DataFrame:
+    """docs (doc_id, own, text) -> one row for each document with hashes that the filter lets through: doc_id, own, hits (h, at), tokens."""
+    every = [m for ms in masks.values() for m in ms]
+    hit = pa.list_(pa.struct([("h", pa.int64()), ("at", pa.int32())]))
+
+    def search(batches):
+        known, ids = shared.value, Memo(_hash)
+        bits = len(known) * 8
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            rows, hits, kept = [], [], []
+            for lo, hi in batches_of(texts):
+                tokens, sizes = _coded(texts[lo:hi], ids)
+                ends = np.cumsum(sizes)
+                found_h, found_at = [], []
+                for m in every:
+                    s = _seeds(tokens, m)
+                    place = s.view(np.int64) % bits  # as Spark's pmod
+                    at = np.flatnonzero((known[place >> 3] >> (place & 7).astype(np.uint8)) & 1)
+                    row = np.searchsorted(ends, at, side="right")
+                    at = at[at + len(m) <= ends[row]] if len(at) else at  # a hash over two texts is none of either
+                    found_h.append(s[at])
+                    found_at.append(at)
+                h, at = np.concatenate(found_h), np.concatenate(found_at)
+                row = np.searchsorted(ends, at, side="right")
+                order = np.argsort(row, kind="stable")
+                h, at, row = h[order], at[order], row[order]
+                for k in np.unique(row):
+                    i, j = np.searchsorted(row, [k, k + 1])
+                    first = ends[k] - sizes[k]
+                    rows.append(lo + int(k))
+                    hits.append([{"h": x, "at": y} for x, y in zip(h[i:j].view(np.int64).tolist(), (at[i:j] - first).tolist())])
+                    kept.append(tokens[first : ends[k]].view(np.int64))
+            picked = b.select(["doc_id", "own"]).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*picked.columns, pa.array(hits, hit), pa.array(kept, pa.list_(pa.int64()))], names=["doc_id", "own", "hits", "tokens"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.mapInArrow(search, f"doc_id {kind}, own bigint, hits array<struct<h: bigint, at: int>>, tokens array<bigint>")
+
+
+def overlap(same: np.ndarray, need: int) -> tuple[int, int] | None:
+    """Of a diagonal's tokens (equal or not): the longest stretch (start, size) of at least `need` with the wanted share of equal ones.
+
+    With running totals of "equal less MIN_EQUAL" a stretch qualifies where its end's total is not below its start's.
+    """
+    n = len(same)
+    if n < need or same.sum() < MIN_EQUAL * need:
+        return None
+    # Whole numbers: five times equal less four times size, as MIN_EQUAL is 4 in 5.
+    gain = np.append(0, np.cumsum(5 * same.astype(np.int64) - 4))
+    least = np.minimum.accumulate(gain)
+    # For every end the first start with a total no larger than the end's: least totals fall, so it is found by bisection.
+    first = np.searchsorted(-least, -gain, side="left")
+    size = np.arange(n + 1) - first
+    k = int(size.argmax())
+    return (int(first[k]), int(size[k])) if size[k] >= need else None
+
+
+def found_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """docs (doc_id, own, text) -> (doc_id, own, items (id, share)) for every document in which a benchmark item is found."""
+    sc = docs.sparkSession.sparkContext
+    items = durable(items_of(benchmark))
+    sizes = [r[0] for r in items.filter(F.col("n") < MIN_TOKENS).select("n").distinct().collect()]
+    masks = masks_for(sizes)
+    seeds = durable(seeds_of(items, masks))
+    candidates = durable(hits_of(docs, masks, sc.broadcast(filter_of(seeds))))
+    each = candidates.select("doc_id", "own", F.explode("hits").alias("x")).select("doc_id", "own", "x.h", "x.at")
+    met = each.join(seeds.withColumnRenamed("at", "place"), "h")
+    diagonals = met.select("doc_id", "own", "item", (F.col("at") - F.col("place")).alias("diagonal")).distinct()
+    diagonals = diagonals.join(items, "item").withColumnsRenamed({"tokens": "wanted", "doc_id": "_doc", "own": "_own"})
+    same_doc = candidates["doc_id"].eqNullSafe(diagonals["_doc"]) & (candidates["own"] == diagonals["_own"])
+    start = F.greatest("diagonal", F.lit(0))
+    stretch = F.slice("tokens", start + 1, F.greatest(F.col("n") + F.col("diagonal") - start, F.lit(0)))
+    pairs = candidates.drop("hits").join(diagonals, same_doc).select("doc_id", "own", "ids", "n", F.greatest(-F.col("diagonal"), F.lit(0)).alias("from"), "wanted", stretch.alias("stretch"))
+
+    def compare(batches):
+        for b in batches:
+            share = []
+            for size, first, wanted, stretch in zip(b.column("n").to_pylist(), b.column("from").to_pylist(), b.column("wanted"), b.column("stretch")):
+                x, y = wanted.values.to_numpy()[first:], stretch.values.to_numpy()
+                n = min(len(x), len(y))
+                got = overlap(x[:n] == y[:n], min(MIN_TOKENS, size))
+                share.append(got[1] / size if got else None)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("own"), b.column("ids"), pa.array(share, pa.float64())], names=["doc_id", "own", "ids", "share"])
+
+    kinds = {n: pairs.schema[n].dataType.simpleString() for n in ("doc_id", "ids")}
+    verified = pairs.mapInArrow(compare, f"doc_id {kinds['doc_id']}, own bigint, ids {kinds['ids']}, share double").filter("share is not null")
+    best = verified.select("doc_id", "own", F.explode("ids").alias("id"), "share").groupBy("doc_id", "own", "id").agg(F.max("share").alias("share"))
+    return best.groupBy("doc_id", "own").agg(F.sort_array(F.collect_list(F.struct("id", "share"))).alias("items"))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs plus contaminated (boolean), n_items (long), item_ids (string: sorted, comma-joined) and best_overlap (double).
 
     An item is found in a document when some stretch of at least 12 tokens (all of a shorter item) of both stands
     aligned with 80 % of its tokens equal; best_overlap is the largest share of an item that is covered so. Tokens are lower-cased runs of
     letters, digits and underscores. Null and empty texts and items contain nothing; null item ids are skipped; items of fewer tokens than the
-    shortest mask must occur whole and unchanged; repeated rows are judged alike. The benchmark is held against all documents in blocks of
-    bounded size, each broadcast for one pass over the documents.
+    shortest mask must occur whole and unchanged; repeated rows are judged alike, a null doc_id by its text. Columns of docs by the
+    added names are replaced. An empty table of documents or items gives no row or no finding.
     """
     docs = docs.drop(*ADDED)
-    sc, out = docs.sparkSession.sparkContext, docs.withColumn("_found", F.expr("cast(array() as array<struct<item: bigint, share: double>>)"))
-    for block in benchmark_blocks(benchmark, block_tokens):
-        out = _search(out, sc.broadcast(block))
-    items = F.array_sort(F.array_distinct(F.transform("_found", lambda x: x["item"])))
-    out = out.withColumn("_items", items)
+    keyed = docs.withColumn("_own", F.xxhash64("text"))
+    found = durable(found_items(keyed.select("doc_id", F.col("_own").alias("own"), "text"), benchmark)).withColumnsRenamed({"doc_id": "_doc", "own": "_found_own"})
+    out = keyed.join(found, keyed["doc_id"].eqNullSafe(found["_doc"]) & (keyed["_own"] == found["_found_own"]), "left")
+    n = F.coalesce(F.size("items"), F.lit(0))
     return out.select(
         *docs.columns,
-        (F.size("_items") > 0).alias("contaminated"),
-        F.size("_items").cast("long").alias("n_items"),
-        F.array_join(F.transform("_items", lambda x: x.cast("string")), ",").alias("item_ids"),
-        F.coalesce(F.array_max(F.transform("_found", lambda x: x["share"])), F.lit(0.0)).alias("best_overlap"),
+        F.col("items").isNotNull().alias("contaminated"),
+        F.when(F.col("items").isNull(), F.lit(0)).otherwise(n).cast("long").alias("n_items"),
+        F.coalesce(F.array_join(F.transform("items", lambda x: x["id"].cast("string")), ","), F.lit("")).alias("item_ids"),
+        F.coalesce(F.array_max(F.transform("items", lambda x: x["share"])), F.lit(0.0)).alias("best_overlap"),
     )
 
 
-def _search(docs: DataFrame, shared) -> DataFrame:
-    kind = pa.list_(pa.struct([("item", pa.int64()), ("share", pa.float64())]))
-
-    def search(batches):
-        block, ids = shared.value, Memo(_hash)
-        for b in batches:
-            texts = b.column("text").to_pylist()
-            found = b.column("_found").to_pylist()
-            for lo, hi in batches_of(texts):
-                words = [tokens_of(t) for t in texts[lo:hi]]
-                sizes = np.fromiter(map(len, words), np.int64, len(words))
-                get = ids.__getitem__
-                tokens = np.fromiter((get(w) for ws in words for w in ws), np.uint64, int(sizes.sum()))
-                ends = np.cumsum(sizes)
-                starts = ends - sizes
-                # Seeds over the joined texts; a stretch across two texts fails the comparison within one text below.
-                for item, diagonal in block.hits(tokens):
-                    first = int(np.searchsorted(ends, max(diagonal, 0), side="right"))
-                    while first < len(sizes) and starts[first] < diagonal + block.sizes[item]:
-                        got = block.overlap(tokens[starts[first] : ends[first]], item, diagonal - int(starts[first]))
-                        if got:
-                            found[lo + first].append({"item": int(block.ids[item]), "share": got[1] / float(block.sizes[item])})
-                        first += 1
-            at = b.schema.get_field_index("_found")
-            yield b.set_column(at, "_found", pa.array(found, kind))
-
-    return docs.mapInArrow(search, docs.schema)
-
-
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, with docs' columns, in which no benchmark item is found."""
     docs, own = set_aside(docs, ADDED)

@@ -1,9 +1,12 @@
 """Language-model scoring with a hashed maximum-entropy model.
 
-P(word | history) = P(class | history) * P(word | class). The first factor is a softmax over CLASSES classes with hashed
-features of the history (the word before, the pair before, and the word before that, skipping one); the second is the word's smoothed share of its
-class. The commonest words are classes of their own, all others are classed by their endings. Every class keeps one place
-for words never seen, so the probabilities of all words sum to one.
+P(word | history) = P(class | history) * P(cell | class, history) * P(word | cell). The first two factors are softmaxes over CLASSES
+classes and over the CELLS cells of a class, with hashed features of the history (the word before, the word before that, skipping
+one, and both); the third is the word's smoothed share of its cell. The commonest words have a cell of their own, all others are
+put by their endings and beginnings. Every other cell keeps one place for words never seen, so the probabilities of all words sum to one.
+
+Training runs in rounds. Each round takes a fixed share of the documents, by a hash; tasks sum the gradient at the round's weights in
+whole units, so the sum is the same however documents are dealt over tasks, and one step is taken with it.
 """
 
 from __future__ import annotations
@@ -18,25 +21,31 @@ from pyspark.sql import functions as F
 
 from postmeter.llm.common import Memo, batches_of, byte_column, durable, mix64, words_of
 
-#: Words with a class of their own, classes of all other words, and hash rows of each of the three features.
-OWN_CLASSES, ENDING_CLASSES, HASHED, FEATURES = 16, 16, 1 << 12, 3
-CLASSES = OWN_CLASSES + ENDING_CLASSES
+#: Classes of the commonest words, each with a cell of its own; classes of other words; cells of a class; hash rows of each feature.
+OWN_CLASSES, OTHER_CLASSES, CELLS, HASHED, FEATURES = 8, 8, 16, 1 << 13, 3
+CLASSES = OWN_CLASSES + OTHER_CLASSES
+#: Words whose cell is their own.
+OWN = OWN_CLASSES * CELLS
 #: Most words whose counts are broadcast: those that make up more than one in FREQUENT of all tokens.
 FREQUENT = 1 << 17
-#: Distinct words whose counts a task holds, tokens in one gradient step, and its rate.
-HELD, STEP_TOKENS, RATE = 600_000, 16_384, 0.25
-#: Weights travel as whole multiples of this, so that their sums don't depend on order.
+#: Distinct words whose counts a task holds, and tokens looked at together.
+HELD, STEP_TOKENS = 600_000, 16_384
+#: Rounds of training; how far one step may move a weight, its length, and the count that steadies rare rows.
+ROUNDS, MOST_STEP, RATE, STEADY = 4, 2.0, 0.8, 4.0
+#: Gradients are summed as whole multiples of this, so that sums don't depend on order.
 UNIT = 2.0**-16
+#: Partitions of documents that one training task takes together: each task sends a gradient of fixed size.
+TOGETHER = 4
 HELD_OUT_FOLD, FOLDS = 2, 7
 
 
 def _id(word: bytes) -> int:
-    """60 bits of a word's hash and, in the last four, its ending's class."""
-    return (xxhash.xxh64_intdigest(word) & ~0xF) | (zlib.crc32(word[-2:]) & 0xF)
+    """57 bits of a word's hash and, in the last seven, the class of its ending and the cell of its beginning."""
+    return (xxhash.xxh64_intdigest(word) & ~0x7F) | (zlib.crc32(word[-2:]) & 0x7) << 4 | (zlib.crc32(word[:2]) & 0xF)
 
 
 #: The id of a text's end, which no word can have as words are never empty.
-END = (xxhash.xxh64_intdigest(b"") & ~0xF) | (zlib.crc32(b"") & 0xF)
+END = _id(b"")
 
 
 def _encoded(texts: list, memo: Memo) -> tuple[np.ndarray, np.ndarray]:
@@ -98,95 +107,141 @@ class Vocabulary:
         table = np.array(counts.filter(F.col("total") > floor).select("id", "n").collect(), np.int64).reshape(-1, 2)
         order = np.argsort(table[:, 0].view(np.uint64) if len(table) else table[:, 0])
         self.ids, self.n = np.ascontiguousarray(table[order, 0]).view(np.uint64), np.ascontiguousarray(table[order, 1])
-        top = np.lexsort((self.ids, -self.n))[:OWN_CLASSES]
+        top = np.lexsort((self.ids, -self.n))[:OWN]
         self.own = np.full(len(self.ids), -1)
         self.own[top] = np.arange(len(top))
-        ending = F.col("id").bitwiseAND(F.lit(0xF))
-        size, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
-        for c, n, v in counts.filter("n > 0").groupBy(ending.alias("c")).agg(F.sum("n"), F.count("*")).collect():
-            size[OWN_CLASSES + c], kinds[OWN_CLASSES + c] = n, v
+        cell = F.col("id").bitwiseAND(F.lit(0x7F))
+        size, kinds = np.zeros(CLASSES * CELLS), np.zeros(CLASSES * CELLS)
+        for c, n, v in counts.filter("n > 0").groupBy(cell.alias("c")).agg(F.sum("n"), F.count("*")).collect():
+            size[OWN + c], kinds[OWN + c] = n, v
         for k, at in enumerate(top):
             if self.n[at] > 0:
-                c = OWN_CLASSES + int(self.ids[at] & np.uint64(0xF))
+                c = OWN + int(self.ids[at] & np.uint64(0x7F))
                 size[c], kinds[c], size[k], kinds[k] = size[c] - self.n[at], kinds[c] - 1, self.n[at], 1
-        # An own class has no place for unseen words, as only its word can be in it.
-        self.room = size + kinds + (np.arange(CLASSES) >= OWN_CLASSES)
+        # A cell of one's own has no place for unseen words, as only its word can be in it.
+        self.room = size + kinds + (np.arange(len(size)) >= OWN)
         self.room[self.room == 0] = 1
-        share = size + 1.0
-        self.prior = np.log(share / share.sum()).astype(np.float32)
+        share = (size + 1.0).reshape(CLASSES, CELLS)
+        whole = share.sum(axis=1)
+        self.class_share, self.cell_share = whole / whole.sum(), share / whole[:, None]
+        self.class_prior, self.cell_prior = np.log(self.class_share).astype(np.float32), np.log(self.cell_share).astype(np.float32)
 
     def look_up(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each token: its class, its training count (0 if not frequent) and whether it is frequent."""
-        cls = OWN_CLASSES + (ids & np.uint64(0xF)).astype(np.int64)
+        """For each token: its cell, its training count (0 if not frequent) and whether it is frequent."""
+        cell = OWN + (ids & np.uint64(0x7F)).astype(np.int64)
         if not len(self.ids):
-            return cls, np.zeros(len(ids), np.int64), np.zeros(len(ids), bool)
+            return cell, np.zeros(len(ids), np.int64), np.zeros(len(ids), bool)
         u, back = np.unique(ids, return_inverse=True)
         at = np.minimum(np.searchsorted(self.ids, u), len(self.ids) - 1)
         hit = self.ids[at] == u
         own = np.where(hit, self.own[at], -1)[back]
-        return np.where(own >= 0, own, cls), np.where(hit, self.n[at], 0)[back], hit[back]
+        return np.where(own >= 0, own, cell), np.where(hit, self.n[at], 0)[back], hit[back]
 
 
-def _features(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Rows (3 x tokens) of the history's features; texts begin with ends as their history."""
+def _histories(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Hashes (3 x tokens) of the history's features; texts begin with ends as their history."""
     one, two = np.empty_like(ids), np.empty_like(ids)
     one[1:], two[2:] = ids[:-1], ids[:-2]
     starts = np.cumsum(sizes) - sizes
     one[starts] = two[starts] = np.uint64(END)
     second = starts[sizes > 1] + 1
     two[second] = np.uint64(END)
-    rows = [mix64(one), mix64(two + np.uint64(1)), mix64(one * np.uint64(3) + mix64(two))]
-    return np.stack([(r % np.uint64(HASHED)).astype(np.int64) + k * HASHED for k, r in enumerate(rows)])
+    return np.stack([mix64(one), mix64(two + np.uint64(1)), mix64(one * np.uint64(3) + mix64(two))])
+
+
+def _rows(hashes: np.ndarray) -> np.ndarray:
+    """Weight rows of the first softmax: a block of HASHED for each feature."""
+    return (hashes % np.uint64(HASHED)).astype(np.int64) + (np.arange(FEATURES) * HASHED)[:, None]
+
 
+def _cell_rows(hashes: np.ndarray, cls: np.ndarray) -> np.ndarray:
+    """Weight rows of the second softmax, which depend on the class too and follow those of the first."""
+    spread = (hashes >> np.uint64(20)) + cls.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    spread ^= spread >> np.uint64(32)
+    return _rows(spread) + FEATURES * HASHED
 
-def _class_log_probability(weights: np.ndarray, prior: np.ndarray, f: np.ndarray) -> np.ndarray:
-    z = weights[f[0]] + weights[f[1]] + weights[f[2]] + prior
+
+def _log_softmax(weights: np.ndarray, prior: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    z = weights[rows[0]]
+    z += weights[rows[1]]
+    z += weights[rows[2]]
+    z += prior
     z -= z.max(axis=1, keepdims=True)
     return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
 
-def train(docs: DataFrame, vocabulary) -> np.ndarray:
-    """Class weights (FEATURES * HASHED x CLASSES). Every task takes gradient steps over all its training texts; each row's weights
-    are then averaged over tasks, by how often they met the row. The sums run as an ordinary aggregate."""
-    names = [f"w{k}" for k in range(CLASSES)]
-
-    def descend(batches):
-        v, memo = vocabulary.value, Memo(_id)
-        w = np.zeros((FEATURES * HASHED, CLASSES), np.float32)
-        squares, met = np.full_like(w, 1e-3), np.zeros(len(w), np.int64)
+def round_of(doc_id: Column, text: Column) -> Column:
+    """The round that a document trains in."""
+    return F.pmod(F.xxhash64(F.lit("round"), doc_id, text), F.lit(ROUNDS))
+
+
+def gradient(docs: DataFrame, vocabulary, weights) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient of the training texts' log probability (rows x CELLS, of both softmaxes), and how often each row was met."""
+    names = [f"g{k}" for k in range(CELLS)]
+
+    def summed(batches):
+        v, w, memo = vocabulary.value, weights.value, Memo(_id)
+        total, met = np.zeros(w.shape, np.int64), np.zeros(len(w), np.int64)
+
+        def add(rows, prior, right):
+            slope = -np.exp(_log_softmax(w, prior, rows))
+            slope[np.arange(len(right)), right] += 1
+            whole = np.rint(slope / UNIT).astype(np.int32)
+            for r in rows:
+                order = np.argsort((r & 0xFFFF).astype(np.uint16), kind="stable")
+                s = r[order]
+                first = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+                total[s[first]] += np.add.reduceat(whole[order], first, axis=0)
+                met[s[first]] += np.diff(np.append(first, len(s)))
+
         for b in batches:
             texts = byte_column(b.column("text"))
             for lo, hi in batches_of(texts):
                 ids, sizes = _encoded(texts[lo:hi], memo)
-                f, cls = _features(ids, sizes), v.look_up(ids)[0]
+                h, cell = _histories(ids, sizes), v.look_up(ids)[0]
                 for k in range(0, len(ids), STEP_TOKENS):
-                    g, c = f[:, k : k + STEP_TOKENS], cls[k : k + STEP_TOKENS]
-                    slope = -np.exp(_class_log_probability(w, v.prior, g))
-                    slope[np.arange(len(c)), c] += 1
-                    for r in g:
-                        order = np.argsort(r.astype(np.uint16), kind="stable")
-                        s = r[order]
-                        first = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-                        step, rows = np.add.reduceat(slope[order], first, axis=0), s[first]
-                        squares[rows] += step * step
-                        w[rows] += RATE * step / np.sqrt(squares[rows])
-                        met[rows] += np.diff(np.append(first, len(s)))
+                    part, c = h[:, k : k + STEP_TOKENS], cell[k : k + STEP_TOKENS]
+                    add(_rows(part), v.class_prior, c // CELLS)
+                    add(_cell_rows(part, c // CELLS), v.cell_prior[c // CELLS], c % CELLS)
         rows = np.flatnonzero(met)
-        whole = np.rint(w[rows] / UNIT).astype(np.int64) * met[rows, None]
-        yield pa.RecordBatch.from_pydict({"row": rows.astype(np.int32), "n": met[rows], **{x: whole[:, k] for k, x in enumerate(names)}})
+        yield pa.RecordBatch.from_pydict({"row": rows.astype(np.int32), "n": met[rows], **{x: total[rows, k] for k, x in enumerate(names)}})
+
+    parts = docs.mapInArrow(summed, "row int, n long, " + ", ".join(f"{x} long" for x in names))
+    got = parts.groupBy("row").agg(F.sum("n").alias("n"), *(F.sum(x).alias(x) for x in names)).toArrow()
+    slope, met = np.zeros((2 * FEATURES * HASHED, CELLS)), np.zeros(2 * FEATURES * HASHED)
+    row = got.column("row").to_numpy()
+    met[row] = got.column("n").to_numpy()
+    for k, x in enumerate(names):
+        slope[row, k] = got.column(x).to_numpy() * UNIT
+    return slope, met
 
-    parts = docs.filter("train").select("text").mapInArrow(descend, "row int, n long, " + ", ".join(f"{x} long" for x in names))
-    out = np.zeros((FEATURES * HASHED, CLASSES), np.float32)
-    for r in parts.groupBy("row").agg(F.sum("n"), *(F.sum(x) for x in names)).toLocalIterator():
-        out[r[0]] = np.array(r[2:], np.float64) * UNIT / r[1]
-    return out
+
+def train(docs: DataFrame, vocabulary) -> np.ndarray:
+    """Weights of both softmaxes (2 * FEATURES * HASHED x CELLS): ROUNDS steps, each with the gradient over one share of the documents.
+
+    A step divides a row's gradient by how often the class was to be expected in it, the diagonal of the curvature; the features of
+    one token share it. What travels is a gradient of fixed size for each task."""
+    sc = docs.sparkSession.sparkContext
+    v = vocabulary.value
+    w = np.zeros((2 * FEATURES * HASHED, CELLS), np.float32)
+    # A row of the second softmax may serve several classes; it expects what an even mix of cells would give.
+    expected = np.concatenate([np.tile(v.class_share, (FEATURES * HASHED, 1)), np.full((FEATURES * HASHED, CELLS), 1 / CELLS)])
+    own = docs.filter("train").withColumn("round", round_of(F.col("doc_id"), F.col("text")))
+    tasks = max(sc.defaultParallelism, own.rdd.getNumPartitions() // TOGETHER)
+    for k in range(ROUNDS):
+        shared = sc.broadcast(w)
+        slope, met = gradient(own.filter(F.col("round") == k).select("text").coalesce(tasks), vocabulary, shared)
+        step = np.clip(slope / (met[:, None] * expected + STEADY), -MOST_STEP, MOST_STEP)
+        w = (w + RATE * step).astype(np.float32)
+        shared.unpersist()
+    return w
 
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs.
 
     base_score: log10 probability of the text's tokens (its words and one end) by add-one counts of the training documents; score: by the model.
-    Null and empty texts are one end. A null doc_id counts as training. Repeated rows get equal scores, and count as often as they
+    Columns of docs other than doc_id and text are not read. Null and empty texts are one end. A null doc_id counts as training. Repeated rows get equal scores, and count as often as they
     stand. Without training documents every token has count 0. No documents: no rows.
     """
     sc = docs.sparkSession.sparkContext
@@ -203,12 +258,13 @@ def score(docs: DataFrame) -> DataFrame:
             texts = byte_column(b.column("text"))
             for lo, hi in batches_of(texts):
                 ids, sizes = _encoded(texts[lo:hi], memo)
-                f, (cls, n, hit) = _features(ids, sizes), v.look_up(ids)
+                h, (cell, n, hit) = _histories(ids, sizes), v.look_up(ids)
                 part = np.empty(len(ids))
                 for k in range(0, len(ids), STEP_TOKENS):
-                    c = cls[k : k + STEP_TOKENS]
-                    part[k : k + STEP_TOKENS] = _class_log_probability(w, v.prior, f[:, k : k + STEP_TOKENS])[np.arange(len(c)), c]
-                part = part / np.log(10) - room[cls]
+                    some, c = h[:, k : k + STEP_TOKENS], cell[k : k + STEP_TOKENS]
+                    each, cls = np.arange(len(c)), c // CELLS
+                    part[k : k + STEP_TOKENS] = _log_softmax(w, v.class_prior, _rows(some))[each, cls] + _log_softmax(w, v.cell_prior[cls], _cell_rows(some, cls))[each, c % CELLS]
+                part = part / np.log(10) - room[cell]
                 starts = np.cumsum(sizes) - sizes
                 own = [xxhash.xxh64_intdigest(t or b"") - (1 << 63) for t in texts[lo:hi]]
                 doc = b.column("doc_id").slice(lo, hi - lo)

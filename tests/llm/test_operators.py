@@ -208,7 +208,7 @@ def test_decontamination(spark, docs, none):
     swapped = " ".join("changed" if k in (6, 13) else x for k, x in enumerate(w))
     bench = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, "tiny item")], "item_id long, text string")
     extra = spark.createDataFrame([(900, "aa bb cc " + item.upper() + " dd"), (901, "x " + swapped + " y"), (902, " ".join(w[:6])), (903, "some tiny item here")], "doc_id long, text string")
-    got = {r.doc_id: r for r in decontaminate.contamination(extra, bench, block_tokens=5).collect()}
+    got = {r.doc_id: r for r in decontaminate.contamination(extra, bench).collect()}
     assert {i: r.item_ids for i, r in got.items()} == {900: "1", 901: "1", 902: "", 903: "4"}
     assert got[900].best_overlap == 1.0
     clean = decontaminate.drop_contaminated(docs.withColumn("n_items", F.lit("own")), bench)
@@ -238,6 +238,53 @@ def test_decontamination_finds_substitutions_at_every_place(spark):
     assert {r.doc_id: r.item_ids for r in got.collect()} == want
 
 
+def test_overlap_is_the_longest_stretch():
+    rng = np.random.default_rng(4)
+    for _ in range(400):
+        same = rng.random(rng.integers(1, 40)) < rng.choice([0.5, 0.75, 0.9])
+        need = int(rng.integers(1, 14))
+        sizes = [e - s for s in range(len(same)) for e in range(s + need, len(same) + 1) if 5 * same[s:e].sum() >= 4 * (e - s)]
+        got = decontaminate.overlap(same, need)
+        assert (got[1] if got else None) == max(sizes, default=None)
+
+
+def test_seeds_find_substituted_stretches():
+    """Share of stretches with as many unequal tokens as allowed, at random places, that some mask finds."""
+    rng = np.random.default_rng(6)
+    masks = decontaminate.masks_for([])[0]
+    for size, gone, least in ((12, 2, 1.0), (15, 3, 0.98), (20, 4, 0.98), (30, 6, 0.98)):
+        hit = 0
+        for _ in range(1000):
+            bad = set(rng.choice(size, gone, replace=False).tolist())
+            hit += any(all(m[k] == "0" or a + k not in bad for k in range(len(m))) for m in masks for a in range(size - len(m) + 1))
+        assert hit / 1000 >= least, (size, hit)
+
+
+def test_decontamination_against_brute_force(spark, small):
+    """Every item against every document of the given tables, along every diagonal."""
+    d, bench = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/benchmark.parquet")
+    items = [(r.item_id, decontaminate.tokens_of(r.text)) for r in bench.collect()]
+    got = {r.doc_id: (r.item_ids, round(r.best_overlap, 9)) for r in decontaminate.contamination(d, bench).collect()}
+    for r in d.collect():
+        w, found, best = decontaminate.tokens_of(r.text), [], 0.0
+        places = defaultdict(list)
+        for k, t in enumerate(w):
+            places[t].append(k)
+        for i, tokens in items:
+            diagonals = Counter(p - k for k, t in enumerate(tokens) for p in places[t])
+            need = min(12, len(tokens))
+            sizes = []
+            for g in (g for g, n in diagonals.items() if n >= 0.8 * need):
+                lo, hi = max(0, g), min(len(w), g + len(tokens))
+                size = decontaminate.overlap(np.array([w[k] == tokens[k - g] for k in range(lo, hi)]), need)
+                if size:
+                    sizes.append(size[1] / len(tokens))
+            if sizes:
+                found.append(i)
+                best = max(best, *sizes)
+        assert got[r.doc_id] == (",".join(map(str, sorted(found))), round(best, 9)), r.doc_id
+
+
 def luhn(d):
     s = 0
     for k, c in enumerate(reversed(d)):
@@ -352,17 +399,30 @@ def test_lm_is_a_distribution(docs):
     counts = lm.word_counts(docs.select("text", lm.in_training(F.col("doc_id")).alias("train")))
     v = lm.Vocabulary(counts)
     ids = np.array([r[0] for r in counts.filter("n > 0").select("id").collect()], np.int64).view(np.uint64)
-    cls, n, hit = v.look_up(ids)
+    cell, n, hit = v.look_up(ids)
     exact = {r.id: r.n for r in counts.collect()}
-    share = np.zeros(lm.CLASSES)
-    for i, k in zip(ids.view(np.int64).tolist(), cls):
+    share = np.zeros(lm.CLASSES * lm.CELLS)
+    for i, k in zip(ids.view(np.int64).tolist(), cell):
         share[k] += (exact[i] + 1) / v.room[k]
-    seen = np.unique(cls)
-    own = seen < lm.OWN_CLASSES
+    seen = np.unique(cell)
+    own = seen < lm.OWN
+    assert np.allclose(v.class_share.sum(), 1) and np.allclose(v.cell_share.sum(axis=1), 1)
     assert np.allclose(share[seen[own]], 1)
     assert np.allclose(share[seen[~own]] + 1 / v.room[seen[~own]], 1)
 
 
+def test_lm_scores_are_the_same_however_documents_are_dealt(spark, small):
+    d = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    got = [{r.doc_id: r.score for r in lm.score(d.repartition(n)).collect()} for n in (1, 7)]
+    assert all(math.isclose(got[0][i], got[1][i], rel_tol=1e-6) for i in got[0])
+
+
+def test_lm_learns_from_history(spark, small):
+    """Held-out documents: the model's score a token is above that of word shares by a stated margin."""
+    r = lm.score(spark.read.parquet(f"{small[:-5]}0.01/documents.parquet")).filter("held_out").agg(F.sum("n_tokens"), F.sum("score"), F.sum("base_score")).first()
+    assert r[1] / r[0] > r[2] / r[0] + 0.1
+
+
 def test_mixing(docs, rows, none):
     m = mixing.mix(docs).collect()
     assert len(m) == len(rows)
