@@ -1,6 +1,6 @@
 """License scans by ordered signature rules, in DataFrame expressions only.
 
-A text is cut into lower-cased words. Keywords gate the scan: first a text has to hold one of a few strings, then a rule is
+A text is cut into lower-cased words. Keywords gate the scan: first a text has to hold one of a few words, then a rule is
 tried only where its first word stands. A rule is a regular expression over the next words, joined by blanks. Where detections
 overlap, the one of better priority stays if it contains the other; within one priority the longer one stays.
 """
@@ -19,22 +19,22 @@ FAMILIES = [
     ("apache-2.0", ["Apache-2.0"], ["apache (?:software )?license(?: version)? 2 0", "apache 2 0 license"], ["apache"]),
     ("apache-1.1", ["Apache-1.1"], ["apache (?:software )?license(?: version)? 1 1"], ["apache"]),
     ("apache", [], ["apache (?:software )?licen[sc]e"], ["apache"]),
-    ("agpl-3.0", ["AGPL-3.0-only", "AGPL-3.0-or-later"], ["(?:gnu )?affero general public licen[sc]e(?: version)?(?: v)? ?3?", "agpl ?v?3"], ["gnu", "affero", "agpl", "agplv3", "agpl3"]),
-    ("lgpl-3.0", ["LGPL-3.0-only", "LGPL-3.0-or-later"], ["(?:gnu )?lesser general public licen[sc]e(?: version)?(?: v)? ?3", "lgpl ?v?3"], ["gnu", "lesser", "lgpl", "lgplv3", "lgpl3"]),
-    ("lgpl-2.1", ["LGPL-2.1-only", "LGPL-2.1-or-later"], ["(?:gnu )?lesser general public licen[sc]e(?: version)?(?: v)? ?2 1", "lgpl ?v?2 1"], ["gnu", "lesser", "lgpl", "lgplv2", "lgpl2"]),
+    ("agpl-3.0", ["AGPL-3.0-only", "AGPL-3.0-or-later"], ["(?:gnu )?affero general public licen[sc]e(?: version)?(?:(?: v ?| )3)?", "agpl ?v?3"], ["gnu", "affero", "agpl", "agplv3", "agpl3"]),
+    ("lgpl-3.0", ["LGPL-3.0-only", "LGPL-3.0-or-later"], ["(?:gnu )?lesser general public licen[sc]e(?: version)?(?: v ?| )3", "lgpl ?v?3"], ["gnu", "lesser", "lgpl", "lgplv3", "lgpl3"]),
+    ("lgpl-2.1", ["LGPL-2.1-only", "LGPL-2.1-or-later"], ["(?:gnu )?lesser general public licen[sc]e(?: version)?(?: v ?| )2 1", "lgpl ?v?2 1"], ["gnu", "lesser", "lgpl", "lgplv2", "lgpl2"]),
     ("lgpl", [], ["(?:gnu )?(?:lesser|library) general public licen[sc]e"], ["gnu", "lesser", "library"]),
-    ("gpl-3.0", ["GPL-3.0-only", "GPL-3.0-or-later"], ["(?:gnu )?general public licen[sc]e(?: as published by the free software foundation)?(?: either)?(?: version)?(?: v)? ?3", "gpl ?v?3"], ["gnu", "general", "gpl", "gplv3", "gpl3"]),
-    ("gpl-2.0", ["GPL-2.0-only", "GPL-2.0-or-later"], ["(?:gnu )?general public licen[sc]e(?: as published by the free software foundation)?(?: either)?(?: version)?(?: v)? ?2", "gpl ?v?2"], ["gnu", "general", "gpl", "gplv2", "gpl2"]),
+    ("gpl-3.0", ["GPL-3.0-only", "GPL-3.0-or-later"], ["(?:gnu )?general public licen[sc]e(?: as published by the free software foundation)?(?: either)?(?: version)?(?: v ?| )3", "gpl ?v?3"], ["gnu", "general", "gpl", "gplv3", "gpl3"]),
+    ("gpl-2.0", ["GPL-2.0-only", "GPL-2.0-or-later"], ["(?:gnu )?general public licen[sc]e(?: as published by the free software foundation)?(?: either)?(?: version)?(?: v ?| )2", "gpl ?v?2"], ["gnu", "general", "gpl", "gplv2", "gpl2"]),
     ("gpl", [], ["(?:gnu )?general public licen[sc]e", "gnu gpl"], ["gnu", "general"]),
     ("bsd-3-clause", ["BSD-3-Clause"], ["(?:new|modified|revised) bsd licen[sc]e", "bsd 3 clause(?: licen[sc]e)?", "3 clause bsd licen[sc]e"], ["new", "modified", "revised", "bsd", "3"]),
     ("bsd-2-clause", ["BSD-2-Clause"], ["(?:simplified|freebsd) bsd licen[sc]e", "bsd 2 clause(?: licen[sc]e)?", "2 clause bsd licen[sc]e"], ["simplified", "freebsd", "bsd", "2"]),
     ("bsd", ["0BSD"], ["bsd(?: style)? licen[sc]e"], ["bsd"]),
     ("isc", ["ISC"], ["isc licen[sc]e"], ["isc"]),
-    ("mpl-2.0", ["MPL-2.0"], ["mozilla public licen[sc]e(?: version)?(?: v)? 2 0", "mpl 2 0"], ["mozilla", "mpl"]),
-    ("mpl-1.1", ["MPL-1.1"], ["mozilla public licen[sc]e(?: version)?(?: v)? 1 1", "mpl 1 1"], ["mozilla", "mpl"]),
+    ("mpl-2.0", ["MPL-2.0"], ["mozilla public licen[sc]e(?: version)?(?: v ?| )2 0", "mpl 2 0"], ["mozilla", "mpl"]),
+    ("mpl-1.1", ["MPL-1.1"], ["mozilla public licen[sc]e(?: version)?(?: v ?| )1 1", "mpl 1 1"], ["mozilla", "mpl"]),
     ("mpl", [], ["mozilla public licen[sc]e"], ["mozilla"]),
-    ("epl-2.0", ["EPL-2.0"], ["eclipse public licen[sc]e(?: version)?(?: v)? ?2(?: 0)?"], ["eclipse"]),
-    ("epl-1.0", ["EPL-1.0"], ["eclipse public licen[sc]e(?: version)?(?: v)? ?1(?: 0)?"], ["eclipse"]),
+    ("epl-2.0", ["EPL-2.0"], ["eclipse public licen[sc]e(?: version)?(?: v ?| )2(?: 0)?"], ["eclipse"]),
+    ("epl-1.0", ["EPL-1.0"], ["eclipse public licen[sc]e(?: version)?(?: v ?| )1(?: 0)?"], ["eclipse"]),
     ("cddl-1.0", ["CDDL-1.0"], ["common development and distribution licen[sc]e"], ["common"]),
     ("cpl-1.0", ["CPL-1.0"], ["common public licen[sc]e"], ["common"]),
     ("eupl-1.2", ["EUPL-1.2"], ["european union public licen[sc]e"], ["european"]),
@@ -76,166 +76,165 @@ FAMILIES = [
 BASE = [(("mit", "license"), "mit"), (("apache", "license"), "apache"), (("general", "public", "license"), "gpl")]
 NOTICE_WORDS = ["licensed", "licenced", "released", "distributed", "available", "provided", "published", "covered"]
 BASE_SCORE = 0.6
-#: Sentences of licenses, notices and headers. Label, priority, score, what the text must hold, pattern over words joined by
-#: blanks; a pattern begins with a plain word.
+#: Sentences of licenses, notices and headers. Label, priority, score, pattern over words joined by blanks; a
+#: pattern begins with a plain word.
 SIGNATURES = [
-    ("mit", 1, 0.95, "permission is hereby granted", "permission is hereby granted free of charge to any person obtaining a copy"),
-    ("mit", 2, 0.85, "substantial portions", "copies or substantial portions of the software"),
-    ("mit", 2, 0.9, "sublicense", "sublicense and or sell copies of the software"),
-    ("mit", 2, 0.8, "deal in the", "deal in the software without restriction including without limitation the rights"),
-    ("mit-0", 1, 0.9, "mit no attribution", "mit no attribution"),
-    ("x11", 1, 0.9, "x consortium", "except as contained in this notice the name of the x consortium"),
-    ("isc", 1, 0.95, "with or without fee", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted"),
-    ("0bsd", 1, 0.9, "fee is hereby granted", "fee is hereby granted the software is provided as is and the author disclaims"),
-    ("hpnd", 1, 0.9, "and its documentation", "permission to use copy modify(?: and)? distribute(?: and sell)? this software and its documentation"),
-    ("hpnd", 2, 0.8, "supporting documentation", "permission notice appear in supporting documentation"),
-    ("ntp", 1, 0.9, "makes no representations", "makes no representations about the suitability (?:of )?this software for any purpose"),
-    ("bsd", 1, 0.9, "redistribution and use", "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("bsd", 2, 0.85, "redistributions of source", "redistributions of source code must retain the above copyright notice"),
-    ("bsd", 2, 0.85, "redistributions in binary", "redistributions in binary form must reproduce the above copyright notice"),
-    ("bsd-3-clause", 1, 0.9, "endorse or promote", "may be used to endorse or promote products derived from this software without specific prior written permission"),
-    ("bsd-3-clause", 1, 0.9, "names of its contributors", "nor the names of its contributors may be used"),
-    ("bsd-4-clause", 1, 0.9, "advertising materials", "advertising materials mentioning features or use of this software must display"),
-    ("bsd-3-clause", 1, 0.85, "style license that can be found", "bsd style license that can be found in the license file"),
-    ("bsd-3-clause-clear", 1, 0.9, "express or implied licenses", "no express or implied licenses to any party s patent rights are granted"),
-    ("bsd-2-clause-patent", 1, 0.9, "bsd 2 clause plus patent", "bsd 2 clause plus patent"),
-    ("bsd-protection", 1, 0.85, "bsd protection", "bsd protection licen[sc]e"),
-    ("apache-2.0", 1, 0.95, "apache license", "licensed under the apache license version 2 0(?: the license)?"),
-    ("apache-2.0", 2, 0.9, "in compliance with the license", "you may not use this file except in compliance with the license"),
-    ("apache-2.0", 1, 0.95, "licenses license 2 0", "www apache org licenses license 2 0"),
-    ("apache-2.0", 2, 0.85, "unless required by applicable law", "unless required by applicable law or agreed to in writing software distributed under the license"),
-    ("apache-2.0", 2, 0.85, "grant of patent license", "grant of patent license subject to the terms and conditions of this license"),
-    ("apache-2.0", 2, 0.85, "grant of copyright license", "grant of copyright license subject to the terms and conditions of this license"),
-    ("apache-2.0", 2, 0.8, "contributor license agreements", "licensed to the apache software foundation asf under one or more contributor license agreements"),
-    ("apache-1.1", 1, 0.9, "developed by the apache", "includes software developed by the apache software foundation"),
-    ("apache-1.0", 1, 0.9, "developed by the apache group", "software developed by the apache group"),
-    ("ecl-2.0", 1, 0.9, "educational community license", "educational community license version 2 0"),
-    ("gpl-2.0", 1, 0.95, "either version 2", "under the terms of the gnu general public licen[sc]e as published by the free software foundation either version 2"),
-    ("gpl-3.0", 1, 0.95, "either version 3", "under the terms of the gnu general public licen[sc]e as published by the free software foundation either version 3"),
-    ("gpl-2.0", 1, 0.95, "free software foundation version 2", "under the terms of the gnu general public licen[sc]e as published by the free software foundation version 2"),
-    ("gpl-3.0", 1, 0.95, "free software foundation version 3", "under the terms of the gnu general public licen[sc]e as published by the free software foundation version 3"),
-    ("gpl", 2, 0.85, "received a copy of the gnu general", "received a copy of the gnu general public licen[sc]e along with"),
-    ("gpl", 2, 0.8, "see the gnu general", "see the gnu general public licen[sc]e for more details"),
-    ("gpl-2.0", 2, 0.9, "gnu general public license version 2", "gnu general public license version 2 june 1991"),
-    ("gpl-3.0", 2, 0.9, "gnu general public license version 3", "gnu general public license version 3 29 june 2007"),
-    ("gpl-1.0", 2, 0.9, "gnu general public license version 1", "gnu general public license version 1 february 1989"),
-    ("gpl", 2, 0.85, "copyleft license for software", "free copyleft license for software and other kinds of works"),
-    ("gpl", 2, 0.8, "freedom to share and change", "freedom to share and change"),
-    ("gpl-classpath", 1, 0.9, "linking this library statically", "linking this library statically or dynamically with other modules"),
-    ("gpl-classpath", 1, 0.9, "classpath exception", "classpath exception(?: to the gpl)?"),
-    ("gpl-font", 1, 0.9, "font exception", "font exception"),
-    ("gcc-exception", 1, 0.9, "runtime library exception", "gcc runtime library exception"),
-    ("autoconf-exception", 1, 0.9, "configure script exception", "autoconf configure script exception"),
-    ("lgpl-2.1", 1, 0.95, "either version 2 1", "under the terms of the gnu lesser general public licen[sc]e as published by the free software foundation either version 2 1"),
-    ("lgpl-3.0", 1, 0.95, "either version 3", "under the terms of the gnu lesser general public licen[sc]e as published by the free software foundation either version 3"),
-    ("lgpl-2.0", 1, 0.95, "gnu library general", "under the terms of the gnu library general public licen[sc]e as published by the free software foundation"),
-    ("lgpl", 2, 0.85, "received a copy of the gnu lesser", "received a copy of the gnu lesser general public licen[sc]e along with"),
-    ("lgpl-2.1", 2, 0.9, "gnu lesser general public license version 2 1", "gnu lesser general public license version 2 1 february 1999"),
-    ("agpl-3.0", 1, 0.95, "gnu affero", "under the terms of the gnu affero general public licen[sc]e as published by"),
-    ("agpl-3.0", 2, 0.85, "received a copy of the gnu affero", "received a copy of the gnu affero general public licen[sc]e along with"),
-    ("agpl-3.0", 2, 0.85, "interacting with it remotely", "users interacting with it remotely through a computer network"),
-    ("gfdl", 1, 0.9, "gnu free documentation", "gnu free documentation licen[sc]e"),
-    ("gfdl", 2, 0.85, "invariant sections", "with no invariant sections no front cover texts and no back cover texts"),
-    ("mpl-2.0", 1, 0.95, "subject to the terms of the mozilla", "subject to the terms of the mozilla public license v 2 0"),
-    ("mpl-2.0", 2, 0.9, "copy of the mpl was not distributed", "copy of the mpl was not distributed with this file"),
-    ("mpl-2.0", 1, 0.9, "mozilla org mpl 2 0", "mozilla org mpl 2 0"),
-    ("mpl-1.1", 1, 0.95, "mozilla public license version 1 1", "subject to the mozilla public license version 1 1"),
-    ("mpl-2.0", 2, 0.9, "incompatible with secondary licenses", "incompatible with secondary licenses as defined by the mozilla public license"),
-    ("npl-1.1", 1, 0.9, "netscape public", "netscape public licen[sc]e(?: version)?(?: 1 1)?"),
-    ("epl-1.0", 1, 0.95, "eclipse public license v1", "eclipse public license v1 0"),
-    ("epl-2.0", 1, 0.95, "eclipse public license 2 0", "eclipse public license 2 0 which is available at"),
-    ("epl-1.0", 1, 0.9, "legal epl v10", "www eclipse org legal epl v10"),
-    ("edl-1.0", 1, 0.9, "eclipse distribution", "eclipse distribution licen[sc]e(?: v)?(?: ?1 0)?"),
-    ("cddl-1.0", 2, 0.9, "common development and distribution license cddl", "common development and distribution license cddl version 1 0"),
-    ("cddl-1.1", 1, 0.9, "cddl 1 1", "cddl 1 1"),
-    ("cpal-1.0", 1, 0.9, "common public attribution", "common public attribution licen[sc]e"),
-    ("ipl-1.0", 1, 0.9, "ibm public", "ibm public licen[sc]e"),
-    ("apsl-2.0", 1, 0.9, "apple public source", "apple public source licen[sc]e"),
-    ("eupl-1.2", 1, 0.95, "licensed under the eupl", "licensed under the eupl(?: version)?(?: v)? ?1 2"),
-    ("eupl-1.1", 1, 0.95, "licensed under the eupl", "licensed under the eupl(?: version)?(?: v)? ?1 1"),
-    ("cecill-b", 1, 0.9, "cecill b", "cecill b(?: free software)?(?: licen[sc]e)?"),
-    ("cecill-c", 1, 0.9, "cecill c", "cecill c(?: free software)?(?: licen[sc]e)?"),
-    ("zlib", 1, 0.95, "alter it and redistribute", "use this software for any purpose including commercial applications and to alter it and redistribute it freely"),
-    ("zlib", 2, 0.85, "altered source versions", "altered source versions must be plainly marked as such"),
-    ("zlib", 2, 0.85, "origin of this software", "origin of this software must not be misrepresented"),
-    ("bsl-1.0", 1, 0.95, "boost software license version 1", "boost software license version 1 0"),
-    ("bsl-1.0", 2, 0.9, "person or organization obtaining", "person or organization obtaining a copy of the software and accompanying documentation"),
-    ("unlicense", 1, 0.95, "free and unencumbered software", "free and unencumbered software released into the public domain"),
-    ("unlicense", 2, 0.85, "publish use compile sell", "free to copy modify publish use compile sell or distribute this software"),
-    ("cc0-1.0", 1, 0.95, "publicdomain zero", "creativecommons org publicdomain zero 1 0"),
-    ("cc0-1.0", 1, 0.9, "cc0 1 0 universal", "cc0 1 0 universal"),
-    ("cc0-1.0", 2, 0.85, "waived all copyright", "waived all copyright and related or neighboring rights"),
-    ("cc-by-4.0", 1, 0.95, "creativecommons org licenses by 4", "creativecommons org licenses by 4 0"),
-    ("cc-by-3.0", 1, 0.95, "creativecommons org licenses by 3", "creativecommons org licenses by 3 0"),
-    ("cc-by-2.0", 1, 0.95, "creativecommons org licenses by 2", "creativecommons org licenses by 2 [05]"),
-    ("cc-by-sa-4.0", 1, 0.95, "creativecommons org licenses by sa 4", "creativecommons org licenses by sa 4 0"),
-    ("cc-by-sa-3.0", 1, 0.95, "creativecommons org licenses by sa 3", "creativecommons org licenses by sa 3 0"),
-    ("cc-by-nc-4.0", 1, 0.95, "creativecommons org licenses by nc 4", "creativecommons org licenses by nc 4 0"),
-    ("cc-by-nc-sa-4.0", 1, 0.95, "creativecommons org licenses by nc sa", "creativecommons org licenses by nc sa [34] 0"),
-    ("cc-by-nc-nd-4.0", 1, 0.95, "creativecommons org licenses by nc nd", "creativecommons org licenses by nc nd [34] 0"),
-    ("cc-by-nd-4.0", 1, 0.95, "creativecommons org licenses by nd", "creativecommons org licenses by nd [34] 0"),
-    ("public-domain", 1, 0.9, "dedicated to the public", "dedicated to the public domain"),
-    ("public-domain", 1, 0.9, "placed in the public", "placed in the public domain"),
-    ("public-domain", 2, 0.85, "domain mark", "public domain mark 1 0"),
-    ("pddl-1.0", 1, 0.9, "public domain dedication and", "public domain dedication and licen[sc]e"),
-    ("odc-by-1.0", 1, 0.9, "open data commons attribution", "open data commons attribution licen[sc]e"),
-    ("odbl-1.0", 1, 0.9, "open data commons open database", "open data commons open database licen[sc]e"),
-    ("ogl-uk-3.0", 1, 0.9, "open government", "open government licen[sc]e(?: v)? ?3 0"),
-    ("ogl", 2, 0.85, "open government", "open government licen[sc]e"),
-    ("cdla-permissive", 1, 0.9, "community data license agreement", "community data license agreement permissive"),
-    ("cdla-sharing", 1, 0.9, "community data license agreement", "community data license agreement sharing"),
-    ("ofl-1.1", 1, 0.95, "sil open font license version 1", "sil open font license version 1 1"),
-    ("ofl-1.1", 2, 0.85, "reserved font name", "with reserved font name"),
-    ("artistic-1.0", 1, 0.9, "same terms as perl", "same terms as perl(?: 5)?(?: itself)?"),
-    ("artistic-2.0", 2, 0.85, "copyright holder of the package", "copyright holder of the package"),
-    ("wtfpl", 1, 0.9, "you just do what", "you just do what the fuck you want to"),
-    ("beerware", 1, 0.9, "beer ware", "beer ware licen[sc]e"),
-    ("beerware", 1, 0.9, "buy me a beer", "buy me a beer in return"),
-    ("json", 1, 0.95, "for good not evil", "software shall be used for good not evil"),
-    ("vim", 1, 0.9, "vim license", "vim licen[sc]e"),
-    ("openssl", 1, 0.9, "openssl project for use", "developed by the openssl project for use in the openssl toolkit"),
-    ("openssl", 2, 0.85, "openssl license", "openssl licen[sc]e"),
-    ("ssleay", 1, 0.9, "written by eric young", "cryptographic software written by eric young"),
-    ("curl", 2, 0.85, "curl license", "curl licen[sc]e"),
-    ("icu", 1, 0.9, "unicode inc license", "unicode inc license agreement data files and software"),
-    ("unicode-3.0", 2, 0.9, "unicode license", "unicode license v3"),
-    ("psf-2.0", 1, 0.9, "psf license agreement", "psf license agreement for python"),
-    ("postgresql", 1, 0.9, "postgresql license", "postgresql licen[sc]e"),
-    ("postgresql", 2, 0.85, "without a written agreement", "without fee and without a written agreement is hereby granted"),
-    ("w3c", 1, 0.9, "w3c software notice", "w3c software notice and licen[sc]e"),
-    ("zpl-2.1", 1, 0.9, "zope public", "zope public licen[sc]e(?: zpl)?(?: version)?(?: 2 1)?"),
-    ("qpl-1.0", 1, 0.9, "q public", "q public licen[sc]e"),
-    ("ms-lpl", 1, 0.9, "microsoft limited public", "microsoft limited public licen[sc]e"),
-    ("mulan-psl-2.0", 1, 0.95, "mulan", "mulan psl ?v?2"),
-    ("mulan-psl-1.0", 2, 0.9, "mulan", "mulan permissive software licen[sc]e"),
-    ("blueoak-1.0.0", 1, 0.9, "blue oak", "blue oak model licen[sc]e"),
-    ("upl-1.0", 1, 0.9, "universal permissive", "universal permissive licen[sc]e"),
-    ("polyform-noncommercial", 1, 0.9, "polyform noncommercial", "polyform noncommercial licen[sc]e"),
-    ("polyform-shield", 1, 0.9, "polyform shield", "polyform shield licen[sc]e"),
-    ("commons-clause", 1, 0.9, "commons clause", "commons clause(?: license condition)?(?: v1 0)?"),
-    ("busl-1.1", 1, 0.95, "change license", "change license (?:gpl|apache|mpl)"),
-    ("elastic-2.0", 2, 0.9, "hosted or managed service", "provide the software to third parties as a hosted or managed service"),
-    ("sspl-1.0", 2, 0.85, "making the functionality", "making the functionality of the program or modified version available to third parties as a service"),
-    ("openrail", 1, 0.9, "openrail", "openrail(?: m| s)?(?: licen[sc]e)?"),
-    ("llama", 1, 0.9, "community license agreement", "llama 2 community license agreement"),
-    ("llama", 1, 0.9, "community license agreement", "llama 3 community license agreement"),
-    ("gemma", 1, 0.85, "gemma terms of use", "gemma terms of use"),
-    ("bigscience-rail", 1, 0.9, "bigscience", "bigscience (?:bloom )?rail licen[sc]e"),
-    ("dual", 3, 0.7, "dual license", "dual licensed under"),
-    ("dual", 3, 0.7, "at your option", "any later version at your option"),
-    ("warranty", 4, 0.6, "without warranty of any kind", "provided as is without warranty of any kind"),
-    ("warranty", 4, 0.6, "without even the implied warranty", "without even the implied warranty of merchantability"),
-    ("warranty", 4, 0.6, "warranties of merchantability", "implied warranties of merchantability and fitness for a particular purpose"),
-    ("warranty", 4, 0.55, "be liable for any", "be liable for any (?:claim damages or other liability|direct indirect incidental special)"),
-    ("proprietary", 1, 0.9, "confidential and proprietary", "confidential and proprietary"),
-    ("proprietary", 1, 0.9, "unpublished proprietary", "unpublished proprietary (?:trade secret|source code)"),
-    ("proprietary", 2, 0.85, "unauthorized copying", "unauthorized copying of this file via any medium is strictly prohibited"),
-    ("proprietary", 2, 0.85, "end user license", "end user licen[sc]e agreement"),
-    ("proprietary", 2, 0.8, "not for redistribution", "not for redistribution"),
-    ("proprietary", 2, 0.8, "internal use only", "internal use only"),
-    ("proprietary", 2, 0.8, "without prior written", "reproduced or transmitted in any form without prior written"),
-    ("non-commercial", 2, 0.8, "non commercial use only", "non commercial use only"),
-    ("non-commercial", 2, 0.8, "research purposes only", "research purposes only"),
+    ("mit", 1, 0.95, "permission is hereby granted free of charge to any person obtaining a copy"),
+    ("mit", 2, 0.85, "copies or substantial portions of the software"),
+    ("mit", 2, 0.9, "sublicense and or sell copies of the software"),
+    ("mit", 2, 0.8, "deal in the software without restriction including without limitation the rights"),
+    ("mit-0", 1, 0.9, "mit no attribution"),
+    ("x11", 1, 0.9, "except as contained in this notice the name of the x consortium"),
+    ("isc", 1, 0.95, "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted"),
+    ("0bsd", 1, 0.9, "fee is hereby granted the software is provided as is and the author disclaims"),
+    ("hpnd", 1, 0.9, "permission to use copy modify(?: and)? distribute(?: and sell)? this software and its documentation"),
+    ("hpnd", 2, 0.8, "permission notice appear in supporting documentation"),
+    ("ntp", 1, 0.9, "makes no representations about the suitability (?:of )?this software for any purpose"),
+    ("bsd", 1, 0.9, "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd", 2, 0.85, "redistributions of source code must retain the above copyright notice"),
+    ("bsd", 2, 0.85, "redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd-3-clause", 1, 0.9, "may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd-3-clause", 1, 0.9, "nor the names of its contributors may be used"),
+    ("bsd-4-clause", 1, 0.9, "advertising materials mentioning features or use of this software must display"),
+    ("bsd-3-clause", 1, 0.85, "bsd style license that can be found in the license file"),
+    ("bsd-3-clause-clear", 1, 0.9, "no express or implied licenses to any party s patent rights are granted"),
+    ("bsd-2-clause-patent", 1, 0.9, "bsd 2 clause plus patent"),
+    ("bsd-protection", 1, 0.85, "bsd protection licen[sc]e"),
+    ("apache-2.0", 1, 0.95, "licensed under the apache license version 2 0(?: the license)?"),
+    ("apache-2.0", 2, 0.9, "you may not use this file except in compliance with the license"),
+    ("apache-2.0", 1, 0.95, "www apache org licenses license 2 0"),
+    ("apache-2.0", 2, 0.85, "unless required by applicable law or agreed to in writing software distributed under the license"),
+    ("apache-2.0", 2, 0.85, "grant of patent license subject to the terms and conditions of this license"),
+    ("apache-2.0", 2, 0.85, "grant of copyright license subject to the terms and conditions of this license"),
+    ("apache-2.0", 2, 0.8, "licensed to the apache software foundation asf under one or more contributor license agreements"),
+    ("apache-1.1", 1, 0.9, "includes software developed by the apache software foundation"),
+    ("apache-1.0", 1, 0.9, "software developed by the apache group"),
+    ("ecl-2.0", 1, 0.9, "educational community license version 2 0"),
+    ("gpl-2.0", 1, 0.95, "under the terms of the gnu general public licen[sc]e as published by the free software foundation either version 2"),
+    ("gpl-3.0", 1, 0.95, "under the terms of the gnu general public licen[sc]e as published by the free software foundation either version 3"),
+    ("gpl-2.0", 1, 0.95, "under the terms of the gnu general public licen[sc]e as published by the free software foundation version 2"),
+    ("gpl-3.0", 1, 0.95, "under the terms of the gnu general public licen[sc]e as published by the free software foundation version 3"),
+    ("gpl", 2, 0.85, "received a copy of the gnu general public licen[sc]e along with"),
+    ("gpl", 2, 0.8, "see the gnu general public licen[sc]e for more details"),
+    ("gpl-2.0", 2, 0.9, "gnu general public license version 2 june 1991"),
+    ("gpl-3.0", 2, 0.9, "gnu general public license version 3 29 june 2007"),
+    ("gpl-1.0", 2, 0.9, "gnu general public license version 1 february 1989"),
+    ("gpl", 2, 0.85, "free copyleft license for software and other kinds of works"),
+    ("gpl", 2, 0.8, "freedom to share and change"),
+    ("gpl-classpath", 1, 0.9, "linking this library statically or dynamically with other modules"),
+    ("gpl-classpath", 1, 0.9, "classpath exception(?: to the gpl)?"),
+    ("gpl-font", 1, 0.9, "font exception"),
+    ("gcc-exception", 1, 0.9, "gcc runtime library exception"),
+    ("autoconf-exception", 1, 0.9, "autoconf configure script exception"),
+    ("lgpl-2.1", 1, 0.95, "under the terms of the gnu lesser general public licen[sc]e as published by the free software foundation either version 2 1"),
+    ("lgpl-3.0", 1, 0.95, "under the terms of the gnu lesser general public licen[sc]e as published by the free software foundation either version 3"),
+    ("lgpl-2.0", 1, 0.95, "under the terms of the gnu library general public licen[sc]e as published by the free software foundation"),
+    ("lgpl", 2, 0.85, "received a copy of the gnu lesser general public licen[sc]e along with"),
+    ("lgpl-2.1", 2, 0.9, "gnu lesser general public license version 2 1 february 1999"),
+    ("agpl-3.0", 1, 0.95, "under the terms of the gnu affero general public licen[sc]e as published by"),
+    ("agpl-3.0", 2, 0.85, "received a copy of the gnu affero general public licen[sc]e along with"),
+    ("agpl-3.0", 2, 0.85, "users interacting with it remotely through a computer network"),
+    ("gfdl", 1, 0.9, "gnu free documentation licen[sc]e"),
+    ("gfdl", 2, 0.85, "with no invariant sections no front cover texts and no back cover texts"),
+    ("mpl-2.0", 1, 0.95, "subject to the terms of the mozilla public license v 2 0"),
+    ("mpl-2.0", 2, 0.9, "copy of the mpl was not distributed with this file"),
+    ("mpl-2.0", 1, 0.9, "mozilla org mpl 2 0"),
+    ("mpl-1.1", 1, 0.95, "subject to the mozilla public license version 1 1"),
+    ("mpl-2.0", 2, 0.9, "incompatible with secondary licenses as defined by the mozilla public license"),
+    ("npl-1.1", 1, 0.9, "netscape public licen[sc]e(?: version)?(?: 1 1)?"),
+    ("epl-1.0", 1, 0.95, "eclipse public license v1 0"),
+    ("epl-2.0", 1, 0.95, "eclipse public license 2 0 which is available at"),
+    ("epl-1.0", 1, 0.9, "www eclipse org legal epl v10"),
+    ("edl-1.0", 1, 0.9, "eclipse distribution licen[sc]e(?:(?: v ?| )1 0)?"),
+    ("cddl-1.0", 2, 0.9, "common development and distribution license cddl version 1 0"),
+    ("cddl-1.1", 1, 0.9, "cddl 1 1"),
+    ("cpal-1.0", 1, 0.9, "common public attribution licen[sc]e"),
+    ("ipl-1.0", 1, 0.9, "ibm public licen[sc]e"),
+    ("apsl-2.0", 1, 0.9, "apple public source licen[sc]e"),
+    ("eupl-1.2", 1, 0.95, "licensed under the eupl(?: version)?(?: v ?| )1 2"),
+    ("eupl-1.1", 1, 0.95, "licensed under the eupl(?: version)?(?: v ?| )1 1"),
+    ("cecill-b", 1, 0.9, "cecill b(?: free software)?(?: licen[sc]e)?"),
+    ("cecill-c", 1, 0.9, "cecill c(?: free software)?(?: licen[sc]e)?"),
+    ("zlib", 1, 0.95, "use this software for any purpose including commercial applications and to alter it and redistribute it freely"),
+    ("zlib", 2, 0.85, "altered source versions must be plainly marked as such"),
+    ("zlib", 2, 0.85, "origin of this software must not be misrepresented"),
+    ("bsl-1.0", 1, 0.95, "boost software license version 1 0"),
+    ("bsl-1.0", 2, 0.9, "person or organization obtaining a copy of the software and accompanying documentation"),
+    ("unlicense", 1, 0.95, "free and unencumbered software released into the public domain"),
+    ("unlicense", 2, 0.85, "free to copy modify publish use compile sell or distribute this software"),
+    ("cc0-1.0", 1, 0.95, "creativecommons org publicdomain zero 1 0"),
+    ("cc0-1.0", 1, 0.9, "cc0 1 0 universal"),
+    ("cc0-1.0", 2, 0.85, "waived all copyright and related or neighboring rights"),
+    ("cc-by-4.0", 1, 0.95, "creativecommons org licenses by 4 0"),
+    ("cc-by-3.0", 1, 0.95, "creativecommons org licenses by 3 0"),
+    ("cc-by-2.0", 1, 0.95, "creativecommons org licenses by 2 [05]"),
+    ("cc-by-sa-4.0", 1, 0.95, "creativecommons org licenses by sa 4 0"),
+    ("cc-by-sa-3.0", 1, 0.95, "creativecommons org licenses by sa 3 0"),
+    ("cc-by-nc-4.0", 1, 0.95, "creativecommons org licenses by nc 4 0"),
+    ("cc-by-nc-sa-4.0", 1, 0.95, "creativecommons org licenses by nc sa [34] 0"),
+    ("cc-by-nc-nd-4.0", 1, 0.95, "creativecommons org licenses by nc nd [34] 0"),
+    ("cc-by-nd-4.0", 1, 0.95, "creativecommons org licenses by nd [34] 0"),
+    ("public-domain", 1, 0.9, "dedicated to the public domain"),
+    ("public-domain", 1, 0.9, "placed in the public domain"),
+    ("public-domain", 2, 0.85, "public domain mark 1 0"),
+    ("pddl-1.0", 1, 0.9, "public domain dedication and licen[sc]e"),
+    ("odc-by-1.0", 1, 0.9, "open data commons attribution licen[sc]e"),
+    ("odbl-1.0", 1, 0.9, "open data commons open database licen[sc]e"),
+    ("ogl-uk-3.0", 1, 0.9, "open government licen[sc]e(?: v ?| )3 0"),
+    ("ogl", 2, 0.85, "open government licen[sc]e"),
+    ("cdla-permissive", 1, 0.9, "community data license agreement permissive"),
+    ("cdla-sharing", 1, 0.9, "community data license agreement sharing"),
+    ("ofl-1.1", 1, 0.95, "sil open font license version 1 1"),
+    ("ofl-1.1", 2, 0.85, "with reserved font name"),
+    ("artistic-1.0", 1, 0.9, "same terms as perl(?: 5)?(?: itself)?"),
+    ("artistic-2.0", 2, 0.85, "copyright holder of the package"),
+    ("beerware", 1, 0.9, "beer ware licen[sc]e"),
+    ("beerware", 1, 0.9, "buy me a beer in return"),
+    ("json", 1, 0.95, "software shall be used for good not evil"),
+    ("vim", 1, 0.9, "vim licen[sc]e"),
+    ("openssl", 1, 0.9, "developed by the openssl project for use in the openssl toolkit"),
+    ("openssl", 2, 0.85, "openssl licen[sc]e"),
+    ("ssleay", 1, 0.9, "cryptographic software written by eric young"),
+    ("curl", 2, 0.85, "curl licen[sc]e"),
+    ("icu", 1, 0.9, "unicode inc license agreement data files and software"),
+    ("unicode-3.0", 2, 0.9, "unicode license v3"),
+    ("psf-2.0", 1, 0.9, "psf license agreement for python"),
+    ("postgresql", 1, 0.9, "postgresql licen[sc]e"),
+    ("postgresql", 2, 0.85, "without fee and without a written agreement is hereby granted"),
+    ("w3c", 1, 0.9, "w3c software notice and licen[sc]e"),
+    ("zpl-2.1", 1, 0.9, "zope public licen[sc]e(?: zpl)?(?: version)?(?: 2 1)?"),
+    ("qpl-1.0", 1, 0.9, "q public licen[sc]e"),
+    ("ms-lpl", 1, 0.9, "microsoft limited public licen[sc]e"),
+    ("mulan-psl-2.0", 1, 0.95, "mulan psl ?v?2"),
+    ("mulan-psl-1.0", 2, 0.9, "mulan permissive software licen[sc]e"),
+    ("blueoak-1.0.0", 1, 0.9, "blue oak model licen[sc]e"),
+    ("upl-1.0", 1, 0.9, "universal permissive licen[sc]e"),
+    ("polyform-noncommercial", 1, 0.9, "polyform noncommercial licen[sc]e"),
+    ("polyform-shield", 1, 0.9, "polyform shield licen[sc]e"),
+    ("commons-clause", 1, 0.9, "commons clause(?: license condition)?(?: v1 0)?"),
+    ("busl-1.1", 1, 0.95, "change license (?:gpl|apache|mpl)"),
+    ("elastic-2.0", 2, 0.9, "provide the software to third parties as a hosted or managed service"),
+    ("sspl-1.0", 2, 0.85, "making the functionality of the program or modified version available to third parties as a service"),
+    ("openrail", 1, 0.9, "openrail(?: m| s)?(?: licen[sc]e)?"),
+    ("llama", 1, 0.9, "llama 2 community license agreement"),
+    ("llama", 1, 0.9, "llama 3 community license agreement"),
+    ("gemma", 1, 0.85, "gemma terms of use"),
+    ("bigscience-rail", 1, 0.9, "bigscience (?:bloom )?rail licen[sc]e"),
+    ("dual", 3, 0.7, "dual licensed under"),
+    ("dual", 3, 0.7, "any later version at your option"),
+    ("warranty", 4, 0.6, "provided as is without warranty of any kind"),
+    ("warranty", 4, 0.6, "without even the implied warranty of merchantability"),
+    ("warranty", 4, 0.6, "implied warranties of merchantability and fitness for a particular purpose"),
+    ("warranty", 4, 0.55, "be liable for any (?:claim damages or other liability|direct indirect incidental special)"),
+    ("proprietary", 1, 0.9, "confidential and proprietary"),
+    ("proprietary", 1, 0.9, "unpublished proprietary (?:trade secret|source code)"),
+    ("proprietary", 2, 0.85, "unauthorized copying of this file via any medium is strictly prohibited"),
+    ("proprietary", 2, 0.85, "end user licen[sc]e agreement"),
+    ("proprietary", 2, 0.8, "not for redistribution"),
+    ("proprietary", 2, 0.8, "internal use only"),
+    ("proprietary", 2, 0.8, "reproduced or transmitted in any form without prior written"),
+    ("non-commercial", 2, 0.8, "non commercial use only"),
+    ("non-commercial", 2, 0.8, "research purposes only"),
 ]
 
 
@@ -259,7 +258,7 @@ def words_at_most(pattern: str) -> int:
 
 def rules() -> list[tuple[int, float, str, str, list[str]]]:
     """(priority, score, label, pattern over words joined by blanks, first words) of every rule, in order."""
-    out = [(priority, score, label, pattern, [pattern.split(" ")[0].split("(")[0]]) for label, priority, score, _, pattern in SIGNATURES]
+    out = [(priority, score, label, pattern, [pattern.split(" ")[0].split("(")[0]]) for label, priority, score, pattern in SIGNATURES]
     spdx_words = lambda i: " ".join(re.split("[^0-9a-z]+", i.lower()))
     for label, ids, names, firsts in FAMILIES:
         name = "(?:" + "|".join(names) + ")"
@@ -280,21 +279,28 @@ _DELIMITERS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 DELIMITER = "[" + "".join(f"\\x{ord(c):02X}" for c in _DELIMITERS) + "]+"
 
 
-def _needed(name: str) -> str:
-    """A stretch of words that whatever matches the pattern of a name must hold: its longest part outside groups and optional characters."""
-    parts = [p.strip() for p in re.split(r"\(\?:[^()]*\)\??|.\?", name)]
-    return next((LICENSE for p in parts if "licen" in p), max(parts, key=len))
+def keywords(pattern: str, firsts: list[str]) -> list[str]:
+    """Words of which whatever matches the pattern holds one: a long word that the pattern always has, or else its first words."""
+    flat = pattern
+    while "(" in flat:
+        flat = re.sub(r"\(\?:( ?)[^()]*?( ?)\)\??", r"\1~\2", flat)
+    flat = flat.replace(" ?", "~")
+    plain = [w for w in flat.split(" ") if re.fullmatch("[0-9a-z]+|licen\\[sc\\]e", w)]
+    if any(w.startswith("licen") for w in plain):
+        return ["license", "licence"] if "licen[sc]e" in plain else [next(w for w in plain if w.startswith("licen"))]
+    longest = max(plain, key=len, default="")
+    return [longest] if len(longest) >= 5 else firsts
 
 
-#: What every rule needs but those of a bare name or a notice with one.
-LICENSE = "licen[sc]e"
-
-
-def gate() -> str:
-    """What a text must hold for the scan to look at it, in any case of letters: a keyword for every rule, as words however they are parted."""
-    needed = {LICENSE, "spdx"} | {_needed(n) for _, _, names, _ in FAMILIES for n in names} | {LICENSE if "licens" in n else n for _, _, _, n, _ in SIGNATURES}
-    least = sorted(n for n in needed if not any(m != n and m in n for m in needed))
-    return "(?i)" + "|".join(n.replace(" ", DELIMITER) for n in least)
+def gate() -> list[str]:
+    """Words of which a text must hold one for the scan to look at it: every rule has such, as have the base phrases."""
+    found = {w for phrase, _ in BASE for w in phrase if w == "license"}
+    for _, _, names, firsts in FAMILIES:
+        for name in names:
+            found |= set(keywords(name, firsts))
+    for *_, pattern in SIGNATURES:
+        found |= set(keywords(pattern, [pattern.split(" ")[0].split("(")[0]]))
+    return sorted(found | {"spdx"})
 
 
 def _words(text: Column) -> Column:
@@ -355,10 +361,13 @@ def scan(docs: DataFrame) -> DataFrame:
     Whole texts are scanned, however long. Null and empty texts have no words; a text without detections has empty labels, null first and last words and score 0. Repeated rows
     are scanned alike. Columns of docs by the added names are replaced. score is the best kept rule's, 0.6 at least where a base phrase stands.
     """
-    docs = docs.drop("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections", "_scan", "_words")
+    docs = docs.drop("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections", "_scan", "_seen", "_words")
     text = F.coalesce(F.col("text"), F.lit(""))
     lower = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
-    docs_words = docs.withColumn("_words", F.when(text.rlike(gate()), _words(lower)))
+    # Lower case as Spark has it touches more letters than A-Z, but parts words alike; it serves the count and the gate only.
+    known = F.array(*map(F.lit, gate()))
+    seen = F.transform(F.array(_words(F.lower(text))), lambda w: F.struct(F.size(w).cast("long").alias("n"), F.arrays_overlap(w, known).alias("hit")))[0]
+    docs_words = docs.withColumn("_seen", seen).withColumn("_words", F.when(F.col("_seen.hit"), _words(lower)))
     out = docs_words.withColumn("_scan", F.struct(_base_places(F.col("_words")).alias("base"), F.expr(_detections("_words")).alias("detections")))
     none = F.expr("cast(array() as array<struct<start: bigint, label: string>>)")
     base, detections = F.coalesce("_scan.base", none), F.col("_scan.detections")
@@ -366,7 +375,7 @@ def scan(docs: DataFrame) -> DataFrame:
     labels = F.array_union(base_labels, F.coalesce(F.transform(detections, lambda d: d["label"]), F.array().cast("array<string>")))
     return out.select(
         *docs.columns,
-        F.size(_words(text)).cast("long").alias("n_words"),
+        F.col("_seen.n").alias("n_words"),
         F.size(base).cast("long").alias("n_base"),
         F.array_min(starts).alias("first_word"),
         F.array_max(starts).alias("last_word"),

@@ -72,13 +72,11 @@ def expansions(pattern):
 
 
 def test_every_rule_passes_its_gates():
-    gate = re.compile(licenses.gate())
+    gate = set(licenses.gate())
     for _, _, label, pattern, firsts in licenses.rules():
         if not pattern.startswith(f"(?:{licenses.NOTICE_WORDS[0]}|"):  # a notice ends with a name, which has a rule of its own
             for example in expansions(pattern):
-                assert example.split()[0] in firsts, (label, example)
-                for parted in (example.upper(), example.replace(" ", "\n"), example.replace(" ", "-  ")):
-                    assert gate.search(parted), (label, parted)
+                assert example.split()[0] in firsts and gate & set(example.split()), (label, example)
 
 
 def plain_labels(text):
@@ -152,7 +150,56 @@ def test_simhash(docs, rows, none):
     assert collected(simhash.near_duplicates(docs)) == want
     assert simhash.near_duplicates(none).count() == 0
     kept = simhash.keep_one(docs)
-    assert kept.columns == docs.columns and kept.count() == len(set(comp))
+    got = [r.doc_id for r in kept.collect()]
+    assert kept.columns == docs.columns and {5, 12} <= set(got) and len(got) == len(set(got))
+    first = {}
+    for i, t, *_ in rows:
+        if t is not None and i is not None:
+            first.setdefault(t, i)
+    assert not set(got) & ({i for i, t, *_ in rows if i is not None and first.get(t, i) != i})  # copies of an earlier text are gone
+    assert simhash.keep_one(none).count() == 0
+
+
+def shingles(t, n=5):
+    w = words((t or "").translate(LOWER))
+    return {tuple(w[k : k + n]) for k in range(max(len(w) - n + 1, 1))}
+
+
+def test_near_duplicates_by_similarity(spark):
+    """Share of pairs linked by their true five-word similarity: nearly all from 0.8 on, hardly one below 0.6."""
+    import random
+
+    rng = random.Random(8)
+    vocabulary = [f"w{k}" for k in range(4000)]
+    rows, truth = [], []
+    for k in range(500):
+        w = rng.choices(vocabulary, k=rng.randrange(100, 400))
+        v = list(w)
+        for at in rng.sample(range(len(v)), rng.randrange(0, max(2, len(v) // 8))):
+            v[at] = rng.choice(vocabulary)
+        a, b = " ".join(w), " ".join(v)
+        rows += [(2 * k, a), (2 * k + 1, b)]
+        x, y = shingles(a), shingles(b)
+        truth.append(len(x & y) / len(x | y))
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    linked = [2 * k + 1 not in kept for k in range(500)]
+    share = lambda lo, hi: np.mean([x for x, t in zip(linked, truth) if lo <= t < hi])
+    assert all(2 * k in kept for k in range(500))
+    assert share(0.8, 2) > 0.95 and share(0.85, 2) > 0.97 and share(0, 0.6) < 0.01
+
+
+def test_large_group_of_near_copies(spark):
+    """Thousands of near copies of one text are one group, found without comparing all pairs."""
+    import random
+
+    rng = random.Random(3)
+    w = rng.choices([f"w{k}" for k in range(4000)], k=300)
+    rows = []
+    for k in range(2000):
+        v = list(w)
+        v[rng.randrange(300)] = f"x{k}"
+        rows.append((k, " ".join(v)))
+    assert [r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [0]
 
 
 def test_trie_join_finds_all_links():
@@ -633,9 +680,12 @@ def test_pipeline(spark, small):
         texts[name] = {r.doc_id: r.text for r in at.collect()}
     kept = quality_rules.measure(docs).filter("kept").count()
     assert len(texts["quality_rules"]) == kept
-    ids = sorted(texts["quality_rules"])
-    comp = groups([print_of(texts["quality_rules"][i]) for i in ids])
-    assert set(texts["near_dedup"]) == {ids[c] for c in set(comp)}
+    before, after = texts["quality_rules"], set(texts["near_dedup"])
+    sets = {i: shingles(t) for i, t in before.items()}
+    alike = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in sets for j in sets if i < j}
+    assert after <= set(before) and min(before) in after
+    assert all(any(x > 0.6 and i in p for p, x in alike.items()) for i in set(before) - after)  # nothing goes without a likeness
+    assert sum({i, j} <= after for (i, j), x in alike.items() if x >= 0.8) == 0
     bench = [r.text for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
     assert not any(b in t for t in texts["decontamination"].values() for b in bench)
     assert set(texts["pii"]) == set(texts["decontamination"]) and not any(spans(t) for t in texts["pii"].values())
