@@ -54,13 +54,13 @@ def metric_columns(keep: Column | None = None) -> dict[str, Column]:
     """Each metric as an aggregate over paired items, optionally over the kept ones only."""
     on = (lambda c: c) if keep is None else (lambda c: F.when(keep, c))
     pa, pb = on(F.col("pa")), on(F.col("pb"))
-    na, nb = F.col("pa") / F.col("ta"), F.col("pb") / F.col("tb")
+    na, nb = ratio(F.col("pa"), F.col("ta")), ratio(F.col("pb"), F.col("tb"))
     m = (na + nb) / 2
     dot, qa, qb = F.sum(pa * pb), F.sum(pa * pa), F.sum(pb * pb)
     return {
         "cosine": F.when((qa > 0) & (qb > 0), dot / F.sqrt(qa * qb)),
-        "jensen_shannon": 1 - F.sqrt(F.greatest((_kl(na, m) + _kl(nb, m)) / 2, F.lit(0.0))),
-        "bray_curtis": 1 - F.sum(F.abs(pa - pb)) / F.sum(pa + pb),
+        "jensen_shannon": F.when((F.max("ta") > 0) & (F.max("tb") > 0), 1 - F.sqrt(F.greatest((_kl(na, m) + _kl(nb, m)) / 2, F.lit(0.0)))),
+        "bray_curtis": 1 - ratio(F.sum(F.abs(pa - pb)), F.sum(pa + pb)),
         "spearman": F.corr(on(F.col("ra")).cast("double"), on(F.col("rb")).cast("double")),
     }
 
@@ -146,7 +146,7 @@ def mix_sensitivity(standardised: DataFrame) -> DataFrame:
     s = standardised.na.fill(0.0, ["crude_share", "standardised_share"])
     a = s.select(F.col("entity").alias("entity_a"), "item", F.col("crude_share").alias("ca"), F.col("standardised_share").alias("sa"), F.col("weight_covered").alias("wa"))
     b = s.select(F.col("entity").alias("entity_b"), "item", F.col("crude_share").alias("cb"), F.col("standardised_share").alias("sb"), F.col("weight_covered").alias("wb"))
-    cos = lambda x, y: F.sum(F.col(x) * F.col(y)) / F.sqrt(F.sum(F.col(x) * F.col(x)) * F.sum(F.col(y) * F.col(y)))
+    cos = lambda x, y: ratio(F.sum(F.col(x) * F.col(y)), F.sqrt(F.sum(F.col(x) * F.col(x)) * F.sum(F.col(y) * F.col(y))))
     out = a.join(b, "item").filter("entity_a < entity_b").groupBy("entity_a", "entity_b").agg(cos("ca", "cb").alias("crude"), cos("sa", "sb").alias("standardised"), F.count("*").alias("items_used"), F.least(F.min("wa"), F.min("wb")).alias("weight_covered_min"))
     out = out.withColumns({"mix_effect": F.col("crude") - F.col("standardised"), "rank_crude": _rank("crude"), "rank_standardised": _rank("standardised")})
     return out.withColumn("rank_move", F.col("rank_standardised") - F.col("rank_crude"))

@@ -14,8 +14,8 @@ OWN = {"AUTOMOBILE": "hot", "BUILDING": "red", "FURNITURE": "blue", "HOUSEHOLD":
 ORIGIN = {"AUTOMOBILE": "cold", "BUILDING": "old"}
 
 
-def _year(spark, d):
-    return roles.in_year(roles.order_postings(spark, d), 1997)
+def _postings(spark, d):
+    return roles.order_postings(spark, d)
 
 
 def vendors(spark, d):
@@ -71,7 +71,7 @@ def bh_sql(source: str, family: str, key: str, out: str) -> str:
 
 @query("compare_common_publishers", f"WITH {POSTINGS}, {COMMON} SELECT * FROM common")
 def common(spark, d):
-    return compare.common_publishers(_year(spark, d))
+    return compare.common_publishers(_postings(spark, d))
 
 
 @query(
@@ -80,7 +80,7 @@ def common(spark, d):
 SELECT sz.entity, common.publisher, coalesce(n, 0) AS postings, round(coalesce(n, 0) / a::DOUBLE, 6) AS share_of_entity, round(item_coverage, 6) AS item_coverage FROM sz CROSS JOIN common LEFT JOIN c ON c.entity = sz.entity AND c.publisher = common.publisher""",
 )
 def common_panel(spark, d):
-    return compare.common_panel(_year(spark, d))
+    return compare.common_panel(_postings(spark, d))
 
 
 BY_PERIOD = """bp AS (SELECT start, publisher FROM (SELECT DISTINCT CAST(date_trunc('month', day) AS DATE) AS start, publisher, entity FROM postings WHERE publisher IS NOT NULL) GROUP BY ALL HAVING count(*) = (SELECT count(DISTINCT entity) FROM postings)),
@@ -93,7 +93,7 @@ bps AS (SELECT start, count(*) AS n, string_agg(publisher, ', ' ORDER BY publish
 SELECT strftime(pr.start, '%Y-%m') AS period, coalesce(n, 0) AS n_common_publishers, entities_present, coalesce(publishers, '') AS publishers FROM pr LEFT JOIN bps ON bps.start = pr.start""",
 )
 def by_period(spark, d):
-    return compare.common_panel_by_period(_year(spark, d))
+    return compare.common_panel_by_period(_postings(spark, d))
 
 
 RELATIVE = f"""{COMMON}, hv AS (SELECT entity, count(*) FILTER (month(day) <= 6) AS h1, count(*) FILTER (month(day) > 6) AS h2 FROM postings SEMI JOIN common USING (publisher) GROUP BY 1),
@@ -106,7 +106,7 @@ relative AS (SELECT entity, h1 AS h1_postings, h2 AS h2_postings, h1_share, h2_s
 
 @query("compare_relative_share_table", f"WITH {POSTINGS}, {RELATIVE} SELECT * FROM relative")
 def relative(spark, d):
-    return compare.relative_share(_year(spark, d))
+    return compare.relative_share(_postings(spark, d))
 
 
 RELATIVE_BY = """rb0 AS (SELECT publisher, entity, count(*) FILTER (month(day) <= 6) AS h1, count(*) FILTER (month(day) > 6) AS h2 FROM postings SEMI JOIN common USING (publisher) GROUP BY ALL),
@@ -116,7 +116,7 @@ relby AS (SELECT publisher, entity, h1 AS h1_postings, h2 AS h2_postings, t1 AS
 
 @query("compare_relative_share_by_publisher", f"WITH {POSTINGS}, {COMMON}, {RELATIVE_BY} SELECT * FROM relby")
 def relative_by(spark, d):
-    return compare.relative_share_by_publisher(_year(spark, d))
+    return compare.relative_share_by_publisher(_postings(spark, d))
 
 
 @query(
@@ -125,7 +125,7 @@ def relative_by(spark, d):
 SELECT entity, pooled AS pooled_log_share_change, n AS publishers_tested, agree AS publishers_agreeing, CASE WHEN agree = n THEN 'confirmed' WHEN agree > n / 2.0 THEN 'mixed' ELSE 'not supported' END AS verdict, CASE WHEN pooled > 0 THEN 'gaining share' WHEN pooled < 0 THEN 'losing share' ELSE 'flat' END AS direction FROM v""",
 )
 def relative_verdict(spark, d):
-    p = _year(spark, d)
+    p = _postings(spark, d)
     return compare.relative_share_verdict(compare.relative_share_by_publisher(p), compare.relative_share(p))
 
 
@@ -136,7 +136,7 @@ j AS (SELECT entity, raw_h1, raw_h2, coalesce(b1, 0) AS balanced_h1, coalesce(b2
 SELECT entity, raw_h1, raw_h2, balanced_h1, balanced_h2, round(rc, 6) AS raw_pct_change, round(bc, 6) AS balanced_pct_change, coalesce(sign(rc) = sign(bc), FALSE) AS agrees FROM k""",
 )
 def half_over_half(spark, d):
-    return compare.half_over_half(_year(spark, d))
+    return compare.half_over_half(_postings(spark, d))
 
 
 CELLS = """st AS (SELECT *, CAST(date_trunc('month', day) AS DATE) AS start FROM postings),
@@ -150,12 +150,12 @@ q AS (SELECT pp.*, dp FROM pp JOIN (SELECT start, count(DISTINCT publisher) AS d
 SELECT strftime(start, '%Y-%m') AS period, postings, dp AS distinct_publishers, below AS entities_below_own_median, ents AS n_entities, round(postings / dp::DOUBLE, 6) AS postings_per_publisher, below >= ents - 1 AND dp < (SELECT median(dp::DOUBLE) FROM q) AS shared_thin_month FROM q""",
 )
 def artefacts(spark, d):
-    return compare.collection_artefacts(_year(spark, d))
+    return compare.collection_artefacts(_postings(spark, d))
 
 
 @query("compare_entity_correlation", f"WITH {POSTINGS}, {CELLS} SELECT a.entity, b.entity AS other, round(corr(a.n, b.n), 6) AS r FROM cells a JOIN cells b USING (start) GROUP BY ALL")
 def correlation(spark, d):
-    return compare.entity_correlation(_year(spark, d))
+    return compare.entity_correlation(_postings(spark, d))
 
 
 COMPARABLE = f"""{VERDICT}, {COMMON},
@@ -171,7 +171,7 @@ gate AS (SELECT ga.*, tp.publisher AS top_publisher, tp.s AS top_publisher_share
     f"""WITH {POSTINGS}, {COMPARABLE} SELECT * REPLACE (round(balanced_panel_share, 6) AS balanced_panel_share, round(common_panel_share, 6) AS common_panel_share, round(item_coverage, 6) AS item_coverage, round(item_coverage_ex_excluded, 6) AS item_coverage_ex_excluded, round(excluded_share, 6) AS excluded_share, round(top_publisher_share, 6) AS top_publisher_share) FROM gate""",
 )
 def comparability(spark, d):
-    return compare.comparability(_year(spark, d))
+    return compare.comparability(_postings(spark, d))
 
 
 @query(
@@ -180,7 +180,7 @@ def comparability(spark, d):
 SELECT failing = '' AS identified, CASE WHEN failing = '' THEN 'all entities clear the common-panel floor' ELSE 'common-panel coverage below the floor for ' || failing END AS reason FROM f""",
 )
 def level_verdict(spark, d):
-    return compare.level_verdict(compare.comparability(_year(spark, d)))
+    return compare.level_verdict(compare.comparability(_postings(spark, d)))
 
 
 MIX = "mx0 AS (SELECT entity, coalesce(segment, 'Unknown') AS segment, count(*) AS postings FROM postings GROUP BY ALL), mx AS (SELECT *, CAST(sum(postings) OVER (PARTITION BY entity) AS BIGINT) AS entity_postings, postings / sum(postings) OVER (PARTITION BY entity)::DOUBLE AS share FROM mx0)"
@@ -189,7 +189,7 @@ _lo, _hi = wilson_sql("postings", "entity_postings")
 
 @query("compare_mix", f"WITH {POSTINGS}, {MIX} SELECT entity, segment, postings, entity_postings, round(share, 6) AS share, round({_lo}, 6) AS ci_low, round({_hi}, 6) AS ci_high FROM mx")
 def mix(spark, d):
-    return compare.mix(_year(spark, d))
+    return compare.mix(_postings(spark, d))
 
 
 @query(
@@ -198,7 +198,7 @@ def mix(spark, d):
 SELECT a.entity, b.entity AS other, round(sum(abs(a.share - b.share)) / 2, 6) AS distance FROM g a JOIN g b USING (segment) GROUP BY ALL""",
 )
 def mix_distance(spark, d):
-    return compare.mix_distance(compare.mix(_year(spark, d)))
+    return compare.mix_distance(compare.mix(_postings(spark, d)))
 
 
 def weights_sql(source: str, name: str = "wts") -> str:
@@ -207,7 +207,7 @@ def weights_sql(source: str, name: str = "wts") -> str:
 
 @query("compare_pooled_weights", f"WITH {POSTINGS}, {weights_sql('postings')} SELECT segment, round(weight, 6) AS weight FROM wts")
 def weights(spark, d):
-    return compare.pooled_weights(_year(spark, d))
+    return compare.pooled_weights(_postings(spark, d))
 
 
 STANDARD = "std AS (SELECT {by}, sum(k) / sum(n)::DOUBLE AS crude, sum(CASE WHEN n >= 10 THEN coalesce(weight, 0) * k / n END) / nullif(sum(CASE WHEN n >= 10 THEN coalesce(weight, 0) END), 0) AS standardised, coalesce(sum(CASE WHEN n >= 10 THEN coalesce(weight, 0) END), 0) AS weight_covered, count(*) FILTER (n >= 10) AS strata_used FROM cl LEFT JOIN wts USING (segment) GROUP BY ALL)"
@@ -219,7 +219,7 @@ STANDARD = "std AS (SELECT {by}, sum(k) / sum(n)::DOUBLE AS crude, sum(CASE WHEN
 SELECT entity, round(crude, 6) AS crude, round(weight_covered, 6) AS weight_covered, strata_used, round(standardised, 6) AS standardised, round(crude - standardised, 6) AS mix_effect FROM std""",
 )
 def standardised_rate(spark, d):
-    return compare.standardised_rate(_year(spark, d))
+    return compare.standardised_rate(_postings(spark, d))
 
 
 SHARE = f"""{ELIGIBLE}, ns AS (SELECT entity, count(*) AS n_skilled FROM base GROUP BY 1),
@@ -351,7 +351,7 @@ def robustness(spark, d):
 SELECT *, CASE WHEN postings < 440 OR months < 10 THEN 'excluded' ELSE 'included' END AS verdict, concat_ws('; ', CASE WHEN postings < 440 THEN postings || ' postings (need 440)' END, CASE WHEN months < 10 THEN months || ' months (need 10)' END) AS reason FROM g""",
 )
 def feasibility(spark, d):
-    return compare.feasibility_screen(_year(spark, d), min_postings=440)
+    return compare.feasibility_screen(_postings(spark, d), min_postings=440)
 
 
 _LESS = RELATIVE.replace("common AS", "common2 AS").replace("hv AS", "hv2 AS").replace("dn0 AS", "dn02 AS").replace("dn1 AS", "dn12 AS").replace("dn2 AS", "dn22 AS").replace("relative AS", "relative2 AS")
@@ -366,6 +366,6 @@ for _a, _b in (("FROM postings", "FROM kept"), ("SEMI JOIN common ", "SEMI JOIN
 def half_without(spark, d):
     from pyspark.sql import functions as F
 
-    p = _year(spark, d)
+    p = _postings(spark, d)
     february = p.select(F.trunc("day", "MM").alias("start")).distinct().filter(F.month("start") == 2)
     return compare.half_without(p, february)

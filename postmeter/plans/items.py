@@ -11,7 +11,7 @@ ALL_ITEMS = f"{POSTINGS}, {ITEMS}"
 
 def bound(spark, d):
     """(postings, items, long) of the year."""
-    p, i = roles.in_year(roles.order_postings(spark, d), 1997), roles.order_items(spark, d)
+    p, i = roles.order_postings(spark, d), roles.order_items(spark, d)
     return p, i, items.long_table(p, i)
 
 
@@ -60,7 +60,7 @@ b AS (SELECT a.entity, a.item AS item_a, b.item AS item_b, count(*) AS n_both FR
 SELECT b.entity, item_a, item_b, n_both, x.n AS n_a, y.n AS n_b, round(n_both / (x.n + y.n - n_both)::DOUBLE, 6) AS jaccard FROM b JOIN t x ON x.entity = b.entity AND x.item = item_a JOIN t y ON y.entity = b.entity AND y.item = item_b""",
 )
 def cooccurrence(spark, d):
-    return items.cooccurrence(items.long_table(roles.order_postings(spark, d), roles.order_items(spark, d)).filter("day >= '1997-01-01' and day < '1998-01-01'"))
+    return items.cooccurrence(items.long_table(roles.order_postings(spark, d), roles.order_items(spark, d)))
 
 
 HALF = "count(DISTINCT id) FILTER (month(day) <= 6) AS n_h1, count(DISTINCT id) FILTER (month(day) > 6) AS n_h2"

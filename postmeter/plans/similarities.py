@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from postmeter.operators import compare, forecast, similarity
 from postmeter.plans.comparison import SHARE, VENDORS, HITS, STANDARD, TOP, vendors, weights_sql
-from postmeter.plans.forecasting import ALL_POSTINGS, SERIES, _two_years, gate_sql
+from postmeter.plans.forecasting import ALL_POSTINGS, SERIES, _postings, gate_sql
 from postmeter.plans.items import ALL_ITEMS, bound
 from postmeter.plans.registry import query
 
@@ -17,7 +17,7 @@ COS = "sum(pa * pb) {f} / sqrt(sum(pa * pa) {f} * sum(pb * pb) {f})"
 NAMES = ("cosine", "jensen_shannon", "bray_curtis", "spearman", "jaccard_supported")
 _RK = lambda c: f"rank() OVER (ORDER BY round({c}, 4) DESC NULLS LAST)"
 PAIRS = f"""pt0 AS (SELECT entity_a, entity_b, {COS.format(f='')} AS cosine, 1 - sqrt(greatest((sum(CASE WHEN na > 0 THEN na * log2(na / ((na + nb) / 2)) ELSE 0 END) + sum(CASE WHEN nb > 0 THEN nb * log2(nb / ((na + nb) / 2)) ELSE 0 END)) / 2, 0)) AS jensen_shannon,
- 1 - sum(abs(pa - pb)) / sum(pa + pb) AS bray_curtis, corr(ra, rb) AS spearman, count(*) FILTER (ka >= 10 AND kb >= 10) / nullif(count(*) FILTER (ka >= 10 OR kb >= 10), 0)::DOUBLE AS jaccard_supported FROM pd GROUP BY ALL),
+ 1 - sum(abs(pa - pb)) / nullif(sum(pa + pb), 0) AS bray_curtis, corr(ra, rb) AS spearman, count(*) FILTER (ka >= 10 AND kb >= 10) / nullif(count(*) FILTER (ka >= 10 OR kb >= 10), 0)::DOUBLE AS jaccard_supported FROM pd GROUP BY ALL),
 pt AS (SELECT *, {', '.join(f'{_RK(n)} AS rank_{n}' for n in NAMES)} FROM pt0)"""
 _BASE = f"WITH {ALL_ITEMS}, {PROFILE}"
 _R = lambda cols: ", ".join(f"round({c}, 6) AS {c}" for c in cols)
@@ -93,7 +93,7 @@ def contribution(spark, d):
     return similarity.numerator_contribution(profile(spark, d), {"rings": F.col("item").endswith(" ring")})
 
 
-_C = "sum({0}a * {0}b) / sqrt(sum({0}a * {0}a) * sum({0}b * {0}b))"
+_C = "sum({0}a * {0}b) / nullif(sqrt(sum({0}a * {0}a) * sum({0}b * {0}b)), 0)"
 
 
 @query(
@@ -136,13 +136,13 @@ q AS (SELECT p.*, ga.verdict = 'forecastable' AS gate_a, gb.verdict = 'forecasta
 SELECT entity_a, entity_b, gate_a, gate_b, n_periods, round(r, 6) AS r_log_share, round(rc, 6) AS r_clr, round(av, 6) AS aitchison_variation, round(lo, 6) AS ci_low, round(hi, 6) AS ci_high, round(hi - lo, 6) AS ci_width, gate_a AND gate_b AND n_periods >= 8 AS eligible, lo > 0 OR hi < 0 AS excludes_zero FROM q""",
 )
 def trajectories(spark, d):
-    s = forecast.panel_share_series(_two_years(spark, d))
+    s = forecast.panel_share_series(_postings(spark, d))
     return similarity.trajectories(s, forecast.forecastability(s, min_cell=3))
 
 
 @query("similarity_trajectory_verdict")
 def trajectory_verdict(spark, d):
-    s = forecast.panel_share_series(_two_years(spark, d))
+    s = forecast.panel_share_series(_postings(spark, d))
     return similarity.trajectory_verdict(similarity.trajectories(s, forecast.forecastability(s, min_cell=3)), similarity.closure_null(spark, 24, 5))
 
 

@@ -10,8 +10,8 @@ from postmeter.plans.comparison import RELATIVE, RELATIVE_BY
 from postmeter.plans.registry import POSTINGS, query
 
 
-def _year(spark, d):
-    return roles.in_year(roles.order_postings(spark, d), 1997)
+def _postings(spark, d):
+    return roles.order_postings(spark, d)
 
 
 @query(
@@ -22,17 +22,17 @@ g AS (SELECT entity, count(*) AS postings, count(value) AS disclosed, count(DIST
 SELECT g.entity, postings, disclosed, publishers_disclosing, a.segment AS modal_all, round(a.s, 6) AS modal_share_all, b.segment AS modal_disclosed, round(b.s, 6) AS modal_share_disclosed, round(disclosed / postings::DOUBLE, 6) AS disclosed_share, round(100 * (b.s - a.s), 6) AS shift_pp FROM g LEFT JOIN a ON a.entity = g.entity AND a.r = 1 LEFT JOIN b ON b.entity = g.entity AND b.r = 1""",
 )
 def disclosure(spark, d):
-    return values.disclosure(_year(spark, d))
+    return values.disclosure(_postings(spark, d))
 
 
 @query("values_disclosure_by_publisher", f"WITH {POSTINGS} SELECT publisher, count(*) AS postings, count(value) AS disclosed, round(count(value) / count(*)::DOUBLE, 6) AS disclosed_share FROM postings GROUP BY 1")
 def by_publisher(spark, d):
-    return values.disclosure_by_publisher(_year(spark, d))
+    return values.disclosure_by_publisher(_postings(spark, d))
 
 
 @query("values_feasible_cells", f"WITH {POSTINGS}, c AS (SELECT publisher, entity FROM postings WHERE value IS NOT NULL GROUP BY ALL HAVING count(*) >= 5) SELECT publisher, count(*) AS entities, string_agg(entity, ', ' ORDER BY entity) AS names, count(*) * (count(*) - 1) // 2 AS pairs FROM c GROUP BY 1")
 def feasible(spark, d):
-    return values.feasible_cells(_year(spark, d))
+    return values.feasible_cells(_postings(spark, d))
 
 
 def _medians(by: str) -> str:
@@ -42,17 +42,17 @@ def _medians(by: str) -> str:
 
 @query("values_pair_medians", _medians("publisher"))
 def pair_medians(spark, d):
-    return values.pair_medians(_year(spark, d))
+    return values.pair_medians(_postings(spark, d))
 
 
 @query("values_pair_medians_by_segment", _medians("segment"))
 def pair_medians_segment(spark, d):
-    return values.pair_medians(_year(spark, d), ("segment",))
+    return values.pair_medians(_postings(spark, d), ("segment",))
 
 
 @query("values_pair_intervals")
 def pair_intervals(spark, d):
-    p = _year(spark, d)
+    p = _postings(spark, d)
     return values.pair_intervals(p, values.pair_medians(p))
 
 
@@ -61,13 +61,13 @@ FLOORS = """fl AS (SELECT b.entity, v.f AS floor, count(*) FILTER (least(b.h1_po
 
 @query("values_cell_floors", f"WITH {POSTINGS}, {RELATIVE}, {RELATIVE_BY}, {FLOORS}, t AS (SELECT *, greatest(agreeing, tested - agreeing) AS m FROM fl) SELECT entity, CAST(floor AS BIGINT) AS floor, tested, agreeing, tested > 0 AND tested = agreeing AS confirmed, CASE WHEN tested > 0 THEN round(least(1.0::DOUBLE, 2 * list_sum(list_transform(range(m, tested + 1), lambda k: factorial(tested::INT)::DOUBLE / (factorial(k::INT)::DOUBLE * factorial((tested - k)::INT)::DOUBLE))) / pow(2.0::DOUBLE, tested)), 6) END AS p_value FROM t")
 def cell_floors(spark, d):
-    p = _year(spark, d)
+    p = _postings(spark, d)
     return values.cell_floors(compare.relative_share_by_publisher(p), compare.relative_share(p))
 
 
 @query("values_floor_dependence")
 def floor_dependence(spark, d):
-    p = _year(spark, d)
+    p = _postings(spark, d)
     return values.floor_dependence(values.cell_floors(compare.relative_share_by_publisher(p), compare.relative_share(p)))
 
 

@@ -7,8 +7,8 @@ from postmeter.operators import volume
 from postmeter.plans.registry import EVENTS, POSTINGS, query
 
 
-def _year(spark, d):
-    return roles.in_year(roles.order_postings(spark, d), 1997)
+def _postings(spark, d):
+    return roles.order_postings(spark, d)
 
 
 SERIES = """
@@ -40,14 +40,14 @@ def observation_window(spark, d):
     return volume.observation_window(roles.order_postings(spark, d))
 
 
-@query("trends_volume_series_month", _volume("month", POSTINGS.replace("year(day) = 1997", "TRUE")))
+@query("trends_volume_series_month", _volume("month", POSTINGS))
 def volume_month(spark, d):
     return volume.volume_series(roles.order_postings(spark, d), "month")
 
 
 @query("trends_volume_series_quarter", _volume("quarter", POSTINGS))
 def volume_quarter(spark, d):
-    return volume.volume_series(_year(spark, d), "quarter")
+    return volume.volume_series(_postings(spark, d), "quarter")
 
 
 @query("trends_volume_series_week", _volume("week", EVENTS))
@@ -66,7 +66,7 @@ SELECT entity, strftime(start, '%G-W%V') AS period, round(CASE WHEN base <> 0 TH
 
 @query("trends_add_velocity", VELOCITY)
 def add_velocity(spark, d):
-    return volume.add_velocity(volume.volume_series(_year(spark, d), "week")).select("entity", "period", "index_base_100", "growth_pct", "log_growth", "rolling_mean", "acceleration")
+    return volume.add_velocity(volume.volume_series(_postings(spark, d), "week")).select("entity", "period", "index_base_100", "growth_pct", "log_growth", "rolling_mean", "acceleration")
 
 
 PRESENCE = "presence AS (SELECT entity, publisher, CAST(date_trunc('month', day) AS DATE) AS start, count(*) AS n FROM {p} WHERE publisher IS NOT NULL GROUP BY ALL), np AS (SELECT entity, count(DISTINCT start) AS periods FROM presence GROUP BY 1)"
@@ -76,7 +76,7 @@ PRES = PRESENCE.format(p="postings")
 
 @query("trends_publisher_presence", f"WITH {POSTINGS}, {PRES} SELECT * FROM presence")
 def presence(spark, d):
-    return volume.publisher_presence(_year(spark, d))
+    return volume.publisher_presence(_postings(spark, d))
 
 
 @query(
@@ -85,12 +85,12 @@ def presence(spark, d):
  round(count(*) / periods::DOUBLE, 6) AS coverage_of_periods, count(*) = periods AS is_continuous FROM presence JOIN np USING (entity) GROUP BY entity, publisher, periods""",
 )
 def panel(spark, d):
-    return volume.publisher_panel(_year(spark, d))
+    return volume.publisher_panel(_postings(spark, d))
 
 
 @query("trends_panel_publishers", f"WITH {POSTINGS}, {PRES}, {PANEL} SELECT * FROM panel")
 def panel_publishers(spark, d):
-    return volume.panel_publishers(_year(spark, d))
+    return volume.panel_publishers(_postings(spark, d))
 
 
 BALANCED = f"{PRES}, {PANEL}, onpanel AS (SELECT p.* FROM postings p SEMI JOIN panel USING (entity, publisher)), offpanel AS (SELECT * FROM postings WHERE entity NOT IN (SELECT entity FROM onpanel))"
@@ -109,7 +109,7 @@ balanced AS (SELECT entity, start, postings, publishers, days_in_period, days_ob
 
 @query("trends_balanced_volume_series", f"WITH {POSTINGS}, {_balanced_sql()} SELECT entity, strftime(start, '%Y-%m') AS period, postings, publishers, is_partial, round(ppw, 6) AS postings_per_week FROM balanced")
 def balanced(spark, d):
-    return volume.balanced_volume_series(_year(spark, d)).select("entity", "period", "postings", "publishers", "is_partial", "postings_per_week")
+    return volume.balanced_volume_series(_postings(spark, d)).select("entity", "period", "postings", "publishers", "is_partial", "postings_per_week")
 
 
 def _matched_sql(method: str) -> str:
@@ -132,7 +132,7 @@ for _method in ("chained", "bilateral"):
         f"WITH {POSTINGS}, {PRES}, {_matched_sql(_method)} SELECT entity, start, strftime(start, '%Y-%m') AS period, round(idx, 6) AS index, matched AS matched_publishers, base AS base_postings, cur AS period_postings FROM {_method}",
     )
     def matched(spark, d, method=_method):
-        return volume.matched_index(_year(spark, d), "month", method)
+        return volume.matched_index(_postings(spark, d), "month", method)
 
 
 _ALL = "PARTITION BY entity ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
@@ -148,7 +148,7 @@ sens AS (SELECT *, 100 * raw_postings / nullif(first_value(raw_postings) OVER ({
  round(bilateral_index, 6) AS bilateral_index, bilateral_matched, round(raw_index, 6) AS raw_index, round(balanced_index, 6) AS balanced_index FROM sens""",
 )
 def sensitivity(spark, d):
-    return volume.panel_sensitivity(_year(spark, d)).drop("start")
+    return volume.panel_sensitivity(_postings(spark, d)).drop("start")
 
 
 VERDICT = f"""{SENSITIVITY},
@@ -161,7 +161,7 @@ verdict AS (SELECT entity, CASE WHEN len(labels) = 0 THEN 'unresolved' WHEN len(
 
 @query("trends_panel_verdict", f"WITH {POSTINGS}, {VERDICT} SELECT * FROM verdict")
 def verdict(spark, d):
-    return volume.panel_verdict(volume.panel_sensitivity(_year(spark, d)))
+    return volume.panel_verdict(volume.panel_sensitivity(_postings(spark, d)))
 
 
 def _middle(name: str, frame: str) -> str:
@@ -179,7 +179,7 @@ spikes AS (SELECT *, coalesce(rz >= 3.5 OR (rz IS NULL AND pz >= 3), FALSE) AS i
 
 @query("trends_robust_spikes", f"WITH {POSTINGS}, {SPIKES} SELECT entity, strftime(start, '%G-W%V') AS period, postings, round(med, 6) AS local_median, round(rz, 6) AS robust_z, round(pz, 6) AS poisson_z, is_spike, is_trough FROM spikes")
 def spikes(spark, d):
-    return volume.robust_spikes(volume.volume_series(_year(spark, d), "week")).select("entity", "period", "postings", "local_median", "robust_z", "poisson_z", "is_spike", "is_trough")
+    return volume.robust_spikes(volume.volume_series(_postings(spark, d), "week")).select("entity", "period", "postings", "local_median", "robust_z", "poisson_z", "is_spike", "is_trough")
 
 
 @query("trends_batch_table", f"WITH {EVENTS} SELECT entity, publisher, day, count(*) AS postings FROM postings GROUP BY ALL HAVING count(*) >= 3")
@@ -201,7 +201,7 @@ SELECT entity, period, postings, round(med, 6) AS local_median, round(excess, 6)
 
 @query("trends_attribute_spikes", ATTRIBUTE)
 def attribute(spark, d):
-    p = _year(spark, d)
+    p = _postings(spark, d)
     return volume.attribute_spikes(p, volume.robust_spikes(volume.volume_series(p, "week")), "week")
 
 
@@ -212,7 +212,7 @@ e AS (SELECT entity, date_trunc('month', day) AS start, segment, count(*) AS pos
 SELECT entity, strftime(start, '%Y-%m') AS period, segment, postings, CAST(sum(postings) OVER (PARTITION BY entity, start) AS BIGINT) AS period_postings, round(postings / sum(postings) OVER (PARTITION BY entity, start)::DOUBLE, 6) AS share_of_period FROM e""",
 )
 def segments(spark, d):
-    return volume.segment_series(_year(spark, d))
+    return volume.segment_series(_postings(spark, d))
 
 
 def _segment_sql(source: str, panel: str) -> str:
@@ -226,7 +226,7 @@ SELECT entity, segment, n_h1, n_h2, share_h1, share_h2, share_delta, count_chang
 
 @query("trends_segment_trend", f"WITH {POSTINGS} SELECT * FROM {_segment_sql('postings', 'raw')}")
 def segment_trend(spark, d):
-    return volume.segment_trend(_year(spark, d))
+    return volume.segment_trend(_postings(spark, d))
 
 
 @query(
@@ -235,7 +235,7 @@ def segment_trend(spark, d):
 SELECT r.*, b.n_h1 AS n_h1_balanced, b.n_h2 AS n_h2_balanced, b.share_change_pct AS share_change_pct_balanced, coalesce(b.direction, 'no_panel') AS direction_balanced, r.direction = coalesce(b.direction, 'no_panel') AS directions_agree FROM r LEFT JOIN b USING (entity, segment)""",
 )
 def compare_panels(spark, d):
-    return volume.compare_panels(_year(spark, d))
+    return volume.compare_panels(_postings(spark, d))
 
 
 @query(

@@ -51,7 +51,3 @@ def event_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("value").alias("value"),
         (F.col("value") > 5).alias("has_item"),
     )
-
-
-def in_year(postings: DataFrame, year: int) -> DataFrame:
-    return postings.filter((F.col("day") >= f"{year}-01-01") & (F.col("day") < f"{year + 1}-01-01"))
