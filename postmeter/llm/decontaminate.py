@@ -16,15 +16,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmeter.llm.common import Memo, batches_of, durable, mix64, set_aside
+from postmeter.llm.common import Memo, batches_of, durable, mix64
 
 #: The masks; 1 is a token that counts, 0 one that is ignored.
 MASKS = ("111111", "1101011", "110010111", "1011000111")
 #: A verified overlap has at least so many aligned tokens (the whole item if it is shorter), this share of them equal.
 MIN_TOKENS, MIN_EQUAL = 12, 0.8
-#: The filter has BITS_EACH bits for each hash of the benchmark, rounded up to a power of two between these bounds; the upper one bounds what is
-#: broadcast (64 MB). A filter that is fuller than meant lets more hashes through to the join, which is exact.
-BITS_EACH, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 29
+#: The filter has BITS_EACH bits for each hash of the benchmark, rounded up to a power of two between these bounds, of which PROBES are set: about
+#: one in 100,000 other hashes passes. The upper bound limits what is broadcast (64 MB). A fuller filter lets more through to the join, which is exact.
+BITS_EACH, PROBES, LEAST_BITS, MOST_BITS = 32, 8, 1 << 20, 1 << 29
 #: Bits of the filter that are packed together.
 PAGE = 1 << 17
 ADDED = ("contaminated", "n_items", "item_ids", "best_overlap")
@@ -109,19 +109,38 @@ def seeds_of(items: DataFrame, masks: dict[int, list[str]]) -> DataFrame:
     return items.select("item", "tokens").mapInArrow(seed, "h long, item long, at int")
 
 
+def _probe(h: np.ndarray, k: int, bits: int) -> np.ndarray:
+    """The place that probe k of each hash has in a filter of a power of two bits."""
+    return ((h + np.uint64(k) * ((h >> np.uint64(32)) | np.uint64(1))) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def passes(known: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Places in h of the hashes that the filter lets through."""
+    at = np.arange(len(h))
+    for k in range(PROBES):
+        place = _probe(h[at], k, len(known) * 8)
+        at = at[(known[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1]
+    return at
+
+
 def filter_of(seeds: DataFrame) -> np.ndarray:
-    """A bit for each hash of the benchmark. Pages of it are packed by tasks; its size is bounded by MOST_BITS."""
+    """The filter of the benchmark's hashes. Pages of it are packed by tasks; its size is bounded by MOST_BITS."""
     bits, wanted = LEAST_BITS, BITS_EACH * seeds.count()
     while bits < min(wanted, MOST_BITS):
         bits *= 2
-    place = F.pmod("h", F.lit(bits))
-    distinct = seeds.select(F.floor(place / PAGE).cast("int").alias("page"), (place % PAGE).cast("int").alias("bit")).distinct()
+
+    def deal(batches):
+        for b in batches:
+            h = np.unique(b.column("h").to_numpy()).view(np.uint64)
+            place = np.unique(np.concatenate([_probe(h, k, bits) for k in range(PROBES)]))
+            yield pa.RecordBatch.from_pydict({"page": (place // PAGE).astype(np.int32), "bit": (place % PAGE).astype(np.int32)})
 
     def packed(key, table):
         page = np.zeros(PAGE, np.uint8)
         page[table.column("bit").to_numpy()] = 1
         return pa.Table.from_pydict({"page": pa.array([key[0].as_py()], pa.int32()), "packed": [np.packbits(page, bitorder="little").tobytes()]})
 
+    distinct = seeds.select("h").mapInArrow(deal, "page int, bit int").distinct()
     out = np.zeros(bits // 8, np.uint8)
     for page, data in distinct.groupBy("page").applyInArrow(packed, "page int, packed binary").toLocalIterator():
         out[page * PAGE // 8 : (page + 1) * PAGE // 8] = np.frombuffer(bytes(data), np.uint8)
@@ -135,7 +154,6 @@ def hits_of(docs: DataFrame, masks: dict[int, list[str]], shared) -> DataFrame:
 
     def search(batches):
         known, ids = shared.value, Memo(_hash)
-        bits = len(known) * 8
         for b in batches:
             texts = b.column("text").to_pylist()
             rows, hits, kept = [], [], []
@@ -145,8 +163,7 @@ def hits_of(docs: DataFrame, masks: dict[int, list[str]], shared) -> DataFrame:
                 found_h, found_at = [], []
                 for m in every:
                     s = _seeds(tokens, m)
-                    place = s.view(np.int64) % bits  # as Spark's pmod
-                    at = np.flatnonzero((known[place >> 3] >> (place & 7).astype(np.uint8)) & 1)
+                    at = passes(known, s)
                     row = np.searchsorted(ends, at, side="right")
                     at = at[at + len(m) <= ends[row]] if len(at) else at  # a hash over two texts is none of either
                     found_h.append(s[at])
@@ -243,6 +260,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs, with docs' columns, in which no benchmark item is found."""
-    docs, own = set_aside(docs, ADDED)
-    return contamination(docs, benchmark).filter("not contaminated").select(*own)
+    """The rows of docs, with docs' columns, in which no benchmark item is found. Only keys of those that go are joined."""
+    own = F.xxhash64("text")
+    found = durable(found_items(docs.select("doc_id", own.alias("own"), "text"), benchmark).select("doc_id", "own"))
+    gone = found.withColumnsRenamed({"doc_id": "_doc", "own": "_gone"})
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_doc"]) & (own == gone["_gone"]), "left_anti")
