@@ -12,12 +12,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postmeter.functions.stats import average_rank, fisher_interval, ratio
+from postmeter.functions.stats import average_rank, correlation, fisher_interval, ratio
 from postmeter.operators.items import denominator
 
 METRICS = ("cosine", "jensen_shannon", "bray_curtis", "spearman")
 FAMILIES = {"cosine": "prevalence_weighted", "jensen_shannon": "prevalence_weighted", "bray_curtis": "prevalence_weighted", "spearman": "rank", "jaccard_supported": "set"}
 MIN_CELL, STABILITY_FLOOR, SEED, MIN_PERIODS = 10, 0.90, 20260818, 8
+#: Dispersion of a closure null where a series has too few periods for one of its own.
+DEFAULT_SIGMA = 0.3
+#: Sums for entity and item, each over all draws, that a task holds before it sends them.
+HELD_CELLS = 20_000
 
 
 def profiles(postings: DataFrame, items: DataFrame) -> DataFrame:
@@ -61,7 +65,7 @@ def metric_columns(keep: Column | None = None) -> dict[str, Column]:
         "cosine": F.when((qa > 0) & (qb > 0), dot / F.sqrt(qa * qb)),
         "jensen_shannon": F.when((F.max("ta") > 0) & (F.max("tb") > 0), 1 - F.sqrt(F.greatest((_kl(na, m) + _kl(nb, m)) / 2, F.lit(0.0)))),
         "bray_curtis": 1 - ratio(F.sum(F.abs(pa - pb)), F.sum(pa + pb)),
-        "spearman": F.corr(on(F.col("ra")).cast("double"), on(F.col("rb")).cast("double")),
+        "spearman": correlation(on(F.col("ra")), on(F.col("rb"))),
     }
 
 
@@ -94,7 +98,7 @@ def concordance(pairs: DataFrame) -> DataFrame:
     names = [*METRICS, "jaccard_supported"]
     ranked = pairs.withColumns({f"r_{m}": average_rank(F.col(f"rank_{m}"), []) for m in names})
     combos = list(itertools.combinations(names, 2))
-    row = ranked.agg(*(F.corr(f"r_{a}", f"r_{b}").alias(f"{a}|{b}") for a, b in combos))
+    row = ranked.agg(*(correlation(F.col(f"r_{a}"), F.col(f"r_{b}")).alias(f"{a}|{b}") for a, b in combos))
     each = F.explode(F.array(*(F.struct(F.lit(a).alias("metric_a"), F.lit(b).alias("metric_b"), F.lit(FAMILIES[a] == FAMILIES[b]).alias("same_family"), F.col(f"`{a}|{b}`").alias("rank_correlation")) for a, b in combos)))
     return row.select(each.alias("x")).select("x.*")
 
@@ -152,19 +156,6 @@ def mix_sensitivity(standardised: DataFrame) -> DataFrame:
     return out.withColumn("rank_move", F.col("rank_standardised") - F.col("rank_crude"))
 
 
-def _wide(profile: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Entities, their sizes and their counts by item: entities x vocabulary, an aggregate that no number of postings enlarges."""
-    rows = profile.select("entity", "item", "k", "n").collect()
-    t = pd.DataFrame(rows, columns=["entity", "item", "k", "n"])
-    k = t.pivot(index="entity", columns="item", values="k").sort_index()
-    return list(k.index), t.groupby("entity").n.first().sort_index().to_numpy(), k.to_numpy()
-
-
-def cosine(a: np.ndarray, b: np.ndarray) -> float:
-    n = np.sqrt((a * a).sum() * (b * b).sum())
-    return float((a * b).sum() / n) if n else float("nan")
-
-
 def draws(spark, n: int, make, schema: str, seed: int = SEED, tasks: int = 8) -> DataFrame:
     """n simulated draws spread over tasks; make(rng, draw) yields rows. Each draw has a generator of its own, so any order of tasks gives the same rows."""
 
@@ -177,19 +168,29 @@ def draws(spark, n: int, make, schema: str, seed: int = SEED, tasks: int = 8) ->
 
 
 def null_draws(profile: DataFrame, kind: str, n: int = 300) -> DataFrame:
-    """Cosines of every pair under a null: identical (both drawn from the pooled profile) or unrelated (shares permuted)."""
-    names, size, k = _wide(profile)
-    pooled, share = k.sum(axis=0) / size.sum(), k / size[:, None]
-
-    def make(rng, d):
+    """Cosines of every pair under a null: identical (all drawn from the pooled profile) or unrelated (shares permuted).
+
+    A draw is one group of the profile's rows, entities times vocabulary, whatever the number of postings."""
+    pooled = pooled_profile(profile).withColumnRenamed("share", "pooled")
+    each = profile.join(pooled, "item").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+
+    def one(key, t: pd.DataFrame) -> pd.DataFrame:
+        rng = np.random.default_rng([SEED + (kind == "identical"), int(key[0])])
+        t = t.sort_values(["entity", "item"])
+        if kind == "identical":
+            t["x"] = rng.binomial(t["n"].to_numpy(), np.clip(t["pooled"].to_numpy(), 0, 1)) / t["n"].to_numpy()
+        else:
+            t["x"] = np.concatenate([rng.permutation(g.to_numpy()) for _, g in t.groupby("entity")["share"]])
+        wide = t.pivot(index="entity", columns="item", values="x").fillna(0.0)
+        names, m = list(wide.index), wide.to_numpy()
+        norm = np.sqrt((m * m).sum(axis=1))
+        rows = []
         for i, j in itertools.combinations(range(len(names)), 2):
-            if kind == "identical":
-                a, b = rng.binomial(size[i], pooled) / size[i], rng.binomial(size[j], pooled) / size[j]
-            else:
-                a, b = rng.permutation(share[i]), rng.permutation(share[j])
-            yield d, names[i], names[j], cosine(a, b)
+            both = norm[i] * norm[j]
+            rows.append((int(key[0]), names[i], names[j], float(m[i] @ m[j] / both) if both else None))
+        return pd.DataFrame(rows, columns=["draw", "entity_a", "entity_b", "value"])
 
-    return draws(profile.sparkSession, n, make, "draw int, entity_a string, entity_b string, value double", SEED + (kind == "identical"))
+    return each.groupBy("draw").applyInPandas(one, "draw int, entity_a string, entity_b string, value double")
 
 
 def calibration(profile: DataFrame, n: int = 300) -> DataFrame:
@@ -207,25 +208,67 @@ def posting_patterns(postings: DataFrame, items: DataFrame) -> DataFrame:
     return per.groupBy("entity", "pattern").agg(F.count("*").alias("n"))
 
 
-def bootstrap(profile: DataFrame, n: int = 600) -> DataFrame:
-    """Interval and rank stability of every pair's cosine. Each entity's item counts are redrawn at its own size; counts come from
-    aggregates, so the work does not grow with postings (items of a posting are redrawn independently)."""
-    names, size, k = _wide(profile)
-    share = k / size[:, None]
-    pairs = list(itertools.combinations(range(len(names)), 2))
-    observed = np.array([cosine(share[i], share[j]) for i, j in pairs])
-    rank = lambda v: (v[:, None] < v[None, :]).sum(axis=1) + 1
-    own = rank(observed)
+def resampled(patterns: DataFrame, n: int = 600, seed: int = SEED) -> DataFrame:
+    """draw, entity, item, k: item counts when whole postings are redrawn with replacement within their entity.
 
-    def make(rng, d):
-        drawn = np.stack([rng.binomial(size[i], share[i]) / size[i] for i in range(len(names))])
-        v = np.array([cosine(drawn[i], drawn[j]) for i, j in pairs])
-        for p, (i, j) in enumerate(pairs):
-            yield d, names[i], names[j], float(observed[p]), int(own[p]), float(v[p]), int(rank(v)[p])
+    Each pattern's postings get a Poisson weight a draw, the limit of redrawing many postings, from a generator of the pattern's own, so
+    how rows are dealt over tasks changes nothing. Items of a posting stay together. Tasks send sums for entity, item and draw only.
+    """
+    keyed = patterns.select("entity", "pattern", F.col("n").cast("long").alias("n"), F.xxhash64("entity", "pattern").alias("key"))
+
+    def draw(batches):
+        held: dict[tuple[str, str], np.ndarray] = {}
+
+        def rows():
+            for (entity, item), k in held.items():
+                some = np.flatnonzero(k)
+                yield pd.DataFrame({"draw": some.astype(np.int32), "entity": entity, "item": item, "k": k[some]})
 
-    all_ = draws(profile.sparkSession, n, make, "draw int, entity_a string, entity_b string, observed double, rank int, value double, drawn_rank int")
+        for pdf in batches:
+            for entity, pattern, count, key in pdf.itertuples(index=False):
+                weight = np.random.default_rng([seed, key & 0xFFFFFFFFFFFFFFFF]).poisson(count, n)
+                for item in pattern:
+                    if (entity, item) in held:
+                        held[entity, item] += weight
+                    else:
+                        held[entity, item] = weight.astype(np.int64)
+            if len(held) > HELD_CELLS:
+                yield from rows()
+                held.clear()
+        yield from rows()
+
+    return keyed.mapInPandas(draw, "draw int, entity string, item string, k long").groupBy("draw", "entity", "item").agg(F.sum("k").alias("k"))
+
+
+def resampled_cosines(counts: DataFrame, entities: DataFrame, n: int) -> DataFrame:
+    """draw, entity_a, entity_b, value for every pair and draw; shares and counts have the same cosine."""
+    norms = counts.groupBy("draw", "entity").agg(F.sum(F.col("k").cast("double") * F.col("k")).alias("q"))
+    a = counts.select("draw", F.col("entity").alias("entity_a"), "item", F.col("k").alias("ka"))
+    b = counts.select("draw", F.col("entity").alias("entity_b"), "item", F.col("k").alias("kb"))
+    dots = a.join(b, ["draw", "item"]).filter("entity_a < entity_b").groupBy("draw", "entity_a", "entity_b").agg(F.sum(F.col("ka").cast("double") * F.col("kb")).alias("dot"))
+    names = entities.select("entity").distinct()
+    pairs = names.select(F.col("entity").alias("entity_a")).join(names.select(F.col("entity").alias("entity_b")), F.col("entity_a") < F.col("entity_b"))
+    grid = pairs.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    side = lambda s: norms.select("draw", F.col("entity").alias(f"entity_{s}"), F.col("q").alias(f"q{s}"))
+    out = grid.join(dots, ["draw", "entity_a", "entity_b"], "left").join(side("a"), ["draw", "entity_a"], "left").join(side("b"), ["draw", "entity_b"], "left")
+    return out.select("draw", "entity_a", "entity_b", ratio(F.coalesce("dot", F.lit(0.0)), F.sqrt(F.col("qa") * F.col("qb"))).alias("value"))
+
+
+def bootstrap(postings: DataFrame, items: DataFrame, n: int = 600) -> DataFrame:
+    """Interval and rank stability of every pair's cosine when whole postings are redrawn."""
+    observed = paired(profiles(postings, items)).groupBy("entity_a", "entity_b").agg(metric_columns()["cosine"].alias("observed"))
+    observed = observed.withColumn("rank", F.rank().over(Window.orderBy(F.col("observed").desc_nulls_last())))
+    drawn = resampled_cosines(resampled(posting_patterns(postings, items), n), postings, n)
+    drawn = drawn.withColumn("drawn_rank", F.rank().over(Window.partitionBy("draw").orderBy(F.col("value").desc_nulls_last())))
     q = lambda c, p: F.expr(f"percentile({c}, {p})")
-    out = all_.groupBy("entity_a", "entity_b", "observed", "rank").agg(q("value", 0.025).alias("ci_low"), q("value", 0.975).alias("ci_high"), q("drawn_rank", 0.025).cast("int").alias("rank_low"), q("drawn_rank", 0.975).cast("int").alias("rank_high"), F.avg((F.col("drawn_rank") == F.col("rank")).cast("double")).alias("rank_stability"))
+    out = drawn.join(F.broadcast(observed), ["entity_a", "entity_b"]).groupBy("entity_a", "entity_b", "observed", "rank").agg(
+        q("value", 0.025).alias("ci_low"),
+        q("value", 0.975).alias("ci_high"),
+        q("drawn_rank", 0.025).cast("int").alias("rank_low"),
+        q("drawn_rank", 0.975).cast("int").alias("rank_high"),
+        F.avg((F.col("drawn_rank") == F.col("rank")).cast("double")).alias("rank_stability"),
+        F.count("*").alias("draws"),
+    )
     return out.withColumn("rank_identified", F.col("rank_stability") >= STABILITY_FLOOR)
 
 
@@ -257,24 +300,26 @@ def cut(names: list[str], merges, k: int) -> str:
     return " | ".join(sorted(",".join(p) for p in parts))
 
 
-def cluster_support(profile: DataFrame, cuts=(2, 3, 4), n: int = 200) -> DataFrame:
-    """How often redrawn profiles give the observed partition at each cut."""
-    names, size, k = _wide(profile)
-    share = k / size[:, None]
+def cluster_support(postings: DataFrame, items: DataFrame, cuts=(2, 3, 4), n: int = 600) -> DataFrame:
+    """How often redrawn postings give the observed partition at each cut. For support without some items, hand in items without them."""
+    entities = postings.select("entity").distinct()
+    observed = profiles(postings, items).select(F.lit(-1).alias("draw"), "entity", "item", "k")
+    counts = observed.filter("k > 0").unionByName(resampled(posting_patterns(postings, items), n))
+    grid = resampled_cosines(counts.withColumn("draw", F.col("draw") + 1), entities, n + 1)
 
-    def partitions(s):
-        d = np.array([[0.0 if i == j else 1 - cosine(s[i], s[j]) for j in range(len(names))] for i in range(len(names))])
+    def partitions(key, t: pd.DataFrame) -> pd.DataFrame:
+        names = sorted({*t["entity_a"], *t["entity_b"]})
+        d = np.zeros((len(names), len(names)))
+        at = {x: k for k, x in enumerate(names)}
+        for a, b, v in zip(t["entity_a"], t["entity_b"], t["value"]):
+            d[at[a], at[b]] = d[at[b], at[a]] = 1 - (0.0 if pd.isna(v) else v)
         m = average_linkage(names, d)
-        return [cut(names, m, c) for c in cuts]
-
-    own = partitions(share)
-
-    def make(rng, d):
-        drawn = np.stack([rng.binomial(size[i], share[i]) / size[i] for i in range(len(names))])
-        for c, want, got in zip(cuts, own, partitions(drawn)):
-            yield d, c, want, want == got
+        return pd.DataFrame([(int(key[0]), c, cut(names, m, c)) for c in cuts], columns=["draw", "clusters", "partition"])
 
-    return draws(profile.sparkSession, n, make, "draw int, clusters int, partition string, same boolean").groupBy("clusters", "partition").agg(F.avg(F.col("same").cast("double")).alias("support"), F.count("*").alias("draws"))
+    found = grid.groupBy("draw").applyInPandas(partitions, "draw int, clusters int, partition string")
+    own = found.filter("draw = 0").select("clusters", F.col("partition").alias("observed"))
+    same = found.filter("draw > 0").join(F.broadcast(own), "clusters").withColumn("same", (F.col("partition") == F.col("observed")).cast("double"))
+    return same.groupBy("clusters", F.col("observed").alias("partition")).agg(F.avg("same").alias("support"), F.count("*").alias("draws"))
 
 
 def network_thresholds(pairs: DataFrame, entities: DataFrame, grid=tuple(round(0.40 + 0.05 * k, 2) for k in range(13)), value: str = "cosine") -> DataFrame:
@@ -295,17 +340,31 @@ def network_thresholds(pairs: DataFrame, entities: DataFrame, grid=tuple(round(0
     return out
 
 
-def trajectories(series: DataFrame, gate: DataFrame, min_periods: int = MIN_PERIODS) -> DataFrame:
-    """Co-movement of panel shares over the periods that all keys observed: log and centred-log correlations, variation, eligibility."""
+def panel_wide(series: DataFrame) -> DataFrame:
+    """key, start, l (log share), c (centred log share) over the periods in which every key has a share."""
     keys = series.select("key").distinct().agg(F.count("*").alias("wanted"))
     common = series.filter("is_observed and share > 0").groupBy("start").agg(F.count("*").alias("c")).join(F.broadcast(keys), F.col("c") == F.col("wanted")).select("start")
     s = series.join(common, "start", "left_semi").withColumn("l", F.ln("share"))
-    s = s.withColumn("c", F.col("l") - F.avg("l").over(Window.partitionBy("start")))
+    return s.select("key", "start", "l", (F.col("l") - F.avg("l").over(Window.partitionBy("start"))).alias("c"))
+
+
+def calibrated_sigma(series: DataFrame) -> DataFrame:
+    """n_periods, n_parts, sigma: the dispersion at which independent series are as volatile as these.
+
+    Closing a composition leaves its centred logs as they were, so those of independent lognormal parts spread by sigma times the root of
+    (parts - 1) / parts; sigma is the observed spread divided by that."""
+    t = panel_wide(series).agg(F.countDistinct("start").alias("n_periods"), F.countDistinct("key").alias("n_parts"), F.stddev_samp("c").alias("spread"))
+    return t.select("n_periods", "n_parts", (F.col("spread") * F.sqrt(ratio(F.col("n_parts"), F.col("n_parts") - 1))).alias("sigma"))
+
+
+def trajectories(series: DataFrame, gate: DataFrame, min_periods: int = MIN_PERIODS) -> DataFrame:
+    """Co-movement of panel shares over the periods that all keys observed: log and centred-log correlations, variation, eligibility."""
+    s = panel_wide(series)
     passed = gate.select("key", (F.col("verdict") == "forecastable").alias("g"))
     s = s.join(passed, "key")
     a = s.select(F.col("key").alias("entity_a"), "start", F.col("l").alias("la"), F.col("c").alias("ca"), F.col("g").alias("gate_a"))
     b = s.select(F.col("key").alias("entity_b"), "start", F.col("l").alias("lb"), F.col("c").alias("cb"), F.col("g").alias("gate_b"))
-    out = a.join(b, "start").filter("entity_a < entity_b").groupBy("entity_a", "entity_b", "gate_a", "gate_b").agg(F.count("*").alias("n_periods"), F.corr("la", "lb").alias("r_log_share"), F.corr("ca", "cb").alias("r_clr"), F.var_samp(F.col("la") - F.col("lb")).alias("aitchison_variation"))
+    out = a.join(b, "start").filter("entity_a < entity_b").groupBy("entity_a", "entity_b", "gate_a", "gate_b").agg(F.count("*").alias("n_periods"), correlation(F.col("la"), F.col("lb")).alias("r_log_share"), correlation(F.col("ca"), F.col("cb")).alias("r_clr"), F.var_samp(F.col("la") - F.col("lb")).alias("aitchison_variation"))
     lo, hi = fisher_interval(F.col("r_log_share"), F.col("n_periods"))
     out = out.withColumns({"ci_low": lo, "ci_high": hi}).withColumn("ci_width", F.col("ci_high") - F.col("ci_low"))
     return out.withColumns({"eligible": F.col("gate_a") & F.col("gate_b") & (F.col("n_periods") >= min_periods), "excludes_zero": F.coalesce((F.col("ci_low") > 0) | (F.col("ci_high") < 0), F.lit(False))})
@@ -316,7 +375,7 @@ def closure_expectation(parts: int) -> float | None:
     return -1.0 / (parts - 1) if parts > 1 else None
 
 
-def closure_null(spark, periods: int, parts: int, sigmas=(0.3,), n: int = 300) -> DataFrame:
+def closure_null(spark, periods: int, parts: int, sigmas=(DEFAULT_SIGMA,), n: int = 300) -> DataFrame:
     """Mean pairwise log correlation of independent lognormal series closed by their sum: its centre and band for each sigma."""
 
     def make(rng, d):
@@ -330,6 +389,14 @@ def closure_null(spark, periods: int, parts: int, sigmas=(0.3,), n: int = 300) -
     return draws(spark, n, make, "draw int, sigma double, value double").groupBy("sigma").agg(F.avg("value").alias("mean"), q(0.025).alias("p2_5"), q(0.975).alias("p97_5")).withColumn("analytic", F.lit(closure_expectation(parts)))
 
 
+def closure_sensitivity(mean_r: float, null: DataFrame) -> DataFrame:
+    """For each dispersion of a closure null: whether an observed mean correlation is inside its band, and else on which side."""
+    r = F.lit(mean_r)
+    inside = r.between(F.col("p2_5"), F.col("p97_5"))
+    side = F.when(inside, "").when(r < F.col("p2_5"), "below").otherwise("above")
+    return null.withColumns({"band_width": F.col("p97_5") - F.col("p2_5"), "gap_to_analytic": F.col("mean") - F.col("analytic"), "observed_mean_r": r, "inside": inside, "side_if_outside": side})
+
+
 def trajectory_verdict(table: DataFrame, null: DataFrame) -> DataFrame:
     """Whether co-movement is identified: enough eligible pairs, a mean outside the closure band, intervals that are not too wide."""
     t = table.agg(F.count("*").alias("pairs"), F.count(F.when(F.col("eligible"), 1)).alias("eligible_pairs"), F.avg("r_log_share").alias("mean_r"), F.avg("ci_width").alias("mean_width"))

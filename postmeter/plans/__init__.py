@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("trends", "items", "comparison", "forecasting", "similarities", "texts", "ledger")
+MODULES = ("trends", "items", "comparison", "forecasting", "similarities", "texts", "postings", "ledger")
 
 
 def all_queries():

@@ -114,12 +114,12 @@ def calibration(spark, d):
 
 @query("similarity_bootstrap")
 def bootstrap(spark, d):
-    return similarity.rank_tiers(similarity.bootstrap(profile(spark, d)))
+    return similarity.rank_tiers(similarity.bootstrap(*bound(spark, d)[:2]))
 
 
 @query("similarity_cluster_support")
 def cluster_support(spark, d):
-    return similarity.cluster_support(profile(spark, d))
+    return similarity.cluster_support(*bound(spark, d)[:2])
 
 
 @query("similarity_network_thresholds")
@@ -140,10 +140,37 @@ def trajectories(spark, d):
     return similarity.trajectories(s, forecast.forecastability(s, min_cell=3))
 
 
+_WIDE = "cm AS (SELECT start FROM series WHERE is_observed AND share > 0 GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT key) FROM series)), wide AS (SELECT key, start, ln(share) - avg(ln(share)) OVER (PARTITION BY start) AS c FROM series SEMI JOIN cm USING (start))"
+
+
+@query("similarity_calibrated_sigma", f"WITH {ALL_POSTINGS}, {SERIES}, {_WIDE}, t AS (SELECT count(DISTINCT start) AS n_periods, count(DISTINCT key) AS n_parts, stddev_samp(c) AS s FROM wide) SELECT n_periods, n_parts, round(s * sqrt(n_parts / (n_parts - 1)::DOUBLE), 6) AS sigma FROM t")
+def sigma(spark, d):
+    return similarity.calibrated_sigma(forecast.panel_share_series(_postings(spark, d)))
+
+
+def _closure(spark, d, more=()):
+    """Trajectories, the null at the series' own periods, parts and dispersion (and at multiples of it), and that dispersion."""
+    s = forecast.panel_share_series(_postings(spark, d))
+    table = similarity.trajectories(s, forecast.forecastability(s, min_cell=3))
+    own = similarity.calibrated_sigma(s).first()
+    periods, parts, own_sigma = max(own.n_periods, 2), max(own.n_parts, 2), own.sigma or similarity.DEFAULT_SIGMA
+    return table, similarity.closure_null(spark, periods, parts, [own_sigma * m for m in (1.0, *more)])
+
+
 @query("similarity_trajectory_verdict")
 def trajectory_verdict(spark, d):
-    s = forecast.panel_share_series(_postings(spark, d))
-    return similarity.trajectory_verdict(similarity.trajectories(s, forecast.forecastability(s, min_cell=3)), similarity.closure_null(spark, 24, 5))
+    return similarity.trajectory_verdict(*_closure(spark, d))
+
+
+@query("similarity_closure_sensitivity")
+def closure_sensitivity(spark, d):
+    table, null = _closure(spark, d, (0.25, 0.5, 2.0, 4.0))
+    return similarity.closure_sensitivity(table.agg(F.avg("r_log_share")).first()[0] or 0.0, null)
+
+
+@query("similarity_mean_off_diagonal", f"{_BASE}, {PAIRS} SELECT round(avg(cosine), 6) AS mean_cosine, count(*) AS pairs FROM pt")
+def mean_off_diagonal(spark, d):
+    return similarity.similarity_matrix(profile(spark, d)).filter("entity_a < entity_b").agg(F.avg("similarity").alias("mean_cosine"), F.count("*").alias("pairs"))
 
 
 @query("similarity_pair_verdicts")
@@ -151,4 +178,4 @@ def pair_verdicts(spark, d):
     p, i, _ = bound(spark, d)
     prof = similarity.profiles(p, i)
     mixed = similarity.mix_sensitivity(compare.standardised_items(p, i, compare.top_items(compare.item_share(p, i))))
-    return similarity.pair_verdicts(similarity.bootstrap(prof), similarity.pair_table(prof), similarity.vendor_sensitivity(prof, vendors(spark, d)), mixed)
+    return similarity.pair_verdicts(similarity.bootstrap(p, i), similarity.pair_table(prof), similarity.vendor_sensitivity(prof, vendors(spark, d)), mixed)

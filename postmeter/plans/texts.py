@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from postmeter import roles
+from postmeter.functions import vocabulary as V
 from postmeter.operators import compare, text, values
 from postmeter.plans.comparison import RELATIVE, RELATIVE_BY
 from postmeter.plans.registry import POSTINGS, query
@@ -77,12 +78,19 @@ def clean_pages(spark, d):
     return pages.select("page_id", text.clean(F.col("html")).alias("cleaned"), F.size(text.tokens(text.clean(F.col("html")))).alias("token_count"))
 
 
-@query("text_stable_id")
+@query("text_stable_id", "SELECT page_id, 'page-' || left(sha1(coalesce(url, '') || '|' || page_id::VARCHAR), 12) AS stable_id FROM pages")
 def stable_id(spark, d):
     return roles.read(spark, d, "pages").select("page_id", text.stable_id(F.lit("page"), F.col("url"), F.col("page_id").cast("string")).alias("stable_id"))
 
 
-@query("text_token_count_conversations", r"SELECT conv_id, turn, len(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z][a-z0-9]*(?:[.\-_/][a-z0-9]+)*'), lambda w: length(w) >= 3 AND w NOT IN ('the', 'and', 'for', 'with', 'that'))) AS n_tokens FROM conversations")
+_LITERALS = ", ".join(f"'{t}'" for t in V.TECH_LITERALS)
+_SHORT = ", ".join(f"'{t}'" for t in V.SHORT_TECH_TOKENS)
+_STOP = ", ".join(f"'{t}'" for t in V.STOPWORDS)
+TOKENS = f"""list_filter(list_transform(regexp_extract_all(lower(coalesce(text, '')), '(?:{text.TOKEN})'), lambda w: CASE WHEN w IN ({_LITERALS}) THEN w ELSE trim(w, '._-/') END),
+ lambda w: (w IN ({_LITERALS}) OR length(w) >= 3 OR w IN ({_SHORT})) AND w NOT IN ({_STOP}))"""
+
+
+@query("text_token_count_conversations", f"SELECT conv_id, turn, len({TOKENS}) AS n_tokens FROM conversations")
 def token_count(spark, d):
     c = roles.read(spark, d, "conversations")
     return c.select("conv_id", "turn", F.size(text.tokens(F.col("text"))).alias("n_tokens"))
@@ -91,20 +99,3 @@ def token_count(spark, d):
 @query("text_slug_parts", "SELECT DISTINCT p_name AS name, regexp_replace(regexp_replace(lower(p_name || ' / ' || p_type), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM part")
 def slug_parts(spark, d):
     return roles.read(spark, d, "part").select(F.col("p_name").alias("name"), text.slug(F.concat_ws(" / ", "p_name", "p_type")).alias("slug")).distinct()
-
-
-@query("text_item_words", "SELECT DISTINCT p_partkey AS id, w AS item FROM (SELECT p_partkey, unnest(string_split(lower(p_name), ' ')) AS w FROM part) WHERE w IN ('gear', 'bolt', 'red')")
-def item_words(spark, d):
-    parts = roles.read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text"))
-    words = roles.read(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("word")).filter(F.col("word").isin("gear", "bolt", "red")).distinct()
-    return text.skill_spans(parts, words.withColumn("item", F.col("word")))
-
-
-@query(
-    "text_employers",
-    "SELECT CASE WHEN c_name LIKE '%1' THEN 'ones' ELSE 'twos' END AS key, c_name AS name, count(*) AS n, NOT c_name LIKE '%22' AS matched, CASE WHEN c_name LIKE '%22' THEN 'excluded' ELSE 'matched' END AS reason FROM customer WHERE c_name LIKE '%1' OR c_name LIKE '%2' GROUP BY ALL",
-)
-def employers(spark, d):
-    names = roles.read(spark, d, "customer").groupBy(F.col("c_name").alias("name")).agg(F.count("*").alias("n"))
-    rules = spark.createDataFrame([("ones", "1$", ""), ("twos", "2$", "22$")], "key string, include string, exclude string")
-    return text.employers(names, rules)

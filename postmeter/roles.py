@@ -51,3 +51,37 @@ def event_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("value").alias("value"),
         (F.col("value") > 5).alias("has_item"),
     )
+
+
+#: How a posting's raw texts are made of an order's columns: by priority, market segment, status, and remainders of keys.
+LEVELS = {"1-URGENT": "Senior Staff ", "2-HIGH": "Sr. ", "3-MEDIUM": "", "4-NOT SPECIFIED": "Junior ", "5-LOW": "Intern, "}
+ROLES = {"AUTOMOBILE": "Data Center Technician", "BUILDING": "Product Manager", "FURNITURE": "data analyst", "HOUSEHOLD": "Software Engineer, Google Cloud", "MACHINERY": "Machine Learning Scientist"}
+ENDINGS = {"F": " II", "O": ", Summer 1997", "P": " ..."}
+EMPLOYERS = ("Google {}", "Waymo", "Premier Partner {} Google", "Engineer, Google {}", "Red Bolt {}", "Old Gear Staffing")
+PLACES = ("{}, {}", "Sunnyvale, CA", "Anywhere", "City - {} (+2 others)", "Riyadh Saudi Arabia", "")
+
+
+def order_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order as a raw posting: job_title, company_name, location, posting_date, job_description, extracted_skills,
+    skill_categories and employment_type, made of the order's, customer's, nation's and parts' columns."""
+    orders, customer, nation, region = (read(spark, sf_dir, t) for t in ("orders", "customer", "nation", "region"))
+    joined = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    named = order_items(spark, sf_dir).groupBy("id").agg(F.sort_array(F.collect_list("item")).alias("names"), F.sort_array(F.collect_set("item_group")).alias("groups"))
+    pick = lambda m, c: F.create_map(*(F.lit(x) for kv in m.items() for x in kv))[c]
+    nth = lambda forms, c, *args: F.element_at(F.array(*(F.format_string(f.replace("{}", "%s"), *args[: f.count("{}")]) for f in forms)), (c % len(forms) + 1).cast("int"))
+    key = F.col("o_orderkey")
+    raw = joined.select(
+        key.alias("id"),
+        F.concat(pick(LEVELS, F.col("o_orderpriority")), pick(ROLES, F.col("c_mktsegment")), pick(ENDINGS, F.col("o_orderstatus"))).alias("job_title"),
+        nth(EMPLOYERS, F.col("c_custkey"), F.col("n_name")).alias("company_name"),
+        nth(PLACES, key, F.col("n_name"), F.col("r_name")).alias("location"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("posting_date"),
+        F.when(F.col("o_orderpriority") == "5-LOW", "Internship").otherwise("Full-time").alias("employment_type"),
+    )
+    quoted = lambda c: F.concat(F.lit("["), F.array_join(F.transform(c, lambda w: F.concat(F.lit("'"), F.upper(w), F.lit("'"))), ", "), F.lit("]"))
+    return raw.join(named, "id", "left").select(
+        *raw.columns,
+        F.concat(F.lit("<p>Experience with "), F.array_join("names", ", "), F.lit("</p><br>&amp; more&nbsp;work.")).alias("job_description"),
+        quoted(F.col("groups")).alias("extracted_skills"),
+        F.concat(F.lit("{'parts': "), quoted(F.col("groups")), F.lit("}")).alias("skill_categories"),
+    )

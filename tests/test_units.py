@@ -144,16 +144,16 @@ def test_guarded_writer(spark, tmp_path):
     assert tables.read(spark, str(tmp_path / "y")).count() == 1
 
 
-@pytest.mark.parametrize("title,want", [("Senior Data Engineer", ("Senior", "Engineering")), ("Data Center Technician II", ("Mid", "Facilities / Operations")), ("", ("Mid", "Unknown")), (None, ("Mid", "Unknown"))])
+@pytest.mark.parametrize("title,want", [("Senior Data Engineer", ("Senior", "Engineering")), ("Data Center Technician II", ("Mid", "Facilities / Operations")), ("Senior Staff Scientist", ("Senior Staff", "Science / Research")), ("Trainee", ("Intern", "Other")), ("", ("Unknown", "Unknown")), (None, ("Unknown", "Unknown"))])
 def test_title_ladders(spark, title, want):
     df = spark.createDataFrame([(title,)], "t string")
-    assert tuple(df.select(text.seniority(F.col("t")), text.function_of(F.col("t"))).first()) == want
+    assert tuple(df.select(text.seniority(F.col("t"))["level"], text.function_of(F.col("t"))).first()) == want
 
 
 def test_clean_and_location(spark):
-    df = spark.createDataFrame([("<p>A&nbsp;&amp; B</p> We do not discriminate on x", "Austin, TX, United States")], "h string, l string")
+    df = spark.createDataFrame([("<p>A&nbsp;&amp; B</p> Equal employment opportunity for x", "Austin, TX, United States")], "h string, l string")
     cleaned, place = df.select(text.clean(F.col("h")), text.location(F.col("l"))).first()
-    assert cleaned == "A & B" and place == ("Austin", "TX", "United States", False)
+    assert cleaned == "A & B" and place == ("Austin", "TX", "United States", False, False, "Austin, TX, United States")
 
 
 def test_claims_gates(spark):
