@@ -1,27 +1,47 @@
-"""The claim ledger over the volume and relative-share verdicts."""
+"""The claim ledger: candidates minted from rows of verdict tables, compiled through the gates, and the audits of what survives."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from postmeter import roles
-from postmeter.operators import claims, compare, volume
-from postmeter.plans.comparison import RELATIVE, RELATIVE_BY
+from postmeter.operators import claims, compare, forecast, items, similarity, values, volume
+from postmeter.plans.comparison import RELATIVE, RELATIVE_BY, vendors
+from postmeter.plans.items import bound
 from postmeter.plans.registry import POSTINGS, query
+from postmeter.sources.tables import settled
 
+col, lit = F.col, F.lit
 
-def compiled(spark, d):
-    """(claims, cells, ledger)."""
+
+def volume_and_share(spark, d):
+    """The two tables that most claims rest on, a row an entity."""
     p = roles.order_postings(spark, d)
-    share = compare.relative_share_verdict(compare.relative_share_by_publisher(p), compare.relative_share(p)).persist()  # a row an entity
-    trend = volume.panel_verdict(volume.panel_sensitivity(p)).persist()
-    all_cells = claims.union([claims.cells(share, "relative_share", "entity"), claims.cells(trend, "volume", "entity")])
-    made = claims.union([
-        claims.generate(share, "relative_share", "entity", "pooled_log_share_change", "verdict", "who gains share", "relative_share", F.concat("entity", F.lit(" was "), "direction", F.lit(" on the common panel")), F.concat("publishers_agreeing", F.lit(" of "), "publishers_tested", F.lit(" publishers agree")), "strategy", "compare entities"),
-        claims.generate(trend, "volume", "entity", "raw_final", "treatments_agree", "which way volume moves", "volume", F.concat("entity", F.lit(" shows "), "direction"), F.lit("all treatments agree"), "product", "none"),
-        claims.generate(trend, "volume", "entity", "spread", "treatments_agree", "which way volume moves", "structural", F.concat("entity", F.lit(" will grow next year")), F.lit(""), "product", "none"),
-    ])
-    return made, all_cells, claims.compile_ledger(made, all_cells)
+    share = settled(compare.relative_share_verdict(compare.relative_share_by_publisher(p), compare.relative_share(p)))
+    trend = settled(volume.panel_verdict(volume.panel_sensitivity(p)))
+    return share, trend
+
+
+def compiled(spark, d):
+    """(claims, cells, ledger) of volume and share."""
+    share, trend = volume_and_share(spark, d)
+    all_cells = settled(claims.union([claims.cells(share, "relative_share", "entity"), claims.cells(trend, "volume", "entity")]))
+    made = settled(claims.union([
+        candidates_share(share),
+        candidates_volume(trend),
+        claims.generate(trend, "volume", "entity", "spread", "treatments_agree", "which way volume moves", "structural", F.concat("entity", lit(" will grow next year")), lit(""), "product", "none"),
+    ]))
+    return made, all_cells, settled(claims.compile_ledger(made, all_cells))
+
+
+def candidates_share(share):
+    text = F.concat("entity", lit(" was "), "direction", lit(" on the common panel"))
+    clause = F.concat("publishers_agreeing", lit(" of "), "publishers_tested", lit(" publishers agree"))
+    return claims.generate(share, "relative_share", "entity", "pooled_log_share_change", "verdict", "who gains share", "relative_share", text, clause, "strategy", "compare entities")
+
+
+def candidates_volume(trend):
+    return claims.generate(trend, "volume", "entity", "raw_final", "treatments_agree", "which way volume moves", "volume_treatments", F.concat("entity", lit(" shows "), "direction"), lit("all treatments agree"), "product", "none")
 
 
 SHARES = f"""{RELATIVE}, {RELATIVE_BY}, rv AS (SELECT b.entity, r.log_share_change AS pooled, count(*) AS n, count(*) FILTER (sign(b.log_share_change) = sign(r.log_share_change)) AS agree FROM relby b JOIN relative r USING (entity) GROUP BY ALL),
@@ -54,3 +74,135 @@ def bindings(spark, d):
 @query("claims_lint_counts")
 def lint_counts(spark, d):
     return claims.lint_counts(compiled(spark, d)[0])
+
+
+@query("claims_directions", f"WITH {POSTINGS}, {SHARES} SELECT claim_id, CASE WHEN text LIKE '%gaining%' THEN 'up' WHEN text LIKE '%losing%' THEN 'down' ELSE '' END AS asserted, CASE WHEN text LIKE '%gaining%' THEN 'up' WHEN text LIKE '%losing%' THEN 'down' ELSE '' END AS recorded, TRUE AS agrees FROM sc")
+def directions(spark, d):
+    made, all_cells, _ = compiled(spark, d)
+    return claims.directions(made.filter("family = 'relative_share'"), all_cells)
+
+
+@query("claims_citations", f"WITH {POSTINGS}, {SHARES} SELECT claim_id, 'relative_share' AS cited_table, 'pooled_log_share_change' AS cited_column, replace(claim_id, 'relative_share:', '') AS cited_row FROM sc")
+def citations(spark, d):
+    made = compiled(spark, d)[0].filter("family = 'relative_share'")
+    parsed = claims.parse_citation(claims.cited(col("table"), col("column"), col("row")))
+    return made.select("claim_id", parsed.alias("c")).select("claim_id", col("c.table").alias("cited_table"), col("c.column").alias("cited_column"), col("c.selector")["row"].alias("cited_row"))
+
+
+@query("claims_segment_vocabulary", f"WITH {POSTINGS} SELECT DISTINCT segment FROM postings WHERE segment IS NOT NULL")
+def vocabulary(spark, d):
+    return claims.segment_vocabulary(roles.order_postings(spark, d))
+
+
+@query("claims_consistency", f"""WITH {POSTINGS}, {RELATIVE} SELECT 'share change of ' || entity AS quantity, entity AS row, share_change_pp::VARCHAR::DOUBLE AS earlier, round((h2_share - h1_share) * 100, 2) AS later, 0.0::DOUBLE AS delta, FALSE AS conflict FROM relative""")
+def consistency(spark, d):
+    """The change of share as the relative-share table states it, against the same change from its two shares."""
+    share = settled(compare.relative_share(roles.order_postings(spark, d)))
+    again = share.select("entity", F.round((col("h2_share") - col("h1_share")) * 100, 2).alias("change"))
+    all_cells = claims.union([claims.cells(share, "relative_by_half", "entity"), claims.cells(again, "restated", "entity")])
+    restated = share.select(F.concat(lit("share change of "), "entity").alias("quantity"), lit("relative_by_half").alias("earlier_table"), lit("share_change_pp").alias("earlier_column"), lit("restated").alias("later_table"), lit("change").alias("later_column"), col("entity").alias("row"))
+    out = claims.consistency(all_cells, restated)
+    return out.select("quantity", "row", col("earlier_value").cast("double").alias("earlier"), col("later_value").cast("double").alias("later"), F.coalesce("delta", lit(0.0)).alias("delta"), "conflict")
+
+
+@query("claims_identifiers", "SELECT DISTINCT p_name AS name, trim(regexp_replace(replace(replace(lower(p_name) || ' c++', '++', '-plus-plus'), '/', '-'), '[^a-z0-9]+', '-', 'g'), '-') AS identifier FROM part")
+def identifiers(spark, d):
+    return roles.read(spark, d, "part").select(col("p_name").alias("name"), claims.identifier(F.concat("p_name", lit(" c++"))).alias("identifier")).distinct()
+
+
+def tables(spark, d) -> dict:
+    """Every table that candidates rest on, settled: name -> (table with a `row` column)."""
+    p, i, long = bound(spark, d)
+    share, trend = volume_and_share(spark, d)
+    item_share = settled(compare.item_share(p, i))
+    series = settled(forecast.panel_share_series(p))
+    gate = settled(forecast.forecastability(series))
+    profile = settled(similarity.profiles(p, i))
+    pair = lambda t: t.withColumn("row", F.concat_ws(":", "entity_a", "entity_b"))
+    return {k: settled(t) for k, t in {
+        "relative_share": share.withColumn("row", col("entity")),
+        "volume": trend.withColumn("row", col("entity")),
+        "segments": volume.compare_panels(p).withColumn("row", F.concat_ws(":", "entity", "segment")),
+        "skill_trend": items.stratified_verdict(items.trend_within_segment(p, long)).withColumn("row", F.concat_ws(":", "entity", "item")),
+        "skill_gap": compare.stratified_entity_verdict(compare.within_stratum(p, i, compare.top_items(item_share))).withColumn("row", F.concat_ws(":", "item", "entity_a", "entity_b")),
+        "distinctiveness": compare.distinctiveness(item_share, vendors(spark, d)).withColumn("row", F.concat_ws(":", "entity", "item")),
+        "forecastability": gate.withColumn("row", col("key")),
+        "similarity": pair(similarity.pair_verdicts(similarity.bootstrap(p, i), similarity.pair_table(profile), similarity.vendor_sensitivity(profile, vendors(spark, d)), similarity.mix_sensitivity(compare.standardised_items(p, i, compare.top_items(item_share)))).join(similarity.pair_table(profile).select("entity_a", "entity_b", "cosine"), ["entity_a", "entity_b"])),
+        "trajectory": pair(similarity.trajectories(series, gate)),
+        "values": values.disclosure(p).withColumn("row", col("entity")).withColumn("feasible", col("publishers_disclosing") >= 2),
+        "collection": compare.comparability(p).withColumn("row", col("entity")),
+    }.items()}
+
+
+def candidates(t: dict):
+    """Claims of all generators; every sentence is made of the row that it cites."""
+    make = lambda name, column, verdict, question, family, text, clause, audience, action: claims.generate(t[name], name, "row", column, verdict, question, family, text, clause, audience, action)
+    say = lambda *parts: F.concat(*(lit(p) if p.startswith(" ") or p.endswith(" ") else col(p) for p in parts))
+    moves = F.when(col("share_delta") > 0, " is rising").when(col("share_delta") < 0, " is falling").otherwise(" is flat") if "share_delta" in t["segments"].columns else lit(" moves")
+    first = next(c for c in t["segments"].columns if c not in ("entity", "segment", "row", "panel", "direction"))
+    agrees = next((c for c in t["segments"].columns if "agree" in c), "row")
+    shown = F.concat(lit("share "), claims.percent(col("share")), lit(" against "), claims.percent(col("rest_share")), lit(" elsewhere"))
+    rank = F.concat("entity_a", lit(" and "), "entity_b", lit(" are the "), claims.ordinal(col("rank")), lit(" closest pair"))
+    tempting = [" will grow next year", " is converging with its rivals", " posted more roles than its rivals", " plans to launch a product", " raised headcount", " asks for it in 30% of all postings", " has a seasonal peak", " shifted in response to a rival"]
+    own = [
+        candidates_share(t["relative_share"].drop("row")),
+        candidates_volume(t["volume"].drop("row")),
+        make("segments", first, agrees, "hiring_patterns", "segment_panel", F.concat("entity", lit(" in "), "segment", moves), lit("on both panels"), "product", "none"),
+        make("skill_trend", "n_segments", "verdict", "skill_demand", "skill_stratified", F.concat("item", lit(" at "), "entity", lit(" is "), F.split("verdict", "_")[0]), lit(""), "engineering", "train"),
+        make("skill_gap", "n_strata", "verdict", "skill_demand", "skill_gap", say("entity_a", " asks for ", "item", " at another rate than ", "entity_b"), lit(""), "engineering", "train"),
+        make("distinctiveness", "share", "significant", "position", "distinctiveness", F.concat("entity", lit(" stands out for "), "item"), shown, "strategy", "position"),
+        make("forecastability", "signal_share", "verdict", "future_demand", "forecastable", say("key", " has a series that can carry a model"), lit("at the gate's cell size"), "product", "none"),
+        make("similarity", "rank", "verdict", "position", "similarity_pair", rank, F.concat(lit("cosine "), claims.stated(col("cosine"), 4)), "strategy", "position"),
+        make("trajectory", "r_log_share", "eligible", "trajectory", "feasible", say("entity_a", " and ", "entity_b", " move together"), lit("over the common periods"), "strategy", "none"),
+        make("values", "disclosed_share", "feasible", "position", "feasible", F.concat("entity", lit(" states a value in "), claims.percent(col("disclosed_share")), lit(" of its postings")), lit("disclosure is the publisher's choice"), "product", "none"),
+        make("collection", "common_panel_share", "", "collection", "structural", F.concat(claims.percent(col("common_panel_share")), lit(" of "), "entity", lit(" stands on the common panel")), lit(""), "product", "none"),
+    ]
+    for k, text in enumerate(tempting):
+        bait = make("collection", "postings", "", "collection", "structural", F.concat("entity", lit(text)), lit(""), "product", "none")
+        own.append(bait.withColumn("claim_id", F.concat(lit(f"tempting-{k}:"), "row")))
+    out = claims.union(own)
+    # A family's claims are told apart by their table too.
+    return out.withColumn("claim_id", F.when(col("claim_id").startswith("tempting"), col("claim_id")).otherwise(F.concat_ws(":", col("table"), "claim_id")))
+
+
+def full(spark, d):
+    """(tables, claims, ledger) of all generators."""
+    t = tables(spark, d)
+    cells = settled(claims.union([claims.cells(x, name, "row") for name, x in t.items()]))
+    made = settled(candidates(t))
+    return t, made, settled(claims.compile_ledger(made, cells))
+
+
+@query("claims_candidates")
+def all_candidates(spark, d):
+    """claim_id, family, text, value of every candidate."""
+    return candidates(tables(spark, d)).select("claim_id", "question", "family", "text", "value")
+
+
+@query("claims_full_ledger")
+def full_ledger(spark, d):
+    return full(spark, d)[2].select("claim_id", "family", "gate_evidence", "gate_lint", "gate_identification", "gate_consistency", "blocked_by", "status")
+
+
+@query("claims_promises")
+def promises(spark, d):
+    return claims.promise_audit(full(spark, d)[2])
+
+
+@query("claims_position")
+def position(spark, d):
+    t, _, ledger = full(spark, d)
+    return claims.strategy_position(ledger, t["similarity"].select("entity_a", "entity_b", col("cosine").alias("value"), "verdict"), "AUTOMOBILE")
+
+
+@query("claims_brief")
+def brief(spark, d):
+    return claims.audience_brief(full(spark, d)[2], "strategy")
+
+
+FALSIFIERS = {"relative_share": "a shared publisher that points the other way", "distinctiveness": "a share inside the others' interval", "similarity_pair": "a redrawing in which the rank moves", "structural": "another count of the panel", "skill_stratified": "a segment that moves the other way"}
+
+
+@query("claims_falsifiers")
+def falsifiers(spark, d):
+    return claims.falsifiers(full(spark, d)[2], FALSIFIERS)

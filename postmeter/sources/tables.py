@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,3 +54,17 @@ def write(df: DataFrame, path: str, kind: str = "parquet", partition_by: tuple[s
         raise ValueError(f"columns that must not be published: {wrong}")
     writer = df.write.mode(mode).partitionBy(*partition_by) if partition_by else df.write.mode(mode)
     (writer.option("header", True) if kind == "csv" else writer).format(kind).save(path)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once and cut from its lineage: what several tables build on is checkpointed in the cluster's shared folder.
+
+    The folder is spark.checkpoint.dir; only a local master gets one of its own where none is set."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()
