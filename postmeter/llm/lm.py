@@ -161,13 +161,19 @@ def _cell_rows(hashes: np.ndarray, cls: np.ndarray) -> np.ndarray:
     return _rows(spread) + FEATURES * HASHED
 
 
-def _log_softmax(weights: np.ndarray, prior: np.ndarray, rows: np.ndarray) -> np.ndarray:
+def _logits(weights: np.ndarray, prior: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sums of three rows of weights and the prior. Training bounds a weight by ROUNDS steps, so their exponentials need no shift."""
     z = weights[rows[0]]
     z += weights[rows[1]]
     z += weights[rows[2]]
     z += prior
-    z -= z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+    return z
+
+
+def _log_softmax_of(z: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """The log probability of one chosen column of each row."""
+    picked = z[np.arange(len(chosen)), chosen]
+    return picked - np.log(np.exp(z, out=z).sum(axis=1))
 
 
 def round_of(doc_id: Column, text: Column) -> Column:
@@ -184,9 +190,11 @@ def gradient(docs: DataFrame, vocabulary, weights) -> tuple[np.ndarray, np.ndarr
         total, met = np.zeros(w.shape, np.int64), np.zeros(len(w), np.int64)
 
         def add(rows, prior, right):
-            slope = -np.exp(_log_softmax(w, prior, rows))
-            slope[np.arange(len(right)), right] += 1
-            whole = np.rint(slope / UNIT).astype(np.int32)
+            slope = _logits(w, prior, rows)
+            np.exp(slope, out=slope)
+            slope *= np.float32(-1 / UNIT) / slope.sum(axis=1, keepdims=True)
+            slope[np.arange(len(right)), right] += np.float32(1 / UNIT)
+            whole = np.rint(slope, out=slope).astype(np.int32)
             for r in rows:
                 order = np.argsort((r & 0xFFFF).astype(np.uint16), kind="stable")
                 s = r[order]
@@ -262,8 +270,9 @@ def score(docs: DataFrame) -> DataFrame:
                 part = np.empty(len(ids))
                 for k in range(0, len(ids), STEP_TOKENS):
                     some, c = h[:, k : k + STEP_TOKENS], cell[k : k + STEP_TOKENS]
-                    each, cls = np.arange(len(c)), c // CELLS
-                    part[k : k + STEP_TOKENS] = _log_softmax(w, v.class_prior, _rows(some))[each, cls] + _log_softmax(w, v.cell_prior[cls], _cell_rows(some, cls))[each, c % CELLS]
+                    cls = c // CELLS
+                    part[k : k + STEP_TOKENS] = _log_softmax_of(_logits(w, v.class_prior, _rows(some)), cls)
+                    part[k : k + STEP_TOKENS] += _log_softmax_of(_logits(w, v.cell_prior[cls], _cell_rows(some, cls)), c % CELLS)
                 part = part / np.log(10) - room[cell]
                 starts = np.cumsum(sizes) - sizes
                 own = [xxhash.xxh64_intdigest(t or b"") - (1 << 63) for t in texts[lo:hi]]
