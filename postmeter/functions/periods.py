@@ -62,3 +62,11 @@ def ordinal(start: Column, period: str) -> Column:
     if period == "quarter":
         return F.year(start) * 4 + F.quarter(start)
     return F.extract(F.lit("YEAROFWEEK"), start).cast("int") * 53 + F.weekofyear(start)
+
+
+def next_periods(last_key: Column, n: int, period: str = "month") -> Column:
+    """Keys of the n months after one; other periods have no fixed step in their keys and are an error."""
+    if period != "month":
+        raise ValueError("only months can be counted on")
+    start, _ = bounds_of_key(last_key, "month")
+    return F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.date_format(F.add_months(start, k), "yyyy-MM"))

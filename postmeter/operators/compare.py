@@ -313,3 +313,11 @@ def half_without(postings: DataFrame, starts: DataFrame) -> DataFrame:
     kept = postings.withColumn("start", start_of(F.col("day"), "month")).join(F.broadcast(starts), "start", "left_anti").drop("start")
     less = relative_share(kept).select("entity", F.col("log_share_change").alias("without"))
     return every.join(less, "entity").withColumn("sign_unchanged", F.signum("with_all") == F.signum("without"))
+
+
+def significant_gaps_checked(gaps: DataFrame, stratified: DataFrame, most: int = 40) -> DataFrame:
+    """The widest significant gaps of every pair (a top-k report) with their verdict inside strata; gaps that strata don't cover are unsupported."""
+    at = F.row_number().over(Window.partitionBy("entity_a", "entity_b").orderBy(F.desc(F.abs("diff")), "item"))
+    lead = gaps.filter("significant").withColumn("at", at).filter(F.col("at") <= most)
+    found = stratified.select("item", "entity_a", "entity_b", "n_strata", "n_agree", "verdict")
+    return lead.join(found, ["item", "entity_a", "entity_b"], "left").select("entity_a", "entity_b", "item", "at", "diff", F.coalesce("n_strata", F.lit(0)).alias("n_strata"), F.coalesce("n_agree", F.lit(0)).alias("n_agree"), F.coalesce("verdict", F.lit("unsupported")).alias("verdict"))

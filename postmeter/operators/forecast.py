@@ -222,6 +222,18 @@ def intervals(tested: DataFrame, level: float = LEVEL) -> DataFrame:
     return g.withColumns({"achieved_level": F.when(F.col("sufficient"), (F.col("n_residuals") + 1 - 2 * F.col("j")) / (F.col("n_residuals") + 1)), "covered": F.when(F.col("sufficient"), inside)}).drop("r", "j")
 
 
+def interval_coverage(tested: DataFrame, gate: DataFrame, level: float = LEVEL) -> DataFrame:
+    """pool, model, horizon, covered, nominal, achieved, n: share of residuals inside their own interval, over gated keys and over all.
+
+    Both pools are one table with a replicated pool key, so intervals are formed once."""
+    passed = gate.filter("verdict = 'forecastable'").select("key", F.lit(True).alias("g"))
+    pools = F.explode(F.when(F.col("g"), F.array(F.lit("all"), F.lit("gated"))).otherwise(F.array(F.lit("all"))))
+    each = tested.join(passed, "key", "left").withColumn("pool", pools)
+    band = intervals(each.withColumn("model", F.concat_ws("|", "pool", "model")), level)
+    part = F.split("model", "\\|")
+    return band.select(part[0].alias("pool"), part[1].alias("model"), "horizon", "covered", F.lit(level).alias("nominal"), F.col("achieved_level").alias("achieved"), F.col("n_residuals").alias("n"))
+
+
 def horizons(tested: DataFrame, model: str = BENCHMARK, level: float = LEVEL) -> DataFrame:
     """Error and interval width of a model by horizon."""
     errors = tested.filter(F.col("model") == model).groupBy("horizon").agg(F.count("error").alias("n_origins"), F.sqrt(F.avg(F.col("error") * F.col("error"))).alias("rmse"), F.avg(F.abs("error")).alias("mae"))

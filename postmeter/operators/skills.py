@@ -56,6 +56,11 @@ def names_of(taxonomy: list[Skill]) -> dict[str, str]:
     return out
 
 
+def concepts(taxonomy: list[Skill]) -> list[str]:
+    """Names of methods and practices, as against tools."""
+    return [s.name for s in taxonomy if s.concept]
+
+
 def skill_of(token: Column, taxonomy: list[Skill]) -> Column:
     """Canonical name of a string, or null."""
     return _map(names_of(taxonomy))[F.lower(F.trim(token))]
@@ -156,7 +161,7 @@ def merged(source: Column, text: Column, title: Column, taxonomy: list[Skill]) -
 
 def features(skills: Column, taxonomy: list[Skill]) -> dict[str, Column]:
     """Counts by category, stack and method tags, the leading category and flags of a list of canonical names."""
-    category, concept = _map({s.name: s.category for s in taxonomy}), _map({s.name: "1" for s in taxonomy if s.concept})
+    category, concept = _map({s.name: s.category for s in taxonomy}), _map(dict.fromkeys(concepts(taxonomy), "1"))
     known = F.filter(skills, lambda n: category[n].isNotNull())
     stack = F.filter(known, lambda n: ~category[n].isin(*V.NON_STACK) & concept[n].isNull())
     methods = F.filter(known, lambda n: concept[n].isNotNull())
@@ -198,7 +203,7 @@ def provenance_rows(featured: DataFrame) -> DataFrame:
 
 def long_table(featured: DataFrame, taxonomy: list[Skill], carried: tuple[str, ...] = ()) -> DataFrame:
     """One row for each posting and skill: id, skill, category, slug, is_concept, is_stack, provenance and the carried columns."""
-    category, concept = _map({s.name: s.category for s in taxonomy}), _map({s.name: "1" for s in taxonomy if s.concept})
+    category, concept = _map({s.name: s.category for s in taxonomy}), _map(dict.fromkeys(concepts(taxonomy), "1"))
     each = featured.select("id", F.explode("skills_final").alias("skill"), "skill_provenance_map", *carried)
     is_concept = concept[F.col("skill")].isNotNull()
     return each.select("id", "skill", category[F.col("skill")].alias("category"), slug(category[F.col("skill")]).alias("category_slug"), is_concept.alias("is_concept"), (~is_concept & ~category[F.col("skill")].isin(*V.NON_STACK)).alias("is_stack"), F.col("skill_provenance_map")[F.col("skill")].alias("provenance"), *carried)

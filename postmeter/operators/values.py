@@ -44,29 +44,62 @@ def pair_medians(postings: DataFrame, by: tuple[str, ...] = ("publisher",), min_
     return a.join(b, list(by)).filter("entity_a < entity_b").withColumn("difference", F.col("median_a") - F.col("median_b"))
 
 
-def pair_intervals(postings: DataFrame, pairs: DataFrame, n_boot: int = 2000, seed: int = 20240609) -> DataFrame:
-    """Resampled 95 % interval of each median difference. A publisher's values of one entity are one group; its quantile grid, of
-    fixed size, stands for the values, so what meets in a pair stays small."""
-    grid = F.expr("percentile(value, array(" + ",".join(f"{k / 200}" for k in range(201)) + "))")
-    cells = postings.filter("value is not null").groupBy("publisher", "entity").agg(grid.alias("q"))
-    a = cells.select("publisher", F.col("entity").alias("entity_a"), F.col("q").alias("qa"))
-    b = cells.select("publisher", F.col("entity").alias("entity_b"), F.col("q").alias("qb"))
-    both = pairs.join(a, ["publisher", "entity_a"]).join(b, ["publisher", "entity_b"]).select("publisher", "entity_a", "entity_b", "n_a", "n_b", "difference", "qa", "qb")
-
-    def run(batches):
+def _redrawn_medians(postings: DataFrame, by: list[str], n_boot: int, seed: int) -> DataFrame:
+    """*by, entity, draw, m: medians of redrawn values of every cell.
+
+    The median of a redrawing stands at one or two places of the sorted values, and which ones follows from Beta variates alone. So tasks
+    draw places, from a generator of the cell's own, and a join fetches the values that stand there: no cell is gathered."""
+    cell = [*by, "entity"]
+    ranked = postings.filter("value is not null").select(*cell, "value", (F.row_number().over(Window.partitionBy(*cell).orderBy("value")) - 1).cast("long").alias("k"))
+    sizes = ranked.groupBy(*cell).agg(F.count("*").alias("n"))
+    keyed = sizes.withColumn("key", F.xxhash64(*cell))
+
+    def draw(batches):
         for pdf in batches:
-            lows, highs = [], []
-            for r in pdf.itertuples():
-                rng = np.random.default_rng([seed, r.n_a, r.n_b])
-                draw = lambda q, n: np.median(np.interp(rng.random((n_boot, min(n, 400))), np.linspace(0, 1, 201), q), axis=1)  # noqa: E731, B023
-                d = draw(np.asarray(r.qa), r.n_a) - draw(np.asarray(r.qb), r.n_b)
-                lows.append(float(np.percentile(d, 2.5)))
-                highs.append(float(np.percentile(d, 97.5)))
-            out = pdf[["publisher", "entity_a", "entity_b", "difference"]].copy()
-            out["ci_low"], out["ci_high"] = pd.Series(lows, index=out.index, dtype=float), pd.Series(highs, index=out.index, dtype=float)
-            yield out
-
-    return both.mapInPandas(run, "publisher string, entity_a string, entity_b string, difference double, ci_low double, ci_high double")
+            for row in pdf.to_dict("records"):
+                n, rng = int(row["n"]), np.random.default_rng([seed, row["key"] & 0xFFFFFFFFFFFFFFFF])
+                low = (n + 1) // 2
+                u = rng.beta(low, n - low + 1, n_boot)
+                v = u if n % 2 else u + (1 - u) * rng.beta(1, n - low, n_boot)
+                at = lambda x: np.minimum((x * n).astype(np.int64), n - 1)  # noqa: E731, B023
+                yield pd.DataFrame({**{c: row[c] for c in cell}, "draw": np.arange(n_boot), "k1": at(u), "k2": at(v)})
+
+    kinds = ", ".join(f"{c} {sizes.schema[c].dataType.simpleString()}" for c in cell)
+    places = keyed.mapInPandas(draw, f"{kinds}, draw int, k1 long, k2 long")
+    one = places.join(ranked.withColumnsRenamed({"k": "k1", "value": "v1"}), [*cell, "k1"]).join(ranked.withColumnsRenamed({"k": "k2", "value": "v2"}), [*cell, "k2"])
+    return one.select(*cell, "draw", ((F.col("v1") + F.col("v2")) / 2).alias("m"))
+
+
+def pair_intervals(postings: DataFrame, pairs: DataFrame, n_boot: int = 2000, seed: int = 20240609, by: tuple[str, ...] = ("publisher",)) -> DataFrame:
+    """Resampled 95 % interval of each median difference; pairs: *by, entity_a, entity_b, difference."""
+    drawn = _redrawn_medians(postings, list(by), n_boot, seed)
+    a = drawn.select(*by, "draw", F.col("entity").alias("entity_a"), F.col("m").alias("ma"))
+    b = drawn.select(*by, "draw", F.col("entity").alias("entity_b"), F.col("m").alias("mb"))
+    both = pairs.select(*by, "entity_a", "entity_b", "difference").join(a, [*by, "entity_a"]).join(b, [*by, "draw", "entity_b"])
+    q = lambda p: F.expr(f"percentile(ma - mb, {p})")
+    return both.groupBy(*by, "entity_a", "entity_b", "difference").agg(q(0.025).alias("ci_low"), q(0.975).alias("ci_high"))
+
+
+def stratified_pairs(postings: DataFrame, min_cell: int = MIN_CELL, n_boot: int = 2000) -> DataFrame:
+    """Pairs inside each publisher and segment: difference, interval and verdict; a cell below the floor on either side is untestable."""
+    by = ("publisher", "segment")
+    every = pair_medians(postings, by, 1).select(*by, "entity_a", "entity_b", "n_a", "n_b", "difference")
+    band = pair_intervals(postings, every.filter((F.col("n_a") >= min_cell) & (F.col("n_b") >= min_cell)), n_boot, by=by).drop("difference")
+    out = every.join(band, [*by, "entity_a", "entity_b"], "left")
+    tested, apart = F.col("ci_low").isNotNull(), (F.col("ci_low") > 0) | (F.col("ci_high") < 0)
+    out = out.withColumn("verdict", F.when(~tested, "untestable").when(apart, "difference").otherwise("no difference identified"))
+    return out.withColumn("identified", F.col("verdict") == "difference")
+
+
+def value_verdict(disclosed: DataFrame, feasible: DataFrame, pairs: DataFrame, stratified: DataFrame) -> DataFrame:
+    """A row an entity: what could be compared, what was identified, and the refusal that follows from who discloses."""
+    two = feasible.agg(F.count(F.when(F.col("entities") >= 2, 1)).alias("publishers_with_two"))
+    sides = lambda t, *cols: t.select(F.explode(F.array("entity_a", "entity_b")).alias("entity"), *cols)
+    p = sides(pairs, "ci_low", "ci_high").groupBy("entity").agg(F.count("*").alias("pairs"), F.count(F.when((F.col("ci_low") > 0) | (F.col("ci_high") < 0), 1)).alias("pairs_excluding_zero"))
+    s = sides(stratified, "verdict").filter("verdict <> 'untestable'").groupBy("entity").agg(F.count("*").alias("cells_tested"), F.count(F.when(F.col("verdict") == "difference", 1)).alias("cells_identified"))
+    out = disclosed.select("entity", "disclosed_share", "shift_pp").join(F.broadcast(two)).join(p, "entity", "left").join(s, "entity", "left")
+    out = out.na.fill(0, ["pairs", "pairs_excluding_zero", "cells_tested", "cells_identified"])
+    return out.withColumns({"benchmark_available": F.lit(False), "verdict": F.lit("refused: disclosure belongs to publishers, so a level by entity is conditional on publisher, place and role")})
 
 
 def cell_floors(by_publisher: DataFrame, pooled: DataFrame, floors=FLOORS) -> DataFrame:

@@ -245,3 +245,10 @@ def seasonality(postings: DataFrame, min_cycles: int = 2) -> DataFrame:
 
 def weekend_share(postings: DataFrame) -> DataFrame:
     return postings.filter("day is not null").groupBy("entity").agg(F.avg((F.weekday("day") >= 5).cast("double")).alias("weekend_share"))
+
+
+def batch_share(postings: DataFrame, batches: DataFrame) -> DataFrame:
+    """entity, batch_postings, postings, share: how much of an entity's postings came in batches of one publisher and day."""
+    b = batches.groupBy("entity").agg(F.sum("postings").alias("batch_postings"))
+    out = postings.groupBy("entity").agg(F.count("*").alias("postings")).join(b, "entity", "left")
+    return out.select("entity", F.coalesce("batch_postings", F.lit(0)).alias("batch_postings"), "postings", (F.coalesce("batch_postings", F.lit(0)) / F.col("postings")).alias("share"))

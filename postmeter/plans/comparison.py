@@ -369,3 +369,10 @@ def half_without(spark, d):
     p = _postings(spark, d)
     february = p.select(F.trunc("day", "MM").alias("start")).distinct().filter(F.month("start") == 2)
     return compare.half_without(p, february)
+
+
+@query("compare_gaps_checked")
+def gaps_checked(spark, d):
+    p, i, _ = bound(spark, d)
+    share = compare.item_share(p, i)
+    return compare.significant_gaps_checked(compare.pairwise_gaps(share), compare.stratified_entity_verdict(compare.within_stratum(p, i, compare.top_items(share))))

@@ -168,6 +168,12 @@ def horizon_verdict(spark, d):
     return forecast.horizon_verdict(forecast.horizons(simple_backtest(spark, d)))
 
 
+@query("forecast_interval_coverage")
+def interval_coverage(spark, d):
+    s = forecast.panel_share_series(_postings(spark, d))
+    return forecast.interval_coverage(simple_backtest(spark, d), forecast.forecastability(s, min_cell=3))
+
+
 @query("forecast_table")
 def table(spark, d):
     s = forecast.panel_share_series(_postings(spark, d))

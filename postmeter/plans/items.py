@@ -138,6 +138,6 @@ def emerging(spark, d):
     return items.emerging_per_posting(long, items.trend(p, long))
 
 
-@query("items_rare", f"WITH {ALL_ITEMS} SELECT entity, item, count(DISTINCT id) AS postings FROM long GROUP BY ALL HAVING count(DISTINCT id) <= 20")
+@query("items_rare", f"WITH {ALL_ITEMS} SELECT entity, item, count(DISTINCT id) AS postings FROM long GROUP BY ALL HAVING count(DISTINCT id) <= 100")
 def rare(spark, d):
-    return items.rare(bound(spark, d)[2], 20)
+    return items.rare(bound(spark, d)[2], 100)

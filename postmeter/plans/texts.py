@@ -51,6 +51,18 @@ def pair_medians_segment(spark, d):
     return values.pair_medians(_postings(spark, d), ("segment",))
 
 
+@query("values_pairs_stratified")
+def pairs_stratified(spark, d):
+    return values.stratified_pairs(_postings(spark, d), n_boot=400)
+
+
+@query("values_verdict")
+def value_verdict(spark, d):
+    p = _postings(spark, d)
+    pairs = values.pair_intervals(p, values.pair_medians(p), 400)
+    return values.value_verdict(values.disclosure(p), values.feasible_cells(p), pairs, values.stratified_pairs(p, n_boot=400))
+
+
 @query("values_pair_intervals")
 def pair_intervals(spark, d):
     p = _postings(spark, d)

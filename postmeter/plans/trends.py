@@ -187,6 +187,15 @@ def batches(spark, d):
     return volume.batch_table(roles.event_postings(spark, d))
 
 
+@query(
+    "trends_batch_share",
+    f"WITH {EVENTS}, b AS (SELECT entity, sum(n) AS n FROM (SELECT entity, count(*) AS n FROM postings GROUP BY entity, publisher, day HAVING count(*) >= 3) GROUP BY 1), t AS (SELECT entity, count(*) AS n FROM postings GROUP BY 1) SELECT entity, coalesce(b.n, 0)::BIGINT AS batch_postings, t.n AS postings, round(coalesce(b.n, 0) / t.n::DOUBLE, 6) AS share FROM t LEFT JOIN b USING (entity)",
+)
+def batch_share(spark, d):
+    p = roles.event_postings(spark, d)
+    return volume.batch_share(p, volume.batch_table(p))
+
+
 ATTRIBUTE = f"""WITH {POSTINGS}, {SPIKES},
 pres AS (SELECT entity, publisher, CAST(date_trunc('week', day) AS DATE) AS start, count(*) AS n FROM postings GROUP BY ALL),
 dense AS (SELECT g.entity, g.publisher, s.start, coalesce(n, 0) AS n FROM (SELECT DISTINCT entity, publisher FROM pres) g JOIN spikes s USING (entity) LEFT JOIN pres p ON p.entity = g.entity AND p.publisher = g.publisher AND p.start = s.start),

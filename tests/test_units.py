@@ -199,3 +199,43 @@ def test_entry_works_without_corpus_operators(monkeypatch):
     assert "pipeline" not in entry.queries() and "compare_relative_share_table" in entry.queries()
     assert set(entry.oracle_sql()) <= set(entry.queries())
     sys.modules.pop("__spark_entry__", None)
+
+
+def test_next_periods(spark):
+    from postmeter.functions import periods
+
+    df = spark.createDataFrame([("2023-11",)], "k string")
+    assert df.select(periods.next_periods(F.col("k"), 3)).first()[0] == ["2023-12", "2024-01", "2024-02"]
+    with pytest.raises(ValueError):
+        periods.next_periods(F.col("k"), 3, "week")
+
+
+def test_redrawn_medians_have_the_bootstrap_distribution(spark):
+    """Places drawn by Beta variates against medians of values redrawn outright, odd and even cells."""
+    import numpy as np
+
+    from postmeter.operators import values
+
+    rng = np.random.default_rng(1)
+    for n in (9, 10):
+        x = rng.lognormal(size=n)
+        df = spark.createDataFrame([("p", "e", float(v)) for v in x], "publisher string, entity string, value double")
+        got = np.array([r.m for r in values._redrawn_medians(df, ["publisher"], 4000, 7).collect()])
+        want = np.median(rng.choice(x, (4000, n)), axis=1)
+        assert len(got) == 4000 and np.all(np.isin(np.round(got, 9), np.round((x[:, None] + x[None, :]) / 2, 9)))
+        assert all(abs(np.quantile(got, q) - np.quantile(want, q)) < 0.35 for q in (0.25, 0.5, 0.75))
+
+
+def test_claims_are_refused_for_their_direction(spark):
+    cells = spark.createDataFrame([("t", "x", "v", "1.0"), ("t", "x", "verdict", "falling_in_all_segments"), ("t", "y", "v", "1.0"), ("t", "y", "verdict", "rising_in_all_segments")], "table string, row string, column string, value string")
+    row = lambda i, r, words: (i, "q", "skill_stratified", words, "t", r, "v", "1.0", "verdict", "", "a", "none", None)
+    made = spark.createDataFrame([row("a", "x", "x is rising"), row("b", "y", "y is rising"), row("c", "x", "x is there")], "claim_id string, question string, family string, text string, table string, row string, column string, value string, verdict_column string, clause string, audience string, action string, refusal_rule string")
+    got = {r.claim_id: r.status for r in claims.compile_ledger(made, cells).collect()}
+    assert got == {"a": "refused", "b": "published", "c": "published"}
+
+
+def test_citations_and_texts(spark):
+    df = spark.createDataFrame([("t.csv#v@a=x y,b=2", 11), ("no citation", 2)], "c string, n int")
+    got = df.select(claims.parse_citation(F.col("c")).alias("p"), claims.ordinal(F.col("n")), claims.stated(F.col("n")), claims.percent(F.col("n") / 100), claims.identifier(F.lit("C# / Node.js"))).collect()
+    assert got[0][0].selector == {"a": "x y", "b": "2"} and got[1][0] is None
+    assert [r[1] for r in got] == ["11th", "2nd"] and got[0][2] == "11" and got[0][3] == "11.0%" and got[0][4] == "c-sharp-node-dot-js"
