@@ -1,7 +1,8 @@
 """Quality rules by distribution divergence, in DataFrame expressions only.
 
 Every document's character-class histogram and its histogram of common words are compared by
-Jensen-Shannon distance with references that are the sums over all documents of its language.
+Jensen-Shannon distance with references, the median share of every bin over all documents of its language. Histograms are counted
+once, written as a table, and read for the references and again for the distances.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postmeter.llm.common import SPACE, WORD, let, set_aside
+from postmeter.llm.common import SPACE, WORD, durable, let, set_aside
 
 #: The commonest function words of each supported language.
 COMMON_WORDS = {
@@ -113,13 +114,13 @@ def with_histograms(docs: DataFrame, more=None) -> DataFrame:
     return out.withColumns({"_chars": rest(F.length(text), "_counts"), "_common": rest(F.col("_w.n"), "_c0")}).drop("_counts", "_left", "_c0")
 
 
-def language_references(docs: DataFrame) -> DataFrame:
-    """One row for each supported language that occurs and one for all others: the median share of every bin over all documents.
+def language_references(histograms: DataFrame) -> DataFrame:
+    """histograms: `_lang`, `_chars`, `_common`. One row for each supported language that occurs and one for all others: the median share of every bin over all documents.
 
     Medians (approximate quantiles, kept as mergeable summaries) don't follow a minority of junk. At most
     len(COMMON_WORDS) + 1 rows whatever the input, so the table may be broadcast.
     """
-    h = with_histograms(docs).select("_lang", *(_shares(F.col(c)).alias(c) for c in ("_chars", "_common")))
+    h = histograms.select("_lang", *(_shares(F.col(c)).alias(c) for c in ("_chars", "_common")))
     wide = {"_chars": len(CHARACTER_CLASSES) + 2, "_common": 1 + len(next(iter(COMMON_WORDS.values())))}
     medians = [F.percentile_approx(F.col(c)[i], 0.5, 1000).alias(f"{c}{i}") for c, n in wide.items() for i in range(n)]
     got = h.groupBy("_lang").agg(*medians)
@@ -140,32 +141,47 @@ def jensen_shannon(counts: Column, reference: Column) -> Column:
     return F.sqrt(F.greatest(_sum(terms), F.lit(0.0)))
 
 
-def measure(docs: DataFrame, min_words: int = MIN_WORDS, min_characters: int = MIN_CHARACTERS, max_character_distance: float = MAX_CHARACTER_DISTANCE, max_word_distance: float = MAX_WORD_DISTANCE) -> DataFrame:
+def measure(
+    docs: DataFrame,
+    min_words: int = MIN_WORDS,
+    min_characters: int = MIN_CHARACTERS,
+    max_character_distance: float = MAX_CHARACTER_DISTANCE,
+    max_word_distance: float = MAX_WORD_DISTANCE,
+    returned: list[str] | None = None,
+) -> DataFrame:
     """docs plus n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, character_distance, word_distance and kept.
 
-    A null text counts as empty: no words, base_failed true. A language that is null or not supported is held against
-    the other such documents by character classes only. Below the minimum lengths a distance is null and decides nothing.
-    Repeated rows are measured alike. Columns of docs by the names added here are replaced.
+    returned: columns of docs to return; all if not given. A null text counts as empty: no words, base_failed true. A language that is
+    null or not supported is held against the other such documents by character classes only. Below the minimum lengths a distance is
+    null and decides nothing. Repeated rows are measured alike. Columns of docs by the names added here are replaced.
     """
     docs = docs.drop(*ADDED)
-    references = language_references(docs.select("text", "lang"))
+    columns = docs.columns if returned is None else returned
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
-    out = with_histograms(docs, repeated_words).join(F.broadcast(references), "_lang", "left").withColumns(
+    counted = with_histograms(docs, repeated_words).select(
+        *columns,
+        "_lang",
+        "_chars",
+        "_common",
+        F.col("_w.n").alias("n_words"),
+        F.col("_w.chars").alias("word_chars"),
+        F.col("_symbols").alias("n_symbols"),
+        let(lines, lambda a: (F.size(a) - F.size(F.array_distinct(a))).cast("long")).alias("n_dup_lines"),
+        F.col("_w.more").alias("n_repeat_words"),
+        F.length(text).alias("_length"),
+    )
+    counted = durable(counted)
+    out = counted.join(F.broadcast(language_references(counted)), "_lang", "left").withColumns(
         {
-            "n_words": F.col("_w.n"),
-            "word_chars": F.col("_w.chars"),
-            "n_symbols": F.col("_symbols"),
-            "n_dup_lines": let(lines, lambda a: (F.size(a) - F.size(F.array_distinct(a))).cast("long")),
-            "n_repeat_words": F.col("_w.more"),
-            "character_distance": F.when((F.col("_w.n") >= min_words) & (F.length(text) >= min_characters), jensen_shannon(F.col("_chars"), F.col("_ref_chars"))),
-            "word_distance": F.when(F.col("_w.n") >= min_words, jensen_shannon(F.col("_common"), F.col("_ref_common"))),
+            "character_distance": F.when((F.col("n_words") >= min_words) & (F.col("_length") >= min_characters), jensen_shannon(F.col("_chars"), F.col("_ref_chars"))),
+            "word_distance": F.when(F.col("n_words") >= min_words, jensen_shannon(F.col("_common"), F.col("_ref_common"))),
         }
     )
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     odd = (F.coalesce("character_distance", F.lit(0.0)) > max_character_distance) | (F.coalesce("word_distance", F.lit(0.0)) > max_word_distance)
     out = out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~odd)
-    return out.select(*docs.columns, *ADDED)
+    return out.select(*columns, *ADDED)
 
 
 def keep_good(docs: DataFrame) -> DataFrame:

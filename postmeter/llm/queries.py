@@ -35,7 +35,7 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.measure(table(spark, sf_dir, "documents")).drop(*CARRIED)
+    return quality_rules.measure(table(spark, sf_dir, "documents"), returned=["doc_id"])
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -550,6 +550,56 @@ def test_quality_rules(docs, rows, none):
     assert quality_rules.measure(none).count() == 0
 
 
+def plain_distance(p, q):
+    p, q = np.asarray(p, float), np.asarray(q, float)
+    p = p / p.sum()
+    m = (p + q) / 2
+    part = lambda x: sum(a * math.log2(a / b) for a, b in zip(x, m) if a > 0)
+    return math.sqrt(max((part(p) + part(q)) / 2, 0))
+
+
+def test_quality_verdicts_against_a_second_rendering(spark, small):
+    """Histograms, median references, Jensen-Shannon distances and verdicts by plain Python over all documents."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    rows = docs.collect()
+    classes = quality_rules.CHARACTER_CLASSES
+
+    def histograms(r):
+        w, t = words(r.text), r.text or ""
+        counts = [sum(map(t.count, "".join(c))) for c in classes.values()]
+        spaces = len(t) - sum(map(len, w))
+        chars = [max(len(t) - spaces - sum(counts), 0), spaces, *counts]
+        listed = quality_rules.COMMON_WORDS.get(r.lang)
+        common = None
+        if listed:
+            seen = Counter(w)
+            own = [seen[x] for x in listed]
+            common = [max(len(w) - sum(own), 0), *own]
+        return chars, common
+
+    made = {r.doc_id: (r, *histograms(r)) for r in rows}
+    groups = defaultdict(list)
+    for r, chars, common in made.values():
+        groups[r.lang if r.lang in quality_rules.COMMON_WORDS else "other"].append((chars, common))
+
+    def reference(parts):
+        shares = np.array([np.array(x, float) / sum(x) for x in parts if x is not None and sum(x)])
+        medians = np.sort(shares, axis=0)[(len(shares) + 1) // 2 - 1]
+        return medians / medians.sum()
+
+    refs = {g: (reference([c for c, _ in xs]), reference([c for _, c in xs]) if g != "other" else None) for g, xs in groups.items()}
+    got = {r.doc_id: r for r in quality_rules.measure(docs).collect()}
+    for i, (r, chars, common) in made.items():
+        g = r.lang if r.lang in quality_rules.COMMON_WORDS else "other"
+        m, n = got[i], len(words(r.text))
+        if n >= 50 and len(r.text) >= 200:
+            assert abs(m.character_distance - plain_distance(chars, refs[g][0])) < 5e-3, i
+        if n >= 50 and common:
+            assert abs(m.word_distance - plain_distance(common, refs[g][1])) < 5e-3, i
+        odd = (m.character_distance or 0) > quality_rules.MAX_CHARACTER_DISTANCE or (m.word_distance or 0) > quality_rules.MAX_WORD_DISTANCE
+        assert m.kept == (not m.base_failed and not odd)
+
+
 def test_quality_rules_tell_junk(spark, small):
     d = spark.read.parquet(f"{small}/documents.parquet")
     known = quality_rules.measure(d).filter("not base_failed").join(spark.read.parquet(f"{small}/labels.parquet"), "doc_id").select("kept", "quality").collect()
