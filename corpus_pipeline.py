@@ -1,4 +1,10 @@
-"""From raw documents to a training mix: five stages, each written and read again before the next."""
+"""From raw documents to a training mix: five stages, each written and read again before the next.
+
+Stages take and return tables with the columns of documents (the last one returns the mix) and work on whole texts. Null and empty texts are
+empty documents: the quality rules reject them; handed to a later stage alone they are near-duplicates of each other, hold no benchmark item
+and no personal data, and have size 0 in the mix. Rows with a null doc_id, source or language take part as the operators' docstrings say;
+repeated rows are near-duplicates of each other. Extra columns of documents are carried; names that an operator adds don't clash with them.
+Each stage gives an empty table for an empty table."""
 
 from __future__ import annotations
 
