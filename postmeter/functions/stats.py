@@ -18,7 +18,7 @@ def ratio(a: Column, b: Column) -> Column:
 def correlation(a: Column, b: Column) -> Column:
     """Correlation as an aggregate, null where either side does not vary or fewer than two pairs are complete."""
     x, y = F.when(b.isNotNull(), a).cast("double"), F.when(a.isNotNull(), b).cast("double")
-    return F.when((F.min(x) < F.max(x)) & (F.min(y) < F.max(y)), F.corr(x, y))
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
 def erfc(x: Column) -> Column:

@@ -8,6 +8,7 @@ from postmeter.operators import compare
 from postmeter.plans.items import ALL_ITEMS, bound
 from postmeter.plans.registry import COMMON, ELIGIBLE, POSTINGS, query
 from postmeter.plans.trends import BALANCED, VERDICT
+from postmeter.sources.tables import settled
 
 #: Which adjective marks an entity's own items, and which marks items it originated.
 OWN = {"AUTOMOBILE": "hot", "BUILDING": "red", "FURNITURE": "blue", "HOUSEHOLD": "small", "MACHINERY": "large"}
@@ -250,7 +251,7 @@ FROM dis LEFT JOIN vendors USING (entity, item)""",
 )
 def distinctiveness(spark, d):
     p, i, _ = bound(spark, d)
-    return compare.distinctiveness(compare.item_share(p, i), vendors(spark, d))
+    return compare.distinctiveness(settled(compare.item_share(p, i)), vendors(spark, d))
 
 
 _P = ("ka", "na", "kb", "nb")
@@ -265,7 +266,7 @@ SELECT * REPLACE ({_ROUND(['a_share', 'b_share', 'diff', 'p_value', 'q_value'])}
 )
 def pairwise(spark, d):
     p, i, _ = bound(spark, d)
-    return compare.pairwise_gaps(compare.item_share(p, i))
+    return compare.pairwise_gaps(settled(compare.item_share(p, i)))
 
 
 @query(
@@ -287,7 +288,7 @@ def self_reference(spark, d):
 )
 def item_matrix(spark, d):
     p, i, _ = bound(spark, d)
-    return compare.item_matrix(compare.item_share(p, i), list(OWN))
+    return compare.item_matrix(settled(compare.item_share(p, i)), list(OWN))
 
 
 TOP = "top AS (SELECT item FROM sh WHERE postings_with_item >= 10 GROUP BY 1 ORDER BY sum(postings_with_item) DESC, item LIMIT 25)"
@@ -298,7 +299,7 @@ cl AS (SELECT nn.entity, top.item, nn.segment, n, coalesce(k, 0)::DOUBLE AS k FR
 @query("compare_top_items", f"WITH {ALL_ITEMS}, {SHARE}, {TOP} SELECT * FROM top")
 def top(spark, d):
     p, i, _ = bound(spark, d)
-    return compare.top_items(compare.item_share(p, i))
+    return compare.top_items(settled(compare.item_share(p, i)))
 
 
 @query(
@@ -308,7 +309,7 @@ SELECT entity, item, round(crude, 6) AS crude_share, round(weight_covered, 6) AS
 )
 def standardised_items(spark, d):
     p, i, _ = bound(spark, d)
-    return compare.standardised_items(p, i, compare.top_items(compare.item_share(p, i)))
+    return compare.standardised_items(p, i, compare.top_items(settled(compare.item_share(p, i))))
 
 
 _lo, _hi = wilson_sql("k", "n")
@@ -318,7 +319,7 @@ STRATUM = f"ws AS (SELECT entity, item, segment, CAST(k AS BIGINT) AS postings_w
 @query("compare_within_stratum", f"WITH {ALL_ITEMS}, {SHARE}, {TOP}, {HITS}, {STRATUM} SELECT * REPLACE ({_ROUND(['share', 'ci_low', 'ci_high'])}) FROM ws")
 def within_stratum(spark, d):
     p, i, _ = bound(spark, d)
-    return compare.within_stratum(p, i, compare.top_items(compare.item_share(p, i)))
+    return compare.within_stratum(p, i, compare.top_items(settled(compare.item_share(p, i))))
 
 
 @query(
@@ -330,7 +331,7 @@ SELECT item, entity_a, entity_b, CASE WHEN n >= 2 THEN round(pd, 6) END AS poole
 )
 def stratified_entity(spark, d):
     p, i, _ = bound(spark, d)
-    return compare.stratified_entity_verdict(compare.within_stratum(p, i, compare.top_items(compare.item_share(p, i))))
+    return compare.stratified_entity_verdict(compare.within_stratum(p, i, compare.top_items(settled(compare.item_share(p, i)))))
 
 
 @query(
@@ -374,5 +375,5 @@ def half_without(spark, d):
 @query("compare_gaps_checked")
 def gaps_checked(spark, d):
     p, i, _ = bound(spark, d)
-    share = compare.item_share(p, i)
+    share = settled(compare.item_share(p, i))
     return compare.significant_gaps_checked(compare.pairwise_gaps(share), compare.stratified_entity_verdict(compare.within_stratum(p, i, compare.top_items(share))))

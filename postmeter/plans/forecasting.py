@@ -6,6 +6,7 @@ from postmeter import roles
 from postmeter.operators import forecast
 from postmeter.plans.comparison import erfc_sql
 from postmeter.plans.items import ALL_ITEMS, bound
+from postmeter.sources.tables import settled
 from postmeter.plans.registry import COMMON, ELIGIBLE, POSTINGS, query
 
 ALL_POSTINGS = POSTINGS
@@ -30,7 +31,7 @@ def unobserved(spark, d):
 
 @query("forecast_panel_share_series", f"WITH {ALL_POSTINGS}, {SERIES} SELECT key, start, numerator, denominator, round(share, 6) AS share, is_observed FROM series")
 def share_series(spark, d):
-    return forecast.panel_share_series(_postings(spark, d))
+    return settled(forecast.panel_share_series(_postings(spark, d)))
 
 
 @query("forecast_pool_series", f"WITH {ALL_POSTINGS}, {SERIES} SELECT 'panel_pool' AS key, start, CAST(sum(numerator) AS BIGINT) AS numerator, CAST(sum(numerator) AS BIGINT) AS denominator, sum(numerator)::DOUBLE AS share, any_value(is_observed) AS is_observed FROM series GROUP BY start")
@@ -71,7 +72,7 @@ _R6 = lambda cols: ", ".join(f"round({c}, 6) AS {c}" for c in cols)  # noqa: E73
 
 @query("forecast_forecastability", f"WITH {ALL_POSTINGS}, {SERIES}, {gate_sql()} SELECT * REPLACE ({_R6(['median_denominator', 'mean_share', 'cv', 'chi2', 'homogeneity_p', 'overdispersion', 'signal_share'])}) FROM gate")
 def gate(spark, d):
-    return forecast.forecastability(forecast.panel_share_series(_postings(spark, d)))
+    return forecast.forecastability(settled(forecast.panel_share_series(_postings(spark, d))))
 
 
 @query(
@@ -79,7 +80,7 @@ def gate(spark, d):
     f"WITH {ALL_POSTINGS}, {SERIES}, {gate_sql(3, 'ga')}, {gate_sql(5, 'gb')}, {gate_sql(10, 'gc')} SELECT cutoff, count(*) FILTER (verdict = 'forecastable') AS forecastable, coalesce(string_agg(key, ', ' ORDER BY key) FILTER (verdict = 'forecastable'), '') AS keys FROM (SELECT CAST(3 AS BIGINT) AS cutoff, key, verdict FROM ga UNION ALL SELECT 5, key, verdict FROM gb UNION ALL SELECT 10, key, verdict FROM gc) GROUP BY 1",
 )
 def gate_sensitivity(spark, d):
-    return forecast.gate_sensitivity(forecast.panel_share_series(_postings(spark, d)))
+    return forecast.gate_sensitivity(settled(forecast.panel_share_series(_postings(spark, d))))
 
 
 BACKTEST = """ty AS (SELECT key, start, share, ln(greatest(share, 0.5::DOUBLE / greatest(denominator, 1))) AS y, row_number() OVER (PARTITION BY key ORDER BY start) AS i, (year(start) * 12 + month(start)) - min(year(start) * 12 + month(start)) OVER (PARTITION BY key) AS t FROM series WHERE is_observed),
@@ -90,7 +91,7 @@ _BT = f"WITH {ALL_POSTINGS}, {SERIES}, {BACKTEST}"
 
 
 def simple_backtest(spark, d):
-    return forecast.backtest(forecast.panel_share_series(_postings(spark, d)), SIMPLE)
+    return forecast.backtest(settled(forecast.panel_share_series(_postings(spark, d))), SIMPLE)
 
 
 @query("forecast_backtest", f"{_BT} SELECT key, model, CAST(horizon AS BIGINT) AS horizon, origin, target, n_train, round(actual, 6) AS actual, round(predicted, 6) AS predicted, round(error, 6) AS error FROM bt")
@@ -100,7 +101,7 @@ def backtest(spark, d):
 
 @query("forecast_backtest_all_models")
 def backtest_all(spark, d):
-    return forecast.backtest(forecast.panel_share_series(_postings(spark, d)))
+    return forecast.backtest(settled(forecast.panel_share_series(_postings(spark, d))))
 
 
 ACCURACY = "ac AS (SELECT horizon, model, count(*) AS n, sqrt(avg(error * error)) AS rmse, avg(abs(error)) AS mae, avg(error) AS bias FROM bt GROUP BY ALL)"
@@ -170,13 +171,13 @@ def horizon_verdict(spark, d):
 
 @query("forecast_interval_coverage")
 def interval_coverage(spark, d):
-    s = forecast.panel_share_series(_postings(spark, d))
+    s = settled(forecast.panel_share_series(_postings(spark, d)))
     return forecast.interval_coverage(simple_backtest(spark, d), forecast.forecastability(s, min_cell=3))
 
 
 @query("forecast_table")
 def table(spark, d):
-    s = forecast.panel_share_series(_postings(spark, d))
+    s = settled(forecast.panel_share_series(_postings(spark, d)))
     tested = forecast.backtest(s)
     return forecast.forecast(s, forecast.select_model(tested), tested, forecast.forecastability(s, min_cell=3))
 

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from postmeter import roles
 from postmeter.operators import items
+from postmeter.sources.tables import settled
 from postmeter.plans.registry import ELIGIBLE, ITEMS, POSTINGS, query
 
 ALL_ITEMS = f"{POSTINGS}, {ITEMS}"
 
 
 def bound(spark, d):
-    """(postings, items, long) of the year."""
-    p, i = roles.order_postings(spark, d), roles.order_items(spark, d)
+    """(postings, items, long). Both tables are settled, as their joins and the distinct items serve several branches of a plan."""
+    p, i = settled(roles.order_postings(spark, d)), settled(roles.order_items(spark, d))
     return p, i, items.long_table(p, i)
 
 
@@ -138,6 +139,6 @@ def emerging(spark, d):
     return items.emerging_per_posting(long, items.trend(p, long))
 
 
-@query("items_rare", f"WITH {ALL_ITEMS} SELECT entity, item, count(DISTINCT id) AS postings FROM long GROUP BY ALL HAVING count(DISTINCT id) <= 100")
+@query("items_rare", f"WITH {ALL_ITEMS} SELECT entity, item, count(DISTINCT id) AS postings FROM long GROUP BY ALL HAVING count(DISTINCT id) <= 180")
 def rare(spark, d):
-    return items.rare(bound(spark, d)[2], 100)
+    return items.rare(bound(spark, d)[2], 180)

@@ -9,6 +9,7 @@ from postmeter.plans.comparison import SHARE, VENDORS, HITS, STANDARD, TOP, vend
 from postmeter.plans.forecasting import ALL_POSTINGS, SERIES, _postings, gate_sql
 from postmeter.plans.items import ALL_ITEMS, bound
 from postmeter.plans.registry import query
+from postmeter.sources.tables import settled
 
 PROFILE = f"""{SHARE}, prof AS (SELECT e.entity, v.item, coalesce(postings_with_item, 0) AS k, e.n_skilled AS n, coalesce(postings_with_item, 0) / e.n_skilled::DOUBLE AS share FROM ns e CROSS JOIN (SELECT DISTINCT item FROM sh) v LEFT JOIN sh ON sh.entity = e.entity AND sh.item = v.item),
 rk AS (SELECT *, rank() OVER (PARTITION BY entity ORDER BY share) + (count(*) OVER (PARTITION BY entity, share) - 1) / 2.0::DOUBLE AS r, sum(share) OVER (PARTITION BY entity) AS tot FROM prof),
@@ -25,7 +26,7 @@ _R = lambda cols: ", ".join(f"round({c}, 6) AS {c}" for c in cols)
 
 def profile(spark, d):
     p, i, _ = bound(spark, d)
-    return similarity.profiles(p, i)
+    return settled(similarity.profiles(p, i))
 
 
 @query("similarity_profiles", f"{_BASE} SELECT entity, item, k, n, round(share, 6) AS share FROM prof")
@@ -104,7 +105,7 @@ l AS (SELECT *, crude - standardised AS mix_effect, {_RK('crude')} AS rank_crude
 )
 def mix(spark, d):
     p, i, _ = bound(spark, d)
-    return similarity.mix_sensitivity(compare.standardised_items(p, i, compare.top_items(compare.item_share(p, i))))
+    return similarity.mix_sensitivity(compare.standardised_items(p, i, compare.top_items(settled(compare.item_share(p, i)))))
 
 
 @query("similarity_calibration")
@@ -136,7 +137,7 @@ q AS (SELECT p.*, ga.verdict = 'forecastable' AS gate_a, gb.verdict = 'forecasta
 SELECT entity_a, entity_b, gate_a, gate_b, n_periods, round(r, 6) AS r_log_share, round(rc, 6) AS r_clr, round(av, 6) AS aitchison_variation, round(lo, 6) AS ci_low, round(hi, 6) AS ci_high, round(hi - lo, 6) AS ci_width, gate_a AND gate_b AND n_periods >= 8 AS eligible, lo > 0 OR hi < 0 AS excludes_zero FROM q""",
 )
 def trajectories(spark, d):
-    s = forecast.panel_share_series(_postings(spark, d))
+    s = settled(forecast.panel_share_series(_postings(spark, d)))
     return similarity.trajectories(s, forecast.forecastability(s, min_cell=3))
 
 
@@ -150,7 +151,7 @@ def sigma(spark, d):
 
 def _closure(spark, d, more=()):
     """Trajectories, the null at the series' own periods, parts and dispersion (and at multiples of it), and that dispersion."""
-    s = forecast.panel_share_series(_postings(spark, d))
+    s = settled(forecast.panel_share_series(_postings(spark, d)))
     table = similarity.trajectories(s, forecast.forecastability(s, min_cell=3))
     own = similarity.calibrated_sigma(s).first()
     periods, parts, own_sigma = max(own.n_periods, 2), max(own.n_parts, 2), own.sigma or similarity.DEFAULT_SIGMA
@@ -176,6 +177,6 @@ def mean_off_diagonal(spark, d):
 @query("similarity_pair_verdicts")
 def pair_verdicts(spark, d):
     p, i, _ = bound(spark, d)
-    prof = similarity.profiles(p, i)
-    mixed = similarity.mix_sensitivity(compare.standardised_items(p, i, compare.top_items(compare.item_share(p, i))))
+    prof = settled(similarity.profiles(p, i))
+    mixed = similarity.mix_sensitivity(compare.standardised_items(p, i, compare.top_items(settled(compare.item_share(p, i)))))
     return similarity.pair_verdicts(similarity.bootstrap(p, i), similarity.pair_table(prof), similarity.vendor_sensitivity(prof, vendors(spark, d)), mixed)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from postmeter import roles
 from postmeter.operators import volume
+from postmeter.sources.tables import settled
 from postmeter.plans.registry import EVENTS, POSTINGS, query
 
 
@@ -11,6 +12,11 @@ def _postings(spark, d):
     return roles.order_postings(spark, d)
 
 
+def _settled(spark, d):
+    """Postings for plans that read them in several branches."""
+    return settled(roles.order_postings(spark, d).select("id", "entity", "publisher", "day", "segment"))
+
+
 SERIES = """
 win AS (SELECT entity, min(day) AS first_day, max(day) AS last_day FROM {p} GROUP BY 1),
 spine AS (SELECT entity, first_day, last_day, CAST(unnest(generate_series(date_trunc('{u}', first_day), date_trunc('{u}', last_day), INTERVAL 1 {u})) AS DATE) AS start FROM win),
@@ -132,7 +138,7 @@ for _method in ("chained", "bilateral"):
         f"WITH {POSTINGS}, {PRES}, {_matched_sql(_method)} SELECT entity, start, strftime(start, '%Y-%m') AS period, round(idx, 6) AS index, matched AS matched_publishers, base AS base_postings, cur AS period_postings FROM {_method}",
     )
     def matched(spark, d, method=_method):
-        return volume.matched_index(_postings(spark, d), "month", method)
+        return volume.matched_index(_settled(spark, d), "month", method)
 
 
 _ALL = "PARTITION BY entity ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
@@ -148,7 +154,7 @@ sens AS (SELECT *, 100 * raw_postings / nullif(first_value(raw_postings) OVER ({
  round(bilateral_index, 6) AS bilateral_index, bilateral_matched, round(raw_index, 6) AS raw_index, round(balanced_index, 6) AS balanced_index FROM sens""",
 )
 def sensitivity(spark, d):
-    return volume.panel_sensitivity(_postings(spark, d)).drop("start")
+    return volume.panel_sensitivity(_settled(spark, d)).drop("start")
 
 
 VERDICT = f"""{SENSITIVITY},
@@ -161,7 +167,7 @@ verdict AS (SELECT entity, CASE WHEN len(labels) = 0 THEN 'unresolved' WHEN len(
 
 @query("trends_panel_verdict", f"WITH {POSTINGS}, {VERDICT} SELECT * FROM verdict")
 def verdict(spark, d):
-    return volume.panel_verdict(volume.panel_sensitivity(_postings(spark, d)))
+    return volume.panel_verdict(volume.panel_sensitivity(_settled(spark, d)))
 
 
 def _middle(name: str, frame: str) -> str:
@@ -210,7 +216,7 @@ SELECT entity, period, postings, round(med, 6) AS local_median, round(excess, 6)
 
 @query("trends_attribute_spikes", ATTRIBUTE)
 def attribute(spark, d):
-    p = _postings(spark, d)
+    p = _settled(spark, d)
     return volume.attribute_spikes(p, volume.robust_spikes(volume.volume_series(p, "week")), "week")
 
 
@@ -235,7 +241,7 @@ SELECT entity, segment, n_h1, n_h2, share_h1, share_h2, share_delta, count_chang
 
 @query("trends_segment_trend", f"WITH {POSTINGS} SELECT * FROM {_segment_sql('postings', 'raw')}")
 def segment_trend(spark, d):
-    return volume.segment_trend(_postings(spark, d))
+    return volume.segment_trend(_settled(spark, d))
 
 
 @query(
@@ -244,7 +250,7 @@ def segment_trend(spark, d):
 SELECT r.*, b.n_h1 AS n_h1_balanced, b.n_h2 AS n_h2_balanced, b.share_change_pct AS share_change_pct_balanced, coalesce(b.direction, 'no_panel') AS direction_balanced, r.direction = coalesce(b.direction, 'no_panel') AS directions_agree FROM r LEFT JOIN b USING (entity, segment)""",
 )
 def compare_panels(spark, d):
-    return volume.compare_panels(_postings(spark, d))
+    return volume.compare_panels(_settled(spark, d))
 
 
 @query(

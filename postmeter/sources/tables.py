@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,9 +59,9 @@ def write(df: DataFrame, path: str, kind: str = "parquet", partition_by: tuple[s
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df computed once and cut from its lineage: what several tables build on is checkpointed in the cluster's shared folder.
+    """df written once as Parquet in the cluster's shared folder and read back: what several tables build on is then scanned, not computed anew.
 
-    The folder is spark.checkpoint.dir; only a local master gets one of its own where none is set."""
+    The folder is spark.checkpoint.dir; only a local master gets one of its own where none is set. The table goes with the application."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
@@ -67,4 +69,14 @@ def settled(df: DataFrame) -> DataFrame:
         if not at and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+    at = f"{sc.getCheckpointDir()}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    atexit.register(_remove, spark, at)
+    return spark.read.schema(df.schema).parquet(at)
+
+
+def _remove(spark: SparkSession, at: str) -> None:
+    sc = spark.sparkContext
+    if sc._jvm is not None and sc._jsc is not None:
+        path = sc._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
