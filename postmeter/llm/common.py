@@ -41,7 +41,7 @@ def durable(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(spark)
     at = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    atexit.register(_remove, spark, at)
+    remove_at_end(spark, at)
     out = spark.read.schema(df.schema).parquet(at)
     out._durable_at = at
     return out
@@ -49,10 +49,14 @@ def durable(df: DataFrame) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Removes the table of a DataFrame that durable() returned, before the application ends."""
-    _remove(df.sparkSession, df._durable_at)
+    remove_table(df.sparkSession, df._durable_at)
 
 
-def _remove(spark: SparkSession, at: str) -> None:
+def remove_at_end(spark: SparkSession, at: str) -> None:
+    atexit.register(remove_table, spark, at)
+
+
+def remove_table(spark: SparkSession, at: str) -> None:
     jvm = spark.sparkContext._jvm
     if jvm is not None and spark.sparkContext._jsc is not None:
         path = jvm.org.apache.hadoop.fs.Path(at)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postmeter.llm import classifier, decontaminate, licenses, lm, mixing, pii, quality_rules, simhash, substring, tokens
+from postmeter.llm import classifier, clustering, decontaminate, fim, licenses, lm, mixing, pieces, pii, quality_rules, simhash, substring, tokens
 from postmeter.llm.common import table
 
 CARRIED = ("text", "lang", "source", "n_chars")
@@ -50,5 +50,17 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_simhash, op3_decontaminate, op4_pii, op5_lm_scores, op6_mix_sources, op7_quality_rules, op8_substring_dedup, op9_token_counts, op10_quality_classifier)}
-ORACLE_SQL: dict[str, str] = {"op6_mix_sources": mixing.ORACLE_SQL, "op8_substring_dedup": substring.ORACLE_SQL}
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_piece_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_simhash, op3_decontaminate, op4_pii, op5_lm_scores, op6_mix_sources, op7_quality_rules, op8_substring_dedup, op9_token_counts, op10_quality_classifier, op11_centroid_clusters, op12_fill_in_middle, op13_piece_codes)}
+ORACLE_SQL: dict[str, str] = {"op6_mix_sources": mixing.ORACLE_SQL, "op8_substring_dedup": substring.ORACLE_SQL, "op11_centroid_clusters": clustering.oracle_sql(), "op12_fill_in_middle": fim.ORACLE_SQL}
