@@ -63,10 +63,16 @@ def remove_table(spark: SparkSession, at: str) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def set_aside(docs: DataFrame, names) -> tuple[DataFrame, list[Column]]:
-    """docs with columns renamed that clash with names, and the columns that restore docs' own."""
-    own = {c: f"_own_{c}" for c in docs.columns if c in names}
-    return docs.withColumnsRenamed(own), [F.col(own.get(c, c)).alias(c) for c in docs.columns]
+#: The column that holds a row's own columns while an operator works on it.
+ROW = "_row"
+
+
+def set_aside(docs: DataFrame, *needed: str, kept: list[str] | None = None) -> tuple[DataFrame, list[Column]]:
+    """docs as the needed columns and one struct of all (or the kept) columns, and the columns that restore these: an operator may add any
+    names meanwhile, none can clash with docs' own."""
+    names = docs.columns if kept is None else kept
+    lean = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias(ROW), *(F.col(c).alias(c) for c in needed))
+    return lean, [F.col(ROW).getField(c).alias(c) for c in names]
 
 
 def let(value: Column, body) -> Column:

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmeter.llm.common import Memo, batches_of, durable, mix64
+from postmeter.llm.common import Memo, batches_of, durable, mix64, set_aside
 
 #: The masks; 1 is a token that counts, 0 one that is ignored.
 MASKS = ("111111", "1101011", "110010111", "1011000111")
@@ -245,13 +245,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     shortest mask must occur whole and unchanged; repeated rows are judged alike, a null doc_id by its text. Columns of docs by the
     added names are replaced. An empty table of documents or items gives no row or no finding.
     """
-    docs = docs.drop(*ADDED)
+    docs, restored = set_aside(docs.drop(*ADDED), "doc_id", "text")
     keyed = docs.withColumn("_own", F.xxhash64("text"))
     found = durable(found_items(keyed.select("doc_id", F.col("_own").alias("own"), "text"), benchmark)).withColumnsRenamed({"doc_id": "_doc", "own": "_found_own"})
     out = keyed.join(found, keyed["doc_id"].eqNullSafe(found["_doc"]) & (keyed["_own"] == found["_found_own"]), "left")
     n = F.coalesce(F.size("items"), F.lit(0))
     return out.select(
-        *docs.columns,
+        *restored,
         F.col("items").isNotNull().alias("contaminated"),
         F.when(F.col("items").isNull(), F.lit(0)).otherwise(n).cast("long").alias("n_items"),
         F.coalesce(F.array_join(F.transform("items", lambda x: x["id"].cast("string")), ","), F.lit("")).alias("item_ids"),

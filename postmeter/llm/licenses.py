@@ -13,6 +13,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postmeter.llm.common import set_aside
+
 #: Label, SPDX identifiers, patterns of the name over words joined by blanks, first words of these names.
 FAMILIES = [
     ("mit", ["MIT", "MIT-0"], ["mit license", "mit licence", "expat license"], ["mit", "expat"]),
@@ -361,7 +363,7 @@ def scan(docs: DataFrame) -> DataFrame:
     Whole texts are scanned, however long. Null and empty texts have no words; a text without detections has empty labels, null first and last words and score 0. Repeated rows
     are scanned alike. Columns of docs by the added names are replaced. score is the best kept rule's, 0.6 at least where a base phrase stands.
     """
-    docs = docs.drop("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections", "_scan", "_seen", "_words")
+    docs, own = set_aside(docs.drop("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections"), "text")
     text = F.coalesce(F.col("text"), F.lit(""))
     lower = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
     # Lower case as Spark has it touches more letters than A-Z, but parts words alike; it serves the count and the gate only.
@@ -374,7 +376,7 @@ def scan(docs: DataFrame) -> DataFrame:
     starts, base_labels = F.transform(base, lambda p: p["start"]), F.array_distinct(F.transform(base, lambda p: p["label"]))
     labels = F.array_union(base_labels, F.coalesce(F.transform(detections, lambda d: d["label"]), F.array().cast("array<string>")))
     return out.select(
-        *docs.columns,
+        *own,
         F.col("_seen.n").alias("n_words"),
         F.size(base).cast("long").alias("n_base"),
         F.array_min(starts).alias("first_word"),

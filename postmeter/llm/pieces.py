@@ -1,7 +1,7 @@
 """Encoding and decoding with merge-type piece vocabularies (BPE of the sentencepiece family, with byte fallback).
 
 A text becomes symbols, one for each character; an agenda holds the adjacent pairs whose union is a piece, by score (then the leftmost), and
-the best pair is merged until none is left. Symbols that are no piece become their bytes. No piece has a word mark after another
+the best pair is merged until none is left. Symbols that are no piece become their bytes. The agendas of many words stand as rows of one table. No piece has a word mark after another
 character, nor a character that stands alone in the vocabulary beside another one: the agenda never joins over such a place, so texts are cut there and each
 worker keeps the ids of words that it has met. Words new to a worker go to the library too, in lots, and must come out alike.
 """
@@ -23,8 +23,11 @@ from pyspark.sql import types as T
 MODEL = "piece_bpe_32k.model"
 #: Word mark and the library's stand-in for an unknown id.
 MARK, UNKNOWN = "▁", " ⁇ "
-#: Words in a worker's cache, the longest word that it keeps, and words of a check.
-CACHE, LONGEST, CHECKED = 400_000, 64, 2_000
+#: Words in a worker's cache, the longest word that it keeps, words of a check,
+#: characters of texts taken together, and words of a table of agendas.
+CACHE, LONGEST, CHECKED, TOGETHER, ROWS = 400_000, 64, 2_000, 2_000_000, 20_000
+#: The rank of a pair that is no piece.
+NONE = np.int32(2**31 - 1)
 #: Fields of the model file (pieces, trainer, normaliser) and kinds of pieces.
 _PIECES, _TRAINER, _NORMALISER = 1, 2, 3
 _NORMAL, _UNK, _CONTROL, _BYTE = 1, 2, 3, 6
@@ -85,6 +88,7 @@ class Vocabulary:
         if trainer.get(3, 1) != 2 or not trainer.get(35, 0) or trainer.get(24, 0) or not plain or inner or set(self.kinds) - {_NORMAL, _UNK, _CONTROL, _BYTE}:
             raise ValueError("not a merge-type model with byte fallback, a leading word mark and unchanged text")
         self.costs = {t: -self.scores[i] for t, i in self.ids.items()}
+        self._index()
         self.byte_ids = [i for i, k in enumerate(self.kinds) if k == _BYTE]
         self.byte_ids.sort(key=lambda i: int(self.texts[i][1:-1], 16))
         if len(self.byte_ids) != 256:
@@ -95,6 +99,25 @@ class Vocabulary:
         #: Words: marks with what follows them, marks alone, and runs of characters that no longer piece has.
         self.words = regex.compile(f"{MARK}*[^{MARK}{alone}]+|{MARK}+|[{alone}]+")
 
+    def _index(self) -> None:
+        """Symbols by code point, and for every pair of symbols whose union is a piece the rank of its score and its id."""
+        self.symbol = np.full(0x110000, -1, np.int32)
+        for t, i in self.ids.items():
+            if len(t) == 1:
+                self.symbol[ord(t)] = i
+        rank = {c: k for k, c in enumerate(sorted(set(self.costs.values())))}
+        pairs = {(self.ids[t[:k]] << 32) | self.ids[t[k:]]: (rank[self.costs[t]], i) for t, i in self.ids.items() for k in range(1, len(t)) if t[:k] in self.ids and t[k:] in self.ids}
+        self.pairs = np.array(sorted(pairs), np.int64)
+        self.ranks, self.unions = np.array([(*pairs[k],) for k in self.pairs.tolist()], np.int32).reshape(-1, 2).T.copy()
+        self.numbers = list(range(len(self.texts)))  # one object for each id
+
+    def joined(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and id of the union of pairs of symbols; NONE where it is no piece."""
+        key = (left.astype(np.int64) << 32) | right.astype(np.int64)
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        hit = (self.pairs[at] == key) & (left >= 0) & (right >= 0)
+        return np.where(hit, self.ranks[at], NONE), self.unions[at]
+
     def surfaces(self) -> list[bytes]:
         """What each id adds to a decoded text (bytes of a byte piece as they are)."""
         kinds = {_NORMAL: lambda t: t.replace(MARK, " ").encode(), _UNK: lambda t: UNKNOWN.encode(), _CONTROL: lambda t: b"", _BYTE: lambda t: bytes([int(t[1:-1], 16)])}
@@ -140,43 +163,135 @@ def merged(word: str, vocabulary: Vocabulary) -> tuple[int, ...]:
     return tuple(out)
 
 
+def merged_lot(words: list[str], vocabulary: Vocabulary) -> list[tuple[int, ...]]:
+    """merged() for many words at once: each row of a table is a word with the ranks of its adjacent pairs, its agenda; a round takes the best
+    pair of every row (the leftmost of equals), joins it and ranks the two new pairs. A row without a pair is done."""
+    out: list[tuple[int, ...]] = [()] * len(words)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    order = np.argsort(sizes, kind="stable")
+    low = 0
+    for width in (6, 8, 10, 12, 16, 24, 40, LONGEST):
+        high = int(np.searchsorted(sizes[order], width, side="right"))
+        for at in range(low, high, ROWS):
+            some = order[at : min(at + ROWS, high)]
+            for k, ids in zip(some.tolist(), _rows([words[k] for k in some.tolist()], sizes[some], width, vocabulary)):
+                out[k] = ids
+        low = max(low, high)
+    for k in order[low:].tolist():
+        out[k] = merged(words[k], vocabulary)
+    return out
+
+
+def _rows(words: list[str], sizes: np.ndarray, width: int, vocabulary: Vocabulary) -> list[tuple[int, ...]]:
+    n, places = len(words), np.arange(width)
+    points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+    symbols = np.full((n, width), -1, np.int32)
+    symbols[places < sizes[:, None]] = np.where(vocabulary.symbol[points] >= 0, vocabulary.symbol[points], -2 - points.astype(np.int32))
+    ranks, unions = vocabulary.joined(symbols[:, :-1], symbols[:, 1:])
+    done, left = symbols.copy(), sizes.copy()  # finished rows and how many symbols each has
+    rows, count = np.arange(n), sizes.copy()
+    while len(rows):
+        best = ranks.argmin(axis=1)
+        each = np.arange(len(rows))
+        ends = ranks[each, best] == NONE
+        if ends.any():
+            done[rows[ends]], left[rows[ends]] = symbols[ends], count[ends]
+            stay = ~ends
+            rows, symbols, ranks, unions, count, best = rows[stay], symbols[stay], ranks[stay], unions[stay], count[stay], best[stay]
+            each = np.arange(len(rows))
+            if not len(rows):
+                break
+        symbols[each, best] = unions[each, best]
+        shift = np.minimum(places + (places > best[:, None]), width - 1)
+        symbols = np.take_along_axis(symbols, shift, axis=1)
+        symbols[:, -1] = -1
+        ranks, unions = (np.take_along_axis(x, np.minimum(shift[:, :-1], width - 2), axis=1) for x in (ranks, unions))
+        ranks[:, -1] = NONE
+        count -= 1
+        ranks[each, best], unions[each, best] = NONE, 0
+        for first in (best, best - 1):  # the pairs that the new symbol begins and ends
+            some = np.flatnonzero((first >= 0) & (first + 1 < count))
+            f = first[some]
+            ranks[some, f], unions[some, f] = vocabulary.joined(symbols[some, f], symbols[some, f + 1])
+    flat, ends = done[places < left[:, None]], np.cumsum(left)
+    foreign, flat = flat < 0, flat.tolist()
+    if foreign.any():
+        expanded = [[vocabulary.byte_ids[b] for b in chr(-2 - x).encode()] if x < 0 else [x] for x in flat]
+        grown = np.cumsum([0, *map(len, expanded)])
+        flat, ends = [*chain.from_iterable(expanded)], grown[ends]
+    number, ends = vocabulary.numbers.__getitem__, ends.tolist()
+    return [tuple(map(number, flat[a:b])) for a, b in zip([0, *ends], ends)]
+
+
 class Encoder(dict):
     """Words' ids by word, kept up to CACHE words of up to LONGEST characters; words new to it are checked against the library."""
 
     def __init__(self, vocabulary: Vocabulary, library=None):
         super().__init__()
-        self.vocabulary, self.library, self.unchecked = vocabulary, library, []
-
-    def text_ids(self, text: str | None) -> list[int]:
-        """Ids of a whole text; a word mark stands for every space and before the text."""
+        self.vocabulary, self.library = vocabulary, library
+        self.lines_alone, self[""] = "\n" in vocabulary.alone, ()
+
+    def all_ids(self, texts: list[str | None]):
+        """Ids of whole texts, one after another; a word mark stands for every space and before a text. Texts are taken together by their size."""
+        lo = size = 0
+        for k, t in enumerate(texts):
+            size += len(t or "")
+            if size >= TOGETHER or k == len(texts) - 1:
+                yield from self._some([self.words_of(t) for t in texts[lo : k + 1]])
+                lo, size = k + 1, 0
+
+    def words_of(self, text: str | None) -> list[str]:
+        """A text's words. Where every space stands by itself, a mark begins each word and line ends are cut off (an empty word has no ids)."""
         if not text:
             return []
-        words = self.vocabulary.words.findall(MARK + text.replace(" ", MARK))
-        return [*chain.from_iterable(map(self.__getitem__, words))]
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = merged(word, self.vocabulary)
-        if len(word) <= LONGEST:
-            if len(self) >= CACHE:
+        if self.lines_alone and text[0] != " " and "  " not in text and MARK not in text:
+            return (MARK + text.replace(" ", f" {MARK}").replace("\n", " \n ")).split(" ")
+        return self.vocabulary.words.findall(MARK + text.replace(" ", MARK))
+
+    def _some(self, lists: list[list[str]]):
+        met = set().union(*lists)
+        new = list(met.difference(self))
+        known = self
+        if new:
+            found = dict(zip(new, merged_lot(new, self.vocabulary)))
+            if self.library:
+                self.check(found)
+            if len(self) + len(found) > CACHE:
+                known = found | {w: self[w] for w in met if w in self}
                 self.clear()
-            self[word] = ids
-        if self.library:
-            self.unchecked.append((word, ids))
-            if len(self.unchecked) >= CHECKED or len(word) > LONGEST:
-                self.check()
-        return ids
-
-    def check(self) -> None:
-        """Raises RuntimeError if the library cuts a word in another way. A word without a mark always follows a character that stands alone."""
-        if self.unchecked:
-            marked = [w.startswith(MARK) for w, _ in self.unchecked]
-            alone = "".join(self.vocabulary.alone[:1])
-            lead = len(self.library.encode(alone))
-            found = self.library.encode([w[1:] if m else alone + w for (w, _), m in zip(self.unchecked, marked)], num_threads=1)
-            for (word, ids), m, theirs in zip(self.unchecked, marked, found):
-                if word != MARK and tuple(theirs if m else theirs[lead:]) != ids:
-                    raise RuntimeError(f"the library encodes {word[:80]!r} in another way")
-        self.unchecked = []
+                self[""] = ()
+            elif any(len(w) > LONGEST for w in new):
+                known = self | found
+            self.update((w, ids) for w, ids in found.items() if len(w) <= LONGEST)
+        for words in lists:
+            yield [*chain.from_iterable(map(known.__getitem__, words))]
+
+    def check(self, found: dict[str, tuple[int, ...]]) -> None:
+        """Raises RuntimeError if the library encodes a word in another way.
+
+        Words are encoded in lots: those with a mark in one text, which is cut at each mark; those without one each after a character that
+        stands alone, as they always do. Runs of marks are tried by themselves. A lot that differs is gone through word by word."""
+        alone = "".join(self.vocabulary.alone[:1])
+        first = self.library.encode(alone)
+        before = tuple(first[1:]) if alone else ()
+        marked, bare, runs = [], [], []
+        for w in found:
+            (bare if w[0] != MARK else marked if w[1:2] not in ("", MARK) else runs).append(w)
+        for lo in range(0, len(marked), CHECKED):
+            some = marked[lo : lo + CHECKED]
+            if self.library.encode("".join(some)[1:].replace(MARK, " ")) != [*chain.from_iterable(map(found.__getitem__, some))]:
+                self._hold([(w, found[w], self.library.encode(w[1:])) for w in some])
+        for lo in range(0, len(bare), CHECKED):
+            some = bare[lo : lo + CHECKED]
+            if self.library.encode(alone + alone.join(some)) != [*first[:1], *chain.from_iterable(before + found[w] for w in some)]:
+                self._hold([(w, found[w], self.library.encode(alone + w)[len(first) :]) for w in some])
+        self._hold([(w, found[w], self.library.encode(w[1:])) for w in runs if w != MARK])
+
+    @staticmethod
+    def _hold(cases: list[tuple[str, tuple[int, ...], list[int]]]) -> None:
+        for word, ids, theirs in cases:
+            if tuple(theirs) != ids:
+                raise RuntimeError(f"the library encodes {word[:80]!r} in another way")
 
 
 #: A worker's encoders by model and check: their words outlive a task.
@@ -226,13 +341,18 @@ def _model(docs: DataFrame, path: str):
 
 
 def _with(docs: DataFrame, read: str, name: str, kind: T.DataType, go) -> DataFrame:
-    """docs plus a column that go makes of batches of the column read; docs' own columns travel as one struct, so no name clashes."""
+    """docs plus a column that go makes of batches of the column read. docs' other columns travel as one struct, so no name clashes."""
     docs = docs.drop(name) if read != name else docs
-    own = docs.columns
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"), F.col(f"`{read}`").alias("read"))
-    schema = T.StructType([T.StructField("row", packed.schema["row"].dataType), T.StructField("made", kind)])
-    out = packed.mapInArrow(go, schema)
-    return out.select(*(F.col("row").getField(c).alias(c) for c in own), F.col("made").alias(name))
+    others = [c for c in docs.columns if c != read]
+    packed = docs.select(F.struct(F.lit(1).alias("_"), *(F.col(f"`{c}`") for c in others)).alias("row"), F.col(f"`{read}`").alias("read"))
+    schema = T.StructType([*packed.schema.fields, T.StructField("made", kind)])
+
+    def each(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, *go(b.column("read"))], names=schema.names)
+
+    own = {c: F.col("row").getField(c) for c in others} | {read: F.col("read")} | {name: F.col("made")}
+    return packed.mapInArrow(each, schema).select(*(own[c].alias(c) for c in dict.fromkeys([*docs.columns, name])))
 
 
 def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: str = "ids", check: bool = True) -> DataFrame:
@@ -243,14 +363,11 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: st
     """
     model = _model(docs, path or model_path())
 
-    def go(batches):
+    def go(texts):
         encoder = _encoder(model.value, check)
-        for b in batches:
-            found = [np.array(encoder.text_ids(t), np.int32) for t in b.column("read").to_pylist()]
-            encoder.check()
-            ends = np.cumsum([0, *map(len, found)])
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*found, np.zeros(0, np.int32)])))
-            yield pa.RecordBatch.from_arrays([b.column("row"), lists], names=["row", "made"])
+        found = [np.array(ids, np.int32) for ids in encoder.all_ids(texts.to_pylist())]
+        ends = np.cumsum([0, *map(len, found)])
+        yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*found, np.zeros(0, np.int32)])))
 
     return _with(docs, text, ids, T.ArrayType(T.IntegerType()), go)
 
@@ -260,22 +377,24 @@ def decode(docs: DataFrame, path: str | None = None, ids: str = "ids", text: str
     inside a list is skipped, ids outside the vocabulary stop the job; a column of docs named as text is replaced."""
     model = _model(docs, path or model_path())
 
-    def go(batches):
+    def go(lists):
         decoder = Decoder(Vocabulary(model.value))
-        for b in batches:
-            made = []
-            for found in b.column("read").to_pylist():
-                found = None if found is None else [i for i in found if i is not None]
-                if found and not 0 <= min(found) <= max(found) < len(decoder.surfaces):
-                    raise ValueError("an id is not in the vocabulary")
-                made.append(None if found is None else decoder.text(found))
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(made, pa.string())], names=["row", "made"])
+        values, ends = lists.values, lists.offsets.to_numpy()
+        kept = np.asarray(values.is_valid()) & (np.arange(len(values)) >= ends[0]) & (np.arange(len(values)) < ends[-1])
+        ids = values.fill_null(0).to_numpy()
+        if (ids[kept] < 0).any() or (ids[kept] >= len(decoder.surfaces)).any():
+            raise ValueError("an id is not in the vocabulary")
+        whole, made = bool(kept.all()), []
+        for valid, a, b in zip(lists.is_valid().to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
+            some = ids[a:b] if whole else ids[a:b][kept[a:b]]
+            made.append(decoder.text(some.tolist()) if valid else None)
+        yield pa.array(made, pa.string())
 
     return _with(docs, ids, text, T.StringType(), go)
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    made = decode(encode(docs.select("doc_id", "text"), path), path)
+    made = decode(encode(docs.select("doc_id", "text"), path).drop("text"), path)
     sha = lambda c: F.sha2(c.cast("binary"), 256)
     return made.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), sha(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"), sha(F.col("decoded")).alias("decoded_sha256"))

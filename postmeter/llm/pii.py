@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postmeter.llm.common import durable, let, set_aside
+from postmeter.llm.common import ROW, durable, let, set_aside
 
 _LOCAL = "A-Za-z0-9._%+-"
 #: Kinds in order; base kinds first. Matches are leftmost and don't overlap within a kind: they start where a run
@@ -316,22 +316,26 @@ def _stated(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", name(s), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _with_found(lean: DataFrame) -> DataFrame:
+    """The rows' own columns and `found`. Candidates are written once, as a table, and read for the votes and again for the result."""
+    candidates = durable(with_candidates(lean).select(ROW, "_spans"))
+    _, model = learn(vote_table(candidates))
+    return candidates.select(ROW, F.transform(_chosen(model), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))).alias("found"))
+
+
 def find(docs: DataFrame, kept: list[str] | None = None) -> DataFrame:
     """docs plus n_email, n_ip, n_card, n_phone, base_sha256, spans and found (start, kind, end of every span taken).
 
     kept: columns of docs to return; all if not given. Null and empty texts have no spans (base_sha256 is that of the empty
     string). Texts are searched whole; repeated rows are judged alike; spans of different kinds may overlap. Columns of docs by the
-    added names are replaced. Candidates are written once, as a table, and read for the votes and again for the result.
+    added names are replaced.
     """
-    docs = docs.drop(*ADDED)
-    candidates = durable(with_candidates(docs).select(*(docs.columns if kept is None else kept), "_spans"))
-    _, model = learn(vote_table(candidates))
-    taken = F.transform(_chosen(model), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
-    out = candidates.withColumn("found", taken)
+    docs, own = set_aside(docs.drop(*ADDED), "text", kept=kept)
+    out = _with_found(docs)
     base = lambda s: s["kind"] < len(BASE)
     of_kind = F.transform("found", lambda s: s["kind"])
     counts = {f"n_{k}": (F.size(of_kind) - F.size(F.array_remove(of_kind, KINDS.index(k)))).cast("long") for k in BASE}
-    return out.withColumns({**counts, "base_sha256": F.sha2(_stated(F.filter("found", base)), 256), "spans": _stated(F.col("found"))}).drop("_spans")
+    return out.select(*own, *(n.alias(c) for c, n in counts.items()), F.sha2(_stated(F.filter("found", base)), 256).alias("base_sha256"), _stated(F.col("found")).alias("spans"), "found")
 
 
 ADDED = ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "found")
@@ -342,8 +346,9 @@ def redact(docs: DataFrame) -> DataFrame:
 
     Texts without spans, null ones too, stay as they are; n_chars, if docs has it, follows the text where it changed.
     """
-    docs, own = set_aside(docs, ADDED)
-    text = F.col("text")
+    names = docs.columns
+    lean, own = set_aside(docs, "text")
+    text = F.col(ROW).getField("text")
 
     def cut(acc: Column, s: Column) -> Column:
         mark = F.concat(F.lit("<"), F.upper(F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1)), F.lit(">"))
@@ -354,7 +359,8 @@ def redact(docs: DataFrame) -> DataFrame:
     start = F.struct(F.lit(0).cast("long").alias("upto"), F.expr("cast(array() as array<string>)").alias("parts"))
     finish = lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, (acc["upto"] + 1).cast("int"), F.length(text)))
     some = F.size("found") > 0
-    out = find(docs).withColumn("_clean", F.when(some, F.aggregate("found", start, cut, finish)).otherwise(text))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(some, F.length("_clean").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.withColumn("text", F.col("_clean")).select(*own)
+    out = _with_found(lean).withColumn("clean", F.when(some, F.aggregate("found", start, cut, finish)).otherwise(text))
+    restored = dict(zip(names, own)) | {"text": F.col("clean").alias("text")}
+    if "n_chars" in names:
+        restored["n_chars"] = F.when(some, F.length("clean").cast(docs.schema["n_chars"].dataType)).otherwise(F.col(ROW).getField("n_chars")).alias("n_chars")
+    return out.select(*(restored[c] for c in names))

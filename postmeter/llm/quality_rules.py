@@ -12,7 +12,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postmeter.llm.common import SPACE, WORD, durable, let, set_aside
+from postmeter.llm.common import ROW, SPACE, WORD, durable, let, set_aside
 
 #: The commonest function words of each supported language.
 COMMON_WORDS = {
@@ -155,12 +155,11 @@ def measure(
     null or not supported is held against the other such documents by character classes only. Below the minimum lengths a distance is
     null and decides nothing. Repeated rows are measured alike. Columns of docs by the names added here are replaced.
     """
-    docs = docs.drop(*ADDED)
-    columns = docs.columns if returned is None else returned
+    docs, own = set_aside(docs.drop(*ADDED), "text", "lang", kept=returned)
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
     counted = with_histograms(docs, repeated_words).select(
-        *columns,
+        ROW,
         "_lang",
         "_chars",
         "_common",
@@ -181,10 +180,10 @@ def measure(
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     odd = (F.coalesce("character_distance", F.lit(0.0)) > max_character_distance) | (F.coalesce("word_distance", F.lit(0.0)) > max_word_distance)
     out = out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~odd)
-    return out.select(*columns, *ADDED)
+    return out.select(*own, *ADDED)
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs, with docs' columns, that the rules keep."""
-    docs, own = set_aside(docs, ADDED)
-    return measure(docs).filter("kept").select(*own)
+    docs, own = set_aside(docs, "text", "lang")
+    return measure(docs, returned=[ROW]).filter("kept").select(*own)

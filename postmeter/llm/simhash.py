@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postmeter.llm.common import byte_column, durable, mix64, token_hashes, words_of
+from postmeter.llm.common import byte_column, durable, mix64, set_aside, token_hashes, words_of
 from postmeter.llm.substring import Hasher
 
 SHINGLE, SEED, BUDGET = 3, 42, 3
@@ -358,8 +358,8 @@ def keep_one(docs: DataFrame, shingle: int = WIDE_SHINGLE, budget: int = WIDE_BU
 
     Near-duplicates are texts whose shingles of five words (lower-cased; a shorter text is one shingle) have a Jaccard similarity of
     about 0.8 or more, as 512-bit fingerprints tell: two sets of similarity J differ in acos(2J / (1 + J)) / pi of the bits, which is
-    0.15 at 0.8; groups are what links connect. Null and empty texts are near-duplicates of each other. Among rows that share
-    the least doc_id one is kept, the one with the least text hash. Rows with a null doc_id rank behind all others, by their text.
+    0.15 at 0.8; groups are what links connect. Null and empty texts are near-duplicates of each other. Among rows of a group that share
+    its least doc_id one is kept, the one with the least text hash; a doc_id that stands in several groups keeps a row in each. Rows with a null doc_id rank behind all others, by their text.
     Repeated rows are copies of each other. No documents: no rows.
     """
     own = F.xxhash64("text")
@@ -371,6 +371,7 @@ def keep_one(docs: DataFrame, shingle: int = WIDE_SHINGLE, budget: int = WIDE_BU
     rooted = nodes.select("node", "least").join(linked, F.col("node") == F.col("_node"), "left").select(F.coalesce("_root", "node").alias("root"), "node", "least")
     chosen = rooted.groupBy("root").agg(F.min_by(F.struct("node", "least"), "least").alias("c")).select("c.*")
     # Only a group's least row can be kept, so the rest of ranked goes before rows are compared.
-    kept = ranked.join(chosen, "node").filter(F.col("_rank") == F.col("least")).groupBy("_rank").agg(F.min("_own").alias("_own"))
-    picked = docs.withColumns({"_rank": rank, "_own": own}).join(kept, ["_rank", "_own"], "left_semi")
-    return picked.dropDuplicates(["_rank", "_own"]).select(*docs.columns)
+    kept = ranked.join(chosen, "node").filter(F.col("_rank") == F.col("least")).groupBy("node", "_rank").agg(F.min("_own").alias("_own"))
+    lean, restored = set_aside(docs, "doc_id", "text")
+    picked = lean.withColumns({"_rank": rank, "_own": own}).join(kept, ["_rank", "_own"], "left_semi")
+    return picked.dropDuplicates(["_rank", "_own"]).select(*restored)

@@ -170,26 +170,32 @@ def test_agenda_equals_the_library(vocabulary, library):
     rng = random.Random(3)
     some = [" ", "  ", "▁", "a", "b", "\n", "\t", "1", "0", "e", "<0x41>", "<s>", "/", "x", "é", "日本", "\U0001f600", "\x00", "ﬁ", "th", "in", "the", "er", "\r", "　"]
     encoder, decoder = pieces.Encoder(vocabulary, library), pieces.Decoder(vocabulary)
-    for _ in range(4000):
-        t = "".join(rng.choice(some) for _ in range(rng.randrange(14)))
-        assert encoder.text_ids(t) == library.encode(t), t
-    encoder.check()
-    for t in ("ab" * 5000, "=" * 999, " " * 300, "x" + " " * 300 + "y"):
-        assert encoder.text_ids(t) == library.encode(t)
+    texts = ["".join(rng.choice(some) for _ in range(rng.randrange(14))) for _ in range(4000)] + ["ab" * 5000, "=" * 999, " " * 300, "x" + " " * 300 + "y", "", None]
+    for t, ids in zip(texts, encoder.all_ids(texts)):
+        assert ids == library.encode(t or ""), t
+    words = [w for w in encoder if w] + ["x" * n for n in range(1, 70)]
+    assert pieces.merged_lot(words, vocabulary) == [pieces.merged(w, vocabulary) for w in words]
     for _ in range(4000):
         ids = [rng.choice([rng.randrange(32000), rng.randrange(259), rng.randrange(3), 259, 28705, 264]) for _ in range(rng.randrange(8))]
         assert decoder.text(ids) == library.decode(ids), ids
 
 
+def test_a_full_cache_starts_anew(vocabulary, library, monkeypatch):
+    monkeypatch.setattr(pieces, "CACHE", 5)
+    monkeypatch.setattr(pieces, "TOGETHER", 30)
+    texts = [f"word{k} and some more of them w{k % 3} " + "y" * 70 for k in range(20)]
+    encoder = pieces.Encoder(vocabulary, library)
+    assert list(encoder.all_ids(texts)) == library.encode(texts) and len(encoder) < 20
+
+
 def test_a_difference_stops_the_job(vocabulary):
     class Other:
         def encode(self, x, **_):
-            return [[1]] * len(x) if isinstance(x, list) else [1]
+            return [1]
 
-    encoder = pieces.Encoder(vocabulary, Other())
-    encoder.text_ids("some words")
-    with pytest.raises(RuntimeError):
-        encoder.check()
+    for text in ("some words", "\nword", "a  b"):
+        with pytest.raises(RuntimeError):
+            list(pieces.Encoder(vocabulary, Other()).all_ids([text]))
 
 
 def test_models_of_other_kinds_are_refused():
