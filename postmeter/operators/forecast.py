@@ -209,13 +209,13 @@ def select_model(tested: DataFrame, horizon: int = 1, benchmark: str = BENCHMARK
     return out.select("key", F.lit(horizon).alias("horizon"), chosen.alias("selected"), F.when(F.col("x").isNull(), "benchmark_not_beaten").otherwise("beats_benchmark").alias("selected_by"), F.coalesce("x.rmse", "benchmark_rmse").alias("selected_rmse"), F.col("x.p_value").alias("dm_p_value"), F.col("x.dm_stat").alias("dm_stat"), "lowest_rmse_model", "lowest_rmse", (F.col("lowest_rmse_model") != chosen).alias("would_have_picked_differently"))
 
 
-def intervals(tested: DataFrame, level: float = LEVEL) -> DataFrame:
-    """For every model and horizon the order-statistic interval of its residuals, or none where there are too few."""
-    g = tested.filter("error is not null").groupBy("model", "horizon").agg(F.sort_array(F.collect_list("error")).alias("r"))
+def intervals(tested: DataFrame, level: float = LEVEL, by=()) -> DataFrame:
+    """For every model and horizon (and by) the order-statistic interval of its residuals, or none where there are too few."""
+    g = tested.filter("error is not null").groupBy("model", "horizon", *by).agg(F.sort_array(F.collect_list("error")).alias("r"))
     n = F.size("r")
     j = F.floor(F.lit((1 - level) / 2) * (n + 1)).cast("int")
     ok = (n >= 3) & (j >= 1)
-    g = g.select("model", "horizon", "r", n.alias("n_residuals"), j.alias("j"), ok.alias("sufficient"))
+    g = g.select("model", "horizon", *by, "r", n.alias("n_residuals"), j.alias("j"), ok.alias("sufficient"))
     at = lambda k: F.when(F.col("sufficient"), F.get("r", k))
     g = g.withColumns({"lo": at(F.col("j") - 1), "hi": at(F.col("n_residuals") - F.col("j"))})
     inside = F.size(F.filter("r", lambda e: (e >= F.col("lo")) & (e <= F.col("hi")))) / F.col("n_residuals")
@@ -234,21 +234,21 @@ def interval_coverage(tested: DataFrame, gate: DataFrame, level: float = LEVEL)
     return band.select(part[0].alias("pool"), part[1].alias("model"), "horizon", "covered", F.lit(level).alias("nominal"), F.col("achieved_level").alias("achieved"), F.col("n_residuals").alias("n"))
 
 
-def horizons(tested: DataFrame, model: str = BENCHMARK, level: float = LEVEL) -> DataFrame:
-    """Error and interval width of a model by horizon."""
-    errors = tested.filter(F.col("model") == model).groupBy("horizon").agg(F.count("error").alias("n_origins"), F.sqrt(F.avg(F.col("error") * F.col("error"))).alias("rmse"), F.avg(F.abs("error")).alias("mae"))
-    band = intervals(tested.filter(F.col("model") == model), level).drop("model")
-    return errors.join(band, "horizon").withColumn("interval_factor", F.exp(F.col("hi") - F.col("lo")))
+def horizons(tested: DataFrame, model: str = BENCHMARK, level: float = LEVEL, by=()) -> DataFrame:
+    """Error and interval width of a model by horizon (and by)."""
+    errors = tested.filter(F.col("model") == model).groupBy("horizon", *by).agg(F.count("error").alias("n_origins"), F.sqrt(F.avg(F.col("error") * F.col("error"))).alias("rmse"), F.avg(F.abs("error")).alias("mae"))
+    band = intervals(tested.filter(F.col("model") == model), level, by).drop("model")
+    return errors.join(band, ["horizon", *by]).withColumn("interval_factor", F.exp(F.col("hi") - F.col("lo")))
 
 
-def horizon_verdict(table: DataFrame, max_factor: float = MAX_FACTOR) -> DataFrame:
-    """The longest horizon of which all shorter ones too have an interval that excludes something. A row a horizon: a handful."""
+def horizon_verdict(table: DataFrame, max_factor: float = MAX_FACTOR, by=()) -> DataFrame:
+    """The longest horizon of which all shorter ones too have an interval that excludes something (for each of by). A row a horizon: a handful."""
     usable = F.col("sufficient") & F.coalesce(F.col("interval_factor") <= max_factor, F.lit(False))
-    upto = Window.orderBy("horizon").rowsBetween(Window.unboundedPreceding, 0)
+    upto = Window.partitionBy(*by).orderBy("horizon").rowsBetween(Window.unboundedPreceding, 0)
     run = table.withColumn("ok", F.min(usable.cast("int")).over(upto) == 1)
     blocked = F.min(F.when(~F.col("ok"), F.struct("horizon", F.when(~F.col("sufficient"), "no interval").otherwise("interval excludes nothing").alias("why"))))
-    out = run.agg(F.coalesce(F.max(F.when(F.col("ok"), F.col("horizon"))), F.lit(0)).alias("max_useful_horizon"), blocked.alias("b"))
-    return out.select("max_useful_horizon", F.when(F.col("b").isNull(), "").otherwise(F.format_string("h=%d: %s", F.col("b.horizon"), F.col("b.why"))).alias("blocker"))
+    out = run.groupBy(*by).agg(F.coalesce(F.max(F.when(F.col("ok"), F.col("horizon"))), F.lit(0)).alias("max_useful_horizon"), blocked.alias("b"))
+    return out.select(*by, "max_useful_horizon", F.when(F.col("b").isNull(), "").otherwise(F.format_string("h=%d: %s", F.col("b.horizon"), F.col("b.why"))).alias("blocker"))
 
 
 def forecast(series: DataFrame, selection: DataFrame, tested: DataFrame, gate: DataFrame, ahead=(1, 2, 3), level: float = LEVEL) -> DataFrame:

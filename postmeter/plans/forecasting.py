@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from postmeter import roles
-from postmeter.operators import forecast
+from postmeter.operators import forecast, replicates
 from postmeter.plans.comparison import erfc_sql
 from postmeter.plans.items import ALL_ITEMS, bound
+from postmeter.plans.registry import COMMON, ELIGIBLE, POSTINGS, PRICES, query
 from postmeter.sources.tables import settled
-from postmeter.plans.registry import COMMON, ELIGIBLE, POSTINGS, query
 
 ALL_POSTINGS = POSTINGS
 SIMPLE = ("naive", "mean", "drift")
@@ -141,10 +141,14 @@ def select_model(spark, d):
     return forecast.select_model(simple_backtest(spark, d))
 
 
-INTERVALS = """iv0 AS (SELECT model, horizon, list_sort(list(error)) AS r, count(*) AS n, CAST(floor((1 - 0.8::DOUBLE) / 2 * (count(*) + 1)) AS INT) AS j FROM bt GROUP BY ALL),
+def intervals_sql(by: str = "") -> str:
+    return f"""iv0 AS (SELECT model, horizon {by}, list_sort(list(error)) AS r, count(*) AS n, CAST(floor((1 - 0.8::DOUBLE) / 2 * (count(*) + 1)) AS INT) AS j FROM bt GROUP BY ALL),
 iv1 AS (SELECT *, n >= 3 AND j >= 1 AS sufficient FROM iv0), iv AS (SELECT *, CASE WHEN sufficient THEN r[j] END AS lo, CASE WHEN sufficient THEN r[n - j + 1] END AS hi FROM iv1)"""
 
 
+INTERVALS = intervals_sql()
+
+
 @query(
     "forecast_intervals",
     f"{_BT}, {INTERVALS} SELECT model, CAST(horizon AS BIGINT) AS horizon, n AS n_residuals, sufficient, round(lo, 6) AS lo, round(hi, 6) AS hi, CASE WHEN sufficient THEN round((n + 1 - 2 * j) / (n + 1)::DOUBLE, 6) END AS achieved_level, CASE WHEN sufficient THEN round(len(list_filter(r, lambda e: e >= lo AND e <= hi)) / n::DOUBLE, 6) END AS covered FROM iv",
@@ -169,17 +173,103 @@ def horizon_verdict(spark, d):
     return forecast.horizon_verdict(forecast.horizons(simple_backtest(spark, d)))
 
 
-@query("forecast_interval_coverage")
-def interval_coverage(spark, d):
-    s = settled(forecast.panel_share_series(_postings(spark, d)))
-    return forecast.interval_coverage(simple_backtest(spark, d), forecast.forecastability(s, min_cell=3))
+
+
+def _price_series(spark, d):
+    return settled(forecast.panel_share_series(roles.price_postings(spark, d)))
 
 
 @query("forecast_table")
 def table(spark, d):
-    s = settled(forecast.panel_share_series(_postings(spark, d)))
-    tested = forecast.backtest(s)
-    return forecast.forecast(s, forecast.select_model(tested), tested, forecast.forecastability(s, min_cell=3))
+    """Forecasts of all seven models over classes of real prices, whose shares move."""
+    s = _price_series(spark, d)
+    tested = settled(forecast.backtest(s))
+    return forecast.forecast(s, forecast.select_model(tested), tested, settled(forecast.forecastability(s)))
+
+
+PRICED = f"WITH {PRICES}, {SERIES}, {gate_sql()}, {BACKTEST}"
+_GATED = "gbt AS (SELECT * FROM bt WHERE key IN (SELECT key FROM gate WHERE verdict = 'forecastable'))"
+_SELECTED = """rm AS (SELECT key, model, sqrt(avg(error * error)) AS rmse FROM bt WHERE horizon = 1 GROUP BY ALL),
+wn AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY rmse, CASE model WHEN 'mean' THEN 2 ELSE 3 END) AS r FROM contest WHERE horizon = 1 AND p_value < 0.05 AND dm_stat < 0 AND rmse < benchmark_rmse),
+sel AS (SELECT b.key, coalesce(w.model, 'naive') AS selected, CASE WHEN w.model IS NULL THEN 'benchmark_not_beaten' ELSE 'beats_benchmark' END AS selected_by FROM rm b LEFT JOIN wn w ON w.key = b.key AND w.r = 1 WHERE b.model = 'naive')"""
+_USEFUL = "hz AS (SELECT horizon, sufficient AND coalesce(exp(hi - lo) <= 3, FALSE) AS usable FROM iv WHERE model = 'naive'), rn AS (SELECT *, bool_and(usable) OVER (ORDER BY horizon ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ok FROM hz), useful AS (SELECT coalesce(max(horizon) FILTER (ok), 0) AS h FROM rn)"
+
+
+@query("forecast_priced_gate", f"{PRICED} SELECT * REPLACE ({_R6(['median_denominator', 'mean_share', 'cv', 'chi2', 'homogeneity_p', 'overdispersion', 'signal_share'])}) FROM gate")
+def priced_gate(spark, d):
+    """The gate over classes of real prices, which pass it."""
+    return forecast.forecastability(_price_series(spark, d))
+
+
+@query(
+    "forecast_table_simple",
+    f"""{PRICED}, {contest_sql(', key')}, {_SELECTED}, {_GATED}, {INTERVALS.replace('FROM bt', 'FROM gbt')}, {_USEFUL},
+las AS (SELECT * FROM tr WHERE key IN (SELECT key FROM gate WHERE verdict = 'forecastable') QUALIFY row_number() OVER (PARTITION BY key ORDER BY i DESC) = 1),
+pt AS (SELECT l.key, CAST(l.start + to_months(CAST(h AS INTEGER)) AS DATE) AS target, h AS horizon, s.selected AS model, s.selected_by, l.share, l.i AS n_train,
+  CASE s.selected WHEN 'naive' THEN l.y WHEN 'mean' THEN l.mean_y ELSE l.y + CASE WHEN l.t > l.t0 THEN (l.y - l.y0) / (l.t - l.t0)::DOUBLE ELSE 0 END * h END AS lp FROM las l JOIN sel s USING (key) CROSS JOIN (VALUES (1), (2), (3)) v(h) WHERE l.i > 5)
+SELECT p.key, p.target, CAST(p.horizon AS BIGINT) AS horizon, p.model, p.selected_by, round(p.share, 6) AS last_observed_share, round(exp(lp), 6) AS point_share, round(exp(lp + lo), 6) AS lo_share, round(exp(lp + hi), 6) AS hi_share, n AS n_residuals, n_train,
+ coalesce(sufficient, FALSE) AND p.horizon <= (SELECT h FROM useful) AS supported, TRUE AS out_of_window FROM pt p LEFT JOIN iv ON iv.model = p.model AND iv.horizon = p.horizon""",
+)
+def table_simple(spark, d):
+    """Forecasts of the three models that SQL can state, over classes of real prices."""
+    s = _price_series(spark, d)
+    tested = settled(forecast.backtest(s, SIMPLE))
+    return forecast.forecast(s, forecast.select_model(tested), tested, settled(forecast.forecastability(s)))
+
+
+@query(
+    "forecast_interval_coverage",
+    f"""{PRICED}, {_GATED}, pooled AS (SELECT *, 'all' AS pool FROM bt UNION ALL SELECT *, 'gated' FROM gbt), {intervals_sql(', pool').replace('FROM bt', 'FROM pooled')}
+SELECT pool, model, CAST(horizon AS BIGINT) AS horizon, CASE WHEN sufficient THEN round(len(list_filter(r, lambda e: e >= lo AND e <= hi)) / n::DOUBLE, 6) END AS covered, 0.8::DOUBLE AS nominal, CASE WHEN sufficient THEN round((n + 1 - 2 * j) / (n + 1)::DOUBLE, 6) END AS achieved, n FROM iv""",
+)
+def interval_coverage(spark, d):
+    s = _price_series(spark, d)
+    return forecast.interval_coverage(settled(forecast.backtest(s, SIMPLE)), settled(forecast.forecastability(s)))
+
+
+# Replicates carry a publisher's name before their key.
+_LESS = """base AS (SELECT * FROM series0), cells AS (SELECT publisher AS dropped, entity AS key, start, count(*) AS n FROM st SEMI JOIN common USING (publisher) GROUP BY ALL),
+lost AS (SELECT dropped, start, sum(n) AS gone FROM cells GROUP BY ALL),
+series1 AS (SELECT '(none)' AS dropped, key AS k, start, numerator, denominator, share, is_observed FROM base UNION ALL
+ SELECT d.dropped, b.key, b.start, b.numerator - coalesce(c.n, 0), CAST(b.denominator - coalesce(l.gone, 0) AS BIGINT), NULL, b.is_observed FROM (SELECT DISTINCT dropped FROM cells) d CROSS JOIN base b LEFT JOIN cells c ON c.dropped = d.dropped AND c.key = b.key AND c.start = b.start LEFT JOIN lost l ON l.dropped = d.dropped AND l.start = b.start),
+series AS (SELECT dropped, k, dropped || chr(31) || k AS key, start, numerator, denominator, numerator / nullif(denominator, 0)::DOUBLE AS share, is_observed AND denominator > 0 AS is_observed FROM series1)"""
+WITHOUT_EACH = f"WITH {PRICES}, {SERIES.replace('series AS (SELECT *, numerator', 'series0 AS (SELECT *, numerator')}, {_LESS}, {gate_sql()}"
+_DROPPED = "split_part(key, chr(31), 1)"
+
+
+@query("forecast_series_without_each", f"{WITHOUT_EACH} SELECT dropped, k AS key, start, numerator, denominator, round(share, 6) AS share, is_observed FROM series")
+def series_without_each(spark, d):
+    p = roles.price_postings(spark, d)
+    return replicates.series_without_each(settled(forecast.panel_share_series(p)), settled(replicates.panel_cells(p)))
+
+
+@query("forecast_gate_without_each", f"{WITHOUT_EACH} SELECT {_DROPPED} AS dropped, split_part(key, chr(31), 2) AS key, n_observed, min_cell, round(signal_share, 6) AS signal_share, round(homogeneity_p, 6) AS homogeneity_p, verdict FROM gate")
+def gate_without_each(spark, d):
+    return replicates.gate_without_each(settled(series_without_each(spark, d))).select("dropped", "key", "n_observed", "min_cell", "signal_share", "homogeneity_p", "verdict")
+
+
+def verdicts_sql(focus: str) -> str:
+    return f"""{WITHOUT_EACH}, {BACKTEST}, {contest_sql(f', {_DROPPED} AS dropped')}, {_GATED}, {intervals_sql(f', {_DROPPED} AS dropped').replace('FROM bt', 'FROM gbt')},
+du AS (SELECT dropped, bool_or(coalesce(p_value < 0.05 AND dm_stat < 0, FALSE)) AS any_model_beats_naive, min(p_value) AS smallest_p_value FROM contest WHERE horizon = 1 GROUP BY 1),
+ke AS (SELECT {_DROPPED} AS dropped, coalesce(string_agg(split_part(key, chr(31), 2), ', ' ORDER BY key) FILTER (verdict = 'forecastable'), '') AS forecastable FROM gate GROUP BY 1),
+hz AS (SELECT dropped, horizon, exp(hi - lo) AS f, sufficient AND coalesce(exp(hi - lo) <= 3, FALSE) AS usable FROM iv WHERE model = 'naive'),
+rn AS (SELECT *, bool_and(usable) OVER (PARTITION BY dropped ORDER BY horizon ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ok FROM hz),
+us AS (SELECT dropped, coalesce(max(horizon) FILTER (ok), 0) AS h, max(f) FILTER (horizon = 1) AS f FROM rn GROUP BY 1),
+fo AS (SELECT dropped, max(share) AS m, 100 * greatest(max(share) - avg(share), avg(share) - min(share)) AS v FROM series WHERE k = '{focus}' AND is_observed GROUP BY 1),
+al AS (SELECT dropped, forecastable, coalesce(any_model_beats_naive, FALSE) AS b, smallest_p_value, f, coalesce(h, 0) AS h, m, v, (SELECT count(DISTINCT dropped) - 1 FROM series) - CASE WHEN dropped = '(none)' THEN 0 ELSE 1 END AS np FROM ke LEFT JOIN du USING (dropped) LEFT JOIN us USING (dropped) LEFT JOIN fo USING (dropped))
+SELECT a.dropped, a.forecastable, a.b AS any_model_beats_naive, round(a.smallest_p_value, 6) AS smallest_p_value, round(a.f, 6) AS h1_interval_factor, CAST(a.h AS BIGINT) AS max_useful_horizon, round(a.m, 6) AS focus_max_share, round(a.v, 6) AS focus_largest_move_pp, a.np AS n_publishers,
+ a.forecastable = z.forecastable AND a.b = z.b AND a.h = z.h AS verdict_unchanged FROM al a, (SELECT * FROM al WHERE dropped = '(none)') z"""
+
+
+@query("forecast_verdicts_without_each", verdicts_sql("large"))
+def verdicts_without_each(spark, d):
+    return replicates.verdicts_without_each(settled(series_without_each(spark, d)), "large", SIMPLE)
+
+
+@query("forecast_verdicts_without_each_all_models")
+def verdicts_without_each_all(spark, d):
+    """The same with all seven models; tests hold every replicate against a run without its publisher."""
+    return replicates.verdicts_without_each(settled(series_without_each(spark, d)), "large")
 
 
 @query(

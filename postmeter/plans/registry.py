@@ -18,6 +18,10 @@ postings_all AS (
          CASE WHEN o_orderstatus = 'F' THEN o_totalprice END AS value, o_orderkey IN (SELECT l_orderkey FROM lineitem) AS has_item
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
 postings AS (SELECT * FROM postings_all)"""
+PRICES = """
+postings AS (
+  SELECT o_orderkey AS id, CASE WHEN o_totalprice / (1 + 0.06::DOUBLE * (year(o_orderdate) - 1995)) < 100000 THEN 'modest' WHEN o_totalprice / (1 + 0.06::DOUBLE * (year(o_orderdate) - 1995)) < 300000 THEN 'middling' ELSE 'large' END AS entity,
+         n_name AS publisher, CAST(o_orderdate AS DATE) AS day FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"""
 ITEMS = """
 items AS (SELECT DISTINCT l_orderkey AS id, p_name AS item, split_part(p_name, ' ', 2) AS item_group FROM lineitem JOIN part ON l_partkey = p_partkey),
 long AS (SELECT i.id, i.item, i.item_group, p.entity, p.publisher, p.segment, p.day FROM items i JOIN postings p ON i.id = p.id)"""

@@ -32,6 +32,21 @@ def order_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).join(skilled, "id", "left").withColumn("has_item", F.coalesce("has_item", F.lit(False)))
 
 
+#: What prices gain a year, and the bounds of the classes in prices of the first year.
+DEFLATOR, FIRST_YEAR, CLASS_BOUNDS = 0.06, 1995, ((100_000, "modest"), (300_000, "middling"))
+
+
+def price_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as postings whose entity is the class of the order's price in the first year's prices: its shares move over the years."""
+    orders, customer, nation = (read(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
+    joined = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    real = F.col("o_totalprice") / (1 + DEFLATOR * (F.year("o_orderdate") - FIRST_YEAR))
+    kind = F.lit("large")
+    for most, name in reversed(CLASS_BOUNDS):
+        kind = F.when(real < most, name).otherwise(kind)
+    return joined.select(F.col("o_orderkey").alias("id"), kind.alias("entity"), F.col("n_name").alias("publisher"), F.col("o_orderdate").cast("date").alias("day"), F.col("o_orderpriority").alias("segment"), F.lit(True).alias("has_item"), F.col("o_totalprice").alias("value"))
+
+
 def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct part names of each order; the noun of a name is the item's group."""
     part = read(spark, sf_dir, "part")

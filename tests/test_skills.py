@@ -83,3 +83,35 @@ def test_lists_and_titles(spark):
     got = df.select(text.parse_list(F.col("l")), text.parse_categories(F.col("c")), text.clean_title(F.col("t")), text.title_suspect(F.col("t"))).collect()
     assert got[0][0] == ["r", "python", "sas"] and got[0][2] == "Donnees Analyst" and not got[0][3]
     assert got[1][0] == ["a", "b"] and got[1][1] == {} and got[1][3]
+
+
+def regex_loop(taxonomy, text):
+    """Places by one regex a skill, tried over the whole text."""
+    import re
+
+    compiled = [re.compile(s.pattern(), re.IGNORECASE) for s in taxonomy]
+    return [{"start": m.start(), "end": m.end(), "skill": k} for k, c in enumerate(compiled) for m in c.finditer(text)]
+
+
+def test_automaton_equals_the_regex_loop(spark, small):
+    import random
+
+    from postmeter.functions.taxonomy import taxonomy
+
+    whole = taxonomy()
+    assert len(whole) > 150 and len({s.name for s in whole}) == len(whole) and skills.names_of(whole)
+    finder = skills.Finder(whole)
+    rng = random.Random(6)
+    tokens = [x.lower() for s in whole for x in (s.name, *s.aliases)]
+    signs = [" ", "", ".", ", ", "/", "-", "_", " and ", "x", "9", "\n", "é", "ſ", "to-market", " to market", "+", "#"]
+    texts = ["".join(rng.choice(tokens) + rng.choice(signs) for _ in range(rng.randrange(12))) for _ in range(3000)]
+    texts += [" ".join(rng.sample(tokens, 60)), "c++.net", ".net,asp.net node.js c#", "go go-to-market golang go to market", "ml mls tsql"]
+    texts += [r.text.lower() for r in spark.read.parquet(f"{small}/documents.parquet").collect() if r.text] + [r.html.lower() for r in spark.read.parquet(f"{small}/pages.parquet").collect() if r.html]
+    for t in texts:
+        assert finder.find(t) == regex_loop(whole, t), t
+    assert finder.find("") == [] and finder.find(None) == []
+
+
+def test_anchors_stand_in_every_match():
+    for pattern, want in ((r"\bgo\b(?!\s*[-\s]?to[-\s]market)", "go"), (r"\b(?:microsoft|ms)\s+word\b", ""), (r"\bhive\s*ql\b", "hive"), (r"x?y{2}abc*d", "ab"), (r"[a-z]+\d", "")):
+        assert skills.anchor(pattern) == want
