@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from postmeter import roles
 from postmeter.functions import vocabulary as V
+from postmeter.functions.taxonomy import taxonomy
 from postmeter.operators import skills, text
 from postmeter.operators.skills import Skill
 from postmeter.plans.registry import query
@@ -211,3 +214,50 @@ def long_table(spark, d):
 def title_segments(spark, d):
     t = _texts(spark, d)
     return t.select("id", skills.strip_units(text.clean_title(F.col("job_title")), text.company(F.col("company_name"))["canonical"], UNITS).alias("title"))
+
+
+#: Sentences that name two strings of the taxonomy: in a list, as a verb's object, before a noun, inside other words, around a point, after a phrase.
+SENTENCES = ("Experience with {}, {}.", "We {} and {} daily", "{}/{} developer", "knowledge of x{} or {}y", "{}.{}", "go-to-market {} ({})")
+STRINGS = [x for s in taxonomy() for x in (s.name, *s.aliases)]
+
+
+def skilled_texts(spark, d):
+    """id, text: a sentence for every order that names two strings of the taxonomy, by its own and its customer's key."""
+    pick = lambda c, step: F.element_at(F.array(*map(F.lit, STRINGS)), (F.col(c) * step % len(STRINGS) + 1).cast("int"))
+    forms = [F.format_string(s.replace("{}", "%s"), pick("o_orderkey", 7), pick("o_custkey", 11)) for s in SENTENCES]
+    return roles.read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.element_at(F.array(*forms), (F.col("o_orderkey") % len(SENTENCES) + 1).cast("int")).alias("text"))
+
+
+def _mention_sql(s: Skill) -> str:
+    """Whether a lower-cased text names a skill, without look-around: the character beside a sign is part of the match."""
+    if s.name == "Go":
+        return r"len(regexp_extract_all(low, '\bgo\b')) > len(regexp_extract_all(low, '\bgo\b\s*[-\s]?to[-\s]market'))"
+    quoted = lambda t: re.sub(r"([.+*?()|\[\]{}^$\\])", r"\\\1", t.lower()).replace("'", "''")
+    side = lambda c, first: r"\b" if c.isalnum() else ("(?:^|[^0-9a-z_.])" if first else "(?:$|[^0-9a-z_.])")
+    return "regexp_matches(low, '" + "|".join(side(t[0], True) + quoted(t) + side(t[-1], False) for t in (s.name, *s.aliases)) + "')"
+
+
+def _sentence_sql(form: str) -> str:
+    pick = lambda key, step: f"strings[CAST({key} * {step} % {len(STRINGS)} + 1 AS INT)]"
+    a, b, c = form.split("{}")
+    return f"'{a}' || {pick('o_orderkey', 7)} || '{b}' || {pick('o_custkey', 11)} || '{c}'"
+
+
+_SKILLED = "sk AS (SELECT o_orderkey AS id, lower(CASE o_orderkey % {n} {whens} END) AS low FROM orders, (SELECT [{strings}] AS strings))".format(
+    n=len(SENTENCES), whens=" ".join(f"WHEN {k} THEN {_sentence_sql(s)}" for k, s in enumerate(SENTENCES)), strings=", ".join(f"'{s}'" for s in STRINGS)
+)
+
+
+@query("skills_mentions", "WITH " + _SKILLED + " " + " UNION ALL ".join(f"SELECT '{s.name}' AS skill, count(*) AS postings FROM sk WHERE {_mention_sql(s)} HAVING count(*) > 0" for s in taxonomy()))
+def mentioned(spark, d):
+    """Orders' sentences by the skill of the whole taxonomy that they name, before any guard."""
+    whole = taxonomy()
+    found = skilled_texts(spark, d).select("id", F.explode(F.array_distinct(F.transform(skills.mentions(F.col("text"), whole), lambda m: m["skill"]))).alias("k"))
+    return found.groupBy("k").agg(F.count("*").alias("postings")).select(F.element_at(F.array(*(F.lit(s.name) for s in whole)), F.col("k") + 1).alias("skill"), "postings")
+
+
+@query("skills_accepted")
+def accepted(spark, d):
+    """Skills that the guards accept and refuse in the orders' sentences, in order of place; tests hold them against a plain rendering."""
+    out = skills.from_text(skilled_texts(spark, d), F.col("text"), taxonomy(), "s")
+    return out.select("id", F.array_join("s.accepted", "|").alias("accepted"), F.array_join(F.transform("s.rejected", lambda r: r["skill"]), "|").alias("rejected"))

@@ -115,3 +115,44 @@ def test_automaton_equals_the_regex_loop(spark, small):
 def test_anchors_stand_in_every_match():
     for pattern, want in ((r"\bgo\b(?!\s*[-\s]?to[-\s]market)", "go"), (r"\b(?:microsoft|ms)\s+word\b", ""), (r"\bhive\s*ql\b", "hive"), (r"x?y{2}abc*d", "ab"), (r"[a-z]+\d", "")):
         assert skills.anchor(pattern) == want
+
+
+def plain_guards(taxonomy, text):
+    """Accepted and rejected skills by the rules told in audited(), one mention after another."""
+    import re
+
+    from postmeter.functions import vocabulary as V
+
+    low = text.lower()
+    found = [(m["start"], m["end"], taxonomy[m["skill"]], m["skill"]) for m in regex_loop(taxonomy, low)]
+    sure = [m for m in found if not m[2].guarded]
+    delimiters = re.escape(V.LIST_DELIMITERS)
+
+    def good(start, end, s, _):
+        if not s.guarded:
+            return True
+        before, after = low[max(0, start - 40) : start], low[end : end + 30]
+        if any(re.search(q, low[max(0, start - 60) : end + 60], re.I) for q in s.qualifiers):
+            return True
+        if re.search(V.QUALIFIER_BEFORE, before, re.I) or re.search(V.QUALIFIER_AFTER, after, re.I):
+            return True
+        right = low[end : end + 12].lstrip(" ")
+        listed = re.search(f"[{delimiters}]$", before.rstrip(" ")) or re.match(f"[{delimiters}]", right) or re.search(V.LIST_WORDS, before, re.I) or re.match("(?:and|or) ", right)
+        return bool(listed) and any(a < end + 60 and b > max(0, start - 60) for a, b, *_ in sure)
+
+    ok = [m for m in found if good(*m)]
+    kept = [m for m in ok if not any(o[0] <= m[0] and m[1] <= o[1] and o[1] - o[0] != m[1] - m[0] for o in ok)]
+    kept.sort(key=lambda m: (m[0], m[0] - m[1], m[3]))
+    return list(dict.fromkeys(m[2].name for m in kept)), [m[2].name for m in found if not good(*m)]
+
+
+def test_guards_against_a_plain_rendering(spark, small):
+    from postmeter.functions.taxonomy import taxonomy
+    from postmeter.plans import postings
+
+    texts = {r.id: r.text for r in postings.skilled_texts(spark, small).collect()}
+    got = {r.id: (r.accepted, r.rejected) for r in postings.accepted(spark, small).collect()}
+    assert len(texts) == len(got) == 1500
+    for i, t in texts.items():
+        accepted, rejected = plain_guards(taxonomy(), t)
+        assert got[i] == ("|".join(accepted), "|".join(rejected)), t
