@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from postmeter.functions.stats import ratio, sign_test_p
+from postmeter.operators import selection
+from postmeter.sources.tables import settled
 
 MIN_CELL, FLOORS = 5, (0, 3, 5, 10)
 
@@ -38,7 +40,7 @@ def feasible_cells(postings: DataFrame, min_cell: int = MIN_CELL) -> DataFrame:
 
 def pair_medians(postings: DataFrame, by: tuple[str, ...] = ("publisher",), min_cell: int = MIN_CELL) -> DataFrame:
     """Difference of exact medians of every pair of entities inside each publisher (and segment) where both have enough values."""
-    cells = postings.filter("value is not null").groupBy(*by, "entity").agg(F.count("*").alias("n"), F.expr("percentile(value, 0.5)").alias("m")).filter(F.col("n") >= min_cell)
+    cells = selection.medians(postings, [*by, "entity"]).filter(F.col("n") >= min_cell)
     a = cells.withColumnsRenamed({"entity": "entity_a", "n": "n_a", "m": "median_a"})
     b = cells.withColumnsRenamed({"entity": "entity_b", "n": "n_b", "m": "median_b"})
     return a.join(b, list(by)).filter("entity_a < entity_b").withColumn("difference", F.col("median_a") - F.col("median_b"))
@@ -50,8 +52,8 @@ def _redrawn_medians(postings: DataFrame, by: list[str], n_boot: int, seed: int)
     The median of a redrawing stands at one or two places of the sorted values, and which ones follows from Beta variates alone. So tasks
     draw places, from a generator of the cell's own, and a join fetches the values that stand there: no cell is gathered."""
     cell = [*by, "entity"]
-    ranked = postings.filter("value is not null").select(*cell, "value", (F.row_number().over(Window.partitionBy(*cell).orderBy("value")) - 1).cast("long").alias("k"))
-    sizes = ranked.groupBy(*cell).agg(F.count("*").alias("n"))
+    held = settled(selection.runs(postings.filter(" and ".join(f"{c} is not null" for c in cell)), cell))
+    sizes = held.select(*cell, "n").distinct()
     keyed = sizes.withColumn("key", F.xxhash64(*cell))
 
     def draw(batches):
@@ -65,9 +67,10 @@ def _redrawn_medians(postings: DataFrame, by: list[str], n_boot: int, seed: int)
                 yield pd.DataFrame({**{c: row[c] for c in cell}, "draw": np.arange(n_boot), "k1": at(u), "k2": at(v)})
 
     kinds = ", ".join(f"{c} {sizes.schema[c].dataType.simpleString()}" for c in cell)
-    places = keyed.mapInPandas(draw, f"{kinds}, draw int, k1 long, k2 long")
-    one = places.join(ranked.withColumnsRenamed({"k": "k1", "value": "v1"}), [*cell, "k1"]).join(ranked.withColumnsRenamed({"k": "k2", "value": "v2"}), [*cell, "k2"])
-    return one.select(*cell, "draw", ((F.col("v1") + F.col("v2")) / 2).alias("m"))
+    places = settled(keyed.mapInPandas(draw, f"{kinds}, draw int, k1 long, k2 long"))
+    found = selection.values_at(held, places.select(*cell, F.explode(F.array("k1", "k2")).alias("k")), cell)
+    one = places.select(*cell, "draw", F.explode(F.array("k1", "k2")).alias("k")).join(found, [*cell, "k"])
+    return one.groupBy(*cell, "draw").agg(F.avg("value").alias("m"))
 
 
 def pair_intervals(postings: DataFrame, pairs: DataFrame, n_boot: int = 2000, seed: int = 20240609, by: tuple[str, ...] = ("publisher",)) -> DataFrame:
