@@ -22,6 +22,8 @@ MIN_CELL, STABILITY_FLOOR, SEED, MIN_PERIODS = 10, 0.90, 20260818, 8
 DEFAULT_SIGMA = 0.3
 #: Sums for entity and item, each over all draws, that a task holds before it sends them.
 HELD_CELLS = 20_000
+#: Rows of a profile whose draws are held at once.
+DRAWN_ROWS = 500
 
 
 def profiles(postings: DataFrame, items: DataFrame) -> DataFrame:
@@ -167,30 +169,35 @@ def draws(spark, n: int, make, schema: str, seed: int = SEED, tasks: int = 8) ->
     return spark.range(0, n, 1, tasks).mapInPandas(run, schema)
 
 
+def null_counts(profile: DataFrame, kind: str, n: int = 300) -> DataFrame:
+    """draw, entity, item, k under a null: identical (postings drawn from the pooled profile) or unrelated (an entity's counts permuted over items).
+
+    Every number is named by its draw, entity and item: a permutation is a rank over keyed hashes, and binomial counts come from a
+    counter-based generator keyed by entity and item. So no draw is one group, and neither tasks nor the order of rows change a value."""
+    if kind == "unrelated":
+        place = Window.partitionBy("entity").orderBy("item")
+        held = profile.select("entity", "item", "k", F.row_number().over(place).alias("at"))
+        keyed = held.select("entity", "item", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("draw"))
+        ticket = F.xxhash64(F.lit(SEED), "draw", "entity", "item")
+        dealt = keyed.withColumn("at", F.row_number().over(Window.partitionBy("draw", "entity").orderBy(ticket, "item")))
+        return dealt.join(held.select("entity", "at", "k"), ["entity", "at"]).filter("k > 0").select("draw", "entity", "item", "k")
+    pooled = pooled_profile(profile).withColumnRenamed("share", "p")
+    rows = profile.join(pooled, "item").filter("p > 0").select("entity", "item", F.col("n").cast("long").alias("n"), F.least("p", F.lit(1.0)).alias("p"), F.xxhash64("entity", "item").alias("key"))
+
+    def draw(batches):
+        for pdf in batches:
+            for lo in range(0, len(pdf), DRAWN_ROWS):
+                some = pdf.iloc[lo : lo + DRAWN_ROWS]
+                k = np.stack([np.random.Generator(np.random.Philox(key=[SEED + 1, int(key) & 0xFFFFFFFFFFFFFFFF])).binomial(size, p, n) for size, p, key in zip(some["n"], some["p"], some["key"])])
+                at, draw_ = np.nonzero(k)
+                yield pd.DataFrame({"draw": draw_.astype(np.int32), "entity": some["entity"].to_numpy()[at], "item": some["item"].to_numpy()[at], "k": k[at, draw_]})
+
+    return rows.mapInPandas(draw, "draw int, entity string, item string, k long")
+
+
 def null_draws(profile: DataFrame, kind: str, n: int = 300) -> DataFrame:
-    """Cosines of every pair under a null: identical (all drawn from the pooled profile) or unrelated (shares permuted).
-
-    A draw is one group of the profile's rows, entities times vocabulary, whatever the number of postings."""
-    pooled = pooled_profile(profile).withColumnRenamed("share", "pooled")
-    each = profile.join(pooled, "item").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-
-    def one(key, t: pd.DataFrame) -> pd.DataFrame:
-        rng = np.random.default_rng([SEED + (kind == "identical"), int(key[0])])
-        t = t.sort_values(["entity", "item"])
-        if kind == "identical":
-            t["x"] = rng.binomial(t["n"].to_numpy(), np.clip(t["pooled"].to_numpy(), 0, 1)) / t["n"].to_numpy()
-        else:
-            t["x"] = np.concatenate([rng.permutation(g.to_numpy()) for _, g in t.groupby("entity")["share"]])
-        wide = t.pivot(index="entity", columns="item", values="x").fillna(0.0)
-        names, m = list(wide.index), wide.to_numpy()
-        norm = np.sqrt((m * m).sum(axis=1))
-        rows = []
-        for i, j in itertools.combinations(range(len(names)), 2):
-            both = norm[i] * norm[j]
-            rows.append((int(key[0]), names[i], names[j], float(m[i] @ m[j] / both) if both else None))
-        return pd.DataFrame(rows, columns=["draw", "entity_a", "entity_b", "value"])
-
-    return each.groupBy("draw").applyInPandas(one, "draw int, entity_a string, entity_b string, value double")
+    """draw, entity_a, entity_b, value: cosines of every pair under a null; null where an entity drew nothing."""
+    return resampled_cosines(null_counts(profile, kind, n), profile, n)
 
 
 def calibration(profile: DataFrame, n: int = 300) -> DataFrame:
@@ -243,9 +250,10 @@ def resampled(patterns: DataFrame, n: int = 600, seed: int = SEED) -> DataFrame:
 def resampled_cosines(counts: DataFrame, entities: DataFrame, n: int) -> DataFrame:
     """draw, entity_a, entity_b, value for every pair and draw; shares and counts have the same cosine."""
     norms = counts.groupBy("draw", "entity").agg(F.sum(F.col("k").cast("double") * F.col("k")).alias("q"))
-    a = counts.select("draw", F.col("entity").alias("entity_a"), "item", F.col("k").alias("ka"))
-    b = counts.select("draw", F.col("entity").alias("entity_b"), "item", F.col("k").alias("kb"))
-    dots = a.join(b, ["draw", "item"]).filter("entity_a < entity_b").groupBy("draw", "entity_a", "entity_b").agg(F.sum(F.col("ka").cast("double") * F.col("kb")).alias("dot"))
+    # An item's row holds the entities that have it, its pairs are products of that row, and only their sums are shuffled.
+    held = counts.groupBy("draw", "item").agg(F.sort_array(F.collect_list(F.struct("entity", F.col("k").cast("double").alias("k")))).alias("held"))
+    later = lambda x, i: F.transform(F.slice("held", i + 2, F.size("held")), lambda y: F.struct(x["entity"].alias("entity_a"), y["entity"].alias("entity_b"), (x["k"] * y["k"]).alias("dot")))
+    dots = held.select("draw", F.explode(F.flatten(F.transform("held", later))).alias("p")).groupBy("draw", "p.entity_a", "p.entity_b").agg(F.sum("p.dot").alias("dot"))
     names = entities.select("entity").distinct()
     pairs = names.select(F.col("entity").alias("entity_a")).join(names.select(F.col("entity").alias("entity_b")), F.col("entity_a") < F.col("entity_b"))
     grid = pairs.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
@@ -281,13 +289,41 @@ def rank_tiers(boot: DataFrame) -> DataFrame:
 
 
 def average_linkage(names: list[str], distance: np.ndarray) -> list[tuple[tuple[str, ...], tuple[str, ...], float]]:
-    """Average-linkage merges of a few entities; ties go by the members' names."""
-    live = {(n,): [i] for i, n in enumerate(names)}
+    """Average-linkage merges of entities, the least mean distance first; ties go by the members' names.
+
+    Sums of members' distances are updated by each merge, and every cluster remembers its nearest later one, so a merge looks at one row and
+    at those that lost their neighbour. A cluster stands at the place of its first name: places in order are clusters in order of names."""
+    order = np.argsort(np.array(names, object), kind="stable")
+    members = [(names[k],) for k in order]
+    n = len(names)
+    total = np.array(distance, float)[np.ix_(order, order)]
+    size, live = np.ones(n), np.ones(n, bool)
+    nearest, gap = np.full(n, -1), np.full(n, np.inf)
+
+    def look(i: int) -> None:
+        row = np.where(live[i + 1 :], total[i, i + 1 :] / (size[i] * size[i + 1 :]), np.inf)
+        nearest[i], gap[i] = (-1, np.inf) if not len(row) or np.isinf(row.min()) else (i + 1 + int(row.argmin()), row.min())
+
+    for i in range(n):
+        look(i)
     merges = []
-    while len(live) > 1:
-        gap, a, b = min((float(distance[np.ix_(live[x], live[y])].mean()), x, y) for x, y in itertools.combinations(sorted(live), 2))
-        merges.append((a, b, gap))
-        live[tuple(sorted(a + b))] = live.pop(a) + live.pop(b)
+    for _ in range(n - 1):
+        i = int(gap.argmin())
+        j = int(nearest[i])
+        merges.append((members[i], members[j], float(gap[i])))
+        members[i] = tuple(sorted(members[i] + members[j]))
+        total[i, :] += total[j, :]
+        total[:, i] = total[i, :]
+        size[i] += size[j]
+        live[j], gap[j] = False, np.inf
+        look(i)
+        before = np.flatnonzero(live[:i])
+        to = total[before, i] / (size[before] * size[i])
+        lost = (nearest[before] == i) | (nearest[before] == j)
+        closer = ~lost & ((to < gap[before]) | ((to == gap[before]) & (i < nearest[before])))
+        nearest[before[closer]], gap[before[closer]] = i, to[closer]
+        for k in before[lost].tolist() + [k for k in range(i + 1, j) if live[k] and nearest[k] == j]:
+            look(k)
     return merges
 
 

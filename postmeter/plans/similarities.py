@@ -123,6 +123,13 @@ def cluster_support(spark, d):
     return similarity.cluster_support(*bound(spark, d)[:2])
 
 
+@query("similarity_cluster_support_without_products")
+def cluster_support_without_products(spark, d):
+    """Support of the partitions when every entity's own products are left out: stable under redrawing is not stable under another vocabulary."""
+    p, i = bound(spark, d)[:2]
+    return similarity.cluster_support(p, i.join(vendors(spark, d).select("item").distinct(), "item", "left_anti"))
+
+
 @query("similarity_network_thresholds")
 def network(spark, d):
     p = profile(spark, d)
