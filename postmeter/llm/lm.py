@@ -11,7 +11,9 @@ whole units, so the sum is the same however documents are dealt over tasks, and
 
 from __future__ import annotations
 
+import uuid
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postmeter.llm.common import Memo, batches_of, byte_column, durable, mix64, words_of
+from postmeter.llm.common import batches_of, byte_column, durable, mix64, words_of
 
 #: Classes of the commonest words, each with a cell of its own; classes of other words; cells of a class; hash rows of each feature.
 OWN_CLASSES, OTHER_CLASSES, CELLS, HASHED, FEATURES = 8, 8, 16, 1 << 13, 3
@@ -28,8 +30,8 @@ CLASSES = OWN_CLASSES + OTHER_CLASSES
 OWN = OWN_CLASSES * CELLS
 #: Most words whose counts are broadcast: those that make up more than one in FREQUENT of all tokens.
 FREQUENT = 1 << 17
-#: Distinct words whose counts a task holds, and tokens looked at together.
-HELD, STEP_TOKENS = 600_000, 16_384
+#: Distinct words that a worker knows (and a task counts) before it starts anew, and tokens looked at together.
+KNOWN, STEP_TOKENS = 500_000, 32_768
 #: Rounds of training; how far one step may move a weight, its length, and the count that steadies rare rows.
 ROUNDS, MOST_STEP, RATE, STEADY = 4, 2.0, 0.8, 4.0
 #: Gradients are summed as whole multiples of this, so that sums don't depend on order.
@@ -48,13 +50,64 @@ def _id(word: bytes) -> int:
 END = _id(b"")
 
 
-def _encoded(texts: list, memo: Memo) -> tuple[np.ndarray, np.ndarray]:
-    """Token ids of several texts end to end, an end after each text, and the number of tokens in each."""
-    words = [words_of(t.lower() if t else t) for t in texts]
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    get, end = memo.__getitem__, (END,)
-    ids = np.fromiter((i for ws in words for part in (map(get, ws), end) for i in part), np.uint64, int(sizes.sum()))
-    return ids, sizes
+class Words(dict):
+    """A worker's numbers of the words that it has met, and what it knows of each by number; number 0 is a text's end.
+
+    look_up, if given, tells cell, training count and whether it is frequent for an array of ids; it is asked once for a word."""
+
+    def __init__(self, look_up=None, most: int = KNOWN):
+        super().__init__()
+        self.look_up, self.most = look_up, most
+        self.start()
+
+    def start(self) -> None:
+        self.clear()
+        self.ids = self.one = self.two = np.zeros(0, np.uint64)
+        self.cell, self.n, self.hit = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        self.fresh = [END]
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self) + 1
+        self.fresh.append(_id(word))
+        return number
+
+    def encode(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the tokens of several texts end to end, an end after each text, and the number of tokens in each. Numbers hold until the next call."""
+        if len(self) > self.most:
+            self.start()
+        words = [words_of(t.lower() if t else t) for t in texts]
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        tokens, inner = np.zeros(int(sizes.sum()), np.int32), np.ones(int(sizes.sum()), bool)
+        inner[np.cumsum(sizes) - 1] = False
+        tokens[inner] = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.int32, len(tokens) - len(texts))
+        if self.fresh:
+            ids = np.array(self.fresh, np.uint64)
+            self.ids, self.one, self.two = np.append(self.ids, ids), np.append(self.one, mix64(ids)), np.append(self.two, mix64(ids + np.uint64(1)))
+            if self.look_up:
+                cell, n, hit = self.look_up(ids)
+                self.cell, self.n, self.hit = np.append(self.cell, cell), np.append(self.n, n), np.append(self.hit, hit)
+            self.fresh = []
+        return tokens, sizes
+
+    def histories(self, tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Hashes (3 x tokens) of the features of each token's history; texts begin with ends as their history."""
+        one, two = np.zeros_like(tokens), np.zeros_like(tokens)
+        one[1:], two[2:] = tokens[:-1], tokens[:-2]
+        starts = np.cumsum(sizes) - sizes
+        one[starts] = two[starts] = 0
+        two[starts[sizes > 1] + 1] = 0
+        return np.stack([self.one[one], self.two[two], mix64(self.ids[one] * np.uint64(3) + self.one[two])])
+
+
+#: A worker's words by what they are for: they outlive a task.
+_WORKER: dict[str, Words] = {}
+
+
+def _worker_words(purpose: str, look_up=None) -> Words:
+    if purpose not in _WORKER:
+        _WORKER.clear()
+        _WORKER[purpose] = Words(look_up)
+    return _WORKER[purpose]
 
 
 def in_training(doc_id: Column) -> Column:
@@ -66,32 +119,24 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """docs (text, train) -> (id, n, total): each word's count in training documents and in all documents."""
 
     def count(batches):
-        memo, held, size = Memo(_id), [], 0
+        words, train, total = _worker_words("counts"), np.zeros(0), np.zeros(0, np.int64)
 
-        def summed():
-            ids, train, total = (np.concatenate(x) for x in zip(*held))
-            u, at = np.unique(ids, return_inverse=True)
-            return u, np.bincount(at, train).astype(np.int64), np.bincount(at, total).astype(np.int64)
-
-        def rows(u, train, total):
-            return pa.RecordBatch.from_pydict({"id": u.view(np.int64), "n": train, "total": total})
+        def rows():
+            met = np.flatnonzero(total)
+            return pa.RecordBatch.from_pydict({"id": words.ids[met].view(np.int64), "n": train[met].astype(np.int64), "total": total[met]})
 
         for b in batches:
-            texts, train = byte_column(b.column("text")), b.column("train").to_numpy(zero_copy_only=False)
+            texts, trains = byte_column(b.column("text")), b.column("train").to_numpy(zero_copy_only=False).astype(np.float64)
             for lo, hi in batches_of(texts):
-                ids, sizes = _encoded(texts[lo:hi], memo)
-                u, at = np.unique(ids, return_inverse=True)
-                weight = np.repeat(train[lo:hi].astype(np.float64), sizes)
-                held.append((u, np.bincount(at, weight), np.bincount(at)))
-                size += len(u)
-                if size > HELD:
-                    held = [summed()]
-                    size = len(held[0][0])
-                    if size > HELD // 2:
-                        yield rows(*held[0])
-                        held, size = [], 0
-        if held:
-            yield rows(*summed())
+                if len(words) > words.most:
+                    yield rows()
+                    train, total = np.zeros(0), np.zeros(0, np.int64)
+                tokens, sizes = words.encode(texts[lo:hi])
+                grown = len(words.ids) - len(total)
+                train, total = np.append(train, np.zeros(grown)), np.append(total, np.zeros(grown, np.int64))
+                train += np.bincount(tokens, np.repeat(trains[lo:hi], sizes), len(total))
+                total += np.bincount(tokens, minlength=len(total))
+        yield rows()
 
     parts = docs.select("text", "train").mapInArrow(count, "id long, n long, total long")
     return parts.groupBy("id").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
@@ -101,6 +146,7 @@ class Vocabulary:
     """What every task knows of the counts: totals, the frequent words, and each class' size. Bounded by FREQUENT."""
 
     def __init__(self, counts: DataFrame):
+        self.name = uuid.uuid4().hex
         row = counts.agg(F.sum("n"), F.count(F.when(F.col("n") > 0, 1)), F.sum("total")).first()
         self.tokens, self.distinct = row[0] or 0, row[1] or 0
         floor = (row[2] or 0) / FREQUENT
@@ -138,20 +184,9 @@ class Vocabulary:
         return np.where(own >= 0, own, cell), np.where(hit, self.n[at], 0)[back], hit[back]
 
 
-def _histories(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Hashes (3 x tokens) of the history's features; texts begin with ends as their history."""
-    one, two = np.empty_like(ids), np.empty_like(ids)
-    one[1:], two[2:] = ids[:-1], ids[:-2]
-    starts = np.cumsum(sizes) - sizes
-    one[starts] = two[starts] = np.uint64(END)
-    second = starts[sizes > 1] + 1
-    two[second] = np.uint64(END)
-    return np.stack([mix64(one), mix64(two + np.uint64(1)), mix64(one * np.uint64(3) + mix64(two))])
-
-
 def _rows(hashes: np.ndarray) -> np.ndarray:
     """Weight rows of the first softmax: a block of HASHED for each feature."""
-    return (hashes % np.uint64(HASHED)).astype(np.int64) + (np.arange(FEATURES) * HASHED)[:, None]
+    return (hashes & np.uint64(HASHED - 1)).astype(np.int64) + (np.arange(FEATURES) * HASHED)[:, None]
 
 
 def _cell_rows(hashes: np.ndarray, cls: np.ndarray) -> np.ndarray:
@@ -186,33 +221,34 @@ def gradient(docs: DataFrame, vocabulary, weights) -> tuple[np.ndarray, np.ndarr
     names = [f"g{k}" for k in range(CELLS)]
 
     def summed(batches):
-        v, w, memo = vocabulary.value, weights.value, Memo(_id)
-        total, met = np.zeros(w.shape, np.int64), np.zeros(len(w), np.int64)
+        v, w = vocabulary.value, weights.value
+        words = _worker_words(v.name, v.look_up)
+        total, met = np.zeros((CELLS, len(w))), np.zeros(len(w), np.int64)  # whole numbers, below 2**53
 
         def add(rows, prior, right):
             slope = _logits(w, prior, rows)
             np.exp(slope, out=slope)
             slope *= np.float32(-1 / UNIT) / slope.sum(axis=1, keepdims=True)
             slope[np.arange(len(right)), right] += np.float32(1 / UNIT)
-            whole = np.rint(slope, out=slope).astype(np.int32)
+            by_cell = np.rint(slope, out=slope).T.astype(np.float64, order="C")
             for r in rows:
-                order = np.argsort((r & 0xFFFF).astype(np.uint16), kind="stable")
-                s = r[order]
-                first = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-                total[s[first]] += np.add.reduceat(whole[order], first, axis=0)
-                met[s[first]] += np.diff(np.append(first, len(s)))
+                block = slice(at := int(r[0]) // HASHED * HASHED, at + HASHED)
+                r = r - at
+                met[block] += np.bincount(r, minlength=HASHED)
+                for k in range(CELLS):
+                    total[k, block] += np.bincount(r, by_cell[k], HASHED)
 
         for b in batches:
             texts = byte_column(b.column("text"))
             for lo, hi in batches_of(texts):
-                ids, sizes = _encoded(texts[lo:hi], memo)
-                h, cell = _histories(ids, sizes), v.look_up(ids)[0]
-                for k in range(0, len(ids), STEP_TOKENS):
+                tokens, sizes = words.encode(texts[lo:hi])
+                h, cell = words.histories(tokens, sizes), words.cell[tokens]
+                for k in range(0, len(tokens), STEP_TOKENS):
                     part, c = h[:, k : k + STEP_TOKENS], cell[k : k + STEP_TOKENS]
                     add(_rows(part), v.class_prior, c // CELLS)
                     add(_cell_rows(part, c // CELLS), v.cell_prior[c // CELLS], c % CELLS)
         rows = np.flatnonzero(met)
-        yield pa.RecordBatch.from_pydict({"row": rows.astype(np.int32), "n": met[rows], **{x: total[rows, k] for k, x in enumerate(names)}})
+        yield pa.RecordBatch.from_pydict({"row": rows.astype(np.int32), "n": met[rows], **{x: total[k, rows].astype(np.int64) for k, x in enumerate(names)}})
 
     parts = docs.mapInArrow(summed, "row int, n long, " + ", ".join(f"{x} long" for x in names))
     got = parts.groupBy("row").agg(F.sum("n").alias("n"), *(F.sum(x).alias(x) for x in names)).toArrow()
@@ -260,15 +296,15 @@ def score(docs: DataFrame) -> DataFrame:
     tokens, distinct = vocabulary.value.tokens, vocabulary.value.distinct
 
     def apply(batches):
-        v, w, memo = vocabulary.value, weights.value, Memo(_id)
-        room = np.log10(v.room)
+        v, w = vocabulary.value, weights.value
+        words, room = _worker_words(v.name, v.look_up), np.log10(v.room)
         for b in batches:
             texts = byte_column(b.column("text"))
             for lo, hi in batches_of(texts):
-                ids, sizes = _encoded(texts[lo:hi], memo)
-                h, (cell, n, hit) = _histories(ids, sizes), v.look_up(ids)
-                part = np.empty(len(ids))
-                for k in range(0, len(ids), STEP_TOKENS):
+                tokens, sizes = words.encode(texts[lo:hi])
+                h, cell, n, hit = words.histories(tokens, sizes), words.cell[tokens], words.n[tokens], words.hit[tokens]
+                part = np.empty(len(tokens))
+                for k in range(0, len(tokens), STEP_TOKENS):
                     some, c = h[:, k : k + STEP_TOKENS], cell[k : k + STEP_TOKENS]
                     cls = c // CELLS
                     part[k : k + STEP_TOKENS] = _log_softmax_of(_logits(w, v.class_prior, _rows(some)), cls)
@@ -291,12 +327,9 @@ def score(docs: DataFrame) -> DataFrame:
                     names=COLUMNS,
                 )
                 missed = np.flatnonzero(~hit)
-                row = np.searchsorted(starts, missed, side="right") - 1
-                order = np.lexsort((ids[missed], row))
-                row, word = row[order], ids[missed][order]
-                first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (word[1:] != word[:-1]))) if len(row) else np.zeros(0, np.int64)
-                times = np.diff(np.append(first, len(row)))
-                row, word = row[first], word[first]
+                row = np.repeat(np.arange(hi - lo), sizes)[missed]
+                pairs, times = np.unique(row * len(words.ids) + tokens[missed], return_counts=True)
+                row, word = pairs // len(words.ids), words.ids[pairs % len(words.ids)]
                 zero = np.zeros(len(row))
                 yield pa.RecordBatch.from_arrays(
                     [doc.take(pa.array(row)), pa.array(np.array(own, np.int64)[row]), pa.array(word.view(np.int64)), pa.array(times.astype(np.int64)), *(pa.array(zero.astype(t)) for t in (np.int64, np.int64, float, float))],
