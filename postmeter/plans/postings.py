@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -12,6 +13,8 @@ from postmeter.functions.taxonomy import taxonomy
 from postmeter.operators import skills, text
 from postmeter.operators.skills import Skill
 from postmeter.plans.registry import query
+from postmeter.sources import company_set
+from postmeter.sources.tables import checkpoint_folder, remove, settled
 
 _case = lambda m, c: "CASE " + c + " " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in m.items()) + " END"
 
@@ -261,3 +264,18 @@ def accepted(spark, d):
     """Skills that the guards accept and refuse in the orders' sentences, in order of place; tests hold them against a plain rendering."""
     out = skills.from_text(skilled_texts(spark, d), F.col("text"), taxonomy(), "s")
     return out.select("id", F.array_join("s.accepted", "|").alias("accepted"), F.array_join(F.transform("s.rejected", lambda r: r["skill"]), "|").alias("rejected"))
+
+
+@query(
+    "company_set_manifest",
+    f"""WITH {TEXTS}, {AUDIT}, own AS (SELECT a.key, a.b, r.posting_date FROM raw r JOIN audit a ON a.name = r.company_name WHERE reason = ''), bn AS (SELECT key, b, count(*) AS n FROM own GROUP BY ALL)
+SELECT key AS company_key, count(*) AS postings, min(posting_date) AS first_posting, max(posting_date) AS last_posting, (SELECT string_agg(b || ' (' || n || ')', ', ' ORDER BY n DESC, b) FROM bn WHERE bn.key = own.key) AS brands FROM own GROUP BY 1""",
+)
+def company_manifest(spark, d):
+    """The manifest of the companies of all orders' texts, as a run writes it."""
+    root = f"{checkpoint_folder(spark)}/set-{uuid.uuid4().hex}"
+    texts = _texts(spark, d).withColumns({"job_id": F.col("id").cast("string"), "source": F.lit("orders")})
+    company_set.build(texts, rules(spark), root, TAXONOMY, UNITS)
+    made = settled(company_set.read_manifest(spark, root))
+    remove(spark, root)
+    return made.select("company_key", "postings", F.col("first_posting").cast("string").alias("first_posting"), F.col("last_posting").cast("string").alias("last_posting"), "brands")

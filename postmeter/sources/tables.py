@@ -58,24 +58,29 @@ def write(df: DataFrame, path: str, kind: str = "parquet", partition_by: tuple[s
     (writer.option("header", True) if kind == "csv" else writer).format(kind).save(path)
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df written once as Parquet in the cluster's shared folder and read back: what several tables build on is then scanned, not computed anew.
-
-    The folder is spark.checkpoint.dir; only a local master gets one of its own where none is set. The table goes with the application."""
-    spark = df.sparkSession
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder, spark.checkpoint.dir. Only a local master gets one of its own where none is set."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         at = spark.conf.get("spark.checkpoint.dir", None)
         if not at and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="spark-"))
-    at = f"{sc.getCheckpointDir()}/settled-{uuid.uuid4().hex}"
+    return sc.getCheckpointDir()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df written once as Parquet in the cluster's shared folder and read back: what several tables build on is then scanned, not computed anew.
+
+    The table goes with the application."""
+    spark = df.sparkSession
+    at = f"{checkpoint_folder(spark)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    atexit.register(_remove, spark, at)
+    atexit.register(remove, spark, at)
     return spark.read.schema(df.schema).parquet(at)
 
 
-def _remove(spark: SparkSession, at: str) -> None:
+def remove(spark: SparkSession, at: str) -> None:
     sc = spark.sparkContext
     if sc._jvm is not None and sc._jsc is not None:
         path = sc._jvm.org.apache.hadoop.fs.Path(at)
