@@ -75,6 +75,24 @@ def set_aside(docs: DataFrame, *needed: str, kept: list[str] | None = None) -> t
     return lean, [F.col(ROW).getField(c).alias(c) for c in names]
 
 
+#: Rows of one key that a task of spread_join takes, and most keys that it deals out (its broadcast: a key and a number each, some 16 MB).
+KEY_ROWS, HOT_KEYS = 100_000, 1_000_000
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, over: list[str], most: int = KEY_ROWS) -> DataFrame:
+    """left.join(right, key), where one key may hold any share of left's rows.
+
+    Rows of a key with more than `most` of them are dealt to several parts by a hash of the columns over, and right's rows of that key are repeated for each part. left is
+    read three times, so it should be a table. Keys are dealt out if they have more than `most` rows and more than one in HOT_KEYS of all, so they are
+    HOT_KEYS at most."""
+    counted = left.groupBy(key).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > max(most, left.count() // HOT_KEYS))
+    hot = F.broadcast(counted.select(key, F.ceil(F.col("_rows") / most).cast("int").alias("_parts")))
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = left.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64(*over), parts).cast("int")).drop("_parts")
+    each = right.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return dealt.join(each, [key, "_part"]).drop("_part")
+
+
 def let(value: Column, body) -> Column:
     """Evaluates value once per row and binds it for body (a higher-order function over a one-element array)."""
     return F.transform(F.array(value), body)[0]

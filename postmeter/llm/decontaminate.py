@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmeter.llm.common import Memo, batches_of, durable, mix64, set_aside
+from postmeter.llm.common import Memo, batches_of, durable, mix64, set_aside, spread_join
 
 #: The masks; 1 is a token that counts, 0 one that is ignored.
 MASKS = ("111111", "1101011", "110010111", "1011000111")
@@ -77,21 +77,19 @@ def _coded(texts: list, ids: Memo) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter((get(w) for ws in words for w in ws), np.uint64, int(sizes.sum())), sizes
 
 
-def items_of(benchmark: DataFrame) -> DataFrame:
-    """(item, ids, n, tokens): each distinct text of the benchmark that has tokens, the ids it has there, and its token hashes."""
-    texts = benchmark.filter("item_id is not null and text is not null").groupBy("text").agg(F.collect_set("item_id").alias("ids"))
-    texts = texts.select(F.xxhash64("text").alias("item"), "ids", "text")
-    kind = texts.schema["ids"].dataType.simpleString()
-    names = ["item", "ids", "n", "tokens"]
+def items_of(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(item, n, tokens): each distinct text of the benchmark that has tokens, with its token hashes; and (item, id): the ids that it has there."""
+    own = benchmark.filter("item_id is not null and text is not null").select(F.xxhash64("text").alias("item"), F.col("item_id").alias("id"), "text")
 
     def code(batches):
-        ids = Memo(_hash)
+        memo = Memo(_hash)
         for b in batches:
-            tokens = [_coded([t], ids)[0].view(np.int64) for t in b.column("text").to_pylist()]
+            tokens = [_coded([t], memo)[0].view(np.int64) for t in b.column("text").to_pylist()]
             sizes = pa.array([len(t) for t in tokens], pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column("item"), b.column("ids"), sizes, pa.array(tokens, pa.list_(pa.int64()))], names=names)
+            yield pa.RecordBatch.from_arrays([b.column("item"), sizes, pa.array(tokens, pa.list_(pa.int64()))], names=["item", "n", "tokens"])
 
-    return texts.mapInArrow(code, f"item bigint, ids {kind}, n int, tokens array<bigint>").filter("n > 0")
+    texts = own.select("item", "text").dropDuplicates(["item"])
+    return texts.mapInArrow(code, "item bigint, n int, tokens array<bigint>").filter("n > 0"), own.select("item", "id").distinct()
 
 
 def seeds_of(items: DataFrame, masks: dict[int, list[str]]) -> DataFrame:
@@ -206,19 +204,20 @@ def overlap(same: np.ndarray, need: int) -> tuple[int, int] | None:
 def found_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs (doc_id, own, text) -> (doc_id, own, items (id, share)) for every document in which a benchmark item is found."""
     sc = docs.sparkSession.sparkContext
-    items = durable(items_of(benchmark))
+    items, named = items_of(benchmark)
+    items = durable(items)
     sizes = [r[0] for r in items.filter(F.col("n") < MIN_TOKENS).select("n").distinct().collect()]
     masks = masks_for(sizes)
     seeds = durable(seeds_of(items, masks))
     candidates = durable(hits_of(docs, masks, sc.broadcast(filter_of(seeds))))
     each = candidates.select("doc_id", "own", F.explode("hits").alias("x")).select("doc_id", "own", "x.h", "x.at")
-    met = each.join(seeds.withColumnRenamed("at", "place"), "h")
-    diagonals = met.select("doc_id", "own", "item", (F.col("at") - F.col("place")).alias("diagonal")).distinct()
-    diagonals = diagonals.join(items, "item").withColumnsRenamed({"tokens": "wanted", "doc_id": "_doc", "own": "_own"})
+    met = spread_join(each, seeds.withColumnRenamed("at", "place"), "h", ["doc_id", "own", "at"])
+    diagonals = durable(met.select("doc_id", "own", "item", (F.col("at") - F.col("place")).alias("diagonal")).distinct())
+    diagonals = spread_join(diagonals, items, "item", ["doc_id", "own", "diagonal"]).withColumnsRenamed({"tokens": "wanted", "doc_id": "_doc", "own": "_own"})
     same_doc = candidates["doc_id"].eqNullSafe(diagonals["_doc"]) & (candidates["own"] == diagonals["_own"])
     start = F.greatest("diagonal", F.lit(0))
     stretch = F.slice("tokens", start + 1, F.greatest(F.col("n") + F.col("diagonal") - start, F.lit(0)))
-    pairs = candidates.drop("hits").join(diagonals, same_doc).select("doc_id", "own", "ids", "n", F.greatest(-F.col("diagonal"), F.lit(0)).alias("from"), "wanted", stretch.alias("stretch"))
+    pairs = candidates.drop("hits").join(diagonals, same_doc).select("doc_id", "own", "item", "n", F.greatest(-F.col("diagonal"), F.lit(0)).alias("from"), "wanted", stretch.alias("stretch"))
 
     def compare(batches):
         for b in batches:
@@ -228,11 +227,12 @@ def found_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 n = min(len(x), len(y))
                 got = overlap(x[:n] == y[:n], min(MIN_TOKENS, size))
                 share.append(got[1] / size if got else None)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("own"), b.column("ids"), pa.array(share, pa.float64())], names=["doc_id", "own", "ids", "share"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("own"), b.column("item"), pa.array(share, pa.float64())], names=["doc_id", "own", "item", "share"])
 
-    kinds = {n: pairs.schema[n].dataType.simpleString() for n in ("doc_id", "ids")}
-    verified = pairs.mapInArrow(compare, f"doc_id {kinds['doc_id']}, own bigint, ids {kinds['ids']}, share double").filter("share is not null")
-    best = verified.select("doc_id", "own", F.explode("ids").alias("id"), "share").groupBy("doc_id", "own", "id").agg(F.max("share").alias("share"))
+    kind = pairs.schema["doc_id"].dataType.simpleString()
+    verified = pairs.mapInArrow(compare, f"doc_id {kind}, own bigint, item bigint, share double").filter("share is not null")
+    covered = durable(verified.groupBy("doc_id", "own", "item").agg(F.max("share").alias("share")))
+    best = spread_join(covered, named, "item", ["doc_id", "own"]).groupBy("doc_id", "own", "id").agg(F.max("share").alias("share"))
     return best.groupBy("doc_id", "own").agg(F.sort_array(F.collect_list(F.struct("id", "share"))).alias("items"))
 
 
