@@ -24,8 +24,8 @@ MODEL = "piece_bpe_32k.model"
 #: Word mark and the library's stand-in for an unknown id.
 MARK, UNKNOWN = "▁", " ⁇ "
 #: Words in a worker's cache, the longest word that it keeps, words of a check,
-#: characters of texts taken together, and words of a table of agendas.
-CACHE, LONGEST, CHECKED, TOGETHER, ROWS = 400_000, 64, 2_000, 2_000_000, 20_000
+#: characters of texts taken together, words of a table of agendas, and rows of a batch that stand as Python objects at once.
+CACHE, LONGEST, CHECKED, TOGETHER, ROWS, SLICE = 300_000, 64, 2_000, 1_000_000, 20_000, 512
 #: The rank of a pair that is no piece.
 NONE = np.int32(2**31 - 1)
 #: Fields of the model file (pieces, trainer, normaliser) and kinds of pieces.
@@ -365,7 +365,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: st
 
     def go(texts):
         encoder = _encoder(model.value, check)
-        found = [np.array(ids, np.int32) for ids in encoder.all_ids(texts.to_pylist())]
+        found = [np.array(ids, np.int32) for lo in range(0, len(texts), SLICE) for ids in encoder.all_ids(texts.slice(lo, SLICE).to_pylist())]
         ends = np.cumsum([0, *map(len, found)])
         yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*found, np.zeros(0, np.int32)])))
 
@@ -384,11 +384,14 @@ def decode(docs: DataFrame, path: str | None = None, ids: str = "ids", text: str
         ids = values.fill_null(0).to_numpy()
         if (ids[kept] < 0).any() or (ids[kept] >= len(decoder.surfaces)).any():
             raise ValueError("an id is not in the vocabulary")
-        whole, made = bool(kept.all()), []
-        for valid, a, b in zip(lists.is_valid().to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
-            some = ids[a:b] if whole else ids[a:b][kept[a:b]]
-            made.append(decoder.text(some.tolist()) if valid else None)
-        yield pa.array(made, pa.string())
+        whole, valid, parts = bool(kept.all()), lists.is_valid().to_numpy(zero_copy_only=False), []
+        for lo in range(0, len(lists), SLICE):
+            made = []
+            for k in range(lo, min(lo + SLICE, len(lists))):
+                some = ids[ends[k] : ends[k + 1]]
+                made.append(decoder.text((some if whole else some[kept[ends[k] : ends[k + 1]]]).tolist()) if valid[k] else None)
+            parts.append(pa.array(made, pa.string()))
+        yield pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
     return _with(docs, ids, text, T.StringType(), go)
 
