@@ -53,7 +53,7 @@ def item_share_series(postings: DataFrame, items: DataFrame, entity: str, top: i
     n = base.groupBy("start").agg(F.count("*").alias("denominator"))
     hits = items.join(base.select("id", "start"), "id")
     best = hits.groupBy("item").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "item").limit(top).select("item")
-    k = hits.join(F.broadcast(best), "item", "left_semi").groupBy("item", "start").agg(F.countDistinct("id").alias("k"))
+    k = hits.join(F.broadcast(best), "item", "left_semi").groupBy("item", "start").agg(F.count("id").alias("k"))
     out = n.join(F.broadcast(best), how="cross").join(k, ["item", "start"], "left")
     return out.select(F.col("item").alias("key"), "start", F.coalesce("k", F.lit(0)).alias("numerator"), "denominator", (F.coalesce("k", F.lit(0)) / F.col("denominator")).alias("share"), F.lit(True).alias("is_observed"))
 

@@ -1,4 +1,6 @@
-"""Items of postings: frequency, coverage, co-occurrence, half-year trends and their stratified verdicts, for every entity."""
+"""Items of postings: frequency, coverage, co-occurrence, half-year trends and their stratified verdicts, for every entity.
+
+Postings are one row an id, items one row a posting and item (roles.py): so postings with an item are counted as rows, without a distinct."""
 
 from __future__ import annotations
 
@@ -28,7 +30,7 @@ def denominator(postings: DataFrame) -> DataFrame:
 def frequency(postings: DataFrame, long: DataFrame) -> DataFrame:
     """Postings with each item, as shares of those with items and of all, and the rank from the most frequent."""
     totals = postings.groupBy("entity").agg(F.count("*").alias("n_all"), F.count(F.when(F.col("has_item"), 1)).alias("n_skilled"))
-    n = long.groupBy("entity", "item", "item_group").agg(F.countDistinct("id").alias("postings")).join(totals, "entity")
+    n = long.groupBy("entity", "item", "item_group").agg(F.count("id").alias("postings")).join(totals, "entity")
     rank = F.rank().over(Window.partitionBy("entity").orderBy(F.desc("postings")))
     return n.select("entity", "item", "item_group", "postings", (F.col("postings") / F.greatest("n_skilled", F.lit(1))).alias("share_of_skilled"), (F.col("postings") / F.greatest("n_all", F.lit(1))).alias("share_of_all"), rank.alias("rank"))
 
@@ -44,7 +46,7 @@ def coverage(postings: DataFrame, items: DataFrame, period: str = "month") -> Da
 def by_period(postings: DataFrame, items: DataFrame, period: str = "month") -> DataFrame:
     """Item frequency of every period over both denominators."""
     cover = coverage(postings, items, period).select("entity", "start", "postings", "postings_with_items")
-    n = long_table(postings, items).withColumn("start", start_of(F.col("day"), period)).groupBy("entity", "start", "item", "item_group").agg(F.countDistinct("id").alias("n_postings"))
+    n = long_table(postings, items).withColumn("start", start_of(F.col("day"), period)).groupBy("entity", "start", "item", "item_group").agg(F.count("id").alias("n_postings"))
     out = n.join(cover, ["entity", "start"], "left")
     return out.select("entity", key_of(F.col("start"), period).alias("period"), "item", "item_group", "n_postings", "postings_with_items", ratio(F.col("n_postings"), F.col("postings_with_items")).alias("share_of_skilled"), ratio(F.col("n_postings"), F.col("postings")).alias("share_of_all"))
 
@@ -54,7 +56,7 @@ def cooccurrence(long: DataFrame, min_pairs: int = 5) -> DataFrame:
 
     Pairs are formed inside a posting, whose items are few; totals come from one aggregate of the long table.
     """
-    one = long.select("entity", "id", "item").distinct()
+    one = long.select("entity", "id", "item")
     totals = one.groupBy("entity", "item").agg(F.count("*").alias("n"))
     a, b = one.withColumnRenamed("item", "item_a"), one.withColumnRenamed("item", "item_b")
     both = a.join(b, ["entity", "id"]).filter("item_a < item_b").groupBy("entity", "item_a", "item_b").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= min_pairs)
@@ -72,7 +74,7 @@ def trend(postings: DataFrame, long: DataFrame, min_postings: int = 10, threshol
     """Half-year shares of postings with items, and emerging, declining or stable by relative change, with a floor of support."""
     d = postings.groupBy("entity").agg(*_halves(postings, lambda c: F.count(F.when(c & F.col("has_item"), 1))))
     d = d.withColumnsRenamed({"n_h1": "d1", "n_h2": "d2"}).filter("d1 > 0 and d2 > 0")
-    out = long.groupBy("entity", "item", "item_group").agg(*_halves(long, lambda c: F.countDistinct(F.when(c, F.col("id"))))).join(d, "entity")
+    out = long.groupBy("entity", "item", "item_group").agg(*_halves(long, lambda c: F.count(F.when(c, F.col("id"))))).join(d, "entity")
     out = out.withColumns({"share_h1": F.round(F.col("n_h1") / F.col("d1"), 4), "share_h2": F.round(F.col("n_h2") / F.col("d2"), 4)})
     out = out.withColumn("delta", F.round(F.col("share_h2") - F.col("share_h1"), 4)).withColumn("relative_change", F.round(ratio(F.col("delta"), F.col("share_h1")), 3))
     r = F.col("relative_change")
@@ -89,7 +91,7 @@ def velocity(postings: DataFrame, items: DataFrame, period: str = "month", min_p
     """Share of postings with items outside the excluded segments, for every period and item; support counts over all periods."""
     kept = eligible(postings).withColumn("start", start_of(F.col("day"), period))
     d = kept.groupBy("entity", "start").agg(F.count(F.when(F.col("has_item"), 1)).alias("postings_with_items"))
-    n = items.join(kept.select("id", "entity", "start"), "id").groupBy("entity", "start", "item", "item_group").agg(F.countDistinct("id").alias("n_postings"))
+    n = items.join(kept.select("id", "entity", "start"), "id").groupBy("entity", "start", "item", "item_group").agg(F.count("id").alias("n_postings"))
     out = n.join(d, ["entity", "start"], "left")
     support = F.sum("n_postings").over(Window.partitionBy("entity", "item"))
     return out.select("entity", key_of(F.col("start"), period).alias("period"), "item", "item_group", "n_postings", "postings_with_items", ratio(F.col("n_postings"), F.col("postings_with_items")).alias("share_of_skilled"), (support >= min_postings).alias("meets_support"))
@@ -99,7 +101,7 @@ def trend_within_segment(postings: DataFrame, long: DataFrame, min_postings: int
     """Half-year item shares inside each segment."""
     kept = eligible(postings).filter("segment is not null")
     d = kept.groupBy("entity", "segment").agg(*_halves(kept, lambda c: F.count(F.when(c & F.col("has_item"), 1)))).withColumnsRenamed({"n_h1": "denom_h1", "n_h2": "denom_h2"})
-    n = eligible(long).groupBy("entity", "segment", "item").agg(*_halves(long, lambda c: F.countDistinct(F.when(c, F.col("id")))))
+    n = eligible(long).groupBy("entity", "segment", "item").agg(*_halves(long, lambda c: F.count(F.when(c, F.col("id")))))
     out = n.join(d, ["entity", "segment"])
     out = out.withColumns({"share_h1": F.round(ratio(F.col("n_h1"), F.col("denom_h1")), 4), "share_h2": F.round(ratio(F.col("n_h2"), F.col("denom_h2")), 4)})
     return out.withColumns({"share_delta": F.round(F.col("share_h2") - F.col("share_h1"), 4), "meets_support": F.col("n_h1") + F.col("n_h2") >= min_postings})
@@ -123,7 +125,7 @@ def pooled_against_strata(trends: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 
 def by_segment_counts(long: DataFrame) -> DataFrame:
-    return long.groupBy("entity", "item", "segment").agg(F.countDistinct("id").alias("postings"))
+    return long.groupBy("entity", "item", "segment").agg(F.count("id").alias("postings"))
 
 
 def emerging_per_posting(long: DataFrame, trends: DataFrame) -> DataFrame:
@@ -134,4 +136,4 @@ def emerging_per_posting(long: DataFrame, trends: DataFrame) -> DataFrame:
 
 def rare(long: DataFrame, at_most: int = 10) -> DataFrame:
     """Items that at most so many postings of an entity have."""
-    return long.groupBy("entity", "item").agg(F.countDistinct("id").alias("postings")).filter(F.col("postings") <= at_most)
+    return long.groupBy("entity", "item").agg(F.count("id").alias("postings")).filter(F.col("postings") <= at_most)

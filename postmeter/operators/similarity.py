@@ -30,7 +30,7 @@ def profiles(postings: DataFrame, items: DataFrame) -> DataFrame:
     """entity, item, k, n, share over the vocabulary of all entities; all denominator postings count."""
     base = denominator(postings)
     n = base.groupBy("entity").agg(F.count("*").alias("n"))
-    k = items.join(base.select("id", "entity"), "id").groupBy("entity", "item").agg(F.countDistinct("id").alias("k"))
+    k = items.join(base.select("id", "entity"), "id").groupBy("entity", "item").agg(F.count("id").alias("k"))
     grid = n.join(k.select("item").distinct(), how="cross").join(k, ["entity", "item"], "left")
     return grid.select("entity", "item", F.coalesce("k", F.lit(0)).alias("k"), "n", (F.coalesce("k", F.lit(0)) / F.col("n")).alias("share"))
 
