@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from postmeter.functions.periods import half_of, key_of, start_of
 from postmeter.functions.stats import benjamini_hochberg, newcombe, ratio, two_proportion_p, wilson
-from postmeter.operators import volume
+from postmeter.operators import text, volume
 from postmeter.operators.items import denominator
 from postmeter.roles import EXCLUDED_SEGMENTS
 
@@ -112,8 +112,24 @@ def entity_correlation(postings: DataFrame, period: str = "month") -> DataFrame:
     return cells.join(other, "start").groupBy("entity", "other").agg(F.corr("n", "m").alias("r"))
 
 
-def comparability(postings: DataFrame, period: str = "month", min_share: float = 0.75) -> DataFrame:
-    """What may be compared of an entity: panel sizes and shares, own channel, trend verdict, item coverage."""
+def own_channels(postings: DataFrame, rules: DataFrame) -> DataFrame:
+    """entity, publisher for every publisher that is the entity itself: the entity's own employer rule (rules as in text.classify_employers, key is the
+    entity) matches the publisher's name. Distinct names are classified once each, however many postings they publish."""
+    names = postings.groupBy(F.col("publisher").alias("name")).agg(F.count("*").alias("n"))
+    own = text.classify_employers(names, rules).filter("matched").select(F.col("key").alias("entity"), F.col("name").alias("publisher")).distinct()
+    return own.join(postings.select("entity", "publisher").distinct(), ["entity", "publisher"], "left_semi")
+
+
+def own_channel_share(postings: DataFrame, own: DataFrame) -> DataFrame:
+    """entity, own_channel_publishers, own_channel_postings, own_channel_share: what an entity publishes over channels of its own; an entity without one has zeros."""
+    n = postings.groupBy("entity", "publisher").agg(F.count("*").alias("n"))
+    flagged = n.join(own.select("entity", "publisher").distinct().withColumn("own", F.lit(1)), ["entity", "publisher"], "left")
+    out = flagged.groupBy("entity").agg(F.count("own").alias("own_channel_publishers"), F.coalesce(F.sum(F.when(F.col("own") == 1, F.col("n"))), F.lit(0)).alias("own_channel_postings"), F.sum("n").alias("all"))
+    return out.withColumn("own_channel_share", F.col("own_channel_postings") / F.col("all")).drop("all")
+
+
+def comparability(postings: DataFrame, period: str = "month", min_share: float = 0.75, rules: DataFrame | None = None) -> DataFrame:
+    """What may be compared of an entity: panel sizes and shares, trend verdict, item coverage; with rules of employers its own channels too."""
     panel, common = volume.panel_publishers(postings, period, min_share), common_publishers(postings)
     flagged = postings.join(panel.withColumn("_panel", F.lit(1)), ["entity", "publisher"], "left").join(common.withColumn("_common", F.lit(1)), "publisher", "left")
     low = F.coalesce(F.col("segment").isin(*EXCLUDED_SEGMENTS), F.lit(False))
@@ -127,6 +143,8 @@ def comparability(postings: DataFrame, period: str = "month", min_share: float =
     first = Window.partitionBy("entity").orderBy(F.desc("n"), "publisher")
     top = top.withColumns({"at": F.row_number().over(first), "all": F.sum("n").over(Window.partitionBy("entity"))}).filter("at = 1").select("entity", F.col("publisher").alias("top_publisher"), (F.col("n") / F.col("all")).alias("top_publisher_share"))
     verdict = volume.panel_verdict(volume.panel_sensitivity(postings, period, min_share)).select("entity", F.col("direction").alias("trend_direction"), "treatments_agree")
+    if rules is not None:
+        each = each.join(own_channel_share(postings, own_channels(postings, rules)), "entity")
     return each.join(top, "entity", "left").join(verdict, "entity", "left").withColumn("level_comparable", F.col("common_panel_share") >= MIN_COMMON_SHARE)
 
 
@@ -208,7 +226,7 @@ def distinctiveness(share: DataFrame, vendors: DataFrame | None = None, min_post
 
 def annotate_self_reference(table: DataFrame, vendors: DataFrame) -> DataFrame:
     """vendors: entity, item, relation. Flags an entity's own items; filters nothing."""
-    out = table.join(F.broadcast(vendors.withColumnRenamed("relation", "vendor_relation")), ["entity", "item"], "left").withColumn("vendor_relation", F.coalesce("vendor_relation", F.lit("")))
+    out = table.join(vendors.withColumnRenamed("relation", "vendor_relation"), ["entity", "item"], "left").withColumn("vendor_relation", F.coalesce("vendor_relation", F.lit("")))
     return out.withColumn("self_referential", F.col("vendor_relation") != "")
 
 
@@ -227,7 +245,7 @@ def pairwise_gaps(share: DataFrame, min_postings: int = MIN_CELL, alpha: float =
 
 def self_reference(postings: DataFrame, long: DataFrame, vendors: DataFrame) -> DataFrame:
     """How much of an entity's item signal is its own items: shares with and without them, and the commonest of them."""
-    own = long.join(F.broadcast(vendors.filter("relation = 'own_product'").withColumn("own", F.lit(1))), ["entity", "item"], "left")
+    own = long.join(vendors.filter("relation = 'own_product'").withColumn("own", F.lit(1)), ["entity", "item"], "left")
     per = own.groupBy("entity", "id").agg(F.count("own").alias("k_own"), F.count(F.when(F.col("own").isNull(), 1)).alias("k_other"))
     sums = per.groupBy("entity").agg(F.count(F.when(F.col("k_own") > 0, 1)).alias("with_own"), F.count(F.when(F.col("k_other") > 0, 1)).alias("with_other"), F.count(F.when((F.col("k_own") > 0) & (F.col("k_other") == 0), 1)).alias("only_own"))
     first = Window.partitionBy("entity").orderBy(F.desc("n"), "item")
@@ -247,7 +265,7 @@ def _hits(postings: DataFrame, items: DataFrame, wanted: DataFrame) -> DataFrame
     """Denominator postings by wanted items: entity, item, segment, cells of n rows and k hits."""
     base = denominator(postings).withColumn("segment", F.coalesce("segment", F.lit("Unknown")))
     n = base.groupBy("entity", "segment").agg(F.count("*").alias("n"))
-    k = items.join(base.select("id", "entity", "segment"), "id").join(F.broadcast(wanted), "item", "left_semi").groupBy("entity", "segment", "item").agg(F.count("id").alias("k"))
+    k = items.join(base.select("id", "entity", "segment"), "id").join(wanted, "item", "left_semi").groupBy("entity", "segment", "item").agg(F.count("id").alias("k"))
     return n.join(F.broadcast(wanted), how="cross").join(k, ["entity", "segment", "item"], "left").withColumn("k", F.coalesce("k", F.lit(0)))
 
 
@@ -310,7 +328,7 @@ def feasibility_screen(postings: DataFrame, min_postings: int = 250, min_months:
 def half_without(postings: DataFrame, starts: DataFrame) -> DataFrame:
     """Panel shares of both halves with and without given months (start), and whether the change keeps its sign."""
     every = relative_share(postings).select("entity", F.col("log_share_change").alias("with_all"))
-    kept = postings.withColumn("start", start_of(F.col("day"), "month")).join(F.broadcast(starts), "start", "left_anti").drop("start")
+    kept = postings.withColumn("start", start_of(F.col("day"), "month")).join(starts, "start", "left_anti").drop("start")
     less = relative_share(kept).select("entity", F.col("log_share_change").alias("without"))
     return every.join(less, "entity").withColumn("sign_unchanged", F.signum("with_all") == F.signum("without"))
 

@@ -107,7 +107,7 @@ def concordance(pairs: DataFrame) -> DataFrame:
 
 def vendor_sensitivity(profile: DataFrame, vendors: DataFrame) -> DataFrame:
     """Cosine of every pair with all items, without the pair's own items, and without anyone's own items; rank moves."""
-    mine = F.broadcast(vendors.select("entity", "item").distinct())
+    mine = vendors.select("entity", "item").distinct()
     p = paired(profile)
     p = p.join(mine.select(F.col("entity").alias("entity_a"), "item", F.lit(1).alias("va")), ["entity_a", "item"], "left")
     p = p.join(mine.select(F.col("entity").alias("entity_b"), "item", F.lit(1).alias("vb")), ["entity_b", "item"], "left")
@@ -269,7 +269,7 @@ def bootstrap(postings: DataFrame, items: DataFrame, n: int = 600) -> DataFrame:
     drawn = resampled_cosines(resampled(posting_patterns(postings, items), n), postings, n)
     drawn = drawn.withColumn("drawn_rank", F.rank().over(Window.partitionBy("draw").orderBy(F.col("value").desc_nulls_last())))
     q = lambda c, p: F.expr(f"percentile({c}, {p})")
-    out = drawn.join(F.broadcast(observed), ["entity_a", "entity_b"]).groupBy("entity_a", "entity_b", "observed", "rank").agg(
+    out = drawn.join(observed, ["entity_a", "entity_b"]).groupBy("entity_a", "entity_b", "observed", "rank").agg(
         q("value", 0.025).alias("ci_low"),
         q("value", 0.975).alias("ci_high"),
         q("drawn_rank", 0.025).cast("int").alias("rank_low"),

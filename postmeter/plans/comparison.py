@@ -377,3 +377,18 @@ def gaps_checked(spark, d):
     p, i, _ = bound(spark, d)
     share = settled(compare.item_share(p, i))
     return compare.significant_gaps_checked(compare.pairwise_gaps(share), compare.stratified_entity_verdict(compare.within_stratum(p, i, compare.top_items(share))))
+
+
+#: Publishers of the given tables that are an entity's own: include and exclude patterns of their names.
+OWN_CHANNELS = [("AUTOMOBILE", r"\b(?:nation_1|nation_7)\b", ""), ("BUILDING", "nation_2", r"nation_2[0-3]"), ("MACHINERY", r"nation_[0-9]4", ""), ("FURNITURE", "nowhere", "")]
+_OWN_SQL = "CASE entity " + " ".join(f"WHEN '{e}' THEN regexp_matches(publisher, '{i}', 'i')" + (f" AND NOT regexp_matches(publisher, '{x}', 'i')" if x else "") for e, i, x in OWN_CHANNELS) + " ELSE FALSE END"
+
+
+@query(
+    "compare_own_channels",
+    f"WITH {POSTINGS}, o AS (SELECT entity, publisher, {_OWN_SQL} AS own FROM postings) SELECT entity, count(DISTINCT publisher) FILTER (own) AS own_channel_publishers, count(*) FILTER (own) AS own_channel_postings, round(count(*) FILTER (own) / count(*)::DOUBLE, 6) AS own_channel_share FROM o GROUP BY 1",
+)
+def own_channels(spark, d):
+    p = settled(_postings(spark, d))
+    rules = spark.createDataFrame([(e, i, x, []) for e, i, x in OWN_CHANNELS], "key string, include string, exclude string, brands array<struct<brand: string, pattern: string>>")
+    return compare.own_channel_share(p, compare.own_channels(p, rules))
