@@ -6,7 +6,7 @@ from postmeter import roles
 from postmeter.functions.stats import ERFC
 from postmeter.operators import compare
 from postmeter.plans.items import ALL_ITEMS, bound
-from postmeter.plans.registry import COMMON, ELIGIBLE, POSTINGS, query
+from postmeter.plans.registry import COMMON, ELIGIBLE, ORACLE_SQL, POSTINGS, query
 from postmeter.plans.trends import BALANCED, VERDICT
 from postmeter.sources.tables import settled
 
@@ -372,9 +372,27 @@ def half_without(spark, d):
     return compare.half_without(p, february)
 
 
-@query("compare_gaps_checked")
+_SIZED = ALL_ITEMS.replace(
+    "postings AS (SELECT * FROM postings_all)",
+    "cnt AS (SELECT l_orderkey AS id, count(DISTINCT p_name) AS k FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1), postings AS (SELECT p.* REPLACE (CASE WHEN coalesce(k, 0) < 3 THEN 'few items' WHEN k < 5 THEN 'some items' ELSE 'many items' END AS entity) FROM postings_all p LEFT JOIN cnt USING (id))",
+)
+
+
+def _tables_of(name: str, drop: str = "") -> str:
+    """The common table expressions that a query's SQL builds on, but for the bindings."""
+    return ORACLE_SQL[name].removeprefix(f"WITH {ALL_ITEMS}, ").removeprefix(drop).rsplit("\nSELECT", 1)[0]
+
+
+@query(
+    "compare_gaps_checked",
+    f"""WITH {_SIZED}, {_tables_of('compare_pairwise_gaps')}, {_tables_of('compare_stratified_entity_verdict', SHARE + ', ')},
+st AS (SELECT item, entity_a, entity_b, n AS n_strata, CASE WHEN n >= 2 THEN agree ELSE 0 END AS n_agree, CASE WHEN n < 2 THEN 'unsupported' WHEN agree = n THEN 'confirmed' WHEN agree = 0 THEN 'reversed' ELSE 'mixed' END AS verdict FROM c),
+ld AS (SELECT entity_a, entity_b, item, diff, row_number() OVER (PARTITION BY entity_a, entity_b ORDER BY abs(diff) DESC, item) AS place FROM gp WHERE coalesce(q_value <= 0.05, FALSE) AND (ci_low > 0 OR ci_high < 0))
+SELECT ld.entity_a, ld.entity_b, ld.item, place AS "at", round(diff, 6) AS diff, coalesce(n_strata, 0) AS n_strata, coalesce(n_agree, 0) AS n_agree, coalesce(verdict, 'unsupported') AS verdict FROM ld LEFT JOIN st USING (item, entity_a, entity_b) WHERE place <= 40""",
+)
 def gaps_checked(spark, d):
-    p, i, _ = bound(spark, d)
+    """The widest significant gaps between orders of few, some and many items, checked inside priorities."""
+    p, i = settled(roles.size_postings(spark, d)), settled(roles.order_items(spark, d))
     share = settled(compare.item_share(p, i))
     return compare.significant_gaps_checked(compare.pairwise_gaps(share), compare.stratified_entity_verdict(compare.within_stratum(p, i, compare.top_items(share))))
 

@@ -54,6 +54,19 @@ def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select(F.col("l_orderkey").alias("id"), F.col("p_name").alias("item"), F.split("p_name", " ")[1].alias("item_group")).distinct()
 
 
+#: Bounds of an order's size in distinct items.
+SIZE_BOUNDS = ((3, "few items"), (5, "some items"))
+
+
+def size_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as postings whose entity is the order's size in distinct items: larger orders hold any item oftener, so shares of items differ."""
+    sizes = order_items(spark, sf_dir).groupBy("id").agg(F.count("*").alias("k"))
+    kind = F.lit("many items")
+    for most, name in reversed(SIZE_BOUNDS):
+        kind = F.when(F.coalesce("k", F.lit(0)) < most, name).otherwise(kind)
+    return order_postings(spark, sf_dir).join(sizes, "id", "left").withColumn("entity", kind).drop("k")
+
+
 def event_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as postings: type is the entity, user the publisher."""
     e = read(spark, sf_dir, "events")
