@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import functions as F
 
 from postmeter.operators import compare, forecast, similarity
@@ -54,7 +56,11 @@ def matrix(spark, d):
     return similarity.similarity_matrix(profile(spark, d))
 
 
-@query("similarity_metric_concordance")
+_AVERAGE_RANKS = "ar AS (SELECT " + ", ".join(f"rank() OVER (ORDER BY rank_{n}) + (count(*) OVER (PARTITION BY rank_{n}) - 1) / 2.0::DOUBLE AS r_{n}" for n in NAMES) + " FROM pt)"
+_CORRELATIONS = " UNION ALL ".join(f"SELECT '{a}' AS metric_a, '{b}' AS metric_b, {similarity.FAMILIES[a] == similarity.FAMILIES[b]} AS same_family, round(corr(r_{a}, r_{b}), 6) AS rank_correlation FROM ar" for a, b in itertools.combinations(NAMES, 2))
+
+
+@query("similarity_metric_concordance", f"{_BASE}, {PAIRS}, {_AVERAGE_RANKS} {_CORRELATIONS}")
 def concordance(spark, d):
     return similarity.concordance(similarity.pair_table(profile(spark, d)))
 
@@ -130,7 +136,15 @@ def cluster_support_without_products(spark, d):
     return similarity.cluster_support(p, i.join(vendors(spark, d).select("item").distinct(), "item", "left_anti"))
 
 
-@query("similarity_network_thresholds")
+_GRID = ", ".join(f"{0.40 + 0.05 * k:.2f}::DOUBLE" for k in range(13))
+
+
+@query(
+    "similarity_network_thresholds",
+    f"""{_BASE.replace('WITH ', 'WITH RECURSIVE ', 1)}, {PAIRS}, gr AS (SELECT unnest([{_GRID}]) AS threshold), ed AS (SELECT threshold, entity_a AS x, entity_b AS y FROM pt, gr WHERE round(cosine, 4) >= threshold), bo AS (SELECT * FROM ed UNION ALL SELECT threshold, y, x FROM ed),
+re AS (SELECT threshold, entity AS x, entity AS y FROM ns, gr UNION SELECT re.threshold, re.x, bo.y FROM re JOIN bo ON bo.threshold = re.threshold AND bo.x = re.y), la AS (SELECT threshold, x, min(y) AS l FROM re GROUP BY ALL),
+de AS (SELECT threshold, x, count(*) AS d FROM bo GROUP BY ALL) SELECT la.threshold, CAST(coalesce(sum(d) / 2, 0) AS BIGINT) AS edges, count(DISTINCT l) AS components, coalesce(string_agg(la.x, ',' ORDER BY la.x) FILTER (d IS NULL), '') AS isolated, count(*) FILTER (d IS NULL) AS n_isolated FROM la LEFT JOIN de USING (threshold, x) GROUP BY 1""",
+)
 def network(spark, d):
     p = profile(spark, d)
     return similarity.network_thresholds(similarity.pair_table(p), p.select("entity").distinct())
