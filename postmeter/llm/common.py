@@ -122,8 +122,8 @@ class Memo(dict):
         return value
 
 
-def token_hashes() -> Memo:
-    return Memo(xxhash.xxh64_intdigest)
+def token_hashes(most: int = 400_000) -> Memo:
+    return Memo(xxhash.xxh64_intdigest, most)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

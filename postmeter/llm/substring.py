@@ -27,6 +27,8 @@ from postmeter.llm.common import batches_of, byte_column, discard, durable, mix6
 WINDOW, SUB = 35, 20
 #: Batches of one call, runs that may wait before they are compacted, windows a task resolves at once.
 BATCHES, FAN_IN, HELD = 3, 1, 400_000
+#: Bytes of texts that a task cuts into windows together, and words whose hash it keeps: with HELD they bound a worker's memory.
+PIECE, WORDS = 2_000_000, 200_000
 #: The candidate filter has BITS_EACH bits for each repeated fingerprint, rounded up to a power of two between these bounds. The upper one
 #: bounds what is broadcast (64 MB); a filter that is fuller than meant only adds candidates, which are verified like any others.
 BITS_EACH, LEAST_BITS, MOST_BITS = 4, 1 << 20, 1 << 29
@@ -105,10 +107,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """
 
     def name(batches):
-        ids, hasher, batch = token_hashes(), Hasher(), TaskContext.get().partitionId()
+        ids, hasher, batch = token_hashes(WORDS), Hasher(), TaskContext.get().partitionId()
         for b in batches:
             texts = byte_column(b.column(0))
-            for lo, hi in batches_of(texts):
+            for lo, hi in batches_of(texts, PIECE):
                 tokens, _, left = _joined(texts[lo:hi], ids)
                 _, _, named, at = _windows(hasher, tokens, left)
                 _, first = np.unique(at, return_index=True)
@@ -219,7 +221,7 @@ def candidate_windows(docs: DataFrame, known) -> DataFrame:
     """
 
     def find(batches):
-        ids, hasher, seen = token_hashes(), Hasher(), known.value
+        ids, hasher, seen = token_hashes(WORDS), Hasher(), known.value
         bits = len(seen) * 8
         held, size = [], 0
 
@@ -257,7 +259,7 @@ def candidate_windows(docs: DataFrame, known) -> DataFrame:
             doc = b.column("doc_id").fill_null(np.iinfo(np.int64).min).to_numpy()
             own = b.column("own").to_numpy()
             judged = b.column("judged").to_numpy(zero_copy_only=False)
-            for lo, hi in batches_of(texts):
+            for lo, hi in batches_of(texts, PIECE):
                 tokens, starts, left = _joined(texts[lo:hi], ids)
                 at, h, named, _ = _windows(hasher, tokens, left)
                 place = named.view(np.int64) % bits  # as Spark's pmod
