@@ -29,9 +29,9 @@ CLASSES = OWN_CLASSES + OTHER_CLASSES
 #: Words whose cell is their own.
 OWN = OWN_CLASSES * CELLS
 #: Most words whose counts are broadcast: those that make up more than one in FREQUENT of all tokens.
-FREQUENT = 1 << 17
+FREQUENT = 1 << 19
 #: Distinct words that a worker knows (and a task counts) before it starts anew, and tokens looked at together.
-KNOWN, STEP_TOKENS = 500_000, 32_768
+KNOWN, STEP_TOKENS = 800_000, 32_768
 #: Rounds of training; how far one step may move a weight, its length, and the count that steadies rare rows.
 ROUNDS, MOST_STEP, RATE, STEADY = 4, 2.0, 0.8, 4.0
 #: Gradients are summed as whole multiples of this, so that sums don't depend on order.
@@ -150,7 +150,8 @@ class Vocabulary:
         row = counts.agg(F.sum("n"), F.count(F.when(F.col("n") > 0, 1)), F.sum("total")).first()
         self.tokens, self.distinct = row[0] or 0, row[1] or 0
         floor = (row[2] or 0) / FREQUENT
-        table = np.array(counts.filter(F.col("total") > floor).select("id", "n").collect(), np.int64).reshape(-1, 2)
+        known = counts.filter(F.col("total") > floor).select("id", "n").toArrow()
+        table = np.stack([known.column(c).to_numpy() for c in ("id", "n")], axis=1)
         order = np.argsort(table[:, 0].view(np.uint64) if len(table) else table[:, 0])
         self.ids, self.n = np.ascontiguousarray(table[order, 0]).view(np.uint64), np.ascontiguousarray(table[order, 1])
         top = np.lexsort((self.ids, -self.n))[:OWN]
