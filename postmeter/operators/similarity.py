@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from postmeter.functions.stats import average_rank, correlation, fisher_interval, ratio
 from postmeter.operators.items import denominator
+from postmeter.sources.tables import settled
 
 METRICS = ("cosine", "jensen_shannon", "bray_curtis", "spearman")
 FAMILIES = {"cosine": "prevalence_weighted", "jensen_shannon": "prevalence_weighted", "bray_curtis": "prevalence_weighted", "spearman": "rank", "jaccard_supported": "set"}
@@ -362,14 +363,14 @@ def network_thresholds(pairs: DataFrame, entities: DataFrame, grid=tuple(round(0
     """Edges, components and isolated entities as the threshold rises. Least labels spread along edges until none moves."""
     t = F.explode(F.array(*(F.lit(float(g)) for g in grid))).alias("threshold")
     edges = pairs.select("entity_a", "entity_b", value, t).filter(F.round(value, 4) >= F.col("threshold"))
-    both = edges.select("threshold", F.col("entity_a").alias("x"), F.col("entity_b").alias("y")).union(edges.select("threshold", "entity_b", "entity_a")).persist()
-    label = entities.select(F.col("entity").alias("x"), t).withColumn("l", F.col("x")).persist()
+    both = settled(edges.select("threshold", F.col("entity_a").alias("x"), F.col("entity_b").alias("y")).union(edges.select("threshold", "entity_b", "entity_a")))
+    label = settled(entities.select(F.col("entity").alias("x"), t).withColumn("l", F.col("x")))
     changed = True
-    while changed:
+    while changed:  # each round is written, so neither lineage nor cached tables pile up
         near = both.join(label.select("threshold", F.col("x").alias("y"), F.col("l").alias("m")), ["threshold", "y"]).groupBy("threshold", "x").agg(F.min("m").alias("m"))
-        label = label.join(near, ["threshold", "x"], "left").select("threshold", "x", F.least("l", F.coalesce("m", "l")).alias("l"), (F.col("m") < F.col("l")).alias("moved")).persist()
-        changed = not label.filter("moved").isEmpty()
-        label = label.drop("moved")
+        moved = settled(label.join(near, ["threshold", "x"], "left").select("threshold", "x", F.least("l", F.coalesce("m", "l")).alias("l"), (F.col("m") < F.col("l")).alias("moved")))
+        changed = not moved.filter("moved").isEmpty()
+        label = moved.drop("moved")
     degree = both.groupBy("threshold", "x").agg(F.count("*").alias("d"))
     per = label.join(degree, ["threshold", "x"], "left")
     out = per.groupBy("threshold").agg(F.coalesce((F.sum("d") / 2).cast("long"), F.lit(0)).alias("edges"), F.countDistinct("l").alias("components"), F.array_join(F.sort_array(F.collect_list(F.when(F.col("d").isNull(), F.col("x")))), ",").alias("isolated"), F.count(F.when(F.col("d").isNull(), 1)).alias("n_isolated"))

@@ -78,7 +78,12 @@ def cell_floors(spark, d):
     return values.cell_floors(compare.relative_share_by_publisher(p), compare.relative_share(p))
 
 
-@query("values_floor_dependence")
+@query(
+    "values_floor_dependence",
+    f"""WITH {POSTINGS}, {RELATIVE}, {RELATIVE_BY}, {FLOORS}, t AS (SELECT *, tested > 0 AND tested = agreeing AS confirmed FROM fl), g AS (SELECT entity, coalesce(string_agg(floor::VARCHAR, ', ' ORDER BY floor) FILTER (confirmed), '') AS floors_confirmed, count(*) AS n, count(*) FILTER (confirmed) AS c,
+ arg_min(tested, floor) AS first_tested, arg_max(tested, floor) AS last_tested, arg_min(confirmed, floor) AS first_confirmed FROM t GROUP BY 1)
+SELECT entity, floors_confirmed, n AS floors_tested, c > 0 AND c < n AS floor_dependent, c > 0 AND c < n AND NOT first_confirmed AND last_tested < first_tested AS gained_by_dropping_tests FROM g""",
+)
 def floor_dependence(spark, d):
     p = _postings(spark, d)
     return values.floor_dependence(values.cell_floors(compare.relative_share_by_publisher(p), compare.relative_share(p)))
