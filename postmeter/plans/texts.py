@@ -91,8 +91,8 @@ def floor_dependence(spark, d):
 
 @query("text_clean_pages")
 def clean_pages(spark, d):
-    pages = roles.read(spark, d, "pages")
-    return pages.select("page_id", text.clean(F.col("html")).alias("cleaned"), F.size(text.tokens(text.clean(F.col("html")))).alias("token_count"))
+    cleaned = roles.read(spark, d, "pages").select("page_id", text.clean(F.col("html")).alias("cleaned"))
+    return cleaned.withColumn("token_count", F.size(text.tokens(F.col("cleaned"))))
 
 
 @query("text_stable_id", "SELECT page_id, 'page-' || left(sha1(coalesce(url, '') || '|' || page_id::VARCHAR), 12) AS stable_id FROM pages")
