@@ -156,3 +156,13 @@ def test_guards_against_a_plain_rendering(spark, small):
     for i, t in texts.items():
         accepted, rejected = plain_guards(taxonomy(), t)
         assert got[i] == ("|".join(accepted), "|".join(rejected)), t
+
+
+@pytest.mark.parametrize("table", [lambda f: skills.long_table(f, TAXONOMY), skills.rejected_mentions])
+def test_skills_are_found_once(spark, table):
+    """What a row's skills are made of stands in the plan as often as in the plan of the features alone, and postings without any have no row."""
+    df = spark.createDataFrame([(1, "Go developer, ML", "let us go"), (2, "", "")], "id int, job_title_clean string, cleaned_description string").withColumn("company_canonical", F.lit("Acme"))
+    featured = skills.posting_features(df, TAXONOMY)
+    made = lambda x: x._jdf.queryExecution().optimizedPlan().toString().count("find(")
+    assert made(table(featured)) <= made(featured)
+    assert {r.id for r in table(featured).collect()} == {1}
