@@ -16,7 +16,7 @@ from postmeter.operators.skills import Skill
 from postmeter.sources.tables import forbidden_columns, personal_columns, settled, to_shared_schema
 
 #: Rows that one file of a company holds, about: a company with many postings is written by many tasks.
-ROWS_A_FILE = 1_000_000
+ROWS_A_FILE = 250_000
 
 
 def featured_set(postings: DataFrame, rules: DataFrame, taxonomy: list[Skill], units: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
@@ -68,8 +68,8 @@ def build(postings: DataFrame, rules: DataFrame, root: str, taxonomy: list[Skill
     if not sizes:
         return []
     files = sum(-(-n // ROWS_A_FILE) for n in sizes.values())
-    spread = F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, -(-n // ROWS_A_FILE))))[F.col("company_key")]
-    rows = featured.join(changed.select("company_key"), "company_key", "left_semi").repartition(files, "company_key", F.pmod(F.xxhash64("job_id"), spread))
+    # By range: hashes of so few keys would put several files' rows into one task and none into others.
+    rows = featured.join(changed.select("company_key"), "company_key", "left_semi").repartitionByRange(files, "company_key", F.xxhash64("job_id"))
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("company_key").parquet(f"{root}/postings")
     kept = [] if before is None else [before.drop("v").join(changed.select("company_key"), "company_key", "left_anti")]
     version = 1 if before is None else before.select("v").first()[0] + 1

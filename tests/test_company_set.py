@@ -6,6 +6,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
+from postmeter.operators import text
 from postmeter.operators.skills import Skill
 from postmeter.sources import company_set
 
@@ -63,3 +64,14 @@ def test_nothing_known(spark, tables):
     rules, rows, frame = tables
     root = f"{tempfile.mkdtemp(prefix='spark-')}/set"
     assert company_set.build(frame(rows[-1:]), rules, root, TAXONOMY) == [] and company_set.read_manifest(spark, root) is None
+
+
+def test_large_names_are_joined_in_parts(spark, monkeypatch):
+    """A name with many postings is dealt to several keys of the join; every posting keeps its one row."""
+    monkeypatch.setattr(text, "NAME_ROWS", 10)
+    postings = spark.createDataFrame([(k, "Google" if k % 4 else "Waymo Labs" if k % 8 else None) for k in range(200)], "id int, company_name string")
+    rules = spark.createDataFrame([("google", "google|waymo", "", [("Waymo", "waymo")])], "key string, include string, exclude string, brands array<struct<brand: string, pattern: string>>")
+    out = text.resolve_employers(postings, rules)
+    assert out.columns == ["id", "company_name", "company_key", "company_brand"]
+    assert sorted(r.id for r in out.collect()) == [k for k in range(200) if k % 8]
+    assert "_part" in out._jdf.queryExecution().optimizedPlan().toString()
