@@ -15,9 +15,8 @@ from postmeter.sources.tables import settled
 col, lit = F.col, F.lit
 
 
-def volume_and_share(spark, d):
-    """The two tables that most claims rest on, a row an entity."""
-    p = roles.order_postings(spark, d)
+def volume_and_share(p):
+    """The two tables that most claims rest on, a row an entity. Their branches read the postings p many times, so these are settled."""
     share = settled(compare.relative_share_verdict(compare.relative_share_by_publisher(p), compare.relative_share(p)))
     trend = settled(volume.panel_verdict(volume.panel_sensitivity(p)))
     return share, trend
@@ -45,7 +44,7 @@ def segments(spark, d):
 @once
 def compiled(spark, d):
     """(claims, cells, ledger) of volume and share."""
-    share, trend = volume_and_share(spark, d)
+    share, trend = volume_and_share(settled(roles.order_postings(spark, d)))
     all_cells = settled(claims.union([claims.cells(share, "relative_share", "entity"), claims.cells(trend, "volume", "entity")]))
     tempting = lambda words, k: claims.generate(trend, "volume", "entity", "spread", "", "which way volume moves", "structural", F.concat("entity", lit(words)), lit(""), "product", "none").withColumn("claim_id", F.replace("claim_id", lit("structural"), lit(f"tempting-{k}")))
     made = settled(claims.union([candidates_share(share), candidates_volume(trend), tempting(" will grow next year", 0), tempting(" hires mainly in Asia", 1)]))
@@ -251,23 +250,24 @@ def consistency_gate(spark, d):
 
 
 def tables(spark, d) -> dict:
-    """Every table that candidates rest on, settled: name -> (table, its keys)."""
-    p, i, long = bound(spark, d)
-    share, trend = volume_and_share(spark, d)
-    item_share = settled(compare.item_share(p, i))
+    """Every table that candidates rest on, settled: name -> (table, its keys). Postings and items are joined once, into counts that all shares of items are sums of."""
+    p, i, _ = bound(spark, d)
+    share, trend = volume_and_share(p)
+    per = settled(items.counted(p, i))
+    item_share = settled(compare.item_share(p, per))
     series = settled(forecast.panel_share_series(p))
     gate = settled(forecast.forecastability(series))
     tested = settled(forecast.backtest(series))
-    profile = settled(similarity.profiles(p, i))
-    within = items.stratified_verdict(items.trend_within_segment(p, long))
-    pair = similarity.pair_verdicts(similarity.bootstrap(p, i), similarity.pair_table(profile), similarity.vendor_sensitivity(profile, vendors(spark, d)), similarity.mix_sensitivity(compare.standardised_items(p, i, compare.top_items(item_share))))
+    profile = settled(similarity.profiles(p, per))
+    within = items.stratified_verdict(items.trend_within_segment(p, per))
+    pair = similarity.pair_verdicts(similarity.bootstrap(p, i), similarity.pair_table(profile), similarity.vendor_sensitivity(profile, vendors(spark, d)), similarity.mix_sensitivity(compare.standardised_items(p, per, compare.top_items(item_share))))
     passing = gate.filter("verdict = 'forecastable'").select("key")
     found = {
         "relative_share": (share, "entity"),
         "volume": (trend, "entity"),
         "segments": (volume.compare_panels(p), "entity", "segment"),
-        "skill_trend": (items.pooled_against_strata(items.trend(p, long), within), "entity", "item"),
-        "skill_gap": (compare.stratified_entity_verdict(compare.within_stratum(p, i, compare.top_items(item_share))), "item", "entity_a", "entity_b"),
+        "skill_trend": (items.pooled_against_strata(items.trend(p, per), within), "entity", "item"),
+        "skill_gap": (compare.stratified_entity_verdict(compare.within_stratum(p, per, compare.top_items(item_share))), "item", "entity_a", "entity_b"),
         "distinctiveness": (compare.distinctiveness(item_share, vendors(spark, d)), "entity", "item"),
         "forecastability": (gate, "key"),
         "horizons": (forecast.horizons(tested.join(passing, "key", "left_semi")), "horizon"),

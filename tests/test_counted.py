@@ -42,3 +42,12 @@ def test_postings_are_redrawn_once(tables):
         assert " MapInPandas" not in found._jdf.queryExecution().toString()
     boot = similarity.bootstrap(p, i, 5).collect()
     assert {(r.entity_a, r.entity_b) for r in boot} == {("a", "b"), ("a", "c"), ("b", "c")} and all(r.draws == 5 for r in boot)
+
+
+def test_the_ledger_reads_written_postings(spark, small):
+    from postmeter import roles
+    from postmeter.plans import ledger
+    from postmeter.sources.tables import settled
+
+    share, trend = ledger.volume_and_share(settled(roles.order_postings(spark, small)))
+    assert share.count() == trend.count() == 5
