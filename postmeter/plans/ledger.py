@@ -260,7 +260,7 @@ def tables(spark, d) -> dict:
     tested = settled(forecast.backtest(series))
     profile = settled(similarity.profiles(p, per))
     within = items.stratified_verdict(items.trend_within_segment(p, per))
-    pair = similarity.pair_verdicts(similarity.bootstrap(p, i), similarity.pair_table(profile), similarity.vendor_sensitivity(profile, vendors(spark, d)), similarity.mix_sensitivity(compare.standardised_items(p, per, compare.top_items(item_share))))
+    pair = similarity.pair_verdicts(similarity.bootstrap(p, i), similarity.pair_table(profile), similarity.vendor_sensitivity(profile, vendors(spark, d)), similarity.mix_sensitivity(compare.standardised_items(p, per, compare.supported_items(item_share))))
     passing = gate.filter("verdict = 'forecastable'").select("key")
     found = {
         "relative_share": (share, "entity"),
